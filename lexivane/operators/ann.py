@@ -8,6 +8,7 @@ ranks all (filtered) rows by Hamming distance of their codes, takes the best
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -16,12 +17,14 @@ from pyspark.sql.window import Window
 
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
-from lexivane.operators.search import batch_nearest, block_search, bucket_of
+from lexivane.operators.embed import once
+from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.search import Hits, batch_nearest, block_search, bucket_of
 from lexivane.options import Options
 
 DEFAULT_CANDIDATES = 400
 CANDIDATE_STEPS = (50, 100, 200, 400, 800, 1600)
-SAMPLE_QUERIES = 64
+SAMPLE_QUERIES = 64  # for calibration
 
 
 @dataclass(frozen=True)
@@ -32,10 +35,18 @@ class Tier:
     bits: int
     target: float | None
     candidates: int = DEFAULT_CANDIDATES
+    rows: int = 0
 
     def bytes_for(self, rows: int) -> int:
         return rows * self.bits // 8
 
+    def for_rows(self, rows: int) -> Tier:
+        """``candidates`` was set for a corpus of ``self.rows``; a larger one needs
+        the same share of its rows."""
+        if not self.rows or rows <= self.rows:
+            return self
+        return replace(self, candidates=math.ceil(self.candidates * rows / self.rows), rows=rows)
+
 
 # Best first. Targets are fixed values; lighter tiers serve smaller budgets.
 TIERS = (
@@ -58,7 +69,7 @@ def tier_bits(rows: Column, budget_bytes: Column) -> Column:
 
 
 def sign_code(vector: Column, bits: int, dim: int) -> Column:
-    return F.arrow_udf(kernels.sign_coder(bits, dim), "array<bigint>")(vector)
+    return once(kernels.sign_coder(bits, dim), "array<bigint>")(vector)
 
 
 def code_table(corpus: DataFrame, bits: int, dim: int) -> DataFrame:
@@ -70,8 +81,8 @@ def code_table(corpus: DataFrame, bits: int, dim: int) -> DataFrame:
 
 def candidate_rows(
     codes: DataFrame, queries: DataFrame, bits: int, dim: int, candidates: int, options: Options
-) -> DataFrame:
-    """query_id, rank, paper_id, distance (Hamming) of the best codes per query."""
+) -> Hits:
+    """The best codes per query; the distance is the Hamming distance."""
     coded = queries.withColumns(
         {
             "embedding": sign_code(F.col("embedding"), bits, dim),
@@ -82,14 +93,14 @@ def candidate_rows(
 
 
 def rerank(
-    found: DataFrame,
+    hits: Hits,
     corpus: DataFrame,
     queries: DataFrame,
     options: Options,
     buckets: int | None = None,
 ) -> DataFrame:
     """Exact distance of every candidate, best top_k per query."""
-    keys = ["paper_id"]
+    keys, found = ["paper_id"], broadcast_keys(*hits)
     if buckets is not None:
         found = found.withColumn("bucket", bucket_of(F.col("paper_id"), buckets))
         keys = ["bucket", "paper_id"]
@@ -107,11 +118,12 @@ def rerank(
         .filter(F.col("distance").isNotNull())
     )
     order = Window.partitionBy("query_id").orderBy(V.rank_key(F.col("distance")), "paper_id")
-    return (
+    best = (
         measured.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= F.col("asked"))
         .select("query_id", "rank", "paper_id", "distance")
     )
+    return broadcast_keys(best, hits.at_most)
 
 
 def approximate_nearest(
@@ -124,20 +136,15 @@ def approximate_nearest(
     buckets: int | None = None,
 ) -> DataFrame:
     """Ranked hits of every query, as ``batch_nearest`` but through the codes."""
-    deepest = tier.candidates
-    found = candidate_rows(codes, queries, tier.bits, dim, deepest, options)
+    found = candidate_rows(codes, queries, tier.bits, dim, tier.candidates, options)
     return rerank(found, corpus, queries, options, buckets)
 
 
-def sample_queries(corpus: DataFrame, options: Options) -> DataFrame:
-    """A fixed sample of the corpus as queries, for calibration only."""
-    papers = corpus.filter(F.col("embedding").isNotNull()).select("paper_id", "embedding")
+def sample_papers(corpus: DataFrame, *columns: str) -> DataFrame:
+    """A fixed sample of the corpus to calibrate with."""
+    papers = corpus.filter(F.col("embedding").isNotNull()).select("paper_id", *columns)
     picked = papers.orderBy(F.xxhash64("paper_id"), "paper_id").limit(SAMPLE_QUERIES)
-    return picked.select(
-        F.xxhash64("paper_id").alias("query_id"),
-        "embedding",
-        F.lit(options.recall_k + 1).alias("top_k"),
-    )
+    return picked.withColumn("query_id", F.xxhash64("paper_id"))
 
 
 def recall_by_candidates(
@@ -148,20 +155,15 @@ def recall_by_candidates(
     dim: int,
     options: Options,
     steps: tuple[int, ...] = CANDIDATE_STEPS,
-    skip_best: bool = False,
 ) -> DataFrame:
     """candidates, neighbours, found, recall.
 
     One exact search and one code search serve all candidate counts: a true
     neighbour is found with c candidates when its code ranks within the best c.
-    ``skip_best`` leaves out each query's best hit, for queries taken from the
-    corpus, which find themselves.
     """
-    true = batch_nearest(corpus, queries, options)
-    if skip_best:
-        true = true.filter(F.col("rank") > 1)
-    true = true.select("query_id", "paper_id")
-    coded = candidate_rows(codes, queries, bits, dim, max(steps), options).select(
+    true = batch_nearest(corpus, queries, options).select("query_id", "paper_id")
+    found = candidate_rows(codes, queries, bits, dim, max(steps), options)
+    coded = broadcast_keys(*found).select(
         "query_id", "paper_id", F.col("rank").alias("code_rank")
     )
     joined = true.join(coded, ["query_id", "paper_id"], "left")

@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from lexivane.operators import kernels
 
 
+def once(function: Callable, kind: str) -> Callable[[Column], Column]:
+    """An Arrow function Spark must not run twice.
+
+    Filters on the result of a deterministic function are pushed below it, which
+    repeats the call; calling it non-deterministic keeps it in one place.
+    """
+    return F.arrow_udf(function, kind).asNondeterministic()
+
+
 @dataclass(frozen=True)
 class WordEmbedder:
     """The default embedder: hashed words. Lexical, deterministic, no model to load."""
@@ -19,7 +28,7 @@ class WordEmbedder:
     name: str = "hashed-words"
 
     def vector(self, text: Column) -> Column:
-        return F.arrow_udf(kernels.word_embedder(self.dim), "array<float>")(text)
+        return once(kernels.word_embedder(self.dim), "array<float>")(text)
 
 
 @dataclass(frozen=True)
@@ -53,7 +62,7 @@ class ModelEmbedder:
             unit, empty = unit_rows(matrix)
             return list_array(unit, empty | texts.is_null().to_numpy(zero_copy_only=False))
 
-        return F.arrow_udf(embed, "array<float>")(text)
+        return once(embed, "array<float>")(text)
 
 
 def sentence_transformer(model: str, dim: int = 384) -> ModelEmbedder:

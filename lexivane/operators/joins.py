@@ -1,0 +1,19 @@
+"""Broadcasts behind a bound on their size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 256 << 20
+# What an id with a few numbers takes: at most 64 characters, and row overhead.
+KEY_ROW_BYTES = 160
+
+
+def broadcast_keys(keys: DataFrame, at_most: int) -> DataFrame:
+    """Marks a narrow table of at most ``at_most`` rows for broadcast if that fits.
+
+    The mark keeps the other side, the corpus, from being shuffled. Beyond the
+    bound Spark is left to join by shuffle.
+    """
+    return F.broadcast(keys) if at_most * KEY_ROW_BYTES <= BROADCAST_BYTES else keys

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
+from lexivane.operators.joins import broadcast_keys
 from lexivane.operators.predicates import apply_filters
 from lexivane.options import Options, check_top_k
 from lexivane.session import work_dir
@@ -29,21 +31,19 @@ MERGE_SALTS = 32
 
 
 def nearest(
-    corpus: DataFrame, query: Column | list[float], k: int, **filters: int | str | None
+    corpus: DataFrame, query: Sequence[float], k: int, **filters: int | str | None
 ) -> DataFrame:
     """The k papers nearest to one query vector, filters applied first.
 
-    ``query`` is a list of numbers or a column expression, such as a scalar
-    subquery. Papers without a usable vector are not searchable.
+    Papers without a usable vector are not searchable.
     """
     check_top_k(k)
-    size = None
-    if not isinstance(query, Column):
-        size = F.lit(math.sqrt(sum(float(x) * float(x) for x in query)))
-        query = F.array(*[F.lit(float(x)) for x in query])
+    query = [float(x) for x in query]
+    size = F.lit(math.sqrt(sum(x * x for x in query)))
+    distance = V.cosine_distance(F.col("embedding"), F.lit(query), size)
     return (
         apply_filters(corpus, **filters)
-        .withColumn("distance", V.cosine_distance(F.col("embedding"), query, size))
+        .withColumn("distance", distance)
         .filter(F.col("distance").isNotNull())
         .orderBy(V.rank_key(F.col("distance")), "paper_id")
         .limit(k)
@@ -128,45 +128,52 @@ def best_per_query(hits: DataFrame, deepest: int) -> DataFrame:
     )
 
 
+class Hits(NamedTuple):
+    """Ranked hits (query_id, rank, paper_id, distance) and a bound on their number."""
+
+    frame: DataFrame
+    at_most: int
+
+
 def block_search(
     corpus: DataFrame,
     queries: DataFrame,
     options: Options,
     vector: str = "embedding",
     measure: str = "cosine",
-) -> DataFrame:
-    """Ranked hits of every query: query_id, rank, paper_id, distance.
+) -> Hits:
+    """The best rows of every query.
 
     A query table of one block is one lazy plan. A larger one is searched block
     by block, each block's hits written to the work folder before the next one
     is read, so that the driver holds one block at any time.
     """
-    blocks = query_blocks(queries, options)
-    query_type = queries.schema["query_id"].dataType.simpleString()
-    first = next(blocks, None)
     spark = corpus.sparkSession
-    if first is None:
-        id_type = corpus.schema["paper_id"].dataType.simpleString()
-        empty = HITS.format(query_id=query_type, paper_id=id_type)
-        hits = spark.createDataFrame([], empty)
-        return best_per_query(hits, 1)  # no query, no hit
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    blocks = query_blocks(queries, options)
 
-    def search(block: dict) -> DataFrame:
+    def search(block: dict) -> Hits:
         hits = score_block(corpus, block, vector, measure, query_type)
-        return best_per_query(hits, max(block["k"]))
+        return Hits(best_per_query(hits, max(block["k"])), sum(block["k"]))
 
-    second = next(blocks, None)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        id_type = corpus.schema["paper_id"].dataType.simpleString()
+        none = spark.createDataFrame([], HITS.format(query_id=query_type, paper_id=id_type))
+        return Hits(best_per_query(none, 1), 0)
     if second is None:
         return search(first)
-    folder = work_dir(spark, "hits")
+    folder, rows = work_dir(spark, "hits"), 0
     for number, block in enumerate(itertools.chain([first, second], blocks)):
-        search(block).write.parquet(f"{folder}/block={number}")
-    return spark.read.parquet(folder).drop("block")
+        hits = search(block)
+        hits.frame.write.parquet(f"{folder}/block={number}")
+        rows += hits.at_most
+    return Hits(spark.read.parquet(folder).drop("block"), rows)
 
 
 def batch_nearest(corpus: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
     """The top_k nearest papers of every query under that query's own filters."""
-    return block_search(corpus, queries, options)
+    return broadcast_keys(*block_search(corpus, queries, options))
 
 
 def bucket_of(paper_id: Column, buckets: int) -> Column:

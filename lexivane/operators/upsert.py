@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivane.operators.joins import broadcast_keys
+
 
 def last_per_id(batch: DataFrame, order: list[str]) -> DataFrame:
     """One row per id: the last in the given order.
@@ -17,20 +19,21 @@ def last_per_id(batch: DataFrame, order: list[str]) -> DataFrame:
     return batch.groupBy("paper_id").agg(last).select("paper_id", "last.*")
 
 
-def merge(current: DataFrame, batch: DataFrame, written_at) -> tuple[DataFrame, DataFrame]:
+def merge(
+    current: DataFrame, batch: DataFrame, written_at, batch_rows: int
+) -> tuple[DataFrame, DataFrame]:
     """(kept, new): current rows the batch does not touch, and the batch's rows.
 
-    ``batch`` holds one row per id. A new row replaces every column of a stored
-    one, with null too, but keeps its ``created_at``. Join sides are left to the
-    optimizer, which knows the batch's size at run time.
+    ``batch`` holds ``batch_rows`` rows, one per id. A new row replaces every
+    column of a stored one, with null too, but keeps its ``created_at``. Only
+    the batch's ids meet the current rows, broadcast while they are few.
     """
-    kept = current.join(batch.select("paper_id"), "paper_id", "left_anti")
-    known = current.select("paper_id", "created_at").join(
-        batch.select("paper_id"), "paper_id", "left_semi"
-    )
+    keys = broadcast_keys(batch.select("paper_id"), batch_rows)
+    kept = current.join(keys, "paper_id", "left_anti")
+    known = current.select("paper_id", "created_at").join(keys, "paper_id", "left_semi")
     new = (
         batch.drop("created_at")
-        .join(known, "paper_id", "left")
+        .join(broadcast_keys(known, batch_rows), "paper_id", "left")
         .withColumn("updated", F.col("created_at").isNotNull())
         .withColumn("created_at", F.coalesce("created_at", F.lit(written_at).cast("timestamp")))
     )

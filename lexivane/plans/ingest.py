@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivane import schema
 from lexivane.functions import text as X
+from lexivane.operators import ann
 from lexivane.operators.embed import WordEmbedder, embed
 from lexivane.operators.validate import rejected_papers, valid_papers
 from lexivane.sources.corpus_files import read_papers
@@ -35,6 +36,20 @@ def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, *
     return store.upsert(rows, written_at, order, lambda df: embedded(df, embedder), **options)
 
 
+def title_queries(store: PaperStore, embedder) -> DataFrame:
+    """Titles of some papers as search queries, to calibrate an index with."""
+    titles = ann.sample_papers(store.papers(), "title")
+    return embed(titles, embedder or WordEmbedder(store.options.embedding_dim), text="title")
+
+
+def build_index(
+    store: PaperStore, embedder=None, skip: bool = False, rebuild: bool = False
+) -> bool:
+    if not store.exists():
+        return False
+    return store.build_index(title_queries(store, embedder), skip, rebuild)
+
+
 def ingest(
     store: PaperStore,
     papers: DataFrame,
@@ -55,7 +70,7 @@ def ingest(
         rejected_papers(papers).write.mode("append").parquet(rejects_to)
     valid = valid_papers(papers, mode)
     report = _upsert(store, valid, written_at, embedder, order or POSITION, **upsert)
-    indexed = store.build_index() if rebuild_index else store.index() is not None
+    indexed = build_index(store, embedder) if rebuild_index else store.index() is not None
     return {**report, "vector_index": "ok" if indexed else "skipped"}
 
 
@@ -76,6 +91,6 @@ def load_corpus(
     """
     cap = store.options.max_papers if max_papers is None else max_papers
     papers = first_rows(valid_papers(read_papers(store.spark, path, form)), cap)
-    report = _upsert(store, papers, written_at, embedder, POSITION, replace=replace)
-    indexed = store.build_index(skip=skip_index)
+    report = _upsert(store, papers, written_at, embedder, POSITION, replace_all=replace)
+    indexed = build_index(store, embedder, skip=skip_index)
     return {**report, "vector_index": "ok" if indexed else "skipped"}

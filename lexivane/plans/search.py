@@ -35,7 +35,7 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
     approximate = options.use_approximate and state.index is not None
     if approximate:
-        tier = ann.Tier(**state.index)
+        tier = ann.Tier(**state.index).for_rows(state.rows)
         hits = ann.approximate_nearest(
             papers, store.codes(state), queries, tier, state.dim, options, state.buckets
         )

@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivane.functions import record as R
 from lexivane.functions import text as X
+from lexivane.operators.joins import broadcast_keys
 from lexivane.options import DEFAULT_CATEGORIES, check_cap
 
 # Where a line stood: file, start of its split, running number within the split.
@@ -42,10 +43,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``record`` and ``fault``; ``value`` becomes valid, stripped text.
 
     ``fault`` is null for a usable record, else ``blank``, ``bad json`` or
-    ``not an object``.
+    ``not an object``. The record goes through a generator because filters on it
+    would otherwise be pushed below the parse and repeat it.
     """
     text = X.strip(F.make_valid_utf8(F.col("value")))
-    parsed = lines.withColumn("value", text).withColumn("record", F.try_parse_json("value"))
+    parsed = lines.withColumn("value", text).select(
+        "*", F.explode_outer(F.array(F.try_parse_json("value"))).alias("record")
+    )
     return parsed.withColumn(
         "fault",
         F.when(F.col("value") == "", "blank")
@@ -63,33 +67,48 @@ def rejects(lines: DataFrame) -> DataFrame:
     return parse_lines(lines).filter(F.col("fault").isNotNull() & (F.col("fault") != "blank"))
 
 
-def paper_columns(record: Column) -> dict[str, Column]:
-    raw = {
-        name: R.field(record, name)
-        for name in ("id", "title", "abstract", "authors", "categories", "doi", "journal-ref")
-    }
-    return {
-        "paper_id": R.paper_id(raw["id"]),
-        "title": X.clean_title(raw["title"]),
-        "abstract": X.clean_abstract(raw["abstract"]),
-        "authors": R.authors(raw["authors"]),
-        "year": R.record_year(record),
-        "venue": R.stripped_or_null(raw["journal-ref"], X.VENUE_CHARS),
-        "doi": R.stripped_or_null(raw["doi"], X.DOI_CHARS),
-        "category": R.category(raw["categories"]),
-    }
+# Record fields read as text, and the column each becomes.
+RAW_FIELDS = {
+    "raw_id": "id",
+    "raw_title": "title",
+    "raw_abstract": "abstract",
+    "raw_authors": "authors",
+    "raw_categories": "categories",
+    "raw_doi": "doi",
+    "raw_venue": "journal-ref",
+}
 
 
 def papers_from(
     records: DataFrame, categories: Sequence[str] = DEFAULT_CATEGORIES
 ) -> DataFrame:
-    """Paper rows of the listed categories that have a title and an abstract."""
-    record = F.col("record")
+    """Paper rows of the listed categories that have a title and an abstract.
+
+    Rows are dropped by their raw fields, before any text is cleaned.
+    """
     keep = [c for c in records.columns if c not in ("value", "record")]
-    listed = R.category_listed(R.field(record, "categories"), categories)
-    columns = [column.alias(name) for name, column in paper_columns(record).items()]
-    papers = records.filter(listed).select(*keep, *columns)
-    return papers.filter((F.col("title") != "") & (F.col("abstract") != ""))
+    record = F.col("record")
+    raw = records.select(
+        *keep,
+        "record",
+        *[R.field(record, name).alias(column) for column, name in RAW_FIELDS.items()],
+    )
+    kept = raw.filter(
+        R.category_listed(F.col("raw_categories"), categories)
+        & (X.strip(F.col("raw_title")) != "")
+        & (X.strip(F.col("raw_abstract")) != "")
+    )
+    return kept.select(
+        *keep,
+        R.paper_id(F.col("raw_id")).alias("paper_id"),
+        X.clean_title(F.col("raw_title")).alias("title"),
+        X.clean_abstract(F.col("raw_abstract")).alias("abstract"),
+        R.authors(F.col("raw_authors")).alias("authors"),
+        R.record_year(record).alias("year"),
+        R.stripped_or_null(F.col("raw_venue"), X.VENUE_CHARS).alias("venue"),
+        R.stripped_or_null(F.col("raw_doi"), X.DOI_CHARS).alias("doi"),
+        R.category(F.col("raw_categories")).alias("category"),
+    )
 
 
 def first_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -109,5 +128,6 @@ def first_rows(rows: DataFrame, n: int) -> DataFrame:
         "file", "block", "first", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("before")
     ).filter(F.col("before") < n)
     inside = F.col("place") - F.col("first") < F.lit(n) - F.col("before")
-    capped = numbered.join(quota, ["file", "block"]).filter(inside)
+    # Every split in the quota gives a row, so there are at most n of them.
+    capped = numbered.join(broadcast_keys(quota, n), ["file", "block"]).filter(inside)
     return capped.select(*rows.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterable
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from lexivane import schema
 from lexivane.operators import ann
+from lexivane.operators.joins import broadcast_keys
 from lexivane.operators.search import bucket_of
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.options import Options
@@ -35,6 +36,7 @@ class Pointer:
     codes: dict[str, str] = field(default_factory=dict)
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
+    rows: int = 0
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ class PaperStore:
         elif force:
             self._commit(
                 self._next(
-                    state, papers={}, codes={}, index=None, dim=self.options.embedding_dim
+                    state, papers={}, codes={}, index=None, rows=0, dim=self.options.embedding_dim
                 )
             )
 
@@ -155,7 +157,7 @@ class PaperStore:
         written_at,
         order: list[str],
         prepare: Callable[[DataFrame], DataFrame] | None = None,
-        replace: bool = False,
+        replace_all: bool = False,
         stream: tuple[str, int] | None = None,
     ) -> dict:
         """Merges a batch of papers and reports what it did.
@@ -163,7 +165,7 @@ class PaperStore:
         Of several rows of one id the last in ``order`` counts; ``prepare`` then
         makes the remaining rows ready to store (it embeds them). Only buckets
         the batch touches are rewritten; the codes of an index follow in the
-        same version. ``replace`` drops all stored papers and the index.
+        same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
         is skipped.
         """
@@ -171,15 +173,16 @@ class PaperStore:
         state = self._require()
         if stream and state.streams.get(stream[0], -1) >= stream[1]:
             return {"skipped": True, "version": state.version}
-        if replace:
-            state = Pointer(**{**asdict(state), "papers": {}, "codes": {}, "index": None})
+        if replace_all:
+            state = Pointer(**{**asdict(state), "papers": {}, "codes": {}, "index": None, "rows": 0})
 
         staged, report = self._stage(batch, order, prepare, state)
         if report.get("rows_in", 0) == 0:
             raise ValueError("empty batch")
+        stored = report["distinct_ids"] - report["without_vector"]
         touched = [row.bucket for row in staged.select("bucket").distinct().collect()]
         current = self._read(state.papers, schema.PAPER, touched)
-        kept, new = merge(current, staged, written_at)
+        kept, new = merge(current, staged, written_at, stored)
         counted = Observation()
         new = new.observe(
             counted,
@@ -193,13 +196,19 @@ class PaperStore:
         codes = state.codes
         if state.index:
             old = self._read(state.codes, schema.CODES, touched)
-            keys = staged.select("paper_id")
+            keys = broadcast_keys(staged.select("paper_id"), stored)
             fresh = ann.code_table(staged, state.index["bits"], state.dim)
             rest = old.join(keys, "paper_id", "left_anti")
             written = self._write(rest.unionByName(balanced(fresh)), state, "codes")
             codes = {b: f for b, f in codes.items() if int(b) not in touched} | written
         streams = state.streams | ({stream[0]: stream[1]} if stream else {})
-        after = self._next(state, papers=state.papers | papers, codes=codes, streams=streams)
+        after = self._next(
+            state,
+            papers=state.papers | papers,
+            codes=codes,
+            streams=streams,
+            rows=state.rows + counted.get["inserted"],
+        )
         self._commit(after)
         return {**report, **counted.get, "skipped": False, "version": after.version}
 
@@ -232,40 +241,34 @@ class PaperStore:
 
         Nothing happens when there is one already, the store is empty, ``skip``
         is set or no tier fits the budget. The number of candidates is
-        calibrated with sample ``queries``, or with some of the papers; an index
-        that misses its target at every number is not kept, and searches stay
-        exact.
+        calibrated with sample ``queries``, by default papers of the corpus; an
+        index that misses its target at every number is not kept, and searches
+        stay exact.
         """
         state = self.pointer()
         if state is None:
             return False
-        if rebuild:
+        if rebuild and state.index:
             self.drop_index()
             state = self._require()
         if state.index:
             return True
-        papers = self.papers(state)
-        rows = papers.count()
-        if rows == 0 or skip:
+        if state.rows == 0 or skip:
             return False
-        tier = ann.choose_tier(rows, self.options.index_budget_bytes)
+        tier = ann.choose_tier(state.rows, self.options.index_budget_bytes)
         if tier is None:
             return False
+        papers = self.papers(state)
         written = self._write(ann.code_table(papers, tier.bits, state.dim), state, "codes")
-        if tier.target is not None:
-            own = queries is None
-            recall = ann.recall_by_candidates(
-                papers,
-                self._read(written, schema.CODES),
-                ann.sample_queries(papers, self.options) if own else queries,
-                tier.bits,
-                state.dim,
-                self.options,
-                skip_best=own,
-            )
-            tier = ann.calibrate(tier, recall)
-            if tier is None:
-                return False
+        if queries is None:
+            queries = ann.sample_papers(papers, "embedding")
+        recall = ann.recall_by_candidates(
+            papers, self._read(written, schema.CODES), queries, tier.bits, state.dim, self.options
+        )
+        tier = ann.calibrate(tier, recall)
+        if tier is None:
+            return False
+        tier = replace(tier, rows=state.rows)
         self._commit(self._next(state, codes=written, index=asdict(tier)))
         return True
 
