@@ -10,7 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The whitespace code points, as a character class and as a set.
-WHITESPACE = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]"
+WHITESPACE_RANGES = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}"
+WHITESPACE = f"[{WHITESPACE_RANGES}]"
 WHITESPACE_CHARS = "".join(
     map(
         chr,

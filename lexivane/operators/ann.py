@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
 from lexivane.operators.embed import once
-from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.planning import broadcast_keys
 from lexivane.operators.search import Hits, batch_nearest, block_search, bucket_of
 from lexivane.options import Options
 
@@ -108,7 +108,7 @@ def rerank(
     asked = queries.select(
         "query_id",
         F.col("embedding").alias("sought"),
-        F.coalesce(top_k, F.lit(options.recall_k)).alias("asked"),
+        F.coalesce(top_k, F.lit(options.top_k)).alias("asked"),
     )
     measured = (
         found.select(*keys, "query_id")

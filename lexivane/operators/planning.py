@@ -1,8 +1,8 @@
-"""Broadcasts behind a bound on their size."""
+"""Small aids that keep plans the way they are meant."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 256 << 20
@@ -17,3 +17,13 @@ def broadcast_keys(keys: DataFrame, at_most: int) -> DataFrame:
     bound Spark is left to join by shuffle.
     """
     return F.broadcast(keys) if at_most * KEY_ROW_BYTES <= BROADCAST_BYTES else keys
+
+
+def with_column_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a column that later filters use without computing it again.
+
+    Filters on a plain projected column are pushed below the projection with the
+    whole expression copied into them, once per mention. They are not pushed
+    through a generator, so the column goes through one.
+    """
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))

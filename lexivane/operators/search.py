@@ -13,13 +13,15 @@ import math
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
-from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.planning import broadcast_keys
 from lexivane.operators.predicates import apply_filters
 from lexivane.options import Options, check_top_k
 from lexivane.session import work_dir
@@ -64,21 +66,39 @@ def result_rows(hits: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, options: Options) -> Iterator[dict]:
-    """The query table in blocks whose vectors fit ``query_block_bytes``.
+    """The query table in blocks of ``query_block_rows``.
 
-    Rows reach the driver one block at a time, never the whole table.
+    A table of one block is fetched at once. Of a larger one the driver holds a
+    block at a time, never the whole.
     """
+    size = options.query_block_rows
     columns = [c if c in queries.columns else F.lit(None).alias(c) for c in QUERY_COLUMNS]
-    rows = queries.select(*columns).filter("embedding IS NOT NULL").toLocalIterator()
-    for first in rows:
-        size = max(1, options.query_block_bytes // (8 * max(1, len(first.embedding))))
-        part = [first, *itertools.islice(rows, size - 1)]
-        yield {
-            "ids": [r.query_id for r in part],
-            "matrix": [r.embedding for r in part],
-            "k": [r.top_k or options.recall_k for r in part],
-            "filters": [(r.min_year, r.max_year, r.category_contains) for r in part],
-        }
+    usable = queries.select(*columns).filter("embedding IS NOT NULL")
+    head = usable.limit(size + 1).toArrow()
+    if head.num_rows <= size:
+        if head.num_rows:
+            yield query_block(head, options)
+        return
+    rows = usable.toLocalIterator(prefetchPartitions=True)
+    while part := list(itertools.islice(rows, size)):
+        yield query_block(pa.Table.from_pylist([r.asDict() for r in part], head.schema), options)
+
+
+def query_block(table: pa.Table, options: Options) -> dict:
+    column = {name: table.column(name).to_pylist() for name in QUERY_COLUMNS if name != "embedding"}
+    vectors = table.column("embedding").combine_chunks()
+    width = len(vectors[0])
+    matrix, at = kernels.as_matrix(vectors, width, np.float64)
+    if len(at) < table.num_rows:
+        raise ValueError("query vectors differ in length")
+    return {
+        "ids": column["query_id"],
+        "matrix": matrix,
+        "k": [k or options.top_k for k in column["top_k"]],
+        "filters": list(
+            zip(column["min_year"], column["max_year"], column["category_contains"], strict=True)
+        ),
+    }
 
 
 def pushed_filter(corpus: DataFrame, block: dict) -> DataFrame:
@@ -97,7 +117,7 @@ def score_block(
     """The best rows of every task, not yet merged."""
     id_type = corpus.schema["paper_id"].dataType.simpleString()
     hits = HITS.format(query_id=query_type, paper_id=id_type)
-    width = len(block["matrix"][0])
+    width = block["matrix"].shape[1]
     kernel = kernels.nearest_rows(block, width, measure)
     year = F.col("year").cast("int") if "year" in corpus.columns else F.lit(None).cast("int")
     category = F.col("category") if "category" in corpus.columns else F.lit(None).cast("string")

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.planning import broadcast_keys
 
 
-def last_per_id(batch: DataFrame, order: list[str]) -> DataFrame:
-    """One row per id: the last in the given order.
+def last_per_id(batch: DataFrame, order: list[str], copies: str | None = None) -> DataFrame:
+    """One row per id: the last in the given order, which must tell an id's rows apart.
 
     Rows of one id are reduced within each task before the shuffle, so an id
-    that holds a large part of the batch sends one row per task.
+    that holds a large part of the batch sends one row per task. ``copies``
+    names a column for the number of rows an id had.
     """
     columns = [c for c in batch.columns if c not in ("paper_id", *order)]
-    last = F.max_by(F.struct(*columns), F.struct(*order)).alias("last")
-    return batch.groupBy("paper_id").agg(last).select("paper_id", "last.*")
+    wanted = [F.max_by(F.struct(*columns), F.struct(*order)).alias("last")]
+    if copies:
+        wanted.append(F.count(F.lit(1)).alias(copies))
+    grouped = batch.groupBy("paper_id").agg(*wanted)
+    return grouped.select("paper_id", "last.*", *([copies] if copies else []))
 
 
 def merge(
@@ -34,7 +38,6 @@ def merge(
     new = (
         batch.drop("created_at")
         .join(broadcast_keys(known, batch_rows), "paper_id", "left")
-        .withColumn("updated", F.col("created_at").isNotNull())
         .withColumn("created_at", F.coalesce("created_at", F.lit(written_at).cast("timestamp")))
     )
     return kept, new

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.functions import text as X
+from lexivane.operators.planning import with_column_once
 from lexivane.options import DEFAULT_TOP_K, MAX_TOP_K, MIN_TOP_K
 
 # Column, longest, required.
@@ -20,7 +21,8 @@ TEXT_RULES = [
 ]
 PAPER_YEARS, REQUEST_YEARS = (1500, 2100), (1800, 2100)
 QUERY_CHARS, CATEGORY_FILTER_CHARS = (2, 2000), 200
-CATEGORY_FILTER = rf"^(?:[A-Za-z0-9.,_\-]|{X.WHITESPACE})+$"
+# One character class: alternatives would recurse once per character of a long text.
+CATEGORY_FILTER = rf"^[A-Za-z0-9.,_\-{X.WHITESPACE_RANGES}]+\z"
 
 
 def reasons(*rules: tuple[Column, str]) -> Column:
@@ -48,7 +50,7 @@ def paper_reasons() -> Column:
 
 
 def validate_papers(papers: DataFrame) -> DataFrame:
-    return papers.withColumn("reasons", paper_reasons())
+    return with_column_once(papers, "reasons", paper_reasons())
 
 
 def valid_papers(papers: DataFrame, mode: str = "fail") -> DataFrame:

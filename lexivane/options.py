@@ -14,9 +14,11 @@ MIN_TOP_K, MAX_TOP_K, DEFAULT_TOP_K = 1, 50, 8
 class Options:
     """Settings of one job.
 
-    ``query_block_bytes`` bounds what a search broadcasts: a query table whose
-    vectors need more is searched block by block. ``index_budget_bytes`` bounds
-    the sign codes of the approximate index (see ``operators.ann``).
+    ``query_block_rows`` bounds what a search broadcasts: a larger query table
+    is searched block by block (8192 vectors of 384 dimensions take 24 MB).
+    ``buckets`` is fixed when a store is made; a bucket should hold about a
+    gigabyte. ``index_budget_bytes`` bounds the sign codes of the approximate
+    index (see ``operators.ann``).
     """
 
     embedding_dim: int = 384
@@ -24,16 +26,16 @@ class Options:
     categories: tuple[str, ...] = DEFAULT_CATEGORIES
     use_approximate: bool = True
     buckets: int = 16
-    query_block_bytes: int = 32 << 20
+    query_block_rows: int = 8192
     index_budget_bytes: int = 1 << 40
-    recall_k: int = DEFAULT_TOP_K
+    top_k: int = DEFAULT_TOP_K
 
     def __post_init__(self) -> None:
         _check("embedding_dim", self.embedding_dim, 8, 4096)
         _check("max_papers", self.max_papers, 1, 2_000_000)
         _check("buckets", self.buckets, 1, 1 << 16)
-        _check("query_block_bytes", self.query_block_bytes, 1 << 10, 1 << 30)
-        _check("recall_k", self.recall_k, MIN_TOP_K, MAX_TOP_K)
+        _check("query_block_rows", self.query_block_rows, 1, 1 << 16)
+        check_top_k(self.top_k)
 
 
 def _check(name: str, value: int, low: int, high: int) -> None:

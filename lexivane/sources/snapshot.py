@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from lexivane.functions import record as R
 from lexivane.functions import text as X
-from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.planning import broadcast_keys, with_column_once
 from lexivane.options import DEFAULT_CATEGORIES, check_cap
 
 # Where a line stood: file, start of its split, running number within the split.
@@ -43,12 +43,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds ``record`` and ``fault``; ``value`` becomes valid, stripped text.
 
     ``fault`` is null for a usable record, else ``blank``, ``bad json`` or
-    ``not an object``. The record goes through a generator because filters on it
-    would otherwise be pushed below the parse and repeat it.
+    ``not an object``.
     """
     text = X.strip(F.make_valid_utf8(F.col("value")))
-    parsed = lines.withColumn("value", text).select(
-        "*", F.explode_outer(F.array(F.try_parse_json("value"))).alias("record")
+    parsed = with_column_once(
+        lines.withColumn("value", text), "record", F.try_parse_json("value")
     )
     return parsed.withColumn(
         "fault",

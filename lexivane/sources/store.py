@@ -13,13 +13,13 @@ import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane import schema
 from lexivane.operators import ann
-from lexivane.operators.joins import broadcast_keys
+from lexivane.operators.planning import broadcast_keys
 from lexivane.operators.search import bucket_of
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.options import Options
@@ -159,6 +159,7 @@ class PaperStore:
         prepare: Callable[[DataFrame], DataFrame] | None = None,
         replace_all: bool = False,
         stream: tuple[str, int] | None = None,
+        allow_empty: bool = False,
     ) -> dict:
         """Merges a batch of papers and reports what it did.
 
@@ -167,7 +168,7 @@ class PaperStore:
         the batch touches are rewritten; the codes of an index follow in the
         same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
-        is skipped.
+        is skipped. An empty batch is an error unless ``allow_empty``.
         """
         self.create()
         state = self._require()
@@ -176,63 +177,73 @@ class PaperStore:
         if replace_all:
             state = Pointer(**{**asdict(state), "papers": {}, "codes": {}, "index": None, "rows": 0})
 
-        staged, report = self._stage(batch, order, prepare, state)
-        if report.get("rows_in", 0) == 0:
-            raise ValueError("empty batch")
-        stored = report["distinct_ids"] - report["without_vector"]
-        touched = [row.bucket for row in staged.select("bucket").distinct().collect()]
-        current = self._read(state.papers, schema.PAPER, touched)
-        kept, new = merge(current, staged, written_at, stored)
-        counted = Observation()
-        new = new.observe(
-            counted,
-            F.count_if(~F.col("updated")).alias("inserted"),
-            F.count_if("updated").alias("updated"),
+        folder = f"staging/{uuid.uuid4().hex}"
+        try:
+            staged = self._stage(batch, order, prepare, state, folder)
+            return self._merge(staged, written_at, state, stream, allow_empty)
+        finally:
+            self._files().delete(self._path(folder), True)
+
+    def _stage(self, batch, order, prepare, state: Pointer, folder: str) -> DataFrame:
+        """One row per id, written once, so that embedding runs once per paper.
+
+        ``usable`` tells whether the row has a vector of the store's dimension.
+        """
+        unique = last_per_id(batch, order, copies="copies")
+        usable = F.col("embedding").isNotNull() & (F.size("embedding") == state.dim)
+        (
+            (prepare(unique) if prepare else unique)
+            .withColumns(
+                {"usable": usable, "bucket": bucket_of(F.col("paper_id"), state.buckets)}
+            )
+            .write.parquet(f"{self.root}/{folder}")
+        )
+        return self.spark.read.parquet(f"{self.root}/{folder}")
+
+    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty) -> dict:
+        # All counts come from written files, so that repeated tasks cannot distort them.
+        sizes = (
+            staged.groupBy("bucket")
+            .agg(
+                F.sum("copies").alias("rows_in"),
+                F.count(F.lit(1)).alias("distinct_ids"),
+                F.count_if(~F.col("usable")).alias("without_vector"),
+            )
+            .collect()
         )
+        names = ("rows_in", "distinct_ids", "without_vector")
+        report = {name: sum(row[name] for row in sizes) for name in names}
+        touched = [row.bucket for row in sizes if row.distinct_ids > row.without_vector]
+        if not touched:
+            if report["rows_in"] == 0 and not allow_empty:
+                raise ValueError("empty batch")
+            return {**report, "inserted": 0, "updated": 0, "skipped": True, "version": state.version}
+
+        batch, rows = staged.filter("usable"), report["distinct_ids"] - report["without_vector"]
+        current = self._read(state.papers, schema.PAPER, touched)
+        kept, new = merge(current, batch, written_at, rows)
         columns = [*schema.PAPER.fieldNames(), "bucket"]
-        rows = kept.select(*columns).unionByName(balanced(new).select(*columns))
-        papers = self._write(rows, state, "papers")
+        after = kept.select(*columns).unionByName(balanced(new.select(*columns)))
+        papers = self._write(after, state, "papers")
+        inserted = self._read(papers, schema.PAPER).count() - current.count()
 
         codes = state.codes
         if state.index:
             old = self._read(state.codes, schema.CODES, touched)
-            keys = broadcast_keys(staged.select("paper_id"), stored)
-            fresh = ann.code_table(staged, state.index["bits"], state.dim)
-            rest = old.join(keys, "paper_id", "left_anti")
+            rest = old.join(broadcast_keys(batch.select("paper_id"), rows), "paper_id", "left_anti")
+            fresh = ann.code_table(batch, state.index["bits"], state.dim)
             written = self._write(rest.unionByName(balanced(fresh)), state, "codes")
             codes = {b: f for b, f in codes.items() if int(b) not in touched} | written
-        streams = state.streams | ({stream[0]: stream[1]} if stream else {})
-        after = self._next(
+        done = self._next(
             state,
             papers=state.papers | papers,
             codes=codes,
-            streams=streams,
-            rows=state.rows + counted.get["inserted"],
-        )
-        self._commit(after)
-        return {**report, **counted.get, "skipped": False, "version": after.version}
-
-    def _stage(self, batch, order, prepare, state: Pointer) -> tuple[DataFrame, dict]:
-        """One row per id, written once, so that embedding runs once per paper.
-
-        Rows without a vector of the store's dimension are counted and left out.
-        """
-        rows_in, rows_out = Observation(), Observation()
-        usable = F.col("embedding").isNotNull() & (F.size("embedding") == state.dim)
-        folder = f"{self.root}/staging/{uuid.uuid4().hex}"
-        unique = last_per_id(batch.observe(rows_in, F.count(F.lit(1)).alias("rows_in")), order)
-        (
-            (prepare(unique) if prepare else unique)
-            .observe(
-                rows_out,
-                F.count(F.lit(1)).alias("distinct_ids"),
-                F.count_if(~usable).alias("without_vector"),
-            )
-            .filter(usable)
-            .withColumn("bucket", bucket_of(F.col("paper_id"), state.buckets))
-            .write.parquet(folder)
+            streams=state.streams | ({stream[0]: stream[1]} if stream else {}),
+            rows=state.rows + inserted,
         )
-        return self.spark.read.parquet(folder), {**rows_in.get, **rows_out.get}
+        self._commit(done)
+        counts = {"inserted": inserted, "updated": rows - inserted}
+        return {**report, **counts, "skipped": False, "version": done.version}
 
     def build_index(
         self, queries: DataFrame | None = None, skip: bool = False, rebuild: bool = False

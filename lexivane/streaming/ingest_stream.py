@@ -40,8 +40,6 @@ def start_ingest(
     def write(batch: DataFrame, number: int) -> None:
         lines = batch.withColumn("line", F.monotonically_increasing_id())
         papers = papers_from(records(lines), store.options.categories)
-        if papers.isEmpty():
-            return
         ingest(
             store,
             papers,
@@ -51,6 +49,7 @@ def start_ingest(
             rebuild_index=False,
             rejects_to=rejects_to,
             stream=(name, number),
+            allow_empty=True,
         )
 
     return (

@@ -308,7 +308,7 @@ REQUEST_RULES = [
     ("min_year > max_year", "min_year greater than max_year"),
     ("length(pattern) > 200", "category filter too long"),
     (
-        rf"NOT regexp_full_match(wanted, '(?:[A-Za-z0-9.,_\-]|{WS})+')",
+        rf"NOT regexp_full_match(wanted, '[A-Za-z0-9.,_\-{WS[1:-1]}]+')",
         "category filter characters",
     ),
 ]

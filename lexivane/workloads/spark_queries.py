@@ -376,7 +376,7 @@ def upsert_merge(spark, folder):
     current = fx.papers(spark, folder).withColumn("created_at", stored)
     batch = last_per_id(update_batch(spark, folder), ["order"])
     kept, new = merge(current, batch, BATCH_TIME, batch.count())
-    after = kept.unionByName(new.drop("updated"))
+    after = kept.unionByName(new)
     return after.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
