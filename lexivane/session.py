@@ -41,10 +41,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Only a local session may go without that setting; on a cluster a folder of
     one machine would be lost with it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="lexivane-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexivane-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/lexivane/{name}-{uuid.uuid4().hex[:12]}"
