@@ -17,8 +17,9 @@ class Options:
     ``query_block_rows`` bounds what a search broadcasts: a larger query table
     is searched block by block (8192 vectors of 384 dimensions take 24 MB).
     ``buckets`` is fixed when a store is made; a bucket should hold about a
-    gigabyte. ``index_budget_bytes`` bounds the sign codes of the approximate
-    index (see ``operators.ann``).
+    gigabyte. Upserts are appended until they sum up to ``tail_rows`` and then
+    folded into the buckets. ``index_budget_bytes`` bounds the sign codes of the
+    approximate index (see ``operators.ann``).
     """
 
     embedding_dim: int = 384
@@ -26,6 +27,7 @@ class Options:
     categories: tuple[str, ...] = DEFAULT_CATEGORIES
     use_approximate: bool = True
     buckets: int = 16
+    tail_rows: int = 1_000_000
     query_block_rows: int = 8192
     index_budget_bytes: int = 1 << 40
     top_k: int = DEFAULT_TOP_K

@@ -29,7 +29,7 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     an index. An empty corpus is an error, not an empty result.
     """
     state = store.pointer()
-    if state is None or store.papers(state).limit(1).isEmpty():
+    if state is None or state.rows == 0:
         raise ValueError("the corpus is empty; load papers first")
     embedder = embedder or WordEmbedder(state.dim)
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options

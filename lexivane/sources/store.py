@@ -1,9 +1,13 @@
 """The stored corpus: bucketed Parquet folders and a small pointer file.
 
-A write never touches a folder a reader may be using. It writes the changed
-buckets into a new version folder and then, as its last act, a pointer file
-that names the live folder of every bucket. A job that dies before that leaves
-the previous version in place.
+A small upsert is appended as one more folder of the tail; readers let its rows
+stand in for those of the buckets, which takes a broadcast of the tail's ids. A
+large one, or one that would make the tail too long, rewrites the buckets it
+touches and empties the tail.
+
+A write never touches a folder a reader may be using: it writes new folders and
+then, as its last act, a pointer file that names the live ones. A job that dies
+before that leaves the previous version in place.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ from lexivane.options import Options
 
 @dataclass(frozen=True)
 class Pointer:
-    """The state of a store. ``papers`` and ``codes`` map a bucket to its live folder."""
+    """The state of a store. ``papers`` and ``codes`` map a bucket to its live folder,
+    ``tail`` lists the folders appended since, oldest first."""
 
     version: int = 0
     buckets: int = 16
     dim: int = 384
     papers: dict[str, str] = field(default_factory=dict)
     codes: dict[str, str] = field(default_factory=dict)
+    tail: list[str] = field(default_factory=list)
+    tail_rows: int = 0
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
     rows: int = 0
@@ -44,6 +51,18 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "bucket")
 
 
+NOTHING = {"papers": {}, "codes": {}, "tail": [], "tail_rows": 0, "index": None, "rows": 0}
+TAIL = T.StructType(
+    [
+        *schema.PAPER.fields,
+        schema.CODES["code"],
+        T.StructField("bucket", T.IntegerType()),
+        T.StructField("layer", T.LongType()),
+        T.StructField("updated", T.BooleanType()),
+    ]
+)
+
+
 class PaperStore:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
         self.spark = spark
@@ -101,11 +120,7 @@ class PaperStore:
         if state is None:
             self._commit(Pointer(buckets=self.options.buckets, dim=self.options.embedding_dim))
         elif force:
-            self._commit(
-                self._next(
-                    state, papers={}, codes={}, index=None, rows=0, dim=self.options.embedding_dim
-                )
-            )
+            self._commit(self._next(state, **NOTHING, dim=self.options.embedding_dim))
 
     def _read(self, live: dict[str, str], table: T.StructType, only: Iterable[int] | None = None):
         """Live folders as one frame. A column a folder lacks reads as null, so
@@ -123,13 +138,31 @@ class PaperStore:
             .select(*bucketed.fieldNames())
         )
 
-    def papers(self, state: Pointer | None = None) -> DataFrame:
-        state = state or self._require()
-        return self._read(state.papers, schema.PAPER)
-
-    def codes(self, state: Pointer | None = None) -> DataFrame:
-        state = state or self._require()
-        return self._read(state.codes, schema.CODES)
+    def _tail(self, state: Pointer, only: Iterable[int] | None = None) -> DataFrame:
+        """The newest row of every id in the tail. A layer has an id once."""
+        rows = self.spark.read.schema(TAIL).parquet(*[f"{self.root}/{f}" for f in state.tail])
+        if only is not None:
+            rows = rows.filter(F.col("bucket").isin(list(only)))
+        if len(state.tail) == 1:
+            return rows
+        newest = rows.groupBy("paper_id").agg(F.max("layer").alias("layer"))
+        return rows.join(broadcast_keys(newest, state.tail_rows), ["paper_id", "layer"])
+
+    def _live(self, state: Pointer, table: T.StructType, only: Iterable[int] | None) -> DataFrame:
+        """Rows of the buckets, those of the tail in their place."""
+        live = state.papers if table is schema.PAPER else state.codes
+        base = self._read(live, table, only)
+        if not state.tail:
+            return base
+        tail = self._tail(state, only)
+        keys = broadcast_keys(tail.select("paper_id"), state.tail_rows)
+        return base.join(keys, "paper_id", "left_anti").unionByName(tail.select(base.columns))
+
+    def papers(self, state: Pointer | None = None, only: Iterable[int] | None = None) -> DataFrame:
+        return self._live(state or self._require(), schema.PAPER, only)
+
+    def codes(self, state: Pointer | None = None, only: Iterable[int] | None = None) -> DataFrame:
+        return self._live(state or self._require(), schema.CODES, only)
 
     def count(self) -> int:
         """0 where no store exists."""
@@ -175,7 +208,7 @@ class PaperStore:
         if stream and state.streams.get(stream[0], -1) >= stream[1]:
             return {"skipped": True, "version": state.version}
         if replace_all:
-            state = Pointer(**{**asdict(state), "papers": {}, "codes": {}, "index": None, "rows": 0})
+            state = Pointer(**{**asdict(state), **NOTHING})
 
         folder = f"staging/{uuid.uuid4().hex}"
         try:
@@ -220,30 +253,62 @@ class PaperStore:
             return {**report, "inserted": 0, "updated": 0, "skipped": True, "version": state.version}
 
         batch, rows = staged.filter("usable"), report["distinct_ids"] - report["without_vector"]
-        current = self._read(state.papers, schema.PAPER, touched)
+        change = {"streams": state.streams | ({stream[0]: stream[1]} if stream else {})}
+        short = state.tail_rows + rows <= self.options.tail_rows
+        write = self._append if state.papers and short else self._rewrite
+        inserted = write(batch, rows, touched, written_at, state, change)
+        counts = {"inserted": inserted, "updated": rows - inserted}
+        return {**report, **counts, "skipped": False, "version": state.version + 1}
+
+    def _append(self, batch, rows: int, touched, written_at, state: Pointer, change) -> int:
+        """Adds the batch to the tail; returns how many of its papers are new.
+
+        Of the stored papers only ids and times are read.
+        """
+        _, new = merge(self.papers(state, touched), batch, written_at, rows)
+        if state.index:
+            code = ann.sign_code(F.col("embedding"), state.index["bits"], state.dim)
+        else:
+            code = F.lit(None).cast(schema.CODES["code"].dataType)
+        folder = f"tail/version={state.version + 1}-{uuid.uuid4().hex[:8]}"
+        layer = F.lit(state.version + 1).cast("long")
+        new.withColumns({"code": code, "layer": layer}).select(TAIL.fieldNames()).write.parquet(
+            f"{self.root}/{folder}"
+        )
+        written = self.spark.read.schema(TAIL).parquet(f"{self.root}/{folder}")
+        inserted = written.filter(~F.col("updated")).count()
+        tail = {"tail": [*state.tail, folder], "tail_rows": state.tail_rows + rows}
+        self._commit(self._next(state, **tail, **change, rows=state.rows + inserted))
+        return inserted
+
+    def _rewrite(self, batch, rows: int, touched, written_at, state: Pointer, change) -> int:
+        """Merges tail and batch into the buckets; returns how many papers are new."""
+        if state.tail:
+            tailed = self._tail(state).select("bucket").distinct().collect()
+            touched = sorted({*touched, *(row.bucket for row in tailed)})
+        current = self.papers(state, touched)
         kept, new = merge(current, batch, written_at, rows)
         columns = [*schema.PAPER.fieldNames(), "bucket"]
         after = kept.select(*columns).unionByName(balanced(new.select(*columns)))
         papers = self._write(after, state, "papers")
         inserted = self._read(papers, schema.PAPER).count() - current.count()
-
         codes = state.codes
         if state.index:
-            old = self._read(state.codes, schema.CODES, touched)
+            old = self.codes(state, touched)
             rest = old.join(broadcast_keys(batch.select("paper_id"), rows), "paper_id", "left_anti")
             fresh = ann.code_table(batch, state.index["bits"], state.dim)
             written = self._write(rest.unionByName(balanced(fresh)), state, "codes")
             codes = {b: f for b, f in codes.items() if int(b) not in touched} | written
-        done = self._next(
-            state,
-            papers=state.papers | papers,
-            codes=codes,
-            streams=state.streams | ({stream[0]: stream[1]} if stream else {}),
-            rows=state.rows + inserted,
-        )
-        self._commit(done)
-        counts = {"inserted": inserted, "updated": rows - inserted}
-        return {**report, **counts, "skipped": False, "version": done.version}
+        live = {"papers": state.papers | papers, "codes": codes, "tail": [], "tail_rows": 0}
+        self._commit(self._next(state, **live, **change, rows=state.rows + inserted))
+        return inserted
+
+    def compact(self) -> None:
+        """Folds the tail into the buckets."""
+        state = self._require()
+        if state.tail:
+            nothing = self._tail(state).limit(0)
+            self._rewrite(nothing, 0, [], None, state, {})
 
     def build_index(
         self, queries: DataFrame | None = None, skip: bool = False, rebuild: bool = False
@@ -269,6 +334,8 @@ class PaperStore:
         tier = ann.choose_tier(state.rows, self.options.index_budget_bytes)
         if tier is None:
             return False
+        self.compact()
+        state = self._require()
         papers = self.papers(state)
         written = self._write(ann.code_table(papers, tier.bits, state.dim), state, "codes")
         if queries is None:

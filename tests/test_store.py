@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ def papers(spark, *rows):
     return spark.createDataFrame(full, ", ".join([*fields, "seq int"]))
 
 
-@pytest.fixture
-def store(spark, tmp_path):
-    return PaperStore(spark, str(tmp_path / "store"), OPTIONS)
+@pytest.fixture(params=["tail", "buckets"])
+def store(spark, tmp_path, request):
+    """Upserts are appended to the tail, or go to the buckets at once."""
+    rows = {"tail": 1000, "buckets": 0}[request.param]
+    return PaperStore(spark, str(tmp_path / "store"), replace(OPTIONS, tail_rows=rows))
 
 
 def put(store, df, at=FIRST, **options):
@@ -67,7 +70,8 @@ def test_upsert_is_idempotent(spark, store):
     assert content(store) == before
 
 
-def test_untouched_buckets_are_not_rewritten(spark, store):
+def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
+    store = PaperStore(spark, str(tmp_path / "store"), replace(OPTIONS, tail_rows=0))
     put(store, papers(spark, *[(f"p{i}", f"t{i}", None, 2000, i) for i in range(40)]))
     before = store.pointer().papers
     put(store, papers(spark, ("p1", "other", None, 2000, 1)), SECOND)
@@ -75,6 +79,47 @@ def test_untouched_buckets_are_not_rewritten(spark, store):
     assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
 
 
+def test_tail_layers_and_compaction_show_the_same(spark, tmp_path):
+    batches = [
+        [("p1", "b", None, 2000, 1), ("n1", "new", None, 2000, 2)],
+        [("p1", "c", None, 2001, 1), ("p2", "d", None, 2000, 2)],
+        [("n1", "newer", "X", 2002, 1), ("p1", "e", None, None, 2)],
+    ]
+    start = papers(spark, *[(f"p{i}", f"t{i}", "A", 2000, i) for i in range(30)])
+    stores = {}
+    for rows in (0, 4, 1000):
+        store = PaperStore(spark, str(tmp_path / f"store{rows}"), replace(OPTIONS, tail_rows=rows))
+        put(store, start)
+        assert build_index(store)
+        for day, batch in enumerate(batches, 1):
+            report = put(store, papers(spark, *batch), f"2024-02-0{day} 00:00:00")
+            assert report["inserted"] == (1 if day == 1 else 0)
+        assert store.pointer().rows == store.count() == 31
+        stores[rows] = store
+    assert [len(s.pointer().tail) for s in stores.values()] == [0, 0, 3]
+    plain = content(stores[0])
+    assert (plain["p1"].title, plain["p1"].authors, plain["p1"].year) == ("e", None, None)
+    assert str(plain["n1"].created_at)[:10] == "2024-02-01"
+    codes = {r.paper_id: r for r in stores[0].codes().collect()}
+    for store in (stores[4], stores[1000]):
+        assert content(store) == plain
+        assert {r.paper_id: r for r in store.codes().collect()} == codes
+    stores[1000].compact()
+    assert stores[1000].pointer().tail == [] and content(stores[1000]) == plain
+    assert {r.paper_id: r for r in stores[1000].codes().collect()} == codes
+
+
+def test_an_append_writes_only_the_batch_and_reads_only_ids(spark, tmp_path):
+    store = PaperStore(spark, str(tmp_path / "store"), OPTIONS)
+    put(store, papers(spark, *[(f"p{i}", f"t{i}", "A", 2000, i) for i in range(30)]))
+    live = store.pointer().papers
+    put(store, papers(spark, ("p1", "b", None, 2000, 1)), SECOND)
+    state = store.pointer()
+    assert state.papers == live and len(state.tail) == 1 and state.tail_rows == 1
+    plan = store.papers().select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
+
+
 def test_a_hot_id_is_reduced_before_the_shuffle(spark):
     hot = spark.range(0, 3000, 1, 6).select(
         F.when(F.col("id") % 3 == 0, F.lit("unknown")).otherwise(F.concat(F.lit("p"), "id")).alias("paper_id"),
@@ -161,6 +206,7 @@ def test_files_without_a_column_read_as_null(spark, store):
     old = store.papers().drop("category").withColumn("paper_id", F.lit("old"))
     folder = f"{store.root}/papers/version=99/bucket=99"
     old.drop("bucket").write.parquet(folder)
+    store.compact()
     grown = store._next(state, papers=state.papers | {"99": "papers/version=99"})
     assert {(r.paper_id, r.category) for r in store.papers(grown).collect()} == {("a", "cs.AI"), ("old", None)}
 
@@ -278,6 +324,7 @@ def test_batch_search_is_the_union_of_single_searches(spark, store, corpus_file)
 
 def test_texts_are_read_from_the_buckets_of_the_hits_only(spark, store, corpus_file):
     load_corpus(store, corpus_file, FIRST, skip_index=True)
+    put(store, papers(spark, ("p7", "entirely other", None, 2001, 1)), SECOND)
     results = search(store, request_frame(spark, (1, "topic3", 1, None, None, None)))
     plan = results._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan and "SortMergeJoin" not in plan
