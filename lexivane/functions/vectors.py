@@ -42,9 +42,3 @@ def l2_normalize(a: Column) -> Column:
 
 def rank_key(distance: Column) -> Column:
     return F.round(distance, RANK_DECIMALS).asc_nulls_last()
-
-
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two sign codes."""
-    differing = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
-    return F.aggregate(differing, F.lit(0), lambda total, n: total + n)

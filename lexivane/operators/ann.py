@@ -13,13 +13,20 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexivane.functions import vectors as V
 from lexivane.operators import kernels
 from lexivane.operators.embed import once
 from lexivane.operators.planning import broadcast_keys
-from lexivane.operators.search import Hits, batch_nearest, block_search, bucket_of
+from lexivane.operators.search import (
+    Hits,
+    batch_nearest,
+    best_per_query,
+    best_rows,
+    bucket_of,
+    by_block,
+    no_hits,
+    query_type,
+)
 from lexivane.options import Options
 
 DEFAULT_CANDIDATES = 400
@@ -80,50 +87,39 @@ def code_table(corpus: DataFrame, bits: int, dim: int) -> DataFrame:
 
 
 def candidate_rows(
-    codes: DataFrame, queries: DataFrame, bits: int, dim: int, candidates: int, options: Options
+    codes: DataFrame,
+    block: dict,
+    kind: str,
+    bits: int,
+    candidates: int,
+    seed: DataFrame | None = None,
 ) -> Hits:
-    """The best codes per query; the distance is the Hamming distance."""
-    coded = queries.withColumns(
-        {
-            "embedding": sign_code(F.col("embedding"), bits, dim),
-            "top_k": F.lit(candidates),
-        }
-    )
-    return block_search(codes, coded, options, vector="code", measure="hamming")
+    """The best codes per query of a block; the distance is the Hamming distance."""
+    coder = kernels.sign_coder(bits, block["matrix"].shape[1])
+    own, _ = kernels.as_matrix(coder(kernels.list_array(block["matrix"])), bits // 32, None)
+    coded = {**block, "matrix": own, "k": [candidates] * len(own)}
+    return best_rows(codes, coded, kind, vector="code", measure="hamming", seed=seed)
 
 
 def rerank(
-    hits: Hits,
-    corpus: DataFrame,
-    queries: DataFrame,
-    options: Options,
-    buckets: int | None = None,
-) -> DataFrame:
+    hits: Hits, corpus: DataFrame, block: dict, options: Options, buckets: int | None = None
+) -> Hits:
     """Exact distance of every candidate, best top_k per query."""
     keys, found = ["paper_id"], broadcast_keys(*hits)
     if buckets is not None:
         found = found.withColumn("bucket", bucket_of(F.col("paper_id"), buckets))
         keys = ["bucket", "paper_id"]
-    top_k = F.col("top_k") if "top_k" in queries.columns else F.lit(None)
-    asked = queries.select(
-        "query_id",
-        F.col("embedding").alias("sought"),
-        F.coalesce(top_k, F.lit(options.top_k)).alias("asked"),
-    )
+    asked = list(zip(block["ids"].to_pylist(), block["k"], strict=True))
+    kind = found.schema["query_id"].dataType.simpleString()
+    wanted = corpus.sparkSession.createDataFrame(asked, f"query_id {kind}, wanted bigint")
     measured = (
         found.select(*keys, "query_id")
+        .join(F.broadcast(wanted), "query_id")
         .join(corpus.select(*keys, "embedding"), keys)
-        .join(asked, "query_id")
-        .withColumn("distance", V.cosine_distance(F.col("embedding"), F.col("sought")))
+        .withColumn("distance", once(kernels.pair_distances(block), "double")("embedding", "query_id"))
         .filter(F.col("distance").isNotNull())
     )
-    order = Window.partitionBy("query_id").orderBy(V.rank_key(F.col("distance")), "paper_id")
-    best = (
-        measured.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= F.col("asked"))
-        .select("query_id", "rank", "paper_id", "distance")
-    )
-    return broadcast_keys(best, hits.at_most)
+    return Hits(best_per_query(measured, max(block["k"])), sum(block["k"]))
 
 
 def approximate_nearest(
@@ -131,13 +127,18 @@ def approximate_nearest(
     codes: DataFrame,
     queries: DataFrame,
     tier: Tier,
-    dim: int,
     options: Options,
     buckets: int | None = None,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Ranked hits of every query, as ``batch_nearest`` but through the codes."""
-    found = candidate_rows(codes, queries, tier.bits, dim, tier.candidates, options)
-    return rerank(found, corpus, queries, options, buckets)
+    kind = query_type(queries)
+
+    def search(block: dict) -> Hits:
+        found = candidate_rows(codes, block, kind, tier.bits, tier.candidates, seed)
+        return rerank(found, corpus, block, options, buckets)
+
+    return broadcast_keys(*by_block(queries, options, search, lambda: no_hits(corpus, kind)))
 
 
 def sample_papers(corpus: DataFrame, *columns: str) -> DataFrame:
@@ -152,7 +153,6 @@ def recall_by_candidates(
     codes: DataFrame,
     queries: DataFrame,
     bits: int,
-    dim: int,
     options: Options,
     steps: tuple[int, ...] = CANDIDATE_STEPS,
 ) -> DataFrame:
@@ -162,8 +162,14 @@ def recall_by_candidates(
     neighbour is found with c candidates when its code ranks within the best c.
     """
     true = batch_nearest(corpus, queries, options).select("query_id", "paper_id")
-    found = candidate_rows(codes, queries, bits, dim, max(steps), options)
-    coded = broadcast_keys(*found).select(
+    kind = query_type(queries)
+    coded = by_block(
+        queries,
+        options,
+        lambda block: candidate_rows(codes, block, kind, bits, max(steps)),
+        lambda: no_hits(codes, kind),
+    )
+    coded = broadcast_keys(*coded).select(
         "query_id", "paper_id", F.col("rank").alias("code_rank")
     )
     joined = true.join(coded, ["query_id", "paper_id"], "left")

@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 CELLS = 1 << 22
+CACHED_CELLS = 1 << 16
 WORD_BITS = 32
 
 
@@ -61,14 +62,17 @@ def unit_rows(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (weights / np.where(empty, 1.0, size)[:, None]).astype(np.float32), empty
 
 
-def list_array(values: np.ndarray, missing: np.ndarray) -> pa.Array:
+def list_array(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
     n, width = values.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
     flat = pa.array(np.ascontiguousarray(values).reshape(-1))
-    return pa.ListArray.from_arrays(offsets, flat, mask=pa.array(missing))
+    mask = None if missing is None else pa.array(missing)
+    return pa.ListArray.from_arrays(offsets, flat, mask=mask)
 
 
-def as_matrix(vectors: pa.Array, width: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+def as_matrix(
+    vectors: pa.Array, width: int, dtype: type | None
+) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the right length as a matrix, and their positions in the batch."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -77,7 +81,7 @@ def as_matrix(vectors: pa.Array, width: int, dtype: type) -> tuple[np.ndarray, n
     if len(at) < len(vectors):
         vectors = vectors.take(pa.array(at))
     flat = pc.list_flatten(vectors).to_numpy(zero_copy_only=False)
-    return flat.astype(dtype, copy=False).reshape(len(at), width), at
+    return flat.astype(dtype or flat.dtype, copy=False).reshape(len(at), width), at
 
 
 # --- sign codes --------------------------------------------------------------
@@ -117,123 +121,248 @@ def sign_coder(bits: int, dim: int) -> Callable[[pa.Array], pa.Array]:
 # --- nearest rows of a block of queries ---------------------------------------
 
 
+def unit_vectors(vectors: np.ndarray) -> np.ndarray:
+    """In double precision; a zero vector becomes NaN."""
+    rows = vectors.astype(np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rows /= np.sqrt((rows * rows).sum(axis=1))[:, None]
+    return rows
+
+
+def row_distances(a: np.ndarray, row: np.ndarray, b: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """1 - a[row] . b[q] for lists of row numbers."""
+    step = max(1, CELLS // a.shape[1])
+    parts = [
+        np.einsum("ij,ij->i", a[row[at : at + step]], b[q[at : at + step]])
+        for at in range(0, len(row), step)
+    ]
+    return 1.0 - np.concatenate([np.zeros(0), *parts])
+
+
+def cosine_scorer(queries: np.ndarray) -> tuple[float, Callable]:
+    """Distances in single precision, exact ones for the pairs asked for.
+
+    The first number bounds how far the two lie apart.
+    """
+    queries = unit_vectors(queries)
+    rough_queries = queries.T.astype(np.float32)
+    width = queries.shape[1]
+
+    def score(vectors: np.ndarray) -> tuple[np.ndarray, Callable]:
+        rows = unit_vectors(vectors)
+        rough = rows.astype(np.float32) @ rough_queries
+        np.subtract(1, rough, out=rough)
+        return rough, lambda row, q: row_distances(rows, row, queries, q)
+
+    return (width + 8) * 2.0**-23 + 1e-9, score
+
+
+def hamming_scorer(queries: np.ndarray) -> tuple[float, Callable]:
+    """Differing bits; the scores are exact."""
+    packed = pack_words(queries)
+    columns = np.ascontiguousarray(packed.T)
+
+    def score(vectors: np.ndarray) -> tuple[np.ndarray, Callable]:
+        rows = pack_words(vectors)
+        total = np.zeros((len(rows), len(packed)), dtype=np.uint16)
+        # A few rows at a time, so that what one word leaves fits the processor's cache.
+        step = max(1, CACHED_CELLS // len(packed))
+        differing = np.empty((step, len(packed)), dtype=np.uint64)
+        ones = np.empty((step, len(packed)), dtype=np.uint8)
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            d, c = differing[: len(part)], ones[: len(part)]
+            for word in range(packed.shape[1]):
+                np.bitwise_xor(part[:, word, None], columns[word], out=d)
+                np.bitwise_count(d, out=c)
+                total[at : at + step] += c
+        return total, lambda row, q: total[row, q].astype(np.float64)
+
+    return 0.0, score
+
+
+def pack_words(words: np.ndarray) -> np.ndarray:
+    """32-bit words, two to a 64-bit word."""
+    words = words.astype(np.uint64)
+    if words.shape[1] % 2:
+        words = np.concatenate([words, np.zeros((len(words), 1), dtype=np.uint64)], axis=1)
+    return words[:, 0::2] | (words[:, 1::2] << np.uint64(WORD_BITS))
+
+
+def category_matcher() -> Callable[[pa.Array, str], np.ndarray]:
+    """Case-insensitive substring, ``_`` standing for any one character."""
+    seen: dict[tuple[str, str], bool] = {}
+
+    def hits(categories: pa.Array, pattern: str) -> np.ndarray:
+        import re
+
+        coded = categories.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        like = re.compile(re.escape(pattern.upper()).replace("_", "."), re.DOTALL)
+        for value in values:
+            if (pattern, value) not in seen:
+                seen[pattern, value] = like.search(value.upper()) is not None
+        hit = np.array([seen[pattern, value] for value in values] + [False])
+        return hit[pc.fill_null(coded.indices, len(values)).to_numpy(zero_copy_only=False)]
+
+    return hits
+
+
+def filter_masks(batch: pa.Table, at: np.ndarray, filters: list, matches: Callable):
+    """rows x filters, or None when nothing filters."""
+    if filters == [(None, None, None)]:
+        return None
+    year = pc.cast(batch.column(1), pa.float64()).to_numpy()[at]  # null becomes NaN
+    category = batch.column(2).combine_chunks()
+    masks = []
+    for low, high, pattern in filters:
+        mask = np.ones(len(at), dtype=bool)
+        if low is not None:
+            mask &= year >= low
+        if high is not None:
+            mask &= year <= high
+        if pattern is not None:
+            mask &= matches(category, pattern)[at]
+        masks.append(mask)
+    return np.stack(masks, axis=1)
+
+
+class Best:
+    """The best rows so far of every query, and the bounds they set.
+
+    ``limit`` is a key no further row may exceed. Where it is the key of a
+    query's last wanted row, ``last`` is that row's id: a row of the same key
+    must then have a smaller id. Without that rule every copy of a vector would
+    be kept until the end.
+    """
+
+    def __init__(self, wanted: np.ndarray, limit: np.ndarray):
+        self.wanted = wanted
+        self.deepest = int(wanted.max())
+        self.limit = limit.copy()
+        self.last: list = [None] * len(wanted)
+        self.kept: list[tuple] = []
+        self.pending = 0
+        self.room = 4 * int(wanted.sum()) + 4096
+
+    def lower(self, limit: np.ndarray) -> None:
+        for q in np.flatnonzero(limit < self.limit):
+            self.last[q] = None
+        self.limit = np.minimum(self.limit, limit)
+
+    def add(self, ids: pa.Array, row: np.ndarray, q: np.ndarray, distance: np.ndarray) -> None:
+        key = np.round(distance, 9)
+        good = key <= self.limit[q]
+        tied = key == self.limit[q]
+        if tied.any():
+            both = pa.concat_arrays([ids, pa.array(self.last, ids.type)])
+            place = pc.rank(both, null_placement="at_end", tiebreaker="dense").to_numpy()
+            good &= ~tied | (place[row] < place[len(ids) + q])
+        row, q = row[good], q[good]
+        if not len(row):
+            return
+        self.kept.append((q, key[good], distance[good], ids.take(pa.array(row))))
+        self.pending += len(row)
+        if self.pending > self.room:
+            self.shrink()
+
+    def shrink(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Query numbers, distances and ids of the rows still wanted.
+
+        Rows are sorted by their numbers; ids decide only among the rows that
+        share a query's last wanted key.
+        """
+        q, key, distance = (np.concatenate([part[i] for part in self.kept]) for i in range(3))
+        ids = pa.concat_arrays([part[3] for part in self.kept])
+        order = np.lexsort((key, q))
+        first = np.searchsorted(q[order], np.arange(len(self.wanted) + 1), side="left")
+        full = np.flatnonzero(np.diff(first) >= self.wanted)
+        edge = np.full(len(self.wanted), np.inf)
+        edge[full] = key[order][first[full] + self.wanted[full] - 1]
+
+        inside = key < edge[q]
+        open_places = self.wanted - np.bincount(q[inside], minlength=len(self.wanted))
+        tied = np.flatnonzero(key == edge[q])
+        by = [("q", "ascending"), ("id", "ascending")]
+        rows = pa.table({"q": q[tied], "id": ids.take(pa.array(tied))})
+        tied = tied[pc.sort_indices(rows, sort_keys=by).to_numpy()]
+        place = np.arange(len(tied)) - np.searchsorted(q[tied], q[tied], side="left")
+        ends = tied[place == open_places[q[tied]] - 1]
+        tied = tied[place < open_places[q[tied]]]
+
+        self.limit[full] = edge[full]
+        for at, last in zip(q[ends], ids.take(pa.array(ends)), strict=True):
+            self.last[at] = last.as_py()
+        left = np.concatenate([np.flatnonzero(inside), tied])
+        ids = ids.take(pa.array(left))
+        self.kept, self.pending = [(q[left], key[left], distance[left], ids)], 0
+        return q[left], distance[left], ids
+
+
 def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator], Iterator]:
     """Best rows of one task's input for every query of a block.
 
-    ``block`` holds ``ids``, ``matrix`` (one row per query), ``k`` (rows wanted
-    per query) and ``filters`` (per query: lowest year, highest year, category
-    pattern; None where absent). Input columns: id, year, category, vector.
-    Output: query_id, wanted, id, distance; at most ``k`` rows per query, ranked by
-    (distance, id). Filters are applied before ranking, so the k rows come from
-    the filtered corpus.
+    ``block`` holds ``ids`` (an Arrow array), ``matrix`` (one row per query), ``k`` (rows wanted
+    per query), ``filters`` (per query: lowest year, highest year, category
+    pattern; None where absent) and ``limit`` (no row farther than this can be
+    among the k; infinite where nothing is known). Input columns: id, year, category, vector.
+    Output: query_id, wanted, id, distance; at most ``k`` rows per query, ranked
+    by (distance rounded to 9 decimals, id). Filters are applied before ranking,
+    so the k rows come from the filtered corpus.
     """
-    cosine = measure == "cosine"
-    matrix = np.asarray(block["matrix"], dtype=np.float64 if cosine else np.uint32)
     wanted = np.asarray(block["k"], dtype=np.int64)
-    deepest = int(wanted.max()) if len(wanted) else 0
     filters = sorted(set(block["filters"]), key=repr)
     filter_of = np.array([filters.index(f) for f in block["filters"]], dtype=np.int64)
-    if cosine:
-        matrix = matrix / np.sqrt((matrix * matrix).sum(axis=1))[:, None]
-    n_queries = len(matrix)
-
-    def scores(rows: np.ndarray) -> np.ndarray:
-        if cosine:
-            with np.errstate(divide="ignore", invalid="ignore"):
-                size = np.sqrt((rows * rows).sum(axis=1))[:, None]
-                return 1.0 - (rows @ matrix.T) / size
-        total = np.zeros((len(rows), n_queries), dtype=np.float64)
-        for word in range(width):
-            total += np.bitwise_count(rows[:, word, None] ^ matrix[None, :, word])
-        return total
-
-    def category_hits(categories: pa.Array, pattern: str, seen: dict) -> np.ndarray:
-        """``_`` stands for any one character; case does not count."""
-        import re
-
-        coded = categories.dictionary_encode()
-        like = re.compile(".*".join(["", *[re.escape(pattern.upper()).replace("_", "."), ""]]), re.S)
-        for value in coded.dictionary.to_pylist():
-            if (pattern, value) not in seen:
-                seen[pattern, value] = like.fullmatch(value.upper()) is not None
-        hit = np.array([seen[pattern, v] for v in coded.dictionary.to_pylist()] + [False])
-        return hit[pc.fill_null(coded.indices, len(hit) - 1).to_numpy(zero_copy_only=False)]
-
-    def allowed(batch: pa.Table, at: np.ndarray, seen: dict) -> np.ndarray | None:
-        """rows x filters, or None when nothing filters."""
-        if filters == [(None, None, None)]:
-            return None
-        year = pc.cast(batch.column(1), pa.float64()).to_numpy()[at]  # null becomes NaN
-        category = batch.column(2).combine_chunks()
-        masks = []
-        for low, high, pattern in filters:
-            mask = np.ones(len(at), dtype=bool)
-            if low is not None:
-                mask &= year >= low
-            if high is not None:
-                mask &= year <= high
-            if pattern is not None:
-                mask &= category_hits(category, pattern, seen)[at]
-            masks.append(mask)
-        return np.stack(masks, axis=1)
-
-    def best_of(parts: list[pa.Table], limit: np.ndarray) -> pa.Table:
-        table = pa.concat_tables(parts).combine_chunks()
-        order = pc.sort_indices(
-            table, sort_keys=[("q", "ascending"), ("key", "ascending"), ("id", "ascending")]
-        )
-        table = table.take(order)
-        q = table.column("q").to_numpy()
-        place = np.arange(len(q)) - np.searchsorted(q, q, side="left")
-        last = place == wanted[q] - 1
-        limit[q[last]] = np.minimum(limit[q[last]], table.column("key").to_numpy()[last])
-        return table.filter(pa.array(place < wanted[q]))
+    scorer = {"cosine": cosine_scorer, "hamming": hamming_scorer}[measure]
+    matrix, limit = block["matrix"], np.asarray(block["limit"], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = np.full(n_queries, np.inf)
-        kept: list[pa.Table] = []
-        pending, room = 0, max(CELLS // 4, 2 * int(wanted.sum()))
-        seen: dict = {}
+        slack, score = scorer(np.asarray(matrix))
+        best, matches = Best(wanted, limit), category_matcher()
+        step = max(1, CELLS // len(wanted))
         for record_batch in batches:
             batch = pa.Table.from_batches([record_batch])
-            vectors, at = as_matrix(batch.column(3), width, matrix.dtype.type)
-            mask = allowed(batch, at, seen)
-            step = max(1, CELLS // max(1, n_queries))
+            vectors, at = as_matrix(batch.column(3), width, None)
+            mask = filter_masks(batch, at, filters, matches)
+            all_ids = batch.column(0).combine_chunks()
             for start in range(0, len(at), step):
-                distance = scores(vectors[start : start + step])
-                key = np.round(distance, 9)
-                key[np.isnan(key)] = np.inf
+                rough, exact = score(vectors[start : start + step])
+                passing = rough <= best.limit + slack
                 if mask is not None:
-                    key[~mask[start : start + step][:, filter_of]] = np.inf
-                if len(key) > deepest:
+                    passing &= mask[start : start + step][:, filter_of]
+                if len(rough) > best.deepest and np.count_nonzero(passing) > best.room:
                     # The k-th best of any part bounds the k-th best of the whole.
-                    limit = np.minimum(limit, np.partition(key, deepest - 1, axis=0)[deepest - 1])
-                row, q = np.nonzero((key <= limit) & (key < np.inf))
-                if not len(row):
-                    continue
-                ids = batch.column(0).take(pa.array(at[start + row]))
-                kept.append(
-                    pa.table({"q": q, "key": key[row, q], "id": ids, "d": distance[row, q]})
-                )
-                pending += len(row)
-                if pending > room:
-                    kept = [best_of(kept, limit)]
-                    pending = 0
-        if kept:
-            best = best_of(kept, limit)
-            q = best.column("q").to_numpy()
-            found = pa.table(
-                {
-                    "query_id": pa.array(block["ids"]).take(pa.array(q)),
-                    "wanted": wanted[q],
-                    "paper_id": best.column("id"),
-                    "distance": best.column("d"),
-                }
-            )
-            yield from found.combine_chunks().to_batches()
+                    inside = np.where(passing, rough, np.inf)
+                    kth = np.partition(inside, best.deepest - 1, axis=0)[best.deepest - 1]
+                    best.lower(kth + slack)
+                    passing &= rough <= best.limit + slack
+                row, q = np.divmod(np.flatnonzero(passing), len(wanted))
+                if len(row):
+                    ids = all_ids.take(pa.array(at[start : start + step]))
+                    best.add(ids, row, q, exact(row, q))
+        if best.kept:
+            q, distance, ids = best.shrink()
+            query_ids = block["ids"].take(pa.array(q))
+            columns = [query_ids, pa.array(wanted[q]), ids, pa.array(distance)]
+            names = ["query_id", "wanted", "paper_id", "distance"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
+def pair_distances(block: dict) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """Cosine distance of vectors and the queries whose ids stand next to them."""
+    queries, known = unit_vectors(np.asarray(block["matrix"])), block["ids"]
+
+    def measure(vectors: pa.Array, query_ids: pa.Array) -> pa.Array:
+        matrix, at = as_matrix(vectors, queries.shape[1], None)
+        q = pc.index_in(query_ids, value_set=known).to_numpy()[at]
+        distance = np.full(len(vectors), np.nan)
+        distance[at] = row_distances(unit_vectors(matrix), np.arange(len(at)), queries, q)
+        return pa.array(distance, mask=np.isnan(distance))
+
+    return measure
+
+
 # Workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,16 +1,15 @@
 """Exact nearest-neighbour search by cosine distance.
 
-One query is a plan of built-in expressions. A table of queries is searched
-with a block kernel: every task scores its rows against the whole block and
-keeps only the best k per query, so no pair of query and paper leaves a task
-unless it may be in the result.
+Queries are searched in blocks: every task scores its rows against the whole
+block and keeps only the best k per query, so no pair of query and paper leaves
+a task unless it may be in the result. A single query is a block of one.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -33,23 +32,29 @@ MERGE_SALTS = 32
 
 
 def nearest(
-    corpus: DataFrame, query: Sequence[float], k: int, **filters: int | str | None
+    corpus: DataFrame,
+    query: Sequence[float],
+    k: int,
+    buckets: int | None = None,
+    **filters: int | str | None,
 ) -> DataFrame:
     """The k papers nearest to one query vector, filters applied first.
 
-    Papers without a usable vector are not searchable.
+    Papers without a usable vector are not searchable. Only ids, vectors and
+    filter columns are read of all papers, the other columns of the k found.
     """
-    check_top_k(k)
-    query = [float(x) for x in query]
-    size = F.lit(math.sqrt(sum(x * x for x in query)))
-    distance = V.cosine_distance(F.col("embedding"), F.lit(query), size)
-    return (
-        apply_filters(corpus, **filters)
-        .withColumn("distance", distance)
-        .filter(F.col("distance").isNotNull())
-        .orderBy(V.rank_key(F.col("distance")), "paper_id")
-        .limit(k)
-    )
+    block = {
+        "ids": pa.array([0]),
+        "matrix": np.array([query], dtype=np.float64),
+        "k": [check_top_k(k)],
+        "filters": [(None, None, None)],
+        "limit": [math.inf],
+    }
+    scored = score_block(apply_filters(corpus, **filters), block, "embedding", "cosine", "bigint")
+    order = [V.rank_key(F.col("distance")), F.col("paper_id")]
+    hits = scored.select("paper_id", "distance").orderBy(*order).limit(k)
+    columns = [c for c in corpus.columns if c not in ("paper_id", "bucket")]
+    return with_papers(broadcast_keys(hits, k), corpus, columns, buckets).orderBy(*order)
 
 
 def result_rows(hits: DataFrame) -> DataFrame:
@@ -76,24 +81,33 @@ def query_blocks(queries: DataFrame, options: Options) -> Iterator[dict]:
     usable = queries.select(*columns).filter("embedding IS NOT NULL")
     head = usable.limit(size + 1).toArrow()
     if head.num_rows <= size:
-        if head.num_rows:
-            yield query_block(head, options)
-        return
-    rows = usable.toLocalIterator(prefetchPartitions=True)
-    while part := list(itertools.islice(rows, size)):
-        yield query_block(pa.Table.from_pylist([r.asDict() for r in part], head.schema), options)
-
-
-def query_block(table: pa.Table, options: Options) -> dict:
-    column = {name: table.column(name).to_pylist() for name in QUERY_COLUMNS if name != "embedding"}
+        tables = iter([head])
+    else:
+        rows = usable.toLocalIterator(prefetchPartitions=True)
+        parts = iter(lambda: list(itertools.islice(rows, size)), [])
+        tables = (pa.Table.from_pylist([r.asDict() for r in p], head.schema) for p in parts)
+    yield from filter(None, (query_block(table, options) for table in tables))
+
+
+def query_block(table: pa.Table, options: Options) -> dict | None:
+    """The queries of a block as arrays; None when none has a direction."""
+    if not table.num_rows:
+        return None
     vectors = table.column("embedding").combine_chunks()
-    width = len(vectors[0])
-    matrix, at = kernels.as_matrix(vectors, width, np.float64)
+    matrix, at = kernels.as_matrix(vectors, len(vectors[0]), np.float64)
     if len(at) < table.num_rows:
         raise ValueError("query vectors differ in length")
+    usable = np.flatnonzero(matrix.any(axis=1) & ~np.isnan(matrix).any(axis=1))
+    if not len(usable):
+        return None
+    table = table.take(pa.array(usable))
+    column = {name: table.column(name).to_pylist() for name in QUERY_COLUMNS if name != "embedding"}
+    if len(set(column["query_id"])) < len(usable):
+        raise ValueError("query ids are not unique")
     return {
-        "ids": column["query_id"],
-        "matrix": matrix,
+        "ids": table.column("query_id").combine_chunks(),
+        "matrix": matrix[usable],
+        "limit": [math.inf] * len(usable),
         "k": [k or options.top_k for k in column["top_k"]],
         "filters": list(
             zip(column["min_year"], column["max_year"], column["category_contains"], strict=True)
@@ -155,34 +169,22 @@ class Hits(NamedTuple):
     at_most: int
 
 
-def block_search(
-    corpus: DataFrame,
-    queries: DataFrame,
-    options: Options,
-    vector: str = "embedding",
-    measure: str = "cosine",
+def by_block(
+    queries: DataFrame, options: Options, search: Callable[[dict], Hits], none: Callable
 ) -> Hits:
-    """The best rows of every query.
+    """Searches a query table in blocks.
 
-    A query table of one block is one lazy plan. A larger one is searched block
-    by block, each block's hits written to the work folder before the next one
-    is read, so that the driver holds one block at any time.
+    A table of one block is one lazy plan. A larger one is searched block by
+    block, each block's hits written to the work folder before the next one is
+    read, so that the driver holds one block at any time.
     """
-    spark = corpus.sparkSession
-    query_type = queries.schema["query_id"].dataType.simpleString()
     blocks = query_blocks(queries, options)
-
-    def search(block: dict) -> Hits:
-        hits = score_block(corpus, block, vector, measure, query_type)
-        return Hits(best_per_query(hits, max(block["k"])), sum(block["k"]))
-
     first, second = next(blocks, None), next(blocks, None)
     if first is None:
-        id_type = corpus.schema["paper_id"].dataType.simpleString()
-        none = spark.createDataFrame([], HITS.format(query_id=query_type, paper_id=id_type))
-        return Hits(best_per_query(none, 1), 0)
+        return Hits(none(), 0)
     if second is None:
         return search(first)
+    spark = queries.sparkSession
     folder, rows = work_dir(spark, "hits"), 0
     for number, block in enumerate(itertools.chain([first, second], blocks)):
         hits = search(block)
@@ -191,9 +193,66 @@ def block_search(
     return Hits(spark.read.parquet(folder).drop("block"), rows)
 
 
-def batch_nearest(corpus: DataFrame, queries: DataFrame, options: Options) -> DataFrame:
-    """The top_k nearest papers of every query under that query's own filters."""
-    return broadcast_keys(*block_search(corpus, queries, options))
+def best_rows(
+    corpus: DataFrame,
+    block: dict,
+    query_type: str,
+    vector: str = "embedding",
+    measure: str = "cosine",
+    seed: DataFrame | None = None,
+) -> Hits:
+    """The best rows of the corpus for every query of a block.
+
+    ``seed`` is a small part of the corpus that is searched first. Its k-th best
+    bounds the k-th best of the whole, so most tasks of the whole search then
+    have nothing to hand on. The result is the same.
+    """
+
+    def best(rows: DataFrame, block: dict) -> DataFrame:
+        hits = score_block(rows, block, vector, measure, query_type)
+        return best_per_query(hits, max(block["k"]))
+
+    if seed is not None:
+        block = {**block, "limit": limits(best(seed, block), block)}
+    return Hits(best(corpus, block), sum(block["k"]))
+
+
+def no_hits(corpus: DataFrame, query_type: str) -> DataFrame:
+    id_type = corpus.schema["paper_id"].dataType.simpleString()
+    fields = f"query_id {query_type}, rank int, paper_id {id_type}, distance double"
+    return corpus.sparkSession.createDataFrame([], fields)
+
+
+def limits(hits: DataFrame, block: dict) -> list[float]:
+    """For each query of a block the distance of its last wanted hit, if it has so many."""
+    last = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("d"))
+    found = {row.query_id: row for row in last.collect()}
+    return [
+        found[i].d + 2 * 10.0**-V.RANK_DECIMALS if i in found and found[i].n == k else math.inf
+        for i, k in zip(block["ids"].to_pylist(), block["k"], strict=True)
+    ]
+
+
+def query_type(queries: DataFrame) -> str:
+    return queries.schema["query_id"].dataType.simpleString()
+
+
+def batch_nearest(
+    corpus: DataFrame, queries: DataFrame, options: Options, seed: DataFrame | None = None
+) -> DataFrame:
+    """The top_k nearest papers of every query under that query's own filters.
+
+    The hits are marked for broadcast when their number, the sum of all top_k,
+    is small.
+    """
+    kind = query_type(queries)
+    hits = by_block(
+        queries,
+        options,
+        lambda block: best_rows(corpus, block, kind, seed=seed),
+        lambda: no_hits(corpus, kind),
+    )
+    return broadcast_keys(*hits)
 
 
 def bucket_of(paper_id: Column, buckets: int) -> Column:

@@ -33,14 +33,16 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
         raise ValueError("the corpus is empty; load papers first")
     embedder = embedder or WordEmbedder(state.dim)
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
+    sample = store.sample_buckets(state)
     approximate = options.use_approximate and state.index is not None
     if approximate:
         tier = ann.Tier(**state.index).for_rows(state.rows)
+        seed = store.codes(state, sample) if sample else None
         hits = ann.approximate_nearest(
-            papers, store.codes(state), queries, tier, state.dim, options, state.buckets
+            papers, store.codes(state), queries, tier, options, state.buckets, seed
         )
     else:
-        hits = batch_nearest(papers, queries, options)
+        hits = batch_nearest(papers, queries, options, store.papers(state, sample) if sample else None)
     found = result_rows(with_papers(hits, papers, buckets=state.buckets))
     return found.withColumn("approximate", F.lit(approximate))
 

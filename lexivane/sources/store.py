@@ -51,6 +51,7 @@ def balanced(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", "bucket")
 
 
+SAMPLED_SHARE = 64
 NOTHING = {"papers": {}, "codes": {}, "tail": [], "tail_rows": 0, "index": None, "rows": 0}
 TAIL = T.StructType(
     [
@@ -164,6 +165,10 @@ class PaperStore:
     def codes(self, state: Pointer | None = None, only: Iterable[int] | None = None) -> DataFrame:
         return self._live(state or self._require(), schema.CODES, only)
 
+    def sample_buckets(self, state: Pointer) -> list[int]:
+        """A few buckets of a store with many: a fixed, even part of the corpus."""
+        return sorted(map(int, state.papers))[: state.buckets // SAMPLED_SHARE]
+
     def count(self) -> int:
         """0 where no store exists."""
         state = self.pointer()
@@ -341,7 +346,7 @@ class PaperStore:
         if queries is None:
             queries = ann.sample_papers(papers, "embedding")
         recall = ann.recall_by_candidates(
-            papers, self._read(written, schema.CODES), queries, tier.bits, state.dim, self.options
+            papers, self._read(written, schema.CODES), queries, tier.bits, self.options
         )
         tier = ann.calibrate(tier, recall)
         if tier is None:

@@ -332,7 +332,7 @@ def approximate(spark, folder, filtered):
     papers = fx.vector_papers(spark, folder)
     codes = ann.code_table(papers, CODE_BITS, fx.VECTOR_DIM)
     queries = fx.label_queries(spark, folder, filtered)
-    hits = ann.approximate_nearest(papers, codes, queries, TIER, fx.VECTOR_DIM, Options())
+    hits = ann.approximate_nearest(papers, codes, queries, TIER, Options())
     return hits.select("query_id", "rank", "paper_id", rounded("distance"))
 
 
@@ -348,9 +348,7 @@ def ann_recall(spark, folder):
     papers = embedded_papers(spark, folder)
     codes = ann.code_table(papers, CODE_BITS, fx.DIM)
     queries = fx.text_queries(spark, folder)
-    recall = ann.recall_by_candidates(
-        papers, codes, queries, CODE_BITS, fx.DIM, Options(), RECALL_STEPS
-    )
+    recall = ann.recall_by_candidates(papers, codes, queries, CODE_BITS, Options(), RECALL_STEPS)
     return recall.withColumn("recall", rounded("recall"))
 
 

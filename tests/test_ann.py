@@ -4,9 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexivane.functions import vectors as V
 from lexivane.operators import ann
-from lexivane.operators.search import batch_nearest
+from lexivane.operators.search import batch_nearest, query_blocks
 from lexivane.options import Options
 
 DIM, BITS = 16, 64
@@ -46,15 +45,11 @@ def test_codes_are_the_sides_of_md5_planes(spark, corpus):
         assert codes[pid] == words
 
 
-def test_hamming(one):
-    a, b = F.lit([0b1011, 0]).cast("array<bigint>"), F.lit([0b0010, 7]).cast("array<bigint>")
-    assert one(V.hamming(a, b), x=1) == 5
-
-
 def test_candidates_are_the_nearest_codes(spark, corpus):
     rows, df = corpus
     codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
-    found = ann.candidate_rows(codes, queries, BITS, DIM, 30, Options()).frame.collect()
+    (block,) = query_blocks(queries, Options())
+    found = ann.candidate_rows(codes, block, "bigint", BITS, 30).frame.collect()
     table = {r.paper_id: r.code for r in codes.collect()}
     for i in range(20):
         own = table[f"p{i * 7 + 20}"]
@@ -71,19 +66,40 @@ def test_with_all_rows_as_candidates_the_result_is_exact(spark, corpus):
     queries = queries_of(spark, rows, min_year=1995, category_contains="c_")
     tier = ann.Tier("t", BITS, None, candidates=len(rows))
     codes = ann.code_table(df, BITS, DIM)
-    approx = ann.approximate_nearest(df, codes, queries, tier, DIM, Options())
+    approx = ann.approximate_nearest(df, codes, queries, tier, Options())
     exact = batch_nearest(df, queries, Options())
     columns = ["query_id", "rank", "paper_id"]
     assert sorted(approx.select(columns).collect()) == sorted(exact.select(columns).collect())
 
 
+def test_a_seed_changes_nothing(spark, corpus):
+    """Neither a few rows of the corpus nor ones that hold the answer."""
+    rows, df = corpus
+    queries = queries_of(spark, rows, min_year=1993)
+    codes = ann.code_table(df, BITS, DIM)
+    tier = ann.Tier("t", BITS, None, candidates=30)
+    columns = ["query_id", "rank", "paper_id"]
+
+    def ranked(frame):
+        return sorted(frame.select(columns).collect())
+
+    exact = ranked(batch_nearest(df, queries, Options()))
+    approx = ranked(ann.approximate_nearest(df, codes, queries, tier, Options()))
+    for part in ("paper_id LIKE 'p1%'", "paper_id = 'p20'", "true"):
+        assert ranked(batch_nearest(df, queries, Options(), df.filter(part))) == exact
+        seeded = ann.approximate_nearest(
+            df, codes, queries, tier, Options(), seed=codes.filter(part)
+        )
+        assert ranked(seeded) == approx
+
+
 def test_filters_come_before_the_candidates(spark, corpus):
     """Few rows pass the filter; all of them are found with few candidates."""
     rows, df = corpus
     queries = queries_of(spark, rows, min_year=2019, max_year=2019, category_contains="C1")
     allowed = {r[0] for r in rows if r[2] == 2019 and r[3] == "c1"}
     tier = ann.Tier("t", BITS, None, candidates=20)
-    hits = ann.approximate_nearest(df, ann.code_table(df, BITS, DIM), queries, tier, DIM, Options())
+    hits = ann.approximate_nearest(df, ann.code_table(df, BITS, DIM), queries, tier, Options())
     found = hits.collect()
     assert {h.paper_id for h in found} <= allowed
     assert len(found) == 20 * min(8, len(allowed))
@@ -93,7 +109,7 @@ def test_recall_grows_with_candidates_and_calibration_takes_the_first_that_reach
     rows, df = corpus
     codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
     steps = (10, 40, 160, 640)
-    recall = ann.recall_by_candidates(df, codes, queries, BITS, DIM, Options(), steps)
+    recall = ann.recall_by_candidates(df, codes, queries, BITS, Options(), steps)
     by_step = {r.candidates: r.recall for r in recall.collect()}
     values = [by_step[s] for s in steps]
     assert values == sorted(values) and values[-1] == 1.0

@@ -166,10 +166,30 @@ def test_common_year_bounds_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(year,2000)" in plan and "LessThan" not in plan
 
 
-def test_single_query_is_a_top_k_plan(spark):
+def test_single_query_is_a_top_k_plan_that_reads_texts_last(spark, tmp_path):
     _, corpus = random_corpus(spark)
-    plan = nearest(corpus, [1.0] * DIM, 5)._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject" in plan
+    corpus.withColumn("abstract", F.lit("long text")).write.parquet(str(tmp_path / "corpus"))
+    hits = nearest(spark.read.parquet(str(tmp_path / "corpus")), [1.0] * DIM, 5, min_year=2000)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
+    below = plan[plan.index("MapInArrow") : plan.index("PushedFilters") + 200]
+    assert "abstract" not in below and "GreaterThanOrEqual(year,2000)" in below
+
+
+def test_queries_without_direction_have_no_hits(spark):
+    _, corpus = random_corpus(spark)
+    rows = [(1, [0.0] * DIM), (2, [1.0] * DIM), (3, None)]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    hits = batch_nearest(corpus, queries, Options()).collect()
+    assert {h.query_id for h in hits} == {2}
+
+
+def test_query_ids_must_be_unique(spark):
+    _, corpus = random_corpus(spark, 10)
+    rows = [(1, [1.0] * DIM), (1, [2.0] * DIM)]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="unique"):
+        batch_nearest(corpus, queries, Options())
 
 
 @pytest.mark.parametrize("k", [0, 51, 99])
@@ -289,10 +309,11 @@ def test_kernel_is_the_same_for_any_split_into_batches(data):
     k = [data.draw(st.integers(1, 6)) for _ in queries]
     cut = data.draw(st.integers(0, n))
     block = {
-        "ids": list(range(len(queries))),
+        "ids": pa.array(range(len(queries))),
         "matrix": np.array(queries, dtype=float),
         "k": k,
         "filters": [(None, None, None)] * len(queries),
+        "limit": [math.inf] * len(queries),
     }
     batch = pa.RecordBatch.from_pydict(
         {
