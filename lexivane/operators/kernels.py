@@ -299,6 +299,36 @@ class Best:
         return q[left], distance[left], ids
 
 
+def without_spare_copies(
+    vectors: np.ndarray, mask: np.ndarray | None, ids: pa.Array, deepest: int
+) -> np.ndarray | None:
+    """Rows that may be wanted when rows are copies of each other.
+
+    Copies that pass the same filters have the same distance to every query, so
+    of each group only the ``deepest`` smallest ids can be among the best. None
+    when there is nothing to leave out.
+    """
+    words = np.ascontiguousarray(vectors).view(np.uint32).astype(np.uint64)
+    if mask is not None:
+        words = np.concatenate([words, mask.astype(np.uint64)], axis=1)
+    factors = np.random.default_rng(0).integers(1, 1 << 63, words.shape[1], dtype=np.uint64)
+    _, first, group, size = np.unique(
+        words @ factors, return_index=True, return_inverse=True, return_counts=True
+    )
+    crowded = np.flatnonzero(size[group] > deepest)
+    if not len(crowded):
+        return None
+    # Equal hashes of unequal rows are no copies.
+    crowded = crowded[(words[crowded] == words[first[group[crowded]]]).all(axis=1)]
+    rows = pa.table({"g": group[crowded], "id": ids.take(pa.array(crowded))})
+    by = [("g", "ascending"), ("id", "ascending")]
+    crowded = crowded[pc.sort_indices(rows, sort_keys=by).to_numpy()]
+    place = np.arange(len(crowded)) - np.searchsorted(group[crowded], group[crowded], side="left")
+    keep = np.ones(len(vectors), dtype=bool)
+    keep[crowded[place >= deepest]] = False
+    return np.flatnonzero(keep)
+
+
 def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator], Iterator]:
     """Best rows of one task's input for every query of a block.
 
@@ -324,8 +354,12 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
             batch = pa.Table.from_batches([record_batch])
             vectors, at = as_matrix(batch.column(3), width, None)
             mask = filter_masks(batch, at, filters, matches)
-            all_ids = batch.column(0).combine_chunks()
-            for start in range(0, len(at), step):
+            ids = batch.column(0).combine_chunks().take(pa.array(at))
+            kept = without_spare_copies(vectors, mask, ids, best.deepest)
+            if kept is not None:
+                vectors, ids = vectors[kept], ids.take(pa.array(kept))
+                mask = None if mask is None else mask[kept]
+            for start in range(0, len(vectors), step):
                 rough, exact = score(vectors[start : start + step])
                 passing = rough <= best.limit + slack
                 if mask is not None:
@@ -338,8 +372,7 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
                     passing &= rough <= best.limit + slack
                 row, q = np.divmod(np.flatnonzero(passing), len(wanted))
                 if len(row):
-                    ids = all_ids.take(pa.array(at[start : start + step]))
-                    best.add(ids, row, q, exact(row, q))
+                    best.add(ids.slice(start, step), row, q, exact(row, q))
         if best.kept:
             q, distance, ids = best.shrink()
             query_ids = block["ids"].take(pa.array(q))

@@ -139,6 +139,21 @@ def test_all_copies_rank_by_id(spark):
     assert [h.paper_id for h in hits] == [f"c{i:04d}" for i in range(50)]
 
 
+def test_copies_that_pass_different_filters_are_kept_apart(spark):
+    """Spare copies are left out before scoring, but not ones another filter wants."""
+    rows = [(f"c{i:04d}", [1.0, 0.5], 1990 + i % 20, f"c{i % 3}") for i in range(900)]
+    rows += [(f"d{i:04d}", [0.5, float(i % 9 + 1)], 1990 + i % 20, f"c{i % 3}") for i in range(900)]
+    kinds = "paper_id string, embedding array<float>, year int, category string"
+    corpus = spark.createDataFrame(rows, kinds).repartition(3)
+    asked = [(q, [1.0, 0.5 + q / 10], 5, 1990 + q, 1995 + q, f"C{q % 3}") for q in range(9)]
+    kinds = "query_id long, embedding array<float>, top_k int, min_year int, max_year int, category_contains string"
+    hits = batch_nearest(corpus, spark.createDataFrame(asked, kinds), Options()).collect()
+    data = [(p, v, y, c) for p, v, y, c in rows]
+    for q, vector, k, low, high, pattern in asked:
+        mine = [h.paper_id for h in sorted(hits, key=lambda h: h.rank) if h.query_id == q]
+        assert mine == brute_force(data, vector, k, low, high, pattern)
+
+
 def test_the_corpus_is_neither_shuffled_nor_read_for_texts(spark, tmp_path):
     _, corpus = random_corpus(spark)
     path = str(tmp_path / "corpus")
