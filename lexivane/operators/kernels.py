@@ -106,10 +106,10 @@ def sign_coder(bits: int, dim: int) -> Callable[[pa.Array], pa.Array]:
     def code(vectors: pa.Array) -> pa.Array:
         words = np.zeros((len(vectors), bits // WORD_BITS), dtype=np.int64)
         missing = np.ones(len(vectors), dtype=bool)
-        matrix, at = as_matrix(vectors, dim, np.float64)
-        rows = max(1, CELLS // bits)
+        matrix, at = as_matrix(vectors, dim, None)
+        rows = max(1, CELLS // max(bits, dim))
         for start in range(0, len(at), rows):
-            part = matrix[start : start + rows]
+            part = matrix[start : start + rows].astype(np.float64)
             above = (part @ normals.astype(np.float64) > 0).reshape(len(part), -1, WORD_BITS)
             words[at[start : start + rows]] = (above * powers).sum(axis=2)
         missing[at] = np.isnan(matrix).any(axis=1) | ~matrix.any(axis=1)
@@ -349,7 +349,7 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack, score = scorer(np.asarray(matrix))
         best, matches = Best(wanted, limit), category_matcher()
-        step = max(1, CELLS // len(wanted))
+        step = max(1, CELLS // max(len(wanted), width))
         for record_batch in batches:
             batch = pa.Table.from_batches([record_batch])
             vectors, at = as_matrix(batch.column(3), width, None)

@@ -22,11 +22,13 @@ def check_output(spark: SparkSession, path: str, overwrite: bool) -> None:
 
 def read_papers(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
     """Papers with their position. ``json``: one per line; ``json-array``: one
-    array per file, read whole by one task, for small files; ``parquet``."""
+    array per file, read whole by one task, for small files; ``parquet``. JSON that
+    does not fit the schema stops the job."""
     reader = spark.read.schema(schema.PAPER_IN)
     if form == "parquet":
         return positioned(reader.parquet(path))
-    return positioned(reader.option("multiLine", form == "json-array").json(path))
+    reader = reader.option("mode", "FAILFAST").option("multiLine", form == "json-array")
+    return positioned(reader.json(path))
 
 
 def write_papers(papers: DataFrame, path: str, form: str = "json", overwrite: bool = False) -> int:

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
@@ -32,7 +33,8 @@ from lexivane.options import Options
 @dataclass(frozen=True)
 class Pointer:
     """The state of a store. ``papers`` and ``codes`` map a bucket to its live folder,
-    ``tail`` lists the folders appended since, oldest first."""
+    ``tail`` lists the folders appended since, oldest first; ``written`` tells how
+    many buckets a folder was written with."""
 
     version: int = 0
     buckets: int = 16
@@ -41,6 +43,7 @@ class Pointer:
     codes: dict[str, str] = field(default_factory=dict)
     tail: list[str] = field(default_factory=list)
     tail_rows: int = 0
+    written: dict[str, int] = field(default_factory=dict)
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
     rows: int = 0
@@ -102,7 +105,11 @@ class PaperStore:
             raise RuntimeError(f"version {state.version} of {self.root} was written by another job")
 
     def _next(self, state: Pointer, **changes) -> Pointer:
-        return Pointer(**{**asdict(state), **changes, "version": state.version + 1})
+        after = Pointer(**{**asdict(state), **changes, "version": state.version + 1})
+        sizes = Counter([*changes.get("papers", {}).values(), *changes.get("codes", {}).values()])
+        written = {**sizes, **state.written}
+        live = {*after.papers.values(), *after.codes.values()}
+        return replace(after, written={f: n for f, n in written.items() if f in live})
 
     def _require(self) -> Pointer:
         state = self.pointer()
@@ -123,19 +130,28 @@ class PaperStore:
         elif force:
             self._commit(self._next(state, **NOTHING, dim=self.options.embedding_dim))
 
-    def _read(self, live: dict[str, str], table: T.StructType, only: Iterable[int] | None = None):
+    def _read(
+        self,
+        live: dict[str, str],
+        table: T.StructType,
+        only: Iterable[int] | None = None,
+        written: dict[str, int] | None = None,
+    ) -> DataFrame:
         """Live folders as one frame. A column a folder lacks reads as null, so
         corpora written before a column existed stay readable."""
         bucketed = T.StructType([*table.fields, T.StructField("bucket", T.IntegerType())])
         wanted = live if only is None else {b: live[b] for b in map(str, only) if b in live}
         if not wanted:
             return self.spark.createDataFrame([], bucketed)
-        folders = [f"{folder}/bucket={b}" for b, folder in wanted.items()]
+        # A folder of which every bucket is wanted is one path to look up, not thousands.
+        sizes = Counter(wanted.values())
+        whole = {f for f, n in sizes.items() if (written or {}).get(f) == n}
+        parts = [f"{f}/bucket={b}" for b, f in wanted.items() if f not in whole]
         # One base for all versions: bucket is the only partition column readers see.
         return (
             self.spark.read.schema(bucketed)
             .option("basePath", self.root)
-            .parquet(*[f"{self.root}/{f}" for f in folders])
+            .parquet(*[f"{self.root}/{f}" for f in [*sorted(whole), *parts]])
             .select(*bucketed.fieldNames())
         )
 
@@ -152,7 +168,7 @@ class PaperStore:
     def _live(self, state: Pointer, table: T.StructType, only: Iterable[int] | None) -> DataFrame:
         """Rows of the buckets, those of the tail in their place."""
         live = state.papers if table is schema.PAPER else state.codes
-        base = self._read(live, table, only)
+        base = self._read(live, table, only, state.written)
         if not state.tail:
             return base
         tail = self._tail(state, only)
@@ -169,6 +185,11 @@ class PaperStore:
         """A few buckets of a store with many: a fixed, even part of the corpus."""
         return sorted(map(int, state.papers))[: state.buckets // SAMPLED_SHARE]
 
+    def sample(self) -> DataFrame:
+        """The papers of those buckets, or all papers of a store with few."""
+        state = self._require()
+        return self.papers(state, self.sample_buckets(state) or None)
+
     def count(self) -> int:
         """0 where no store exists."""
         state = self.pointer()
@@ -179,8 +200,7 @@ class PaperStore:
         folder = f"{table}/version={state.version + 1}-{uuid.uuid4().hex[:8]}"
         (
             rows.sortWithinPartitions("bucket", "paper_id")
-            .write.option("parquet.bloom.filter.enabled#paper_id", "true")
-            .partitionBy("bucket")
+            .write.partitionBy("bucket")
             .parquet(f"{self.root}/{folder}")
         )
         written = self._files().listStatus(self._path(folder))
@@ -344,7 +364,7 @@ class PaperStore:
         papers = self.papers(state)
         written = self._write(ann.code_table(papers, tier.bits, state.dim), state, "codes")
         if queries is None:
-            queries = ann.sample_papers(papers, "embedding")
+            queries = ann.sample_papers(self.sample(), "embedding")
         recall = ann.recall_by_candidates(
             papers, self._read(written, schema.CODES), queries, tier.bits, self.options
         )

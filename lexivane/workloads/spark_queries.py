@@ -372,7 +372,9 @@ def update_batch(spark, folder):
 def upsert_merge(spark, folder):
     stored = F.lit(BASE_TIME).cast("timestamp")
     current = fx.papers(spark, folder).withColumn("created_at", stored)
-    batch = last_per_id(update_batch(spark, folder), ["order"])
+    staged = work_dir(spark, "merge")
+    last_per_id(update_batch(spark, folder), ["order"]).write.parquet(staged)
+    batch = spark.read.parquet(staged)
     kept, new = merge(current, batch, BATCH_TIME, batch.count())
     after = kept.unionByName(new.drop("updated"))
     return after.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))

@@ -74,8 +74,10 @@ def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
     store = PaperStore(spark, str(tmp_path / "store"), replace(OPTIONS, tail_rows=0))
     put(store, papers(spark, *[(f"p{i}", f"t{i}", None, 2000, i) for i in range(40)]))
     before = store.pointer().papers
+    assert [len(store.papers().inputFiles()), *store.pointer().written.values()] == [4, 4]
     put(store, papers(spark, ("p1", "other", None, 2000, 1)), SECOND)
     after = store.pointer().papers
+    assert sorted(store.pointer().written.values()) == [1, 4] and store.count() == 40
     assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
 
 
@@ -241,6 +243,15 @@ def test_load_caps_after_validation_in_file_order(spark, store, corpus_file):
     assert set(content(store)) == {f"p{i}" for i in range(120)}
 
 
+@pytest.mark.parametrize("line", ['{"paper_id": "z", "title": "", "abstract": "a"}', '{"paper_id": "z"', '{"paper_id": "z", "title": "t", "abstract": "a", "year": "soon"}'])
+def test_an_invalid_paper_beyond_the_cap_stops_the_load_too(spark, store, corpus_file, line):
+    with open(corpus_file, "a") as file:
+        file.write("\n" + line)
+    with pytest.raises(Exception, match="title missing|MALFORMED|Malformed|malformed"):
+        load_corpus(store, corpus_file, FIRST, max_papers=10)
+    assert store.count() == 0
+
+
 def test_replace_load_drops_the_rest_and_the_index(spark, store, corpus_file):
     put(store, papers(spark, ("old", "t", None, 2000, 1)))
     assert build_index(store)
@@ -330,6 +341,23 @@ def test_texts_are_read_from_the_buckets_of_the_hits_only(spark, store, corpus_f
     assert "dynamicpruning" in plan and "SortMergeJoin" not in plan
 
 
+def test_many_buckets_search_through_a_seed(spark, tmp_path, corpus_file):
+    options = Options(embedding_dim=256, buckets=128, tail_rows=0)
+    store = PaperStore(spark, str(tmp_path / "many"), options)
+    load_corpus(store, corpus_file, FIRST, skip_index=True)
+    few = PaperStore(spark, str(tmp_path / "few"), replace(options, buckets=4))
+    load_corpus(few, corpus_file, FIRST, skip_index=True)
+    assert len(store.sample_buckets(store.pointer())) == 2 and 0 < store.sample().count() < 30
+    rows = [(i, f"topic{i} word{i * 3} shared", 4, None, None, None) for i in range(6)]
+    columns = ["query_id", "rank", "paper_id"]
+
+    def ranked(where):
+        return sorted(search(where, request_frame(spark, *rows)).select(columns).collect())
+
+    assert ranked(store) == ranked(few)
+    assert build_index(store) and len(ranked(store)) == 24
+
+
 def test_empty_corpus_is_an_error(spark, store):
     request = request_frame(spark, (1, "topic3", 1, None, None, None))
     with pytest.raises(ValueError, match="empty"):
