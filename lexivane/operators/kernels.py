@@ -43,9 +43,11 @@ def word_embedder(dim: int) -> Callable[[pa.Array], pa.Array]:
         words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
         row = pc.list_parent_indices(words).to_numpy()
         coded = pc.list_flatten(words).dictionary_encode()
-        digests = [hashlib.md5(w.encode()).hexdigest() for w in coded.dictionary.to_pylist()]
-        cell = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
-        sign = np.array([1.0 - 2.0 * (int(d[8], 16) & 1) for d in digests])
+        spelled = coded.dictionary.cast(pa.binary()).to_pylist()
+        digests = b"".join([hashlib.md5(word).digest() for word in spelled])
+        digests = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
+        cell = digests[:, :4].copy().view(">u4")[:, 0].astype(np.int64) % dim
+        sign = 1.0 - 2.0 * (digests[:, 4] >> 4 & 1)
         # Splitting leaves empty strings at the ends of a text.
         sign[pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)] = 0.0
         code = coded.indices.to_numpy()
