@@ -32,6 +32,8 @@ from lexivane.options import Options
 DEFAULT_CANDIDATES = 400
 CANDIDATE_STEPS = (50, 100, 200, 400, 800, 1600)
 SAMPLE_QUERIES = 64  # for calibration
+# Candidates a task may hold for a block of queries.
+BLOCK_CANDIDATES = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,17 @@ class Tier:
     def bytes_for(self, rows: int) -> int:
         return rows * self.bits // 8
 
-    def for_rows(self, rows: int) -> Tier:
+    def for_rows(self, rows: int) -> Tier | None:
         """``candidates`` was set for a corpus of ``self.rows``; a larger one needs
-        the same share of its rows."""
+        the same share of its rows. None when that is more than calibration would
+        have tried: search exactly then, or rebuild the index.
+        """
         if not self.rows or rows <= self.rows:
             return self
-        return replace(self, candidates=math.ceil(self.candidates * rows / self.rows), rows=rows)
+        grown = math.ceil(self.candidates * rows / self.rows)
+        if grown > CANDIDATE_STEPS[-1]:
+            return None
+        return replace(self, candidates=grown, rows=rows)
 
 
 # Best first. Targets are fixed values; lighter tiers serve smaller budgets.
@@ -86,6 +93,11 @@ def code_table(corpus: DataFrame, bits: int, dim: int) -> DataFrame:
     return codes.filter(F.col("code").isNotNull())
 
 
+def smaller_blocks(options: Options, candidates: int) -> Options:
+    rows = max(1, min(options.query_block_rows, BLOCK_CANDIDATES // candidates))
+    return replace(options, query_block_rows=rows)
+
+
 def candidate_rows(
     codes: DataFrame,
     block: dict,
@@ -102,7 +114,7 @@ def candidate_rows(
 
 
 def rerank(
-    hits: Hits, corpus: DataFrame, block: dict, options: Options, buckets: int | None = None
+    hits: Hits, corpus: DataFrame, block: dict, buckets: int | None = None
 ) -> Hits:
     """Exact distance of every candidate, best top_k per query."""
     keys, found = ["paper_id"], broadcast_keys(*hits)
@@ -136,9 +148,10 @@ def approximate_nearest(
 
     def search(block: dict) -> Hits:
         found = candidate_rows(codes, block, kind, tier.bits, tier.candidates, seed)
-        return rerank(found, corpus, block, options, buckets)
+        return rerank(found, corpus, block, buckets)
 
-    return broadcast_keys(*by_block(queries, options, search, lambda: no_hits(corpus, kind)))
+    blocks = smaller_blocks(options, tier.candidates)
+    return broadcast_keys(*by_block(queries, blocks, search, lambda: no_hits(corpus, kind)))
 
 
 def sample_papers(corpus: DataFrame, *columns: str) -> DataFrame:
@@ -165,7 +178,7 @@ def recall_by_candidates(
     kind = query_type(queries)
     coded = by_block(
         queries,
-        options,
+        smaller_blocks(options, max(steps)),
         lambda block: candidate_rows(codes, block, kind, bits, max(steps)),
         lambda: no_hits(codes, kind),
     )

@@ -26,7 +26,7 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     """Results of all accepted requests, ranked, with the path that was taken.
 
     The approximate path is taken when the options ask for it and the store has
-    an index. An empty corpus is an error, not an empty result.
+    an index that its corpus has not outgrown. An empty corpus is an error, not an empty result.
     """
     state = store.pointer()
     if state is None or state.rows == 0:
@@ -34,9 +34,9 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     embedder = embedder or WordEmbedder(state.dim)
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
     sample = store.sample_buckets(state)
-    approximate = options.use_approximate and state.index is not None
+    tier = ann.Tier(**state.index).for_rows(state.rows) if state.index else None
+    approximate = options.use_approximate and tier is not None
     if approximate:
-        tier = ann.Tier(**state.index).for_rows(state.rows)
         seed = store.codes(state, sample) if sample else None
         hits = ann.approximate_nearest(
             papers, store.codes(state), queries, tier, options, state.buckets, seed

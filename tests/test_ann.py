@@ -136,3 +136,15 @@ def test_candidates_keep_their_share_of_a_growing_corpus():
     tier = ann.Tier("t", 256, 0.95, candidates=100, rows=1000)
     assert tier.for_rows(900).candidates == 100
     assert tier.for_rows(2500).candidates == 250
+    assert tier.for_rows(16000).candidates == 1600
+    assert tier.for_rows(17000) is None
+
+
+def test_blocks_shrink_with_many_candidates(spark, corpus, monkeypatch):
+    rows, df = corpus
+    codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
+    tier = ann.Tier("t", BITS, None, candidates=30)
+    whole = ann.approximate_nearest(df, codes, queries, tier, Options()).collect()
+    monkeypatch.setattr(ann, "BLOCK_CANDIDATES", 200)
+    parts = ann.approximate_nearest(df, codes, queries, tier, Options()).collect()
+    assert sorted(map(str, whole)) == sorted(map(str, parts))
