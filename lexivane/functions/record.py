@@ -32,7 +32,7 @@ def paper_id(raw: Column) -> Column:
 
 def leading_year(date: Column) -> Column:
     """The first four characters as a number, null when they are none."""
-    return F.when(F.length(date) >= 4, F.substring(date, 1, 4).try_cast("int"))
+    return F.regexp_extract(date, "(?s)^.{4}", 0).try_cast("int")
 
 
 def record_year(record: Column) -> Column:
