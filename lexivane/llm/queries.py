@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexivane.llm import bpe, common, exact, packing, secret_scan, sketch, tokenfile
+from lexivane.llm import bpe, common, exact, jaccard, packing, secret_scan, sketch, tokenfile
 from lexivane.session import work_dir
 
 BPE_50K = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op8_secret_scan(spark, folder):
     )
 
 
+def op9_jaccard_join(spark, folder):
+    return jaccard.similar_documents(common.table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark, folder):
     return exact.exact_duplicates(common.table(spark, folder, "documents"))
 
@@ -73,6 +77,7 @@ QUERIES = {
         op5_fingerprints,
         op7_best_two_fit,
         op8_secret_scan,
+        op9_jaccard_join,
         op10_exact_dedup,
     )
 }
