@@ -46,11 +46,13 @@ BLOCKS = 64
 # Prefix entries of one bucket, and entries a task holds before it hands them on.
 BUCKET_ENTRIES = 1 << 21
 HELD_ENTRIES = 1 << 20
-# Shingles of the texts of one tile, links of one text that stay together, and
-# texts on each side of a block of the second comparison.
+# Shingles of the texts of one tile, links of one text that stay together, and texts
+# of a block of the second comparison.
 TILE_SHINGLES = 1 << 21
 ANCHOR_LINKS = 512
 BLOCK_TEXTS = 1024
+# Rows of tiles one call compares.
+CALL_ROWS = 1 << 15
 FEWEST_BITS, MOST_BITS = 256, 16384
 NEED_BYTES = 120
 
@@ -137,7 +139,7 @@ def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counters of a block; a class above 0 stands out from chance."""
+    """Adds up the counters of a block; classes tell how far a count is from the mean."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -148,8 +150,9 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[block] = part.astype(np.uint64)
     for block, counts in sums.items():
         mean = counts.mean()
-        usual = mean + 6 * np.sqrt(mean) + 8
-        classes = np.ceil(np.log2(np.maximum(counts / usual, 1.0)) * 2).astype(np.uint8)
+        above = (counts - mean) / np.sqrt(mean + 0.25)
+        fine, coarse = np.floor(above * 4) + 32, 150 + 8 * np.log2(np.maximum(above, 16) / 16)
+        classes = np.clip(np.where(above < 16, np.minimum(fine, 150), coarse), 0, 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int32()), pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())],
             names=["block", "classes"],
@@ -157,7 +160,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequency_classes(counted: DataFrame) -> np.ndarray:
-    """One byte a cell, 0 for cells that hold no frequent shingle."""
+    """One byte a cell, the higher the more frequent its shingles."""
     blocks = counted.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block")
     classes = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
     for row in blocks.mapInArrow(_classes, "block int, classes binary").collect():
@@ -364,46 +367,46 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> Da
         tiles(F.col("blocks_below"), lambda j: tile(band - 1, j, own, 1, F.lit(1))),
     )
     spread = known.withColumn("tile", F.explode(sent)).select(
-        "shingle", "tile.low", "tile.step", "tile.i", "tile.j", "tile.side", "doc_id", "size", "component", "bits"
+        "shingle", "tile.*", F.expr("tile.step = 1 OR tile.i <> tile.j").alias("mixed"), "doc_id", "size", "component", "bits"
     )
 
-    def cross(table: pa.Table) -> pa.Table:
-        ids, size, component = (table[c].to_numpy() for c in ("doc_id", "size", "component"))
-        raw = table["bits"].to_pylist()
-        size = size.astype(np.int64)
-        width = min(map(len, raw))
-        maps = folded(raw, width)
-        if table["step"][0].as_py() or table["i"][0].as_py() != table["j"][0].as_py():
-            side = table["side"].to_numpy()
-            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        else:
-            left = right = np.arange(len(ids))
-        out = [[np.empty(0, np.int64)] for _ in range(4)]
+    spread = staged(spread, "jaccard-spread")
+    number = max(1, -(-spread.count() // CALL_ROWS))
+    tile_id = F.xxhash64("shingle", "low", "step", "i", "j")
+    called = spread.withColumn("tile", tile_id).withColumn("call", F.pmod("tile", F.lit(number)))
+    wanted = called.select("call", "tile", "mixed", "side", "doc_id", "size", "component", "bits")
+    return wanted.groupBy("call").applyInArrow(_cross_pairs, TILED).dropDuplicates(["a", "b"])
+
+
+def _cross_pairs(table: pa.Table) -> pa.Table:
+    """The pairs of all tiles of a call that pass size and bitmap bound."""
+    table = table.sort_by("tile")
+    tile, side, ids, size, component = (
+        table[c].to_numpy() for c in ("tile", "side", "doc_id", "size", "component")
+    )
+    size, mixed, raw = size.astype(np.int64), table["mixed"].to_numpy(), table["bits"].to_pylist()
+    edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
+    out: list[list[np.ndarray]] = [[], []]
+    for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        maps = folded(raw[start:end], min(map(len, raw[start:end])))
+        everyone = np.arange(start, end)
+        left = everyone[side[start:end] == 0] if mixed[start] else everyone
+        right = everyone[side[start:end] == 1] if mixed[start] else everyone
         for i in left.tolist():
-            other = right if left is not right else right[i + 1 :]
+            other = right if mixed[start] else right[i + 1 - start :]
             other = other[(component[other] != component[i]) & (ids[other] != ids[i])]
             smaller, larger = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
             other = other[100 * smaller >= PERCENT * larger]
-            if not len(other):
-                continue
-            differing = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1).astype(np.int64)
-            other = other[may_link(size[other], size[i], differing)]
-            swap = ids[other] < ids[i]
-            for column, value in zip(
-                out,
-                (
-                    np.where(swap, ids[other], ids[i]),
-                    np.where(swap, ids[i], ids[other]),
-                    np.where(swap, size[other], size[i]),
-                    np.where(swap, size[i], size[other]),
-                ),
-                strict=True,
-            ):
-                column.append(value)
-        a, b, na, nb = (np.concatenate(c) for c in out)
-        return pa.table({"a": a, "b": b, "na": na.astype(np.int32), "nb": nb.astype(np.int32)})
-
-    return spread.groupBy("shingle", "low", "step", "i", "j").applyInArrow(cross, TILED).dropDuplicates(["a", "b"])
+            if len(other):
+                differing = np.bitwise_count(maps[other - start] ^ maps[i - start]).sum(axis=1).astype(np.int64)
+                other = other[may_link(size[other], size[i], differing)]
+                out[0].append(np.full(len(other), i))
+                out[1].append(other)
+    one, other = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+    swap = ids[other] < ids[one]
+    low, high = np.where(swap, other, one), np.where(swap, one, other)
+    sizes = size.astype(np.int32)
+    return pa.table({"a": ids[low], "b": ids[high], "na": sizes[low], "nb": sizes[high]})
 
 
 def meetings_with_several(placed: DataFrame) -> DataFrame:

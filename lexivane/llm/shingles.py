@@ -46,8 +46,9 @@ class Shingler:
             self.known = {}
         known = self.known
         for words in split:
-            for word in set(words) - known.keys():
-                known[word] = xxhash.xxh3_64_digest(word)
+            for word in words:
+                if word not in known:
+                    known[word] = xxhash.xxh3_64_digest(word)
         hashes = np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(split))), "<u8")
         inner = len(hashes) - (WORDS - 1)
         if inner > 0:
