@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexivane.llm import bpe, common, exact, jaccard, packing, secret_scan, sketch, tokenfile
+from lexivane.llm import bpe, common, exact, jaccard, packing, quality, secret_scan, sketch, tokenfile
 from lexivane.session import work_dir
 
 BPE_50K = "byte_bpe_50k.json"
@@ -14,6 +14,14 @@ END_ID = 2
 SEQUENCE_TOKENS = 1024
 
 
+def op1_quality(spark, folder):
+    docs = common.table(spark, folder, "documents")
+    model = quality.fit(docs, common.table(spark, folder, "labels"))
+    scored = quality.score(docs, model)
+    good = (F.col("score") >= model.settings.threshold).cast("int")
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", good.alias("predicted"))
+
+
 def op2_byte_bpe(spark, folder):
     docs = common.table(spark, folder, "documents")
     path = public_tokenizers.path(BPE_MULTI)
@@ -72,6 +80,7 @@ def op10_exact_dedup(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality,
         op2_byte_bpe,
         op3_token_files,
         op5_fingerprints,
