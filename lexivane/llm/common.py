@@ -54,3 +54,11 @@ def ascii_lower(text: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
+
+
+def free_name(columns: list[str], name: str = "own") -> str:
+    """A column name like ``name`` that none of ``columns`` has, whatever its case."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name

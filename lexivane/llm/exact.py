@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import ascii_lower, maybe_broadcast, staged
+from lexivane.llm.common import ascii_lower, free_name, maybe_broadcast, staged
 
 # Groups larger than this share of all rows are joined by broadcast: there are at
 # most as many of them as the share says, whatever the data.
@@ -131,8 +131,7 @@ def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column:
     losers = staged(per_row.filter("not kept").select("doc_id", "sha"), "exact-losers")
     repeats = staged(per_row.filter("kept and copies > 1").select("doc_id", "sha"), "exact-repeats")
 
-    taken = _free_names(docs.columns, 3)
-    sha, lost_id, lost_sha = taken
+    sha, lost_id, lost_sha = (free_name(docs.columns, n) for n in ("sha", "lost_id", "lost_sha"))
     text = ascii_lower(F.coalesce(F.col(text_column).cast("string"), F.lit("")))
     hashed = docs.withColumn(sha, F.unhex(F.sha2(text, 256)))
 
@@ -148,14 +147,3 @@ def without_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column:
     once = left.join(again, same, "left_semi").dropDuplicates([id_column, sha])
     return left.join(again, same, "left_anti").unionByName(once).drop(sha)
 
-
-def _free_names(columns: list[str], number: int) -> list[str]:
-    """Column names that no column of the input has, whatever its case."""
-    used, found = {c.lower() for c in columns}, []
-    while len(found) < number:
-        name = f"llm_{len(used)}_{len(found)}"
-        while name in used:
-            name += "_"
-        found.append(name)
-        used.add(name)
-    return found

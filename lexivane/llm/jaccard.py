@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import maybe_broadcast, staged
+from lexivane.llm.common import free_name, maybe_broadcast, staged
 from lexivane.llm.components import components
 from lexivane.llm.exact import attach_groups
 from lexivane.llm.shingles import Shingler
@@ -440,3 +440,12 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     return sizes.join(labels, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those that a text of a smaller id stands for, with all their columns."""
+    found = similar_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    name = free_name(docs.columns)
+    losers = staged(found.withColumnRenamed("doc_id", name), "jaccard-losers")
+    small = maybe_broadcast(losers, losers.count(), NEED_BYTES)
+    return docs.join(small, docs["doc_id"] == losers[name], "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexivane.llm import bpe, common, exact, jaccard, packing, quality, secret_scan, sketch, tokenfile
+from lexivane.llm import bpe, common, exact, jaccard, packing, quality, rollup, secret_scan, sketch, tokenfile, urllists
 from lexivane.session import work_dir
 
 BPE_50K = "byte_bpe_50k.json"
@@ -41,10 +41,61 @@ def op3_token_files(spark, folder):
     return tokenfile.read_token_files(spark, manifest)
 
 
+def list_entries(pages):
+    """Dated entries from the hosts of the pages themselves: each host is listed, some are
+    taken off again, some return; some registered domains are listed with all below them."""
+    hosts = pages.select(urllists.host(F.col("url")).alias("host")).filter("host is not null").distinct()
+    number = F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long")
+    start = F.date_add(F.lit("2024-01-01").cast("date"), (number % 300).cast("int"))
+    numbered = hosts.withColumn("number", number).withColumn("start", start)
+
+    def entry(name, value, days, action, wanted):
+        rows = numbered.filter(wanted)
+        return rows.select(F.lit(name).alias("list"), F.expr(value).alias("value"), F.date_add("start", days).alias("dated"), F.lit(action).alias("action"))
+
+    domain = r"regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1)"
+    parts = [
+        entry("spam", "host", 0, "add", "number % 2 = 0"),
+        entry("spam", "host", 40, "remove", "number % 4 = 0"),
+        entry("spam", "host", 90, "add", "number % 8 = 0"),
+        entry("malware", domain, 10, "add", "number % 5 = 0"),
+        entry("malware", domain, 70, "remove", "number % 10 = 0"),
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def op4_url_lists(spark, folder):
+    pages = common.table(spark, folder, "pages")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    captures = pages.select("page_id", "url", day.alias("fetched"))
+    judged = urllists.verdicts(captures, common.staged(list_entries(pages), "url-entries"))
+    return judged.select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 def op5_fingerprints(spark, folder):
     return sketch.edited_fingerprints(common.table(spark, folder, "documents"))
 
 
+def op6_token_rollup(spark, folder):
+    """Everything inserted, a seventh revised (an end id added), an eleventh deleted, the deletion sent twice."""
+    docs = common.table(spark, folder, "documents")
+    bpe_count = rollup.bpe_counts(docs, public_tokenizers.path(BPE_50K), "byte_bpe_50k")
+    counts = common.staged(bpe_count.unionByName(rollup.word_counts(docs, "words")), "rollup-counts")
+    totals = rollup.CountRollup(spark, work_dir(spark, "rollup"))
+    totals.commit("load", rollup.changes(counts, "insert"))
+    longer = counts.filter("tokenizer = 'byte_bpe_50k' and doc_id % 7 = 0").withColumn("tokens", F.col("tokens") + 1)
+    totals.commit("revise", rollup.changes(longer, "revise", "tokens - 1"))
+    ended = F.expr("tokens + if(tokenizer = 'byte_bpe_50k' and doc_id % 7 = 0, 1, 0)")
+    gone = rollup.changes(counts.filter("doc_id % 11 = 0").withColumn("tokens", ended), "delete")
+    totals.commit("delete", gone)
+    totals.fold()
+    totals.commit("delete", gone)
+    return totals.totals()
+
+
 def op7_best_two_fit(spark, folder):
     docs = common.table(spark, folder, "documents")
     return packing.pack(docs, public_tokenizers.path(BPE_50K), END_ID, SEQUENCE_TOKENS)
@@ -83,7 +134,9 @@ QUERIES = {
         op1_quality,
         op2_byte_bpe,
         op3_token_files,
+        op4_url_lists,
         op5_fingerprints,
+        op6_token_rollup,
         op7_best_two_fit,
         op8_secret_scan,
         op9_jaccard_join,
