@@ -44,8 +44,8 @@ PERCENT = 80
 CELLS = 1 << 24
 BLOCKS = 64
 # Prefix entries of one bucket, and entries a task holds before it hands them on.
-BUCKET_ENTRIES = 1 << 21
-HELD_ENTRIES = 1 << 20
+BUCKET_ENTRIES = 1 << 20
+HELD_ENTRIES = 1 << 19
 # Shingles of the texts of one tile, links of one text that stay together, and texts
 # of a block of the second comparison.
 TILE_SHINGLES = 1 << 21
@@ -125,8 +125,9 @@ def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         sizes = pa.array([len(s) for s in sets], pa.int64())
         nothing = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *nothing], names=names)
-    for block, part in enumerate(np.minimum(cells, 0xFFFF).astype("<u2").reshape(BLOCKS, -1)):
+    for block, part in enumerate(cells.reshape(BLOCKS, -1)):
         if part.any():
+            part = np.minimum(part, 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(1, pa.int64()),

@@ -14,7 +14,7 @@ import xxhash
 
 WORDS = 5
 # Most words a worker keeps the hashes of.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
