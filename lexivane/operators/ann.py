@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexivane.operators import kernels
 from lexivane.operators.embed import once
-from lexivane.operators.planning import broadcast_keys
+from lexivane.operators.planning import BROADCAST_BYTES, KEY_ROW_BYTES, broadcast_keys
 from lexivane.operators.search import (
     Hits,
     batch_nearest,
@@ -32,8 +32,10 @@ from lexivane.options import Options
 DEFAULT_CANDIDATES = 400
 CANDIDATE_STEPS = (50, 100, 200, 400, 800, 1600)
 SAMPLE_QUERIES = 64  # for calibration
-# Candidates a task may hold for a block of queries.
-BLOCK_CANDIDATES = 2_000_000
+# Further steps are shares of the corpus: recall falls with its size at a fixed number.
+CANDIDATE_SHARES = (1 / 1024, 1 / 256, 1 / 64, 1 / 16)
+# Candidates of a block of queries; as many ids and numbers are broadcast.
+BLOCK_CANDIDATES = BROADCAST_BYTES // KEY_ROW_BYTES
 
 
 @dataclass(frozen=True)
@@ -49,25 +51,26 @@ class Tier:
     def bytes_for(self, rows: int) -> int:
         return rows * self.bits // 8
 
-    def for_rows(self, rows: int) -> Tier | None:
+    def for_rows(self, rows: int) -> Tier:
         """``candidates`` was set for a corpus of ``self.rows``; a larger one needs
-        the same share of its rows. None when that is more than calibration would
-        have tried: search exactly then, or rebuild the index.
+        the same share of its rows.
         """
         if not self.rows or rows <= self.rows:
             return self
-        grown = math.ceil(self.candidates * rows / self.rows)
-        if grown > CANDIDATE_STEPS[-1]:
-            return None
-        return replace(self, candidates=grown, rows=rows)
+        return replace(self, candidates=math.ceil(self.candidates * rows / self.rows), rows=rows)
+
+
+def candidate_steps(rows: int) -> tuple[int, ...]:
+    """Numbers of candidates a calibration tries."""
+    return (*CANDIDATE_STEPS, *(s for share in CANDIDATE_SHARES if (s := int(rows * share)) > CANDIDATE_STEPS[-1]))
 
 
 # Best first. Targets are fixed values; lighter tiers serve smaller budgets.
 TIERS = (
-    Tier("standard", 256, 0.95),
-    Tier("compact", 128, 0.90),
-    Tier("minimal", 64, None),
-    Tier("tiny", 32, None),
+    Tier("256 planes", 256, 0.95),
+    Tier("128 planes", 128, 0.90),
+    Tier("64 planes", 64, None),
+    Tier("32 planes", 32, None),
 )
 
 
@@ -116,18 +119,22 @@ def candidate_rows(
 def rerank(
     hits: Hits, corpus: DataFrame, block: dict, buckets: int | None = None
 ) -> Hits:
-    """Exact distance of every candidate, best top_k per query."""
-    keys, found = ["paper_id"], broadcast_keys(*hits)
+    """Exact distance of every candidate, best top_k per query.
+
+    What is broadcast is the last thing joined before the corpus: a join consumes the
+    mark of its input, and without it the corpus' vectors would be shuffled.
+    """
+    keys, found = ["paper_id"], hits.frame
     if buckets is not None:
         found = found.withColumn("bucket", bucket_of(F.col("paper_id"), buckets))
         keys = ["bucket", "paper_id"]
     asked = list(zip(block["ids"].to_pylist(), block["k"], strict=True))
     kind = found.schema["query_id"].dataType.simpleString()
     wanted = corpus.sparkSession.createDataFrame(asked, f"query_id {kind}, wanted bigint")
+    asked_for = found.select(*keys, "query_id").join(F.broadcast(wanted), "query_id")
     measured = (
-        found.select(*keys, "query_id")
-        .join(F.broadcast(wanted), "query_id")
-        .join(corpus.select(*keys, "embedding"), keys)
+        corpus.select(*keys, "embedding")
+        .join(broadcast_keys(asked_for, hits.at_most), keys)
         .withColumn("distance", once(kernels.pair_distances(block), "double")("embedding", "query_id"))
         .filter(F.col("distance").isNotNull())
     )
@@ -168,13 +175,19 @@ def recall_by_candidates(
     bits: int,
     options: Options,
     steps: tuple[int, ...] = CANDIDATE_STEPS,
+    own: bool = False,
 ) -> DataFrame:
     """candidates, neighbours, found, recall.
 
+    ``own`` says that the queries are papers of the corpus (see ``sample_papers``): a
+    paper is no neighbour of itself then, as it would be found for nothing.
+
     One exact search and one code search serve all candidate counts: a true
     neighbour is found with c candidates when its code ranks within the best c.
     """
     true = batch_nearest(corpus, queries, options).select("query_id", "paper_id")
+    if own:
+        true = true.filter(F.xxhash64("paper_id") != F.col("query_id"))
     kind = query_type(queries)
     coded = by_block(
         queries,

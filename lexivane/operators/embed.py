@@ -20,6 +20,19 @@ def once(function: Callable, kind: str) -> Callable[[Column], Column]:
     return F.arrow_udf(function, kind).asNondeterministic()
 
 
+def loaded_encoder(key: tuple[str, int], load: Callable[[], Callable]) -> Callable:
+    """What ``load`` gave this process the first time. Kept with the interpreter's own
+    modules, as functions sent to a worker may arrive without theirs."""
+    import sys
+
+    kept = sys.modules.setdefault("_lexivane_encoders", type(sys)("_lexivane_encoders"))
+    if not hasattr(kept, "by_key"):
+        kept.by_key = {}
+    if key not in kept.by_key:
+        kept.by_key[key] = load()
+    return kept.by_key[key]
+
+
 @dataclass(frozen=True)
 class WordEmbedder:
     """The default embedder: hashed words. Lexical, deterministic, no model to load."""
@@ -33,8 +46,9 @@ class WordEmbedder:
 
 @dataclass(frozen=True)
 class ModelEmbedder:
-    """Any batch model: ``load()`` runs once per Python worker and returns an
-    encoder from a list of texts to a matrix. Vectors are made unit length."""
+    """Any batch model: ``load()`` runs once per Python process and returns an
+    encoder from a list of texts to a matrix. Vectors are made unit length.
+    Embedders of one name and dimension share what was loaded."""
 
     load: Callable[[], Callable]
     dim: int
@@ -42,18 +56,16 @@ class ModelEmbedder:
     batch_size: int = 32
 
     def vector(self, text: Column) -> Column:
-        load, dim, batch_size = self.load, self.dim, self.batch_size
-        loaded: list[Callable] = []
-        unit_rows, list_array = kernels.unit_rows, kernels.list_array
+        load, dim, batch_size, key = self.load, self.dim, self.batch_size, (self.name, self.dim)
+        unit_rows, list_array, loaded = kernels.unit_rows, kernels.list_array, loaded_encoder
 
         def embed(texts):
             import numpy as np
 
-            if not loaded:
-                loaded.append(load())
+            encode = loaded(key, load)
             values = texts.fill_null("").to_pylist()
             parts = [
-                np.asarray(loaded[0](values[at : at + batch_size]), dtype=np.float64)
+                np.asarray(encode(values[at : at + batch_size]), dtype=np.float64)
                 for at in range(0, len(values), batch_size)
             ]
             matrix = np.concatenate(parts) if parts else np.zeros((0, dim))

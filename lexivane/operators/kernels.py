@@ -191,42 +191,12 @@ def pack_words(words: np.ndarray) -> np.ndarray:
     return words[:, 0::2] | (words[:, 1::2] << np.uint64(WORD_BITS))
 
 
-def category_matcher() -> Callable[[pa.Array, str], np.ndarray]:
-    """Case-insensitive substring, ``_`` standing for any one character."""
-    seen: dict[tuple[str, str], bool] = {}
-
-    def hits(categories: pa.Array, pattern: str) -> np.ndarray:
-        import re
-
-        coded = categories.dictionary_encode()
-        values = coded.dictionary.to_pylist()
-        like = re.compile(re.escape(pattern.upper()).replace("_", "."), re.DOTALL)
-        for value in values:
-            if (pattern, value) not in seen:
-                seen[pattern, value] = like.search(value.upper()) is not None
-        hit = np.array([seen[pattern, value] for value in values] + [False])
-        return hit[pc.fill_null(coded.indices, len(values)).to_numpy(zero_copy_only=False)]
-
-    return hits
-
-
-def filter_masks(batch: pa.Table, at: np.ndarray, filters: list, matches: Callable):
+def masks(passes: pa.ChunkedArray, at: np.ndarray, filters: int) -> np.ndarray | None:
     """rows x filters, or None when nothing filters."""
-    if filters == [(None, None, None)]:
+    if not filters:
         return None
-    year = pc.cast(batch.column(1), pa.float64()).to_numpy()[at]  # null becomes NaN
-    category = batch.column(2).combine_chunks()
-    masks = []
-    for low, high, pattern in filters:
-        mask = np.ones(len(at), dtype=bool)
-        if low is not None:
-            mask &= year >= low
-        if high is not None:
-            mask &= year <= high
-        if pattern is not None:
-            mask &= matches(category, pattern)[at]
-        masks.append(mask)
-    return np.stack(masks, axis=1)
+    flags = pc.list_flatten(passes).combine_chunks().to_numpy(zero_copy_only=False)
+    return flags.reshape(-1, filters)[at]
 
 
 class Best:
@@ -335,27 +305,27 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
     """Best rows of one task's input for every query of a block.
 
     ``block`` holds ``ids`` (an Arrow array), ``matrix`` (one row per query), ``k`` (rows wanted
-    per query), ``filters`` (per query: lowest year, highest year, category
-    pattern; None where absent) and ``limit`` (no row farther than this can be
-    among the k; infinite where nothing is known). Input columns: id, year, category, vector.
+    per query), ``filters`` (how many there are; 0 when no query has one), ``filter_of``
+    (per query: which one is its own) and ``limit`` (no row farther than this can be
+    among the k; infinite where nothing is known). Input columns: id, one flag per
+    filter that tells whether the row passes, vector.
     Output: query_id, wanted, id, distance; at most ``k`` rows per query, ranked
     by (distance rounded to 9 decimals, id). Filters are applied before ranking,
     so the k rows come from the filtered corpus.
     """
     wanted = np.asarray(block["k"], dtype=np.int64)
-    filters = sorted(set(block["filters"]), key=repr)
-    filter_of = np.array([filters.index(f) for f in block["filters"]], dtype=np.int64)
+    filters, filter_of = block["filters"], np.asarray(block["filter_of"], dtype=np.int64)
     scorer = {"cosine": cosine_scorer, "hamming": hamming_scorer}[measure]
     matrix, limit = block["matrix"], np.asarray(block["limit"], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slack, score = scorer(np.asarray(matrix))
-        best, matches = Best(wanted, limit), category_matcher()
+        best = Best(wanted, limit)
         step = max(1, CELLS // max(len(wanted), width))
         for record_batch in batches:
             batch = pa.Table.from_batches([record_batch])
-            vectors, at = as_matrix(batch.column(3), width, None)
-            mask = filter_masks(batch, at, filters, matches)
+            vectors, at = as_matrix(batch.column(2), width, None)
+            mask = masks(batch.column(1), at, filters)
             ids = batch.column(0).combine_chunks().take(pa.array(at))
             kept = without_spare_copies(vectors, mask, ids, best.deepest)
             if kept is not None:

@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the characters a category filter may hold.
-CATEGORY_PATTERN = r"[A-Za-z0-9.,_\s\-]+"
-
-
-def check_category(pattern: str | None) -> str | None:
-    """Trimmed pattern; blank means no filter; other characters are refused."""
-    pattern = (pattern or "").strip()
-    if not pattern:
-        return None
-    if not re.fullmatch(CATEGORY_PATTERN, pattern):
-        raise ValueError("category filter: only letters, digits, space, comma, dot, _, -")
-    return pattern
-
-
-def category_contains(category: Column, pattern: str) -> Column:
-    """Case-insensitive substring; ``_`` stands for any one character."""
-    return F.upper(category).like(f"%{pattern.upper()}%")
-
+from lexivane.operators.validate import category_filter, category_matches
 
 def search_predicate(
     min_year: int | None = None,
@@ -34,16 +16,18 @@ def search_predicate(
     category: str | None = None,
 ) -> Column | None:
     """The filters that are set, joined by AND; None when none is."""
-    if min_year is not None and max_year is not None and min_year > max_year:
-        raise ValueError("min_year cannot be greater than max_year")
-    category = check_category(category)
+    if None not in (min_year, max_year) and max_year < min_year:
+        raise ValueError(f"years {min_year} to {max_year} are an empty range")
     parts = []
     if min_year is not None:
         parts.append(F.col("year") >= int(min_year))
     if max_year is not None:
         parts.append(F.col("year") <= int(max_year))
     if category is not None:
-        parts.append(category_contains(F.col("category"), category))
+        wanted, fault = category_filter(F.lit(category))
+        like = category_matches(F.col("category"), wanted)
+        refused = F.raise_error(F.concat(F.lit("category filter "), F.lit(category), F.lit(": "), fault))
+        parts.append(F.when(fault.isNotNull(), refused.cast("boolean")).when(wanted.isNull(), True).otherwise(like))
     return reduce(and_, parts) if parts else None
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark.sql.window import Window
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
 from lexivane.operators.planning import broadcast_keys
-from lexivane.operators.predicates import apply_filters
+from lexivane.operators.predicates import search_predicate
 from lexivane.options import Options, check_top_k
 from lexivane.session import work_dir
 
@@ -29,6 +31,8 @@ RESULT_TEXT = ["title", "abstract", "authors", "year", "venue", "doi", "category
 QUERY_COLUMNS = ["query_id", "embedding", "top_k", "min_year", "max_year", "category_contains"]
 HITS = "query_id {query_id}, wanted bigint, paper_id {paper_id}, distance double"
 MERGE_SALTS = 32
+# Different filters one block of queries may have.
+BLOCK_FILTERS = 64
 
 
 def nearest(
@@ -47,10 +51,11 @@ def nearest(
         "ids": pa.array([0]),
         "matrix": np.array([query], dtype=np.float64),
         "k": [check_top_k(k)],
-        "filters": [(None, None, None)],
+        "distinct": [tuple(filters.get(name) for name in ("min_year", "max_year", "category"))],
+        "filter_of": [0],
         "limit": [math.inf],
     }
-    scored = score_block(apply_filters(corpus, **filters), block, "embedding", "cosine", "bigint")
+    scored = score_block(corpus, block, "embedding", "cosine", "bigint")
     order = [V.rank_key(F.col("distance")), F.col("paper_id")]
     hits = scored.select("paper_id", "distance").orderBy(*order).limit(k)
     columns = [c for c in corpus.columns if c not in ("paper_id", "bucket")]
@@ -71,10 +76,11 @@ def result_rows(hits: DataFrame) -> DataFrame:
 
 
 def query_blocks(queries: DataFrame, options: Options) -> Iterator[dict]:
-    """The query table in blocks of ``query_block_rows``.
+    """The query table in blocks of about ``query_block_rows``, each of few filters.
 
-    A table of one block is fetched at once. Of a larger one the driver holds a
-    block at a time, never the whole.
+    A table of one block is fetched at once. A larger one is written to the work folder
+    in parts by a hash of the query id; a part is one block. Equal ids fall into one
+    part, where they are refused.
     """
     size = options.query_block_rows
     columns = [c if c in queries.columns else F.lit(None).alias(c) for c in QUERY_COLUMNS]
@@ -83,46 +89,78 @@ def query_blocks(queries: DataFrame, options: Options) -> Iterator[dict]:
     if head.num_rows <= size:
         tables = iter([head])
     else:
-        rows = usable.toLocalIterator(prefetchPartitions=True)
-        parts = iter(lambda: list(itertools.islice(rows, size)), [])
-        tables = (pa.Table.from_pylist([r.asDict() for r in p], head.schema) for p in parts)
-    yield from filter(None, (query_block(table, options) for table in tables))
+        tables = _staged_parts(usable, size)
+    for table in tables:
+        yield from query_block(table, options)
+
+
+def _staged_parts(usable: DataFrame, size: int) -> Iterator[pa.Table]:
+    spark = usable.sparkSession
+    folder, parted = (work_dir(spark, name) for name in ("queries", "query-parts"))
+    usable.write.parquet(folder)
+    written = spark.read.schema(usable.schema).parquet(folder)
+    widths = written.agg(
+        F.count("*").alias("rows"), F.min(F.size("embedding")), F.max(F.size("embedding"))
+    ).first()
+    if widths[1] != widths[2]:
+        raise ValueError("query vectors differ in length")
+    # Parts differ in size; a quarter less on average keeps nearly all within a block.
+    parts = -(-4 * widths.rows // (3 * size))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    written.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(parted)
+    rows = spark.read.schema(f"{_ddl(usable)}, part bigint").parquet(parted)
+    for number in range(parts):
+        yield rows.filter(F.col("part") == number).drop("part").toArrow()
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
 
+def query_block(table: pa.Table, options: Options) -> Iterator[dict]:
+    """The queries of a part as arrays; none when none has a direction.
 
-def query_block(table: pa.Table, options: Options) -> dict | None:
-    """The queries of a block as arrays; None when none has a direction."""
+    More filters than ``BLOCK_FILTERS`` make several blocks, as each filter is a column
+    expression of the scan.
+    """
     if not table.num_rows:
-        return None
+        return
     vectors = table.column("embedding").combine_chunks()
     matrix, at = kernels.as_matrix(vectors, len(vectors[0]), np.float64)
     if len(at) < table.num_rows:
         raise ValueError("query vectors differ in length")
-    usable = np.flatnonzero(matrix.any(axis=1) & ~np.isnan(matrix).any(axis=1))
-    if not len(usable):
-        return None
-    table = table.take(pa.array(usable))
-    column = {name: table.column(name).to_pylist() for name in QUERY_COLUMNS if name != "embedding"}
-    if len(set(column["query_id"])) < len(usable):
+    ids = table.column("query_id").to_pylist()
+    if len(set(ids)) < len(ids):
         raise ValueError("query ids are not unique")
-    return {
-        "ids": table.column("query_id").combine_chunks(),
-        "matrix": matrix[usable],
-        "limit": [math.inf] * len(usable),
-        "k": [k or options.top_k for k in column["top_k"]],
-        "filters": list(
-            zip(column["min_year"], column["max_year"], column["category_contains"], strict=True)
-        ),
-    }
-
-
-def pushed_filter(corpus: DataFrame, block: dict) -> DataFrame:
-    """The year bounds every query of the block implies, so that the scan can skip."""
-    lows, highs = [f[0] for f in block["filters"]], [f[1] for f in block["filters"]]
-    if None not in lows:
-        corpus = corpus.filter(F.col("year") >= min(lows))
-    if None not in highs:
-        corpus = corpus.filter(F.col("year") <= max(highs))
-    return corpus
+    usable = np.flatnonzero(matrix.any(axis=1) & ~np.isnan(matrix).any(axis=1)).tolist()
+    column = {name: table.column(name).to_pylist() for name in QUERY_COLUMNS if name != "embedding"}
+    filters = list(zip(column["min_year"], column["max_year"], column["category_contains"], strict=True))
+    distinct = sorted({filters[i] for i in usable}, key=repr)
+    for start in range(0, len(distinct), BLOCK_FILTERS):
+        own = {f: place for place, f in enumerate(distinct[start : start + BLOCK_FILTERS])}
+        rows = [i for i in usable if filters[i] in own]
+        yield {
+            "ids": table.column("query_id").combine_chunks().take(pa.array(rows)),
+            "matrix": matrix[rows],
+            "limit": [math.inf] * len(rows),
+            "k": [column["top_k"][i] or options.top_k for i in rows],
+            "distinct": list(own),
+            "filter_of": [own[filters[i]] for i in rows],
+        }
+
+
+def filtered(corpus: DataFrame, distinct: list[tuple]) -> tuple[DataFrame, Column, int]:
+    """Rows some filter of a block lets pass, which ones do, and how many filters there are.
+
+    Filters are column expressions: their alternative is pushed to the scan.
+    """
+    each = [search_predicate(*f) for f in distinct]
+    if all(p is None for p in each):
+        return corpus, F.lit(None).cast("array<boolean>"), 0
+    passes = F.array(*[F.lit(True) if p is None else F.coalesce(p, F.lit(False)) for p in each])
+    if any(p is None for p in each):
+        return corpus, passes, len(each)
+    return corpus.filter(reduce(or_, each)), passes, len(each)
 
 
 def score_block(
@@ -132,14 +170,9 @@ def score_block(
     id_type = corpus.schema["paper_id"].dataType.simpleString()
     hits = HITS.format(query_id=query_type, paper_id=id_type)
     width = block["matrix"].shape[1]
-    kernel = kernels.nearest_rows(block, width, measure)
-    year = F.col("year").cast("int") if "year" in corpus.columns else F.lit(None).cast("int")
-    category = F.col("category") if "category" in corpus.columns else F.lit(None).cast("string")
-    return (
-        pushed_filter(corpus, block)
-        .select("paper_id", year.alias("year"), category.alias("category"), vector)
-        .mapInArrow(kernel, hits)
-    )
+    rows, passes, filters = filtered(corpus, block["distinct"])
+    kernel = kernels.nearest_rows({**block, "filters": filters}, width, measure)
+    return rows.select("paper_id", passes.alias("passes"), vector).mapInArrow(kernel, hits)
 
 
 def best_per_query(hits: DataFrame, deepest: int) -> DataFrame:

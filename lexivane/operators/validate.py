@@ -74,10 +74,24 @@ def rejected_papers(papers: DataFrame) -> DataFrame:
     return validate_papers(papers).filter(F.size("reasons") > 0)
 
 
+def category_filter(pattern: Column) -> tuple[Column, Column]:
+    """A category filter as it is used (null: none), and why it cannot be, or null."""
+    wanted = F.nullif(X.strip(pattern), F.lit(""))
+    fault = F.when(F.length(pattern) > CATEGORY_FILTER_CHARS, "too long").when(
+        ~wanted.rlike(CATEGORY_FILTER), "characters"
+    )
+    return wanted, fault
+
+
+def category_matches(category: Column, wanted: Column) -> Column:
+    """Case-insensitive substring; ``_`` stands for any one character."""
+    return F.like(F.upper(category), F.concat(F.lit("%"), F.upper(wanted), F.lit("%")))
+
+
 def validate_requests(requests: DataFrame) -> DataFrame:
     """Requests with trimmed query and category filter, default top_k and reasons."""
     query, pattern = F.col("query"), F.col("category_contains")
-    trimmed, wanted = X.strip(query), F.nullif(X.strip(pattern), F.lit(""))
+    trimmed, (wanted, _) = X.strip(query), category_filter(pattern)
     top_k = F.coalesce(F.col("top_k"), F.lit(DEFAULT_TOP_K))
     low, high = F.col("min_year"), F.col("max_year")
     return requests.withColumn(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from lexivane.options import Options
+from lexivane.session import configure
 from lexivane.sources.corpus_files import check_output, write_papers
-from lexivane.sources.snapshot import first_rows, papers_from, read_snapshot, records
+from lexivane.sources.snapshot import POSITION, first_rows, papers_from, read_snapshot, records, rejects
 
 
 def build_corpus(
@@ -17,10 +18,21 @@ def build_corpus(
     max_papers: int | None = None,
     form: str = "json",
     overwrite: bool = False,
+    rejects_to: str | None = None,
 ) -> int:
-    """Writes the first ``max_papers`` papers of the listed categories; how many there were."""
+    """Writes the papers of the listed categories; how many there were.
+
+    ``max_papers`` cuts them to the first ones; without it, there and in the options,
+    all are written. Lines that are no records go to ``rejects_to``, by default a
+    folder beside the output, with their place and fault.
+    """
+    configure(spark)
     options = options or Options()
     check_output(spark, output, overwrite)
-    papers = papers_from(records(read_snapshot(spark, snapshot)), options.categories)
-    capped = first_rows(papers, options.max_papers if max_papers is None else max_papers)
-    return write_papers(capped, output, form, overwrite)
+    lines = read_snapshot(spark, snapshot)
+    papers = papers_from(records(lines), options.categories)
+    cap = options.max_papers if max_papers is None else max_papers
+    written = write_papers(papers if cap is None else first_rows(papers, cap), output, form, overwrite)
+    bad = rejects(lines).select(*POSITION, "value", "fault")
+    bad.write.mode("overwrite").parquet(rejects_to or f"{output.rstrip('/')}-rejects")
+    return written

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lexivane import schema
 from lexivane.functions import text as X
 from lexivane.operators import ann
 from lexivane.operators.embed import WordEmbedder, embed
-from lexivane.operators.validate import rejected_papers, valid_papers
+from lexivane.operators.validate import valid_papers, validate_papers
 from lexivane.sources.corpus_files import read_papers
 from lexivane.sources.snapshot import POSITION, first_rows
 from lexivane.sources.store import PaperStore
@@ -31,7 +33,11 @@ def embedded(papers: DataFrame, embedder) -> DataFrame:
 
 
 def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, **options) -> dict:
-    embedder = embedder or WordEmbedder(store.options.embedding_dim)
+    state = store.pointer()
+    dim = state.dim if state else store.options.embedding_dim
+    embedder = embedder or WordEmbedder(dim)
+    if embedder.dim != dim:
+        raise ValueError(f"the embedder gives {embedder.dim} dimensions, the store has {dim}")
     rows = papers.select(*schema.PAPER_COLUMNS, *order)
     return store.upsert(rows, written_at, order, lambda df: embedded(df, embedder), **options)
 
@@ -39,7 +45,7 @@ def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, *
 def title_queries(store: PaperStore, embedder) -> DataFrame:
     """Titles of some papers as search queries, to calibrate an index with."""
     titles = ann.sample_papers(store.sample(), "title")
-    return embed(titles, embedder or WordEmbedder(store.options.embedding_dim), text="title")
+    return embed(titles, embedder or WordEmbedder(store.pointer().dim), text="title")
 
 
 def build_index(
@@ -47,7 +53,7 @@ def build_index(
 ) -> bool:
     if not store.exists():
         return False
-    return store.build_index(title_queries(store, embedder), skip, rebuild)
+    return store.build_index(title_queries(store, embedder), skip, rebuild, own=True)
 
 
 def ingest(
@@ -64,14 +70,36 @@ def ingest(
     """Validates, embeds and upserts a batch, then makes sure there is an index.
 
     ``order`` names the columns that tell which of several rows of one id is the
-    last. In ``quarantine`` mode invalid papers go to the folder ``rejects_to``.
+    last. In ``quarantine`` mode invalid papers go to the folder ``rejects_to``, by
+    default below the store, with their reasons, and are counted; a batch of a stream
+    has a folder of its own, so that its replay writes them once.
     """
-    if mode == "quarantine" and rejects_to:
-        rejected_papers(papers).write.mode("append").parquet(rejects_to)
-    valid = valid_papers(papers, mode)
-    report = _upsert(store, valid, written_at, embedder, order or POSITION, **upsert)
+    rejected, folder = 0, None
+    if mode == "quarantine":
+        folder = f"{store.root}/staging/{uuid.uuid4().hex}"
+        validate_papers(papers).write.parquet(folder)
+        checked = store.spark.read.parquet(folder)
+        valid = checked.filter(F.size("reasons") == 0).drop("reasons")
+        rejected = write_rejects(
+            checked.filter(F.size("reasons") > 0), rejects_to or f"{store.root}/rejects/papers", upsert.get("stream")
+        )
+    else:
+        valid = valid_papers(papers, mode)
+    try:
+        report = _upsert(store, valid, written_at, embedder, order or POSITION, **upsert)
+    finally:
+        if folder:
+            store.remove(folder)
     indexed = build_index(store, embedder) if rebuild_index else store.index() is not None
-    return {**report, "vector_index": "ok" if indexed else "skipped"}
+    return {**report, "rejected": rejected, "vector_index": "ok" if indexed else "skipped"}
+
+
+def write_rejects(rows: DataFrame, folder: str, stream: tuple[str, int] | None = None) -> int:
+    """Writes rejected rows into a folder of this batch; how many there were."""
+    batch = f"{stream[0]}-{stream[1]}" if stream else uuid.uuid4().hex
+    path = f"{folder.rstrip('/')}/batch={batch}"
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path).count()
 
 
 def load_corpus(
@@ -84,13 +112,15 @@ def load_corpus(
     skip_index: bool = False,
     embedder=None,
 ) -> dict:
-    """Loads corpus files: all papers are validated, then the first ones taken.
+    """Loads corpus files: all papers are validated, then taken, or the first ``max_papers``
+    where that is set here or in the options.
 
     With ``replace`` the stored papers and the index go; should the load fail,
     they stay.
     """
     cap = store.options.max_papers if max_papers is None else max_papers
-    papers = first_rows(valid_papers(read_papers(store.spark, path, form)), cap)
+    papers = valid_papers(read_papers(store.spark, path, form))
+    papers = papers if cap is None else first_rows(papers, cap)
     report = _upsert(store, papers, written_at, embedder, POSITION, replace_all=replace)
     indexed = build_index(store, embedder, skip=skip_index)
     return {**report, "vector_index": "ok" if indexed else "skipped"}

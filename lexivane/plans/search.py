@@ -12,6 +12,7 @@ from lexivane.operators.validate import validate_requests
 from lexivane.sources.store import PaperStore
 
 ENGINE = "Spark cosine search"
+PATH_TAKEN = "approximate"
 
 
 def accepted(requests: DataFrame) -> DataFrame:
@@ -25,18 +26,21 @@ def embedded_requests(requests: DataFrame, embedder) -> DataFrame:
 def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     """Results of all accepted requests, ranked, with the path that was taken.
 
-    The approximate path is taken when the options ask for it and the store has
-    an index that its corpus has not outgrown. An empty corpus is an error, not an empty result.
+    The approximate path is taken when the options ask for it and the store has an
+    index. An empty corpus and an embedder of another dimension than the stored
+    vectors are errors, not empty results.
     """
     state = store.pointer()
     if state is None or state.rows == 0:
         raise ValueError("the corpus is empty; load papers first")
     embedder = embedder or WordEmbedder(state.dim)
+    if embedder.dim != state.dim:
+        raise ValueError(f"the embedder gives {embedder.dim} dimensions, the store has {state.dim}")
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
     sample = store.sample_buckets(state)
-    tier = ann.Tier(**state.index).for_rows(state.rows) if state.index else None
-    approximate = options.use_approximate and tier is not None
+    approximate = options.use_approximate and state.index is not None
     if approximate:
+        tier = ann.Tier(**state.index).for_rows(state.rows)
         seed = store.codes(state, sample) if sample else None
         hits = ann.approximate_nearest(
             papers, store.codes(state), queries, tier, options, state.buckets, seed
@@ -44,14 +48,17 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     else:
         hits = batch_nearest(papers, queries, options, store.papers(state, sample) if sample else None)
     found = result_rows(with_papers(hits, papers, buckets=state.buckets))
-    return found.withColumn("approximate", F.lit(approximate))
+    path = F.lit(approximate).alias("approximate", metadata={PATH_TAKEN: approximate})
+    return found.select("*", path)
 
 
-def responses(requests: DataFrame, results: DataFrame, approximate: bool) -> DataFrame:
-    """One row per request: its echo, the path taken and its ranked results.
+def responses(requests: DataFrame, results: DataFrame) -> DataFrame:
+    """One row per request: its echo, the path ``search`` took and its ranked results.
 
-    A result list holds at most top_k entries, so each group is small.
+    The path is part of the results' schema, so it is known for requests without hits
+    too. A result list holds at most top_k entries, so each group is small.
     """
+    approximate = results.schema["approximate"].metadata[PATH_TAKEN]
     columns = [c for c in results.columns if c not in ("query_id", "approximate")]
     ranked = results.groupBy("query_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", *[c for c in columns if c != "rank"]))).alias(

@@ -18,6 +18,13 @@ SETTINGS = {
 }
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Gives a session the settings every job of this package relies on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "lexivane", memory: str = "8g") -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     builder = (

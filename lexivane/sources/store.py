@@ -18,16 +18,19 @@ from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass, field, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivane import schema
 from lexivane.operators import ann
+from lexivane.operators.embed import dimension_fault
 from lexivane.operators.planning import broadcast_keys
 from lexivane.operators.search import bucket_of
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.options import Options
+from lexivane.session import configure
 
 
 @dataclass(frozen=True)
@@ -47,6 +50,7 @@ class Pointer:
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
     rows: int = 0
+    missed: int = 0  # rows of the corpus when an index last missed its target
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -69,7 +73,7 @@ TAIL = T.StructType(
 
 class PaperStore:
     def __init__(self, spark: SparkSession, root: str, options: Options | None = None):
-        self.spark = spark
+        self.spark = configure(spark)
         self.root = root.rstrip("/")
         self.options = options or Options()
 
@@ -87,22 +91,32 @@ class PaperStore:
         if not self._files().exists(folder):
             return None
         names = [f.getPath().getName() for f in self._files().listStatus(folder)]
-        names = sorted(n for n in names if n.endswith(".json"))
-        if not names:
-            return None
-        text = self.spark.read.text(f"{self.root}/pointers/{names[-1]}", wholetext=True)
-        return Pointer(**json.loads(text.first().value))
+        for name in sorted((n for n in names if n.endswith(".json")), reverse=True):
+            try:
+                return Pointer(**json.loads(self._text(self._path("pointers", name))))
+            except ValueError:  # its writer has not finished, so its version is not there yet
+                continue
+        return None
+
+    def _text(self, path) -> str:
+        source = self._files().open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
 
     def _commit(self, state: Pointer) -> None:
-        """Writes the next pointer. Two writers of one version: the second fails."""
-        name = f"{state.version:012d}.json"
-        draft = self._path("pointers", f".{name}-{uuid.uuid4().hex}")
-        out = self._files().create(draft)
+        """Writes the next pointer. Two writers of one version: the second fails, as the
+        file is created only where there is none."""
+        target = self._path("pointers", f"{state.version:012d}.json")
+        try:
+            out = self._files().create(target, False)
+        except Py4JJavaError as error:
+            raise RuntimeError(
+                f"version {state.version} of {self.root} was written by another job"
+            ) from error
         out.write(bytearray(json.dumps(asdict(state)).encode()))
         out.close()
-        target = self._path("pointers", name)
-        if self._files().exists(target) or not self._files().rename(draft, target):
-            raise RuntimeError(f"version {state.version} of {self.root} was written by another job")
 
     def _next(self, state: Pointer, **changes) -> Pointer:
         after = Pointer(**{**asdict(state), **changes, "version": state.version + 1})
@@ -111,6 +125,10 @@ class PaperStore:
         live = {*after.papers.values(), *after.codes.values()}
         return replace(after, written={f: n for f, n in written.items() if f in live})
 
+    def remove(self, path: str) -> None:
+        """Deletes a work folder below the store."""
+        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
     def _require(self) -> Pointer:
         state = self.pointer()
         if state is None:
@@ -245,15 +263,13 @@ class PaperStore:
     def _stage(self, batch, order, prepare, state: Pointer, folder: str) -> DataFrame:
         """One row per id, written once, so that embedding runs once per paper.
 
-        ``usable`` tells whether the row has a vector of the store's dimension.
+        ``fault`` tells what is wrong with a vector of the store's dimension.
         """
         unique = last_per_id(batch, order, copies="copies")
-        usable = F.col("embedding").isNotNull() & (F.size("embedding") == state.dim)
+        fault = dimension_fault(F.col("embedding"), state.dim)
         (
             (prepare(unique) if prepare else unique)
-            .withColumns(
-                {"usable": usable, "bucket": bucket_of(F.col("paper_id"), state.buckets)}
-            )
+            .withColumns({"fault": fault, "bucket": bucket_of(F.col("paper_id"), state.buckets)})
             .write.parquet(f"{self.root}/{folder}")
         )
         return self.spark.read.parquet(f"{self.root}/{folder}")
@@ -265,21 +281,28 @@ class PaperStore:
             .agg(
                 F.sum("copies").alias("rows_in"),
                 F.count(F.lit(1)).alias("distinct_ids"),
-                F.count_if(~F.col("usable")).alias("without_vector"),
+                F.count_if(F.col("fault") == "missing").alias("without_vector"),
+                F.count_if(F.col("fault").isNotNull() & (F.col("fault") != "missing")).alias("unfit"),
+                F.sum(F.when(F.col("paper_id") == "unknown", F.col("copies")).otherwise(0)).alias("unknown_ids"),
             )
             .collect()
         )
-        names = ("rows_in", "distinct_ids", "without_vector")
+        unfit = sum(row.unfit for row in sizes)
+        if unfit:
+            raise ValueError(f"{unfit} vectors do not have {state.dim} numbers, as the store's have")
+        names = ("rows_in", "distinct_ids", "without_vector", "unknown_ids")
         report = {name: sum(row[name] for row in sizes) for name in names}
-        touched = [row.bucket for row in sizes if row.distinct_ids > row.without_vector]
+        touched = [row.bucket for row in sizes]
         if not touched:
             if report["rows_in"] == 0 and not allow_empty:
                 raise ValueError("empty batch")
             return {**report, "inserted": 0, "updated": 0, "skipped": True, "version": state.version}
 
-        batch, rows = staged.filter("usable"), report["distinct_ids"] - report["without_vector"]
+        # A paper without a vector is stored, so that it replaces what it updates; it is not searchable.
+        batch, rows = staged, report["distinct_ids"]
         change = {"streams": state.streams | ({stream[0]: stream[1]} if stream else {})}
-        short = state.tail_rows + rows <= self.options.tail_rows
+        most = self.options.tail_rows
+        short = most is None or state.tail_rows + rows <= most
         write = self._append if state.papers and short else self._rewrite
         inserted = write(batch, rows, touched, written_at, state, change)
         counts = {"inserted": inserted, "updated": rows - inserted}
@@ -336,15 +359,20 @@ class PaperStore:
             self._rewrite(nothing, 0, [], None, state, {})
 
     def build_index(
-        self, queries: DataFrame | None = None, skip: bool = False, rebuild: bool = False
+        self,
+        queries: DataFrame | None = None,
+        skip: bool = False,
+        rebuild: bool = False,
+        own: bool = False,
     ) -> bool:
         """Writes the code table; True when the store has an index at the end.
 
         Nothing happens when there is one already, the store is empty, ``skip``
         is set or no tier fits the budget. The number of candidates is
-        calibrated with sample ``queries``, by default papers of the corpus; an
-        index that misses its target at every number is not kept, and searches
-        stay exact.
+        calibrated with sample ``queries``, by default papers of the corpus (``own``
+        says that given ones are, too); an index that misses its target at every
+        number is not kept, and searches stay exact. It is tried again when the corpus
+        has doubled, or with ``rebuild``.
         """
         state = self.pointer()
         if state is None:
@@ -354,7 +382,7 @@ class PaperStore:
             state = self._require()
         if state.index:
             return True
-        if state.rows == 0 or skip:
+        if state.rows == 0 or skip or (state.rows < 2 * state.missed and not rebuild):
             return False
         tier = ann.choose_tier(state.rows, self.options.index_budget_bytes)
         if tier is None:
@@ -364,15 +392,19 @@ class PaperStore:
         papers = self.papers(state)
         written = self._write(ann.code_table(papers, tier.bits, state.dim), state, "codes")
         if queries is None:
-            queries = ann.sample_papers(self.sample(), "embedding")
-        recall = ann.recall_by_candidates(
-            papers, self._read(written, schema.CODES), queries, tier.bits, self.options
-        )
-        tier = ann.calibrate(tier, recall)
+            queries, own = ann.sample_papers(self.sample(), "embedding"), True
+        steps = ann.candidate_steps(state.rows)
+        codes = self._read(written, schema.CODES)
+        recall = ann.recall_by_candidates(papers, codes, queries, tier.bits, self.options, steps, own)
+        # Without a single neighbour to find there is nothing an index could miss.
+        tier = ann.calibrate(tier, recall) or (None if recall.limit(1).count() else tier)
         if tier is None:
+            self._commit(self._next(state, missed=state.rows))
+            for folder in set(written.values()):
+                self._files().delete(self._path(folder), True)
             return False
         tier = replace(tier, rows=state.rows)
-        self._commit(self._next(state, codes=written, index=asdict(tier)))
+        self._commit(self._next(state, codes=written, index=asdict(tier), missed=0))
         return True
 
     def drop_index(self) -> None:

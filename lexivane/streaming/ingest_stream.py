@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lexivane.plans.ingest import ingest
-from lexivane.sources.snapshot import papers_from, records, with_split
+from lexivane.plans.ingest import ingest, write_rejects
+from lexivane.sources.snapshot import papers_from, records, rejects, with_split
 from lexivane.sources.store import PaperStore
 
 
@@ -30,27 +31,36 @@ def start_ingest(
     embedder=None,
     rejects_to: str | None = None,
     trigger: dict | None = None,
+    on_report: Callable[[dict], None] | None = None,
 ) -> StreamingQuery:
     """Parses, validates, embeds and upserts every micro-batch.
 
     The store notes the last batch of each named stream in the same pointer
-    that publishes its rows, so a replayed batch changes nothing.
+    that publishes its rows, so a replayed batch changes nothing. Invalid papers and
+    lines that are no records go to ``rejects_to/papers`` and ``rejects_to/lines``, by
+    default below the store; ``on_report`` gets the report of every batch, with
+    ``rejected`` and ``bad_lines``.
     """
+    rejected_to = (rejects_to or f"{store.root}/rejects").rstrip("/")
 
     def write(batch: DataFrame, number: int) -> None:
         lines = batch.withColumn("line", F.monotonically_increasing_id())
         papers = papers_from(records(lines), store.options.categories)
-        ingest(
+        bad = rejects(lines).select("file", "block", "value", "fault")
+        bad_lines = write_rejects(bad, f"{rejected_to}/lines", (name, number))
+        report = ingest(
             store,
             papers,
             written_at or datetime.now(timezone.utc),
             embedder=embedder,
             mode="quarantine",
             rebuild_index=False,
-            rejects_to=rejects_to,
+            rejects_to=f"{rejected_to}/papers",
             stream=(name, number),
             allow_empty=True,
         )
+        if on_report:
+            on_report({**report, "bad_lines": bad_lines})
 
     return (
         lines.writeStream.foreachBatch(write)

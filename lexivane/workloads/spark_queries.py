@@ -302,7 +302,7 @@ def filled_store(spark, folder, name, index=False):
 def search_response(spark, folder):
     store, requests = filled_store(spark, folder, "response"), fx.requests(spark, folder)
     results = search(store, requests)
-    answers = responses(accepted(requests), results, approximate=False)
+    answers = responses(accepted(requests), results)
     best = F.get("results", F.lit(0))
     return answers.select(
         "query_id",
@@ -406,7 +406,7 @@ def replace_load(spark, folder):
     ingest(store, turns, BASE_TIME, order=["order"], rebuild_index=False)
     files = work_dir(spark, "replace-files")
     write_papers(fx.papers(spark, folder), files)
-    load_corpus(store, files, BATCH_TIME, max_papers=2_000_000, replace=True, skip_index=True)
+    load_corpus(store, files, BATCH_TIME, replace=True, skip_index=True)
     return stored(store)
 
 

@@ -120,10 +120,10 @@ def test_recall_grows_with_candidates_and_calibration_takes_the_first_that_reach
 
 
 def test_tier_choice_by_budget(spark):
-    assert ann.choose_tier(100, 3200).name == "standard"
-    assert ann.choose_tier(100, 3199).name == "compact"
-    assert ann.choose_tier(100, 800).name == "minimal"
-    assert ann.choose_tier(100, 400).name == "tiny"
+    assert ann.choose_tier(100, 3200).name == "256 planes"
+    assert ann.choose_tier(100, 3199).name == "128 planes"
+    assert ann.choose_tier(100, 800).name == "64 planes"
+    assert ann.choose_tier(100, 400).name == "32 planes"
     assert ann.choose_tier(100, 399) is None
     assert [t.target for t in ann.TIERS] == [0.95, 0.90, None, None]
     budgets = [3200, 3199, 800, 400, 399]
@@ -137,7 +137,9 @@ def test_candidates_keep_their_share_of_a_growing_corpus():
     assert tier.for_rows(900).candidates == 100
     assert tier.for_rows(2500).candidates == 250
     assert tier.for_rows(16000).candidates == 1600
-    assert tier.for_rows(17000) is None
+    assert tier.for_rows(17000).candidates == 1700
+    assert ann.candidate_steps(1000) == ann.CANDIDATE_STEPS
+    assert ann.candidate_steps(1_000_000)[len(ann.CANDIDATE_STEPS) :] == (3906, 15625, 62500)
 
 
 def test_blocks_shrink_with_many_candidates(spark, corpus, monkeypatch):
@@ -148,3 +150,29 @@ def test_blocks_shrink_with_many_candidates(spark, corpus, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_CANDIDATES", 200)
     parts = ann.approximate_nearest(df, codes, queries, tier, Options()).collect()
     assert sorted(map(str, whole)) == sorted(map(str, parts))
+
+
+def test_vectors_are_not_shuffled(spark, corpus, tmp_path):
+    """The candidates are broadcast to the corpus, whatever its size."""
+    rows, df = corpus
+    df.write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    codes, queries = ann.code_table(stored, BITS, DIM), queries_of(spark, rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = ann.approximate_nearest(stored, codes, queries, ann.Tier("t", BITS, None, candidates=20), Options())
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_a_paper_is_no_neighbour_of_itself(spark, corpus):
+    rows, df = corpus
+    queries = ann.sample_papers(df, "embedding")
+    codes = ann.code_table(df, BITS, DIM)
+    with_self, without = (
+        ann.recall_by_candidates(df, codes, queries, BITS, Options(), (10,), own).first() for own in (False, True)
+    )
+    assert without.neighbours < with_self.neighbours and without.recall <= with_self.recall

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from lexivane.functions import vectors as V
 from lexivane.operators import kernels
 from lexivane.operators.embed import ModelEmbedder, WordEmbedder, dimension_fault, embed
-from lexivane.operators.predicates import check_category, search_predicate
+from lexivane.operators.predicates import search_predicate
+from lexivane.operators.validate import category_filter
 from lexivane.operators.search import batch_nearest, nearest, result_rows, with_papers
 from lexivane.options import Options
 
@@ -162,14 +163,14 @@ def test_the_corpus_is_neither_shuffled_nor_read_for_texts(spark, tmp_path):
     stored = spark.read.parquet(path)
     hits = batch_nearest(stored, queries, Options())
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<paper_id:string,embedding:array<float>,year:int,category:string>" in plan
+    assert "ReadSchema: struct<paper_id:string,embedding:array<float>>" in plan
     below = plan[plan.index("MapInArrow") :]
     assert "Exchange" not in below
     joined = with_papers(hits, stored, ["abstract"])._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in joined and "SortMergeJoin" not in joined
 
 
-def test_common_year_bounds_reach_the_scan(spark, tmp_path):
+def test_filters_of_all_queries_reach_the_scan(spark, tmp_path):
     data, corpus = random_corpus(spark)
     corpus.write.parquet(str(tmp_path / "corpus"))
     queries = spark.createDataFrame(
@@ -178,7 +179,8 @@ def test_common_year_bounds_reach_the_scan(spark, tmp_path):
     )
     hits = batch_nearest(spark.read.parquet(str(tmp_path / "corpus")), queries, Options())
     plan = hits._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(year,2000)" in plan and "LessThan" not in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "Or(" in pushed and "GreaterThanOrEqual(year,2000)" in pushed and "GreaterThanOrEqual(year,2003)" in pushed
 
 
 def test_single_query_is_a_top_k_plan_that_reads_texts_last(spark, tmp_path):
@@ -216,11 +218,6 @@ def test_top_k_bounds(spark, k):
 
 def test_predicates():
     assert search_predicate() is None
-    assert check_category("  ") is None
-    assert check_category(" cs.AI ") == "cs.AI"
-    for bad in ("a%b", "a\\b", "a'b"):
-        with pytest.raises(ValueError):
-            check_category(bad)
     with pytest.raises(ValueError):
         search_predicate(2020, 2010)
 
@@ -327,14 +324,14 @@ def test_kernel_is_the_same_for_any_split_into_batches(data):
         "ids": pa.array(range(len(queries))),
         "matrix": np.array(queries, dtype=float),
         "k": k,
-        "filters": [(None, None, None)] * len(queries),
+        "filters": 0,
+        "filter_of": [0] * len(queries),
         "limit": [math.inf] * len(queries),
     }
     batch = pa.RecordBatch.from_pydict(
         {
             "paper_id": [f"p{i:02d}" for i in range(n)],
-            "year": pa.nulls(n, pa.int32()),
-            "category": pa.nulls(n, pa.string()),
+            "passes": pa.nulls(n, pa.list_(pa.bool_())),
             "embedding": pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32())),
         }
     )
@@ -352,3 +349,19 @@ def test_kernel_is_the_same_for_any_split_into_batches(data):
         expected += [(qid, p) for p in brute_force(rows, list(map(float, query)), k[qid])]
     parts = [b for b in (batch.slice(0, cut), batch.slice(cut)) if b.num_rows]
     assert found([batch]) == found(parts) == sorted(expected)
+
+
+def test_large_query_tables_are_searched_in_parts(spark):
+    """Parts, and blocks of few filters, give what one block gives."""
+    _, corpus = random_corpus(spark)
+    rows = [(i, [float(i % 5), 1.0, *[float(i % 3)] * (DIM - 2)], 3, 1990 + i % 9) for i in range(60)]
+    queries = spark.createDataFrame(rows, "query_id long, embedding array<float>, top_k int, min_year int")
+    whole = batch_nearest(corpus, queries, Options()).collect()
+    parts = batch_nearest(corpus, queries, Options(query_block_rows=7)).collect()
+    assert sorted(whole, key=str) == sorted(parts, key=str)
+    twice = queries.unionByName(queries.limit(1))
+    with pytest.raises(ValueError, match="unique"):
+        batch_nearest(corpus, twice, Options(query_block_rows=7))
+    mixed = queries.unionByName(spark.createDataFrame([(99, [1.0], 3, None)], queries.schema))
+    with pytest.raises(ValueError, match="length"):
+        batch_nearest(corpus, mixed, Options(query_block_rows=7))

@@ -156,14 +156,43 @@ def test_empty_batch_is_an_error(spark, store):
     assert store.count() == 0
 
 
-def test_papers_without_words_are_counted_not_stored(spark, store):
+def test_papers_without_words_are_counted_and_stored(spark, store):
     df = papers(spark, ("a", "words", None, 2000, 1), ("b", "!!", None, 2000, 2))
     df = df.withColumn("abstract", F.when(F.col("paper_id") == "b", F.lit("??")).otherwise(F.col("abstract")))
     report = put(store, df)
-    assert (report["without_vector"], report["inserted"]) == (1, 1)
+    assert (report["without_vector"], report["inserted"]) == (1, 2)
+    assert set(content(store)) == {"a", "b"}
+    after = df.filter("paper_id = 'b'").withColumn("paper_id", F.lit("a"))
+    assert put(store, after, SECOND)["updated"] == 1
+    assert content(store)["a"].abstract == "??"
+
+
+def test_another_dimension_is_an_error(spark, store):
+    other = WordEmbedder(store.options.embedding_dim * 2)
+    batch = papers(spark, ("a", "t", None, 2000, 1))
+    put(store, batch)
+    with pytest.raises(ValueError, match="dimensions"):
+        put(store, batch, embedder=other)
+    with pytest.raises(ValueError, match="dimensions"):
+        search(store, request_frame(spark, (1, "words", 5, None, None, None)), other)
+    wrong = batch.withColumn("embedding", F.array(F.lit(1.0).cast("float"))).withColumn("combined_text", F.lit("t"))
+    with pytest.raises(ValueError, match="numbers"):
+        store.upsert(wrong, SECOND, ["seq"])
     assert set(content(store)) == {"a"}
 
 
+def test_a_missed_target_is_not_tried_with_every_batch(spark, store, corpus_file, monkeypatch):
+    from lexivane.operators import ann
+
+    load_corpus(store, corpus_file, FIRST, skip_index=True)
+    monkeypatch.setattr(ann, "calibrate", lambda tier, recall: None)
+    assert not build_index(store) and store.pointer().missed == 300
+    version = store.pointer().version
+    assert not build_index(store) and store.pointer().version == version
+    monkeypatch.undo()
+    assert build_index(store, rebuild=True) and store.pointer().missed == 0
+
+
 def test_an_invalid_paper_stops_the_load_and_changes_nothing(spark, store):
     put(store, papers(spark, ("a", "t", None, 2000, 1)))
     version = store.pointer().version
@@ -178,6 +207,7 @@ def test_quarantine_keeps_the_rejects(spark, store, tmp_path):
     put(store, bad, mode="quarantine", rejects_to=str(tmp_path / "rejects"))
     assert set(content(store)) == {"b"}
     (reject,) = spark.read.parquet(str(tmp_path / "rejects")).collect()
+    assert put(store, bad, mode="quarantine")["rejected"] == 1
     assert (reject.paper_id, reject.reasons) == ("c", ["year out of range"])
 
 
@@ -270,7 +300,7 @@ def test_index_lifecycle(spark, store, corpus_file):
     assert not small.build_index()
     assert build_index(store)
     tier, version = store.index(), store.pointer().version
-    assert tier.name == "standard" and tier.rows == 300
+    assert tier.name == "256 planes" and tier.rows == 300
     assert build_index(store) and store.pointer().version == version
     assert store.codes().count() == 300
     assert build_index(store, rebuild=True) and store.pointer().version > version
@@ -294,7 +324,13 @@ def test_search_takes_the_index_only_when_asked_and_there(spark, store, corpus_f
     request = request_frame(spark, (1, "topic3 study", 5, None, None, None))
     assert {r.approximate for r in search(store, request).collect()} == {False}
     build_index(store)
-    assert {r.approximate for r in search(store, request).collect()} == {True}
+    assert {r.approximate for r in search(store, request).collect()} == {False}
+    through = PaperStore(spark, store.root, Options(embedding_dim=256, use_approximate=True))
+    found = search(through, request)
+    assert {r.approximate for r in found.collect()} == {True}
+    nothing = search(through, request_frame(spark, (1, "topic3", 5, 1800, 1800, None)))
+    for results in (found, nothing):
+        assert responses(accepted(request), results).first().approximate
     plain = PaperStore(spark, store.root, Options(embedding_dim=256, use_approximate=False))
     assert {r.approximate for r in search(plain, request).collect()} == {False}
 
@@ -318,7 +354,7 @@ def test_search_results_and_responses(spark, store, corpus_file):
     second = [r for r in rows if r.query_id == 2]
     assert second and all(2000 <= r.year <= 2005 and r.category == "cs.AI" for r in second)
     assert all(r.similarity == pytest.approx(1 / (1 + max(r.distance, 0))) for r in rows)
-    answers = {r.query_id: r for r in responses(accepted(requests), results, False).collect()}
+    answers = {r.query_id: r for r in responses(accepted(requests), results).collect()}
     assert set(answers) == {1, 2, 4, 5}
     assert answers[1].query == "topic3 study3" and not answers[1].approximate
     assert [p["rank"] for p in answers[1].results] == [1, 2, 3, 4, 5]

@@ -94,8 +94,9 @@ def test_requests_are_trimmed_and_defaulted(spark):
 
 
 def test_option_bounds():
-    assert Options().max_papers == 1200
+    assert Options().max_papers is None
     assert Options(max_papers=400).max_papers == 400
+    assert Options(max_papers=10**12).max_papers == 10**12
     for bad in ({"max_papers": 0}, {"embedding_dim": 7}, {"embedding_dim": 4097}, {"top_k": 51}):
         with pytest.raises(ValueError):
             Options(**bad)
