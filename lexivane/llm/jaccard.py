@@ -10,7 +10,7 @@ is done, never which links are found.
 Texts that meet are compared in tiles of one size band: sizes must agree within the
 threshold; hashed bitmaps of the sets bound the overlap from above by counting bits;
 only what is left is decided on the sorted sets themselves. First every text is
-compared with the smallest id of those it meets, which joins large groups of near
+compared with a few anchors among those it meets, which joins large groups of near
 copies with few comparisons. Then texts that meet but are still in different
 components are compared with each other, in blocks, so no group is ever expanded into
 all its pairs and no possible connection is left out. Exact copies are linked within
@@ -41,8 +41,10 @@ from lexivane.llm.shingles import Shingler
 
 PERCENT = 80
 # Counters of the frequency table; one byte each is broadcast.
-CELLS = 1 << 24
+CELLS = 1 << 25
 BLOCKS = 64
+# Texts of a meeting that all others are compared with first.
+ANCHORS = 3
 # Prefix entries of one bucket, and entries a task holds before it hands them on.
 BUCKET_ENTRIES = 1 << 20
 HELD_ENTRIES = 1 << 19
@@ -67,6 +69,11 @@ def size_band(size: Column) -> Column:
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
 
 
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     """Hashed bits of a set, about two a member, in a power of two."""
     bits = min(MOST_BITS, max(FEWEST_BITS, 1 << int(2 * len(hashes) - 1).bit_length()))
@@ -117,17 +124,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with its size; at the end a row per block of this task's counters."""
     names = ["doc_id", "n_shingles", "block", "counts"]
-    cells = np.zeros(CELLS, np.uint32)
+    cells = np.zeros(CELLS, np.uint8)
     for batch in batches:
         sets = _sets(batch)
         if sets:
-            np.add.at(cells, (np.concatenate(sets) >> np.uint64(40)).astype(np.int64), np.uint32(1))
+            met, times = np.unique(cell_of(np.concatenate(sets)), return_counts=True)
+            cells[met] = np.minimum(cells[met] + times, 255)
         sizes = pa.array([len(s) for s in sets], pa.int64())
         nothing = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *nothing], names=names)
     for block, part in enumerate(cells.reshape(BLOCKS, -1)):
         if part.any():
-            part = np.minimum(part, 0xFFFF).astype("<u2")
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.nulls(1, pa.int64()),
@@ -144,7 +151,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(raw), "<u2")
+            part = np.frombuffer(zlib.decompress(raw), np.uint8)
             if block in sums:
                 sums[block] += part
             else:
@@ -218,7 +225,7 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
                     copies["doc_id"].append(doc_id)
                     copies["copy_of"].append(same)
                     continue
-                order = np.argsort(frequent[(hashes >> np.uint64(40)).astype(np.int64)], kind="stable")
+                order = np.argsort(frequent[cell_of(hashes)], kind="stable")
                 held.append((hashes[order[: prefix_length(len(hashes))]], doc_id, len(hashes)))
                 number += len(held[-1][0])
                 for name, value in (("doc_id", doc_id), ("n", len(hashes)), ("bits", bitmap(hashes))):
@@ -235,11 +242,15 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
     return _texts(docs).mapInArrow(run, ENTRIES)
 
 
-MEETINGS = "shingle long, doc_id long, n int"
+MEETINGS = "meeting long, doc_id long, n int"
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """Texts of a bucket that share a shingle; sets of texts that meet repeatedly count once."""
+    """Texts of a bucket that share a shingle, named by a hash of who meets.
+
+    Near copies share many shingles; the same texts meeting again make the same rows,
+    which are dropped here and, between buckets, by the caller.
+    """
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
     ids = np.frombuffer(b"".join(table["docs"].to_pylist()), "<i8")
     sizes = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
@@ -250,14 +261,12 @@ def _meetings(table: pa.Table) -> pa.Table:
     keys, ids, sizes = keys[new], ids[new], sizes[new]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     ends = np.r_[starts[1:], len(keys)]
-    met, taken = set(), []
+    met: dict[int, np.ndarray] = {}
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        group = xxhash.xxh3_128_digest(ids[a:b])
-        if group not in met:
-            met.add(group)
-            taken.append(np.arange(a, b))
-    at = np.concatenate(taken) if taken else np.empty(0, np.int64)
-    return pa.table({"shingle": keys[at].view("<i8"), "doc_id": ids[at], "n": sizes[at]})
+        met.setdefault(xxhash.xxh3_64_intdigest(ids[a:b]), np.arange(a, b))
+    at = np.concatenate(list(met.values())) if met else np.empty(0, np.int64)
+    names = np.repeat(np.array(list(met), np.uint64), [len(g) for g in met.values()])
+    return pa.table({"meeting": names.view("<i8"), "doc_id": ids[at], "n": sizes[at]})
 
 
 # --- comparing -------------------------------------------------------------------
@@ -312,17 +321,27 @@ def _close(sets: list[np.ndarray], sizes: np.ndarray, maps: list[bytes], i: int,
 
 
 def first_pairs(meetings: DataFrame) -> DataFrame:
-    """Each text with the smallest id it meets by a shingle, where sizes allow a link."""
-    least = meetings.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("a"), F.min_by("n", "doc_id").alias("na")
-    )
-    others, least = meetings.withColumnRenamed("n", "nb"), least.withColumnRenamed("members", "n")
-    rows = attach_groups(others, least, "shingle", meetings.count())
-    return (
-        rows.filter(f"a <> doc_id and 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
-        .select("a", F.col("doc_id").alias("b"), "na", "nb")
-        .dropDuplicates(["a", "b"])
+    """Each text with a few anchors among those it meets, where sizes allow a link.
+
+    Anchors are the texts of the smallest id and of the smallest hashes of it, so texts
+    that meet often have the same ones, and a group of near copies becomes one component
+    although not all of it is similar to one anchor.
+    """
+    orders = [F.col("doc_id"), *[F.xxhash64("doc_id", F.lit(i)) for i in range(1, ANCHORS)]]
+    anchors = [F.struct(F.min_by("doc_id", o).alias("other"), F.min_by("n", o).alias("size")) for o in orders]
+    chosen = meetings.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"), F.array(*anchors).alias("anchors"))
+    rows = attach_groups(meetings.withColumnRenamed("n", "own"), chosen, "meeting", meetings.count())
+    pairs = rows.select("doc_id", "own", F.explode(F.array_distinct("anchors")).alias("anchor"))
+    pairs = pairs.select("doc_id", "own", "anchor.*").filter(
+        f"other <> doc_id and 100 * least(own, size) >= {PERCENT} * greatest(own, size)"
     )
+    first = F.col("doc_id") < F.col("other")
+    return pairs.select(
+        F.least("doc_id", "other").alias("a"),
+        F.greatest("doc_id", "other").alias("b"),
+        F.when(first, F.col("own")).otherwise(F.col("size")).alias("na"),
+        F.when(first, F.col("size")).otherwise(F.col("own")).alias("nb"),
+    ).dropDuplicates(["a", "b"])
 
 
 TILED = "a long, b long, na int, nb int"
@@ -340,17 +359,17 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> Da
         .withColumn("band", size_band(F.col("n")))
     )
     spans = meetings_with_several(placed)
-    several = attach_groups(placed.withColumnRenamed("n", "size"), spans, "shingle", meetings.count())
+    several = attach_groups(placed.withColumnRenamed("n", "size"), spans, "meeting", meetings.count())
     open_rows = staged(several.filter("n is not null").drop("n"), "jaccard-open")
-    per_band = open_rows.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("held"))
+    per_band = open_rows.groupBy("meeting", "band").agg(F.count(F.lit(1)).alias("held"))
     number = F.ceil(F.col("held") / BLOCK_TEXTS).cast("int").alias("blocks")
-    blocks = staged(per_band.select("shingle", "band", F.col("held").alias("n"), number), "jaccard-blocks")
+    blocks = staged(per_band.select("meeting", "band", F.col("held").alias("n"), number), "jaccard-blocks")
     # A text meets its own band and the one above; it is sent to the tiles of both sides.
-    above = blocks.select("shingle", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    below = blocks.select("shingle", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
-    sides = blocks.join(above, ["shingle", "band"], "left").join(below, ["shingle", "band"], "left").fillna(0)
-    sides = sides.withColumn("where", F.struct("shingle", "band")).drop("shingle", "band")
-    rows = open_rows.withColumn("where", F.struct("shingle", "band")).join(bits, "doc_id")
+    above = blocks.select("meeting", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
+    below = blocks.select("meeting", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    sides = blocks.join(above, ["meeting", "band"], "left").join(below, ["meeting", "band"], "left").fillna(0)
+    sides = sides.withColumn("where", F.struct("meeting", "band")).drop("meeting", "band")
+    rows = open_rows.withColumn("where", F.struct("meeting", "band")).join(bits, "doc_id")
     known = attach_groups(rows, sides, "where", open_rows.count())
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
 
@@ -368,12 +387,12 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> Da
         tiles(F.col("blocks_below"), lambda j: tile(band - 1, j, own, 1, F.lit(1))),
     )
     spread = known.withColumn("tile", F.explode(sent)).select(
-        "shingle", "tile.*", F.expr("tile.step = 1 OR tile.i <> tile.j").alias("mixed"), "doc_id", "size", "component", "bits"
+        "meeting", "tile.*", F.expr("tile.step = 1 OR tile.i <> tile.j").alias("mixed"), "doc_id", "size", "component", "bits"
     )
 
     spread = staged(spread, "jaccard-spread")
     number = max(1, -(-spread.count() // CALL_ROWS))
-    tile_id = F.xxhash64("shingle", "low", "step", "i", "j")
+    tile_id = F.xxhash64("meeting", "low", "step", "i", "j")
     called = spread.withColumn("tile", tile_id).withColumn("call", F.pmod("tile", F.lit(number)))
     wanted = called.select("call", "tile", "mixed", "side", "doc_id", "size", "component", "bits")
     return wanted.groupBy("call").applyInArrow(_cross_pairs, TILED).dropDuplicates(["a", "b"])
@@ -406,15 +425,17 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
     one, other = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
     swap = ids[other] < ids[one]
     low, high = np.where(swap, other, one), np.where(swap, one, other)
+    _, once = np.unique(np.stack([ids[low], ids[high]]), axis=1, return_index=True)
+    low, high = low[once], high[once]
     sizes = size.astype(np.int32)
     return pa.table({"a": ids[low], "b": ids[high], "na": sizes[low], "nb": sizes[high]})
 
 
 def meetings_with_several(placed: DataFrame) -> DataFrame:
-    """``shingle, n``: shingles by which texts of more than one component meet."""
-    per_component = placed.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("members"))
-    spans = per_component.groupBy("shingle").agg(F.sum("members").alias("n"), F.count(F.lit(1)).alias("several"))
-    return spans.filter("several > 1").select("shingle", "n")
+    """``meeting, n``: shingles by which texts of more than one component meet."""
+    per_component = placed.groupBy("meeting", "component").agg(F.count(F.lit(1)).alias("members"))
+    spans = per_component.groupBy("meeting").agg(F.sum("members").alias("n"), F.count(F.lit(1)).alias("several"))
+    return spans.filter("several > 1").select("meeting", "n")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -427,7 +448,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     rows = staged(prefix_entries(docs, frequency_classes(counted), buckets), "jaccard-entries")
     packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes")
-    meetings = staged(packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS), "jaccard-meetings")
+    met = packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS)
+    meetings = staged(met.dropDuplicates(["meeting", "doc_id", "n"]), "jaccard-meetings")
     copies = rows.filter("copy_of is not null").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
     bits = rows.filter("bits is not null").select("doc_id", "bits")
 
