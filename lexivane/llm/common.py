@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +20,31 @@ ARROW_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches of this session."""
+    """Bounds the Arrow batches of this session.
+
+    Workers import this package: where it is not installed, they look beside this copy
+    of it (a cluster gets it by ``--py-files``).
+    """
     for key, value in ARROW_SETTINGS.items():
         spark.conf.set(key, value)
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def hold_cache(owner: str, clear: Callable[[], None]) -> None:
+    """Called by whoever is about to fill a cache of this process: the last one's is cleared.
+
+    Workers live on between the stages of a job; without this each would keep the caches
+    of all operators it ever ran.
+    """
+    if _holder and _holder[0][0] != owner:
+        _holder[0][1]()
+    _holder[:] = [(owner, clear)]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 

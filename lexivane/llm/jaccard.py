@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import free_name, maybe_broadcast, staged
+from lexivane.llm.common import free_name, hold_cache, maybe_broadcast, staged
 from lexivane.llm.components import components
 from lexivane.llm.exact import attach_groups
 from lexivane.llm.shingles import Shingler
@@ -105,12 +105,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-@lru_cache(maxsize=1)
-def _shingler() -> Shingler:
-    return Shingler()
+_shingler = lru_cache(maxsize=1)(Shingler)
 
 
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
+    hold_cache("shingles", _shingler.cache_clear)
     return _shingler().sets(batch.column(1).cast(pa.binary()).to_pylist())
 
 

@@ -16,6 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from lexivane.llm.common import hold_cache
+
 # A space is a safe cut between two of these: letters, digits, visible ASCII.
 VISIBLE = r"[\w!-~]"
 SAFE_SPACE = re.compile(f"(?<={VISIBLE}) (?={VISIBLE})")
@@ -103,7 +105,10 @@ class Kept:
         self.recent.update(found)
 
 
-@lru_cache(maxsize=4)
+_loaded = lru_cache(maxsize=4)(PieceEncoder)
+
+
 def piece_encoder(path: str) -> PieceEncoder:
     """One encoder a process."""
-    return PieceEncoder(path)
+    hold_cache("pieces", _loaded.cache_clear)
+    return _loaded(path)

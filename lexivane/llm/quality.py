@@ -32,12 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import staged
+from lexivane.llm.common import hold_cache, staged
 from lexivane.llm.shingles import mixed
 
 SCORES = "doc_id long, score double"
 # Most words a worker keeps the rows of.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 # Words whose vectors are added up at once.
 WORDS_AT_ONCE = 1 << 17
 
@@ -68,6 +68,7 @@ class Lexicon:
     """Row numbers of words, with a hash that tells words of one row apart; keeps those it has met."""
 
     def __init__(self, frequent: list[str], shapes: int) -> None:
+        hold_cache("words", lambda: None)
         self.own = {word: row for row, word in enumerate(frequent)}
         self.base, self.shapes = len(frequent), shapes
         self.size = self.base + shapes
