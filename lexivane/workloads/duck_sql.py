@@ -470,6 +470,12 @@ SELECT (SELECT count(*) FROM turns) + (SELECT count(*) FROM changed) AS rows_in,
   (SELECT count(*) FROM last_turns) AS inserted, (SELECT count(*) FROM changed) AS updated,
   CAST(0 AS BIGINT) AS without_vector""",
     "replace_load": f"WITH {PAPERS} {stored('papers', '2024-02-01')}",
+    "corpus_roundtrip": f"WITH {PAPERS} SELECT * FROM papers",
+    "store_lifecycle": """SELECT step, present, if(filled, n, 0) AS rows, indexed
+FROM (VALUES ('search without store', false, false, false), ('search while empty', true, false, false),
+  ('ingest', true, true, false), ('index skipped', true, true, false), ('index built', true, true, true),
+  ('index dropped', true, true, false), ('emptied', true, false, false)) AS v(step, present, filled, indexed),
+  (SELECT count(*) AS n FROM documents)""",
     "schema_evolve": f"""WITH {PAPERS}, {TURNS}
 SELECT * EXCLUDE (category), CAST(NULL AS VARCHAR) AS category FROM papers
 UNION ALL SELECT * EXCLUDE (turn, category), category FROM turns""",

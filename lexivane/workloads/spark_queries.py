@@ -17,11 +17,11 @@ from lexivane.operators.search import batch_nearest, nearest, result_rows, with_
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.operators.validate import validate_papers, validate_requests
 from lexivane.options import Options
-from lexivane.plans.ingest import ingest, load_corpus, with_combined_text
+from lexivane.plans.ingest import build_index, ingest, load_corpus, with_combined_text
 from lexivane.plans.search import accepted, responses, search
 from lexivane.session import work_dir
 from lexivane.sources import snapshot as S
-from lexivane.sources.corpus_files import write_papers
+from lexivane.sources.corpus_files import read_papers, write_papers
 from lexivane.sources.store import PaperStore
 from lexivane.streaming.ingest_stream import read_snapshot_stream, start_ingest
 from lexivane.workloads import fixtures as fx
@@ -410,6 +410,45 @@ def replace_load(spark, folder):
     return stored(store)
 
 
+def corpus_roundtrip(spark, folder):
+    """Corpus files as written and read again."""
+    files = work_dir(spark, "corpus")
+    write_papers(fx.papers(spark, folder), files)
+    return read_papers(spark, files).select(*schema.PAPER_COLUMNS)
+
+
+def store_lifecycle(spark, folder):
+    """What a store is after each step of its life."""
+    store, steps = PaperStore(spark, work_dir(spark, "life"), Options(embedding_dim=fx.DIM)), []
+
+    def note(step: str) -> None:
+        steps.append((step, store.exists(), store.count(), store.index() is not None))
+
+    def refused(step: str) -> None:
+        try:
+            search(store, fx.requests(spark, folder))
+        except ValueError:
+            note(step)
+
+    refused("search without store")
+    store.create()
+    store.create()
+    refused("search while empty")
+    papers = fx.papers(spark, folder).withColumn("order", F.lit(0))
+    ingest(store, papers, BASE_TIME, order=["order"], rebuild_index=False)
+    note("ingest")
+    build_index(store, skip=True)
+    note("index skipped")
+    build_index(store)
+    build_index(store)
+    note("index built")
+    store.drop_index()
+    note("index dropped")
+    store.create(force=True)
+    note("emptied")
+    return spark.createDataFrame(steps, "step string, present boolean, rows bigint, indexed boolean")
+
+
 def schema_evolve(spark, folder):
     """Files from before the category column, read next to newer ones."""
     old, new = work_dir(spark, "old"), work_dir(spark, "new")
@@ -482,6 +521,8 @@ QUERIES = {
     "upsert_merge": upsert_merge,
     "upsert_report": upsert_report,
     "replace_load": replace_load,
+    "corpus_roundtrip": corpus_roundtrip,
+    "store_lifecycle": store_lifecycle,
     "schema_evolve": schema_evolve,
     "stream_ingest": stream_ingest,
     "corpus_count": corpus_count,

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexivane import schema
-from lexivane.operators.embed import WordEmbedder
+from lexivane.operators.embed import ModelEmbedder, WordEmbedder, embed
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.options import Options
 from lexivane.plans.ingest import build_index, ingest, load_corpus
@@ -442,3 +442,32 @@ def test_a_replayed_batch_changes_nothing(spark, store):
     assert store.pointer().version == version
     assert not put(store, batch, SECOND, stream=("s", 1))["skipped"]
     assert not put(store, batch, SECOND, stream=("other", 0))["skipped"]
+
+
+def test_a_model_is_loaded_once_per_process(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t)), 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0] for t in texts]
+
+    texts = spark.range(64).selectExpr("concat('text ', id) AS combined_text").repartition(16)
+    embed(texts, ModelEmbedder(load, 8, f"counted {folder}")).write.format("noop").mode("overwrite").save()
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert loads and len(loads) == len(set(loads))
+
+
+def test_streams_keep_and_count_what_they_reject(spark, tmp_path):
+    lines = ['{"id": "a/1", "title": "T", "abstract": "words", "categories": "cs.AI", "update_date": "2001"}', "{bad"]
+    lines.append('{"id": "a/2", "title": "T", "abstract": "words", "categories": "cs.AI", "update_date": "1000"}')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "lines.txt").write_text("\n".join(lines))
+    store, reports = PaperStore(spark, str(tmp_path / "store"), OPTIONS), []
+    arriving = read_snapshot_stream(spark, str(tmp_path / "in"))
+    start_ingest(store, arriving, str(tmp_path / "progress"), on_report=reports.append).awaitTermination()
+    assert [(r["rejected"], r["bad_lines"], r["inserted"]) for r in reports] == [(1, 1, 1)]
+    assert spark.read.parquet(f"{store.root}/rejects/papers").first().paper_id == "a-2"
+    assert spark.read.parquet(f"{store.root}/rejects/lines").first().value == "{bad"
