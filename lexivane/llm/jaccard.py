@@ -43,6 +43,8 @@ PERCENT = 80
 # Counters of the frequency table; one byte each is broadcast.
 CELLS = 1 << 25
 BLOCKS = 64
+# Share of all shingles that is counted a second time, with less chance between them.
+RARE_SHARE = 0.35
 # Texts of a meeting that all others are compared with first.
 ANCHORS = 3
 # Prefix entries of one bucket, and entries a task holds before it hands them on.
@@ -74,6 +76,11 @@ def cell_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def second_cell_of(hashes: np.ndarray) -> np.ndarray:
+    """Its counter in the second count, independent of the first."""
+    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+
+
 def bitmap(hashes: np.ndarray) -> bytes:
     """Hashed bits of a set, about two a member, in a power of two."""
     bits = min(MOST_BITS, max(FEWEST_BITS, 1 << int(2 * len(hashes) - 1).bit_length()))
@@ -120,6 +127,17 @@ def _texts(docs: DataFrame) -> DataFrame:
 # --- sizes and frequencies -------------------------------------------------------
 
 
+def _add(cells: np.ndarray, at: np.ndarray) -> None:
+    met, times = np.unique(at, return_counts=True)
+    cells[met] = np.minimum(cells[met] + times, 255)
+
+
+def _packed_blocks(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    for block, part in enumerate(cells.reshape(BLOCKS, -1)):
+        if part.any():
+            yield block, zlib.compress(part.tobytes(), 1)
+
+
 def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text with its size; at the end a row per block of this task's counters."""
     names = ["doc_id", "n_shingles", "block", "counts"]
@@ -127,26 +145,18 @@ def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         sets = _sets(batch)
         if sets:
-            met, times = np.unique(cell_of(np.concatenate(sets)), return_counts=True)
-            cells[met] = np.minimum(cells[met] + times, 255)
+            _add(cells, cell_of(np.concatenate(sets)))
         sizes = pa.array([len(s) for s in sets], pa.int64())
         nothing = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
         yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *nothing], names=names)
-    for block, part in enumerate(cells.reshape(BLOCKS, -1)):
-        if part.any():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(1, pa.int64()),
-                    pa.nulls(1, pa.int64()),
-                    pa.array([block], pa.int32()),
-                    pa.array([zlib.compress(part.tobytes(), 1)], pa.binary()),
-                ],
-                names=names,
-            )
+    for block, raw in _packed_blocks(cells):
+        columns = [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([block], pa.int32()), pa.array([raw], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds up the counters of a block; classes tell how far a count is from the mean."""
+    """Adds up the counters of a block; classes tell how far a count is from the mean,
+    ``held`` how many shingles each class counted."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -160,19 +170,54 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = (counts - mean) / np.sqrt(mean + 0.25)
         fine, coarse = np.floor(above * 4) + 32, 150 + 8 * np.log2(np.maximum(above, 16) / 16)
         classes = np.clip(np.where(above < 16, np.minimum(fine, 150), coarse), 0, 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int32()), pa.array([zlib.compress(classes.tobytes(), 1)], pa.binary())],
-            names=["block", "classes"],
-        )
+        held = np.bincount(classes, weights=counts, minlength=256).astype("<f8")
+        columns = [[block], [zlib.compress(classes.tobytes(), 1)], [held.tobytes()]]
+        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=["block", "classes", "held"])
 
 
-def frequency_classes(counted: DataFrame) -> np.ndarray:
-    """One byte a cell, the higher the more frequent its shingles."""
+def frequency_classes(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """One byte a cell, the higher the more frequent its shingles; shingles of each class."""
     blocks = counted.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block")
-    classes = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
-    for row in blocks.mapInArrow(_classes, "block int, classes binary").collect():
+    classes, held = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8), np.zeros(256)
+    for row in blocks.mapInArrow(_classes, "block int, classes binary, held binary").collect():
         classes[row.block] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
-    return classes.reshape(-1)
+        held += np.frombuffer(row.held, "<f8")
+    return classes.reshape(-1), held
+
+
+def frequency_table(docs: DataFrame, counted: DataFrame) -> np.ndarray:
+    """The order of shingles, a byte a cell: above, at a shingle's first cell, how frequent
+    it is (0: rare); below, at its second cell, the same among rare ones, see ``rank_of``.
+
+    A counter adds up all shingles that fall on it. The second count covers all texts
+    again but rare shingles only, so fewer share a counter and the rest is told apart.
+    """
+    rough, held = frequency_classes(counted)
+    limit = int(np.searchsorted(np.cumsum(held), RARE_SHARE * held.sum()))
+    above = np.minimum(15, np.where(rough <= limit, 0, 1 + (rough.astype(np.int16) - limit) // 8)).astype(np.uint8) << 4
+    shared = docs.sparkSession.sparkContext.broadcast(above)
+
+    def count_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, cells = shared.value, np.zeros(CELLS, np.uint8)
+        for batch in batches:
+            for hashes in _sets(batch):
+                rare = hashes[first[cell_of(hashes)] < 16]
+                at = second_cell_of(rare)
+                cells[at] = np.minimum(cells[at], 254) + 1
+        for block, raw in _packed_blocks(cells):
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["block", "counts"])
+
+    again = staged(_texts(docs).mapInArrow(count_rare, "block int, counts binary"), "jaccard-counts")
+    fine, _ = frequency_classes(again)
+    shared.unpersist()
+    return above | np.clip((fine.astype(np.int16) - 24) // 4, 0, 15).astype(np.uint8)
+
+
+def rank_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Place of each shingle in the common order; equal places are ordered by hash."""
+    above = table[cell_of(hashes)] & 0xF0
+    return np.where(above == 0, table[second_cell_of(hashes)] & 0x0F, above)
 
 
 # --- meeting by prefix shingles --------------------------------------------------
@@ -180,12 +225,12 @@ def frequency_classes(counted: DataFrame) -> np.ndarray:
 ENTRIES = "bucket int, keys binary, docs binary, sizes binary, doc_id long, copy_of long, n long, bits binary"
 
 
-def prefix_entries(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFrame:
+def prefix_entries(docs: DataFrame, order_table: np.ndarray, buckets: int) -> DataFrame:
     """Written rows of three kinds: packed entries of a bucket, copies, and one bitmap per text.
 
     Entries are packed by bucket of their shingle, so the shuffle moves few large rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(order_table)
     names = [f.split()[0] for f in ENTRIES.split(", ")]
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -211,7 +256,7 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
         return batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, first = shared.value, {}
+        table, first = shared.value, {}
         held, number = [], 0
         for batch in batches:
             copies: dict[str, list] = {"doc_id": [], "copy_of": []}
@@ -224,7 +269,7 @@ def prefix_entries(docs: DataFrame, classes: np.ndarray, buckets: int) -> DataFr
                     copies["doc_id"].append(doc_id)
                     copies["copy_of"].append(same)
                     continue
-                order = np.argsort(frequent[cell_of(hashes)], kind="stable")
+                order = np.argsort(rank_of(hashes, table), kind="stable")
                 held.append((hashes[order[: prefix_length(len(hashes))]], doc_id, len(hashes)))
                 number += len(held[-1][0])
                 for name, value in (("doc_id", doc_id), ("n", len(hashes)), ("bits", bitmap(hashes))):
@@ -445,7 +490,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     entries = (sums.shingles or 0) * (100 - PERCENT) // 100 + sums.texts
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
 
-    rows = staged(prefix_entries(docs, frequency_classes(counted), buckets), "jaccard-entries")
+    rows = staged(prefix_entries(docs, frequency_table(docs, counted), buckets), "jaccard-entries")
     packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes")
     met = packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS)
     meetings = staged(met.dropDuplicates(["meeting", "doc_id", "n"]), "jaccard-meetings")
