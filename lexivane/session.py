@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lexivane-"))
+        own = tempfile.mkdtemp(prefix="lexivane-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
         base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/lexivane/{name}-{uuid.uuid4().hex[:12]}"
