@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexivane.operators import ann
 from lexivane.operators.embed import WordEmbedder, embed
+from lexivane.operators.profile import corpus_profile
 from lexivane.operators.search import batch_nearest, result_rows, with_papers
 from lexivane.operators.validate import validate_requests
 from lexivane.sources.store import PaperStore
@@ -52,6 +53,15 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     return found.select("*", path)
 
 
+def profile(store: PaperStore) -> DataFrame:
+    """One row about the stored corpus: its counts from the rows, the rest as the store notes it."""
+    state = store.pointer()
+    if state is None:
+        raise ValueError("there is no corpus")
+    indexed, wanted = state.index is not None, store.options.use_approximate
+    return corpus_profile(store.papers(state), state.model, state.dim, indexed, wanted)
+
+
 def responses(requests: DataFrame, results: DataFrame) -> DataFrame:
     """One row per request: its echo, the path ``search`` took and its ranked results.
 

@@ -50,6 +50,7 @@ class Pointer:
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
     rows: int = 0
+    model: str = ""  # name of the embedder that wrote last
     missed: int = 0  # rows of the corpus when an index last missed its target
 
 
@@ -236,6 +237,7 @@ class PaperStore:
         replace_all: bool = False,
         stream: tuple[str, int] | None = None,
         allow_empty: bool = False,
+        model: str | None = None,
     ) -> dict:
         """Merges a batch of papers and reports what it did.
 
@@ -244,7 +246,8 @@ class PaperStore:
         the batch touches are rewritten; the codes of an index follow in the
         same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
-        is skipped. An empty batch is an error unless ``allow_empty``.
+        is skipped. An empty batch is an error unless ``allow_empty``. ``model`` names
+        the embedder, for the profile of the store.
         """
         self.create()
         state = self._require()
@@ -256,7 +259,7 @@ class PaperStore:
         folder = f"staging/{uuid.uuid4().hex}"
         try:
             staged = self._stage(batch, order, prepare, state, folder)
-            return self._merge(staged, written_at, state, stream, allow_empty)
+            return self._merge(staged, written_at, state, stream, allow_empty, model)
         finally:
             self._files().delete(self._path(folder), True)
 
@@ -274,7 +277,7 @@ class PaperStore:
         )
         return self.spark.read.parquet(f"{self.root}/{folder}")
 
-    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty) -> dict:
+    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty, model) -> dict:
         # All counts come from written files, so that repeated tasks cannot distort them.
         sizes = (
             staged.groupBy("bucket")
@@ -300,7 +303,10 @@ class PaperStore:
 
         # A paper without a vector is stored, so that it replaces what it updates; it is not searchable.
         batch, rows = staged, report["distinct_ids"]
-        change = {"streams": state.streams | ({stream[0]: stream[1]} if stream else {})}
+        change = {
+            "streams": state.streams | ({stream[0]: stream[1]} if stream else {}),
+            "model": model or state.model,
+        }
         most = self.options.tail_rows
         short = most is None or state.tail_rows + rows <= most
         write = self._append if state.papers and short else self._rewrite

@@ -490,5 +490,5 @@ SELECT 'ok' AS status, (SELECT count(*) FROM papers) AS papers_count,
   'hashed-words' AS embedding_model, CAST({DIM} AS INTEGER) AS embedding_dimension,
   (SELECT count(*) FROM papers WHERE paper_id NOT IN (SELECT id FROM d_vec)) AS without_vector,
   CAST({DIM} AS INTEGER) AS min_dimension, CAST({DIM} AS INTEGER) AS max_dimension,
-  'no' AS vector_index, 'exact' AS search_path""",
+  'yes' AS vector_index, 'exact' AS search_path""",
 }

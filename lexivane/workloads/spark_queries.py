@@ -12,13 +12,13 @@ from lexivane.functions import vectors as V
 from lexivane.operators import ann
 from lexivane.operators.embed import WordEmbedder, dimension_fault, embed
 from lexivane.operators.predicates import apply_filters
-from lexivane.operators.profile import corpus_profile, count_papers, display_rows
+from lexivane.operators.profile import count_papers, display_rows
 from lexivane.operators.search import batch_nearest, nearest, result_rows, with_papers
 from lexivane.operators.upsert import last_per_id, merge
 from lexivane.operators.validate import validate_papers, validate_requests
 from lexivane.options import Options
 from lexivane.plans.ingest import build_index, ingest, load_corpus, with_combined_text
-from lexivane.plans.search import accepted, responses, search
+from lexivane.plans.search import accepted, profile, responses, search
 from lexivane.session import work_dir
 from lexivane.sources import snapshot as S
 from lexivane.sources.corpus_files import read_papers, write_papers
@@ -478,9 +478,7 @@ def corpus_count(spark, folder):
 
 
 def corpus_profile_query(spark, folder):
-    embedder = WordEmbedder(fx.DIM)
-    papers = embedded_papers(spark, folder)
-    return corpus_profile(papers, embedder.name, embedder.dim, indexed=False, use_approximate=True)
+    return profile(filled_store(spark, folder, "profile", index=True))
 
 
 QUERIES = {
