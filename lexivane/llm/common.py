@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +42,15 @@ def hold_cache(owner: str, clear: Callable[[], None]) -> None:
     """Called by whoever is about to fill a cache of this process: the last one's is cleared.
 
     Workers live on between the stages of a job; without this each would keep the caches
-    of all operators it ever ran.
+    of all operators it ever ran. What Arrow and the C library keep for later is given
+    back, too.
     """
     if _holder and _holder[0][0] != owner:
         _holder[0][1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
     _holder[:] = [(owner, clear)]
 
 

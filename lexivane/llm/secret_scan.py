@@ -32,6 +32,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lexivane.llm.common import hold_cache
+
 RESULT = "doc_id long, kinds array<string>, starts array<int>, ends array<int>"
 MASK = "[secret]"
 
@@ -92,6 +94,8 @@ def automaton():
     """The keywords of all kinds, each with its kinds and length; one a process."""
     import ahocorasick
 
+    hold_cache("secrets", automaton.cache_clear)
+
     meanings: dict[str, tuple[int, list[int]]] = {}
     for number, kind in enumerate(KINDS):
         for word in kind.keywords:
