@@ -25,7 +25,7 @@ rows; an empty table gives an empty result. Only the id and the text column are
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -394,8 +394,10 @@ TILED = "a long, b long, na int, nb int"
 def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs that meet, may link, and are in different components so far.
 
-    The texts that meet by a shingle are cut into size bands and blocks; a tile is
-    two blocks of one band or of neighbouring ones.
+    The texts that meet by a shingle are cut into size bands and blocks. A tile is two
+    blocks of one band or of neighbouring ones; one holds texts outside the meeting's
+    largest component, the other texts outside it or of it. The largest is never laid
+    against itself, so what is sent grows with the texts outside it.
     """
     placed = (
         meetings.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -404,39 +406,50 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> Da
     )
     spans = meetings_with_several(placed)
     several = attach_groups(placed.withColumnRenamed("n", "size"), spans, "meeting", meetings.count())
-    open_rows = staged(several.filter("n is not null").drop("n"), "jaccard-open")
-    per_band = open_rows.groupBy("meeting", "band").agg(F.count(F.lit(1)).alias("held"))
-    number = F.ceil(F.col("held") / BLOCK_TEXTS).cast("int").alias("blocks")
-    blocks = staged(per_band.select("meeting", "band", F.col("held").alias("n"), number), "jaccard-blocks")
-    # A text meets its own band and the one above; it is sent to the tiles of both sides.
-    above = blocks.select("meeting", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_above"))
-    below = blocks.select("meeting", (F.col("band") + 1).alias("band"), F.col("blocks").alias("blocks_below"))
+    main = (F.col("component") == F.col("largest")).alias("main")
+    open_rows = staged(several.filter("n is not null").select(*[c for c in placed.columns if c != "n"], "size", main), "jaccard-open")
+    per_band = open_rows.groupBy("meeting", "band").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("main")).alias("others"), F.count_if("main").alias("mains")
+    )
+    numbers = [F.ceil(F.col(c) / BLOCK_TEXTS).cast("int").alias(c) for c in ("others", "mains")]
+    blocks = staged(per_band.select("meeting", "band", "n", *numbers), "jaccard-blocks")
+    # A text meets its own band and both neighbours.
+    above, below = (
+        blocks.select("meeting", (F.col("band") - step).alias("band"), F.col("others").alias(f"others_{name}"), F.col("mains").alias(f"mains_{name}"))
+        for step, name in ((1, "above"), (-1, "below"))
+    )
     sides = blocks.join(above, ["meeting", "band"], "left").join(below, ["meeting", "band"], "left").fillna(0)
     sides = sides.withColumn("where", F.struct("meeting", "band")).drop("meeting", "band")
-    rows = open_rows.withColumn("where", F.struct("meeting", "band")).join(bits, "doc_id")
-    known = attach_groups(rows, sides, "where", open_rows.count())
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-
-    def tile(low_band: Column, i: Column, j: Column, step: int, side: Column) -> Column:
-        return F.struct(low_band.alias("low"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"), side.alias("side"))
-
-    def tiles(number: Column, make) -> Column:
-        none = F.array().cast("array<struct<low:int,step:int,i:int,j:int,side:int>>")
-        return F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), make)).otherwise(none)
-
-    band = F.col("band")
-    sent = F.concat(
-        tiles(F.col("blocks"), lambda j: tile(band, F.least(own, j), F.greatest(own, j), 0, (own > j).cast("int"))),
-        tiles(F.col("blocks_above"), lambda j: tile(band, own, j, 1, F.lit(0))),
-        tiles(F.col("blocks_below"), lambda j: tile(band - 1, j, own, 1, F.lit(1))),
-    )
-    spread = known.withColumn("tile", F.explode(sent)).select(
-        "meeting", "tile.*", F.expr("tile.step = 1 OR tile.i <> tile.j").alias("mixed"), "doc_id", "size", "component", "bits"
+    known = attach_groups(open_rows.withColumn("where", F.struct("meeting", "band")), sides, "where", open_rows.count())
+    known = known.filter("not main or others + others_above + others_below > 0").join(bits, "doc_id")
+    held = F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))
+    own = F.pmod(F.xxhash64("doc_id"), held).cast("int")
+
+    def tile(low: Column, high: Column, i: Column, j: Column, whole: int, side: Column) -> Column:
+        return F.struct(
+            low.alias("low"), high.alias("high"), i.alias("i"), j.alias("j"), F.lit(whole).alias("whole"), side.alias("side")
+        )
+
+    def tiles(number: str, make: Callable[[Column], Column]) -> Column:
+        none = F.array().cast("array<struct<low:int,high:int,i:int,j:int,whole:int,side:int>>")
+        return F.when(F.col(number) > 0, F.transform(F.sequence(F.lit(0), F.col(number) - 1), lambda x: make(x))).otherwise(none)
+
+    band, left, right = F.col("band"), F.lit(0), F.lit(1)
+    steps = (("", 0), ("_above", 1), ("_below", -1))
+    of_main = F.concat(*[tiles(f"others{s}", lambda i, d=d: tile(band + d, band, i, own, 1, right)) for s, d in steps])
+    of_other = F.concat(
+        tiles("others", lambda j: tile(band, band, F.least(own, j), F.greatest(own, j), 0, (own > j).cast("int"))),
+        tiles("others_above", lambda j: tile(band, band + 1, own, j, 0, left)),
+        tiles("others_below", lambda i: tile(band - 1, band, i, own, 0, right)),
+        *[tiles(f"mains{s}", lambda j, d=d: tile(band, band + d, own, j, 1, left)) for s, d in steps],
     )
+    sent = F.when(F.col("main"), of_main).otherwise(of_other)
+    mixed = F.expr("tile.whole = 1 OR tile.low <> tile.high OR tile.i <> tile.j").alias("mixed")
+    spread = known.withColumn("tile", F.explode(sent)).select("meeting", "tile.*", mixed, "doc_id", "size", "component", "bits")
 
     spread = staged(spread, "jaccard-spread")
     number = max(1, -(-spread.count() // CALL_ROWS))
-    tile_id = F.xxhash64("meeting", "low", "step", "i", "j")
+    tile_id = F.xxhash64("meeting", "low", "high", "i", "j", "whole")
     called = spread.withColumn("tile", tile_id).withColumn("call", F.pmod("tile", F.lit(number)))
     wanted = called.select("call", "tile", "mixed", "side", "doc_id", "size", "component", "bits")
     return wanted.groupBy("call").applyInArrow(_cross_pairs, TILED).dropDuplicates(["a", "b"])
@@ -476,10 +489,14 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
 
 
 def meetings_with_several(placed: DataFrame) -> DataFrame:
-    """``meeting, n``: shingles by which texts of more than one component meet."""
+    """``meeting, n, largest``: meetings of more than one component, and which has most of the texts."""
     per_component = placed.groupBy("meeting", "component").agg(F.count(F.lit(1)).alias("members"))
-    spans = per_component.groupBy("meeting").agg(F.sum("members").alias("n"), F.count(F.lit(1)).alias("several"))
-    return spans.filter("several > 1").select("meeting", "n")
+    spans = per_component.groupBy("meeting").agg(
+        F.sum("members").alias("n"),
+        F.count(F.lit(1)).alias("several"),
+        F.max_by("component", F.struct("members", "component")).alias("largest"),
+    )
+    return spans.filter("several > 1").drop("several")
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:

@@ -66,6 +66,28 @@ def test_near_copies_equal_brute_force(spark, seed, monkeypatch):
     assert found(frame(spark, rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("outside", [{90: 10}, {90: 10, 91: 12, 92: 8, 93: 30}])
+def test_largest_component_is_not_laid_against_itself(spark, outside, monkeypatch):
+    """Rows sent grow with the texts outside the largest component; no pair is left out."""
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 4)
+    rows, written = {}, jaccard.staged
+
+    def counting(df, name):
+        out = written(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", counting)
+    sizes = {i: 10 + i % 2 for i in range(64)} | outside
+    meetings = spark.createDataFrame([(1, i, n) for i, n in sizes.items()], jaccard.MEETINGS)
+    labels = spark.createDataFrame([(i, 0) for i in range(64)], "node long, component long")
+    bits = spark.createDataFrame([(i, bytes(32)) for i in sizes], "doc_id long, bits binary")
+    got = [(r.a, r.b) for r in jaccard.further_pairs(meetings, labels, bits).collect()]
+    near = [(a, b) for a in sizes for b in outside if a < b and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])]
+    assert sorted(got) == sorted(near)
+    assert rows["jaccard-spread"] <= 64 * len(outside) + len(outside) * (64 // 4 + 3 + len(outside))
+
+
 def test_one_of_each(spark, odd):
     left = [r.doc_id for r in jaccard.one_of_each(odd).collect()]
     assert sorted(i for i in left if i) == sorted(i for i, _, c in brute(odd_texts()) if i and i == c)
