@@ -290,7 +290,7 @@ MEETINGS = "meeting long, doc_id long, n int"
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """Texts of a bucket that share a shingle, named by a hash of who meets.
+    """Texts of a bucket that share a shingle, named by a hash of who meets with which sizes.
 
     Near copies share many shingles; the same texts meeting again make the same rows,
     which are dropped here and, between buckets, by the caller.
@@ -305,9 +305,10 @@ def _meetings(table: pa.Table) -> pa.Table:
     keys, ids, sizes = keys[new], ids[new], sizes[new]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
     ends = np.r_[starts[1:], len(keys)]
+    who = np.stack([ids, sizes.astype("<i8")], axis=1)
     met: dict[int, np.ndarray] = {}
     for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        met.setdefault(xxhash.xxh3_64_intdigest(ids[a:b]), np.arange(a, b))
+        met.setdefault(xxhash.xxh3_64_intdigest(who[a:b]), np.arange(a, b))
     at = np.concatenate(list(met.values())) if met else np.empty(0, np.int64)
     names = np.repeat(np.array(list(met), np.uint64), [len(g) for g in met.values()])
     return pa.table({"meeting": names.view("<i8"), "doc_id": ids[at], "n": sizes[at]})

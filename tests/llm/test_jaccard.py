@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexivane.llm import jaccard
@@ -88,6 +89,16 @@ def test_largest_component_is_not_laid_against_itself(spark, outside, monkeypatc
     assert rows["jaccard-spread"] <= 64 * len(outside) + len(outside) * (64 // 4 + 3 + len(outside))
 
 
+def test_an_id_of_two_texts_meets_with_both_sizes():
+    keys, ids, sizes = np.array([1, 1, 2, 2], "<u8"), np.array([5, 7, 5, 7], "<i8"), np.array([10, 100, 100, 100], "<i4")
+    table = pa.table({"keys": [keys.tobytes()], "docs": [ids.tobytes()], "sizes": [sizes.tobytes()]})
+    got = jaccard._meetings(table).to_pylist()
+    met = {}
+    for row in got:
+        met.setdefault(row["meeting"], set()).add((row["doc_id"], row["n"]))
+    assert sorted(map(sorted, met.values())) == [[(5, 10), (7, 100)], [(5, 100), (7, 100)]]
+
+
 def test_one_of_each(spark, odd):
     left = [r.doc_id for r in jaccard.one_of_each(odd).collect()]
     assert sorted(i for i in left if i) == sorted(i for i, _, c in brute(odd_texts()) if i and i == c)
