@@ -6,7 +6,9 @@ of its neighbours, with its own fixed vector added. Frequent words have rows of
 own, all others share rows by shape (letter case, digits, marks), so a word never seen
 still has a vector. A document is the mean and the spread of its words' vectors, its
 length, the share of its words that differ, and the share of words that repeat the
-word before. A network with one hidden layer, trained in numpy, gives a logit; its
+word before. Words are what white space separates; longer ones than ``PIECE_CHARS`` are
+cut into pieces that count as words each, so every character of a text without spaces
+counts. A network with one hidden layer, trained in numpy, gives a logit; its
 temperature is fitted on rows that the training did not see.
 
 The fit uses at most ``Settings.sample_rows`` labelled rows, the first by a hash of
@@ -38,6 +40,8 @@ from lexivane.llm.shingles import mixed
 SCORES = "doc_id long, score double"
 # Most words a worker keeps the rows of.
 KEPT_WORDS = 300_000
+# Characters of the pieces that longer words are cut into.
+PIECE_CHARS = 64
 # Words whose vectors are added up at once.
 WORDS_AT_ONCE = 1 << 17
 
@@ -58,9 +62,17 @@ class Settings:
     seed: int = 7
 
 
+def pieces(text: str | None) -> list[str]:
+    """The words of a text, long ones in pieces."""
+    words = text.split() if text else []
+    if words and len(max(words, key=len)) > PIECE_CHARS:
+        return [word[at : at + PIECE_CHARS] for word in words for at in range(0, len(word), PIECE_CHARS)]
+    return words
+
+
 def word_shape(word: str) -> str:
     """Runs of small letters, capitals and digits as one sign each; marks stay, runs shortened."""
-    signs = ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c for c in word[:64])
+    signs = ("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else "w" if c.isalpha() else c for c in word)
     return re.sub(r"(.)\1+", r"\1", "".join(signs))
 
 
@@ -82,8 +94,7 @@ class Lexicon:
 
     def words(self, text: str | None) -> np.ndarray:
         """One number a word: its row in the low 32 bits, its hash above."""
-        words = text.split() if text else []
-        known = self.known
+        words, known = pieces(text), self.known
         if len(known) > KEPT_WORDS:
             known.clear()
         for word in words:
@@ -240,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels, settings), "quality-sample").repartition(8)
     learned = sample.filter("not calibrates")
-    split = learned.select(F.explode(F.split("text", r"\s+")).alias("word")).filter("word <> ''")
+    cut = F.regexp_extract_all("text", F.lit(rf"\S{{1,{PIECE_CHARS}}}"), F.lit(0))
+    split = learned.select(F.explode(cut).alias("word"))
     frequent = [
         r.word
         for r in split.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")

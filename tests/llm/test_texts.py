@@ -145,6 +145,17 @@ def test_quality_on_rows_not_learned_from(spark, odd, nothing):
     assert quality.score(nothing, model).count() == quality.keep_good(nothing, model).count() == 0
 
 
+def test_all_of_a_text_without_spaces_counts():
+    lexicon = quality.Lexicon(["the"], 1024)
+    vectors = quality.index_vectors(lexicon.size, quality.Settings())
+    start, tails = "abc" * 40, ["", "1.2;" * 100, "文,字。" * 100, "1.2;" * 1000, "1.2;" * 1000 + "A!"]
+    pooled = [quality.pooled(lexicon.words(start + tail), vectors) for tail in tails]
+    for n, one in enumerate(pooled):
+        assert all(np.abs(one[:-3] - other[:-3]).max() > 1e-4 for other in pooled[:n])
+    assert "".join(quality.pieces(f"the {start}\u3000 end")) == f"the{start}end"
+    assert quality.pieces("the end") == ["the", "end"] and quality.pieces(None) == quality.pieces(" ") == []
+
+
 def test_quality_needs_both_classes(spark, nothing):
     rows, labels = labelled(spark, 40)
     with pytest.raises(ValueError, match="labels"):
