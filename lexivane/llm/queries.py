@@ -5,7 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from lexivane.llm import bpe, common, exact, jaccard, packing, quality, rollup, secret_scan, sketch, tokenfile, urllists
+from lexivane.llm import (
+    bpe,
+    common,
+    exact,
+    jaccard,
+    merkle,
+    packing,
+    quality,
+    rollup,
+    secret_scan,
+    simhash,
+    sketch,
+    tokenfile,
+    urllists,
+    veccode,
+)
 from lexivane.session import work_dir
 
 BPE_50K = "byte_bpe_50k.json"
@@ -128,6 +143,21 @@ def op10_exact_dedup(spark, folder):
     return exact.exact_duplicates(common.table(spark, folder, "documents"))
 
 
+def op11_simhash(spark, folder):
+    return simhash.similar_documents(common.table(spark, folder, "documents"))
+
+
+def op12_merkle(spark, folder):
+    """Proofs of all rows; every second document, by a hash of its id, is checked without its line ends."""
+    docs = common.table(spark, folder, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    return merkle.manifest(docs, {"text": F.translate("text", "\n", "")}, tampered)
+
+
+def op13_vector_codes(spark, folder):
+    return veccode.vector_codes(common.table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -141,5 +171,8 @@ QUERIES = {
         op8_secret_scan,
         op9_jaccard_join,
         op10_exact_dedup,
+        op11_simhash,
+        op12_merkle,
+        op13_vector_codes,
     )
 }
