@@ -159,28 +159,32 @@ def cosine_scorer(queries: np.ndarray) -> tuple[float, Callable]:
     return (width + 8) * 2.0**-23 + 1e-9, score
 
 
-def hamming_scorer(queries: np.ndarray) -> tuple[float, Callable]:
-    """Differing bits; the scores are exact."""
-    packed = pack_words(queries)
+def screening(screen: dict) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """rows x queries: whether a row is to be measured for a query.
+
+    It is where the row's band is ``opened`` for the query, and where the band is ``near``
+    and the codes differ in ``bound`` bits at most.
+    """
+    packed = pack_words(screen["codes"])
     columns = np.ascontiguousarray(packed.T)
+    opened, near = (np.ascontiguousarray(screen[name].T) for name in ("opened", "near"))
+    bound = screen["bound"]
 
-    def score(vectors: np.ndarray) -> tuple[np.ndarray, Callable]:
-        rows = pack_words(vectors)
-        total = np.zeros((len(rows), len(packed)), dtype=np.uint16)
+    def wanted(bands: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = opened[bands]
+        rows = pack_words(codes)
         # A few rows at a time, so that what one word leaves fits the processor's cache.
         step = max(1, CACHED_CELLS // len(packed))
-        differing = np.empty((step, len(packed)), dtype=np.uint64)
-        ones = np.empty((step, len(packed)), dtype=np.uint8)
         for at in range(0, len(rows), step):
-            part = rows[at : at + step]
-            d, c = differing[: len(part)], ones[: len(part)]
-            for word in range(packed.shape[1]):
-                np.bitwise_xor(part[:, word, None], columns[word], out=d)
-                np.bitwise_count(d, out=c)
-                total[at : at + step] += c
-        return total, lambda row, q: total[row, q].astype(np.float64)
+            part, close = rows[at : at + step], near[bands[at : at + step]]
+            if close.any():
+                total = np.zeros((len(part), len(packed)), dtype=np.uint16)
+                for word in range(packed.shape[1]):
+                    total += np.bitwise_count(part[:, word, None] ^ columns[word])
+                out[at : at + step] |= close & (total <= bound)
+        return out
 
-    return 0.0, score
+    return wanted
 
 
 def pack_words(words: np.ndarray) -> np.ndarray:
@@ -301,25 +305,27 @@ def without_spare_copies(
     return np.flatnonzero(keep)
 
 
-def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator], Iterator]:
+def nearest_rows(block: dict, width: int) -> Callable[[Iterator], Iterator]:
     """Best rows of one task's input for every query of a block.
 
     ``block`` holds ``ids`` (an Arrow array), ``matrix`` (one row per query), ``k`` (rows wanted
     per query), ``filters`` (how many there are; 0 when no query has one), ``filter_of``
     (per query: which one is its own) and ``limit`` (no row farther than this can be
     among the k; infinite where nothing is known). Input columns: id, one flag per
-    filter that tells whether the row passes, vector.
+    filter that tells whether the row passes, vector; with a ``screen``, which says which
+    rows are to be measured for which query (see ``screening``), also band and code.
     Output: query_id, wanted, id, distance; at most ``k`` rows per query, ranked
     by (distance rounded to 9 decimals, id). Filters are applied before ranking,
     so the k rows come from the filtered corpus.
     """
     wanted = np.asarray(block["k"], dtype=np.int64)
     filters, filter_of = block["filters"], np.asarray(block["filter_of"], dtype=np.int64)
-    scorer = {"cosine": cosine_scorer, "hamming": hamming_scorer}[measure]
     matrix, limit = block["matrix"], np.asarray(block["limit"], dtype=np.float64)
+    screen = block.get("screen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slack, score = scorer(np.asarray(matrix))
+        slack, score = cosine_scorer(np.asarray(matrix))
+        measured = screening(screen) if screen else None
         best = Best(wanted, limit)
         step = max(1, CELLS // max(len(wanted), width))
         for record_batch in batches:
@@ -327,15 +333,29 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
             vectors, at = as_matrix(batch.column(2), width, None)
             mask = masks(batch.column(1), at, filters)
             ids = batch.column(0).combine_chunks().take(pa.array(at))
+            if measured:
+                bands = batch.column(3).to_numpy()[at]
+                codes = as_matrix(batch.column(4), screen["codes"].shape[1], None)[0][at]
             kept = without_spare_copies(vectors, mask, ids, best.deepest)
             if kept is not None:
                 vectors, ids = vectors[kept], ids.take(pa.array(kept))
                 mask = None if mask is None else mask[kept]
+                if measured:
+                    bands, codes = bands[kept], codes[kept]
             for start in range(0, len(vectors), step):
-                rough, exact = score(vectors[start : start + step])
+                own = np.arange(start, min(start + step, len(vectors)))
+                if measured:
+                    wanted_for = measured(bands[own], codes[own])
+                    some = wanted_for.any(axis=1)
+                    own, wanted_for = own[some], wanted_for[some]
+                if not len(own):
+                    continue
+                rough, exact = score(vectors[own])
                 passing = rough <= best.limit + slack
+                if measured:
+                    passing &= wanted_for
                 if mask is not None:
-                    passing &= mask[start : start + step][:, filter_of]
+                    passing &= mask[own][:, filter_of]
                 if len(rough) > best.deepest and np.count_nonzero(passing) > best.room:
                     # The k-th best of any part bounds the k-th best of the whole.
                     inside = np.where(passing, rough, np.inf)
@@ -344,7 +364,7 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
                     passing &= rough <= best.limit + slack
                 row, q = np.divmod(np.flatnonzero(passing), len(wanted))
                 if len(row):
-                    best.add(ids.slice(start, step), row, q, exact(row, q))
+                    best.add(ids.take(pa.array(own)), row, q, exact(row, q))
         if best.kept:
             q, distance, ids = best.shrink()
             query_ids = block["ids"].take(pa.array(q))
@@ -355,19 +375,5 @@ def nearest_rows(block: dict, width: int, measure: str) -> Callable[[Iterator],
     return run
 
 
-def pair_distances(block: dict) -> Callable[[pa.Array, pa.Array], pa.Array]:
-    """Cosine distance of vectors and the queries whose ids stand next to them."""
-    queries, known = unit_vectors(np.asarray(block["matrix"])), block["ids"]
-
-    def measure(vectors: pa.Array, query_ids: pa.Array) -> pa.Array:
-        matrix, at = as_matrix(vectors, queries.shape[1], None)
-        q = pc.index_in(query_ids, value_set=known).to_numpy()[at]
-        distance = np.full(len(vectors), np.nan)
-        distance[at] = row_distances(unit_vectors(matrix), np.arange(len(at)), queries, q)
-        return pa.array(distance, mask=np.isnan(distance))
-
-    return measure
-
-
 # Workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

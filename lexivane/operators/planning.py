@@ -19,6 +19,13 @@ def broadcast_keys(keys: DataFrame, at_most: int) -> DataFrame:
     return F.broadcast(keys) if at_most * KEY_ROW_BYTES <= BROADCAST_BYTES else keys
 
 
+def keys_for_join(keys: DataFrame, at_most: int) -> DataFrame:
+    """``broadcast_keys``, or beyond its bound the side that is hashed, task by task: the
+    other side, which may be much larger, is not sorted."""
+    marked = broadcast_keys(keys, at_most)
+    return marked if marked is not keys else keys.hint("shuffle_hash")
+
+
 def with_column_once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """Adds a column that later filters use without computing it again.
 

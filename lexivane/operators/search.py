@@ -55,7 +55,7 @@ def nearest(
         "filter_of": [0],
         "limit": [math.inf],
     }
-    scored = score_block(corpus, block, "embedding", "cosine", "bigint")
+    scored = score_block(corpus, block, "bigint")
     order = [V.rank_key(F.col("distance")), F.col("paper_id")]
     hits = scored.select("paper_id", "distance").orderBy(*order).limit(k)
     columns = [c for c in corpus.columns if c not in ("paper_id", "bucket")]
@@ -163,16 +163,15 @@ def filtered(corpus: DataFrame, distinct: list[tuple]) -> tuple[DataFrame, Colum
     return corpus.filter(reduce(or_, each)), passes, len(each)
 
 
-def score_block(
-    corpus: DataFrame, block: dict, vector: str, measure: str, query_type: str
-) -> DataFrame:
+def score_block(corpus: DataFrame, block: dict, query_type: str) -> DataFrame:
     """The best rows of every task, not yet merged."""
     id_type = corpus.schema["paper_id"].dataType.simpleString()
     hits = HITS.format(query_id=query_type, paper_id=id_type)
     width = block["matrix"].shape[1]
     rows, passes, filters = filtered(corpus, block["distinct"])
-    kernel = kernels.nearest_rows({**block, "filters": filters}, width, measure)
-    return rows.select("paper_id", passes.alias("passes"), vector).mapInArrow(kernel, hits)
+    kernel = kernels.nearest_rows({**block, "filters": filters}, width)
+    screen = ["band", "code"] if "screen" in block else []
+    return rows.select("paper_id", passes.alias("passes"), "embedding", *screen).mapInArrow(kernel, hits)
 
 
 def best_per_query(hits: DataFrame, deepest: int) -> DataFrame:
@@ -230,8 +229,6 @@ def best_rows(
     corpus: DataFrame,
     block: dict,
     query_type: str,
-    vector: str = "embedding",
-    measure: str = "cosine",
     seed: DataFrame | None = None,
 ) -> Hits:
     """The best rows of the corpus for every query of a block.
@@ -242,7 +239,7 @@ def best_rows(
     """
 
     def best(rows: DataFrame, block: dict) -> DataFrame:
-        hits = score_block(rows, block, vector, measure, query_type)
+        hits = score_block(rows, block, query_type)
         return best_per_query(hits, max(block["k"]))
 
     if seed is not None:
@@ -289,7 +286,8 @@ def batch_nearest(
 
 
 def bucket_of(paper_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(paper_id), F.lit(buckets)).cast("int")
+    """The bucket Spark's own bucketing puts an id into."""
+    return F.pmod(F.hash(paper_id), F.lit(buckets)).cast("int")
 
 
 def with_papers(

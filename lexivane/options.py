@@ -22,9 +22,8 @@ class Options:
     ``query_block_rows`` bounds what a search broadcasts: a larger query table
     is searched block by block (8192 vectors of 384 dimensions take 24 MB).
     ``buckets`` is fixed when a store is made; a bucket should hold about a
-    gigabyte. Upserts are appended; ``PaperStore.compact`` folds them into the
-    buckets, and an upsert does so itself only beyond ``tail_rows``, where that is set. ``index_budget_bytes`` bounds the sign codes of the
-    approximate index (see ``operators.ann``).
+    gigabyte. ``index_budget_bytes`` bounds the sign codes of the approximate index
+    (see ``operators.ann``).
     """
 
     embedding_dim: int = DEFAULT_DIM
@@ -32,7 +31,6 @@ class Options:
     categories: tuple[str, ...] = DEFAULT_CATEGORIES
     use_approximate: bool = False
     buckets: int = 16
-    tail_rows: int | None = None
     query_block_rows: int = 8192
     index_budget_bytes: int = 1 << 40
     top_k: int = DEFAULT_TOP_K

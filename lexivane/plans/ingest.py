@@ -45,7 +45,7 @@ def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, *
 
 def title_queries(store: PaperStore, embedder) -> DataFrame:
     """Titles of some papers as search queries, to calibrate an index with."""
-    titles = ann.sample_papers(store.sample(), "title")
+    titles = ann.sample_papers(store.sample() or store.papers(), "title")
     return embed(titles, embedder or WordEmbedder(store.pointer().dim), text="title")
 
 

@@ -38,16 +38,11 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     if embedder.dim != state.dim:
         raise ValueError(f"the embedder gives {embedder.dim} dimensions, the store has {state.dim}")
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
-    sample = store.sample_buckets(state)
     approximate = options.use_approximate and state.index is not None
     if approximate:
-        tier = ann.Tier(**state.index).for_rows(state.rows)
-        seed = store.codes(state, sample) if sample else None
-        hits = ann.approximate_nearest(
-            papers, store.codes(state), queries, tier, options, state.buckets, seed
-        )
+        hits = ann.approximate_nearest(store.codes(state), queries, store.tier(state), options)
     else:
-        hits = batch_nearest(papers, queries, options, store.papers(state, sample) if sample else None)
+        hits = batch_nearest(papers, queries, options, store.sample(state))
     found = result_rows(with_papers(hits, papers, buckets=state.buckets))
     path = F.lit(approximate).alias("approximate", metadata={PATH_TAKEN: approximate})
     return found.select("*", path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane import schema
-from lexivane.sources.snapshot import positioned
+from lexivane.sources.generations import conform
+from lexivane.sources.snapshot import POSITION, positioned
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -22,12 +23,12 @@ def check_output(spark: SparkSession, path: str, overwrite: bool) -> None:
 
 def read_papers(spark: SparkSession, path: str, form: str = "json") -> DataFrame:
     """Papers with their position. ``json``: one per line; ``json-array``: one
-    array per file, read whole by one task, for small files; ``parquet``. JSON that
-    does not fit the schema stops the job."""
-    reader = spark.read.schema(schema.PAPER_IN)
+    array per file, read whole by one task, for small files; ``parquet``, of any generation
+    (see ``generations``). JSON that does not fit the schema stops the job."""
     if form == "parquet":
-        return positioned(reader.parquet(path))
-    reader = reader.option("mode", "FAILFAST").option("multiLine", form == "json-array")
+        rows = positioned(spark.read.option("mergeSchema", True).parquet(path))
+        return conform(rows, schema.PAPER_IN, path, POSITION)
+    reader = spark.read.schema(schema.PAPER_IN).option("mode", "FAILFAST").option("multiLine", form == "json-array")
     return positioned(reader.json(path))
 
 

@@ -1,21 +1,21 @@
-"""The stored corpus: bucketed Parquet folders and a small pointer file.
+"""The stored corpus: one folder per version, and a pointer that names the live one.
 
-A small upsert is appended as one more folder of the tail; readers let its rows
-stand in for those of the buckets, which takes a broadcast of the tail's ids. A
-large one, or one that would make the tail too long, rewrites the buckets it
-touches and empties the tail.
+A version is whole: papers as Parquet, bucketed by id, and next to them the banded
+codes where there is an index. A write makes the folder of the next version by one join
+of the live rows with the batch, which by their bucketing moves the batch only, and
+then, as its last act, the pointer. A job that dies before that leaves the version before
+in place, and readers of an older version keep their folder.
 
-A write never touches a folder a reader may be using: it writes new folders and
-then, as its last act, a pointer file that names the live ones. A job that dies
-before that leaves the previous version in place.
+Every upsert writes the corpus once, so batches should be large; a table format with
+row-level writes is the better choice where they cannot be.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
-from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -26,27 +26,22 @@ from pyspark.sql import types as T
 from lexivane import schema
 from lexivane.operators import ann
 from lexivane.operators.embed import dimension_fault
-from lexivane.operators.planning import broadcast_keys
+from lexivane.operators.planning import keys_for_join
 from lexivane.operators.search import bucket_of
-from lexivane.operators.upsert import last_per_id, merge
+from lexivane.operators.upsert import addressed, last_per_id, merge
 from lexivane.options import Options
 from lexivane.session import configure
+from lexivane.sources.generations import conform
 
 
 @dataclass(frozen=True)
 class Pointer:
-    """The state of a store. ``papers`` and ``codes`` map a bucket to its live folder,
-    ``tail`` lists the folders appended since, oldest first; ``written`` tells how
-    many buckets a folder was written with."""
+    """The state of a store; ``folder`` is the live version's, empty while there are no papers."""
 
     version: int = 0
+    folder: str = ""
     buckets: int = 16
     dim: int = 384
-    papers: dict[str, str] = field(default_factory=dict)
-    codes: dict[str, str] = field(default_factory=dict)
-    tail: list[str] = field(default_factory=list)
-    tail_rows: int = 0
-    written: dict[str, int] = field(default_factory=dict)
     index: dict | None = None
     streams: dict[str, int] = field(default_factory=dict)
     rows: int = 0
@@ -54,22 +49,10 @@ class Pointer:
     missed: int = 0  # rows of the corpus when an index last missed its target
 
 
-def balanced(rows: DataFrame) -> DataFrame:
-    """Rows of one bucket together, large buckets split, small ones combined."""
-    return rows.hint("rebalance", "bucket")
-
-
+BUCKETED = T.StructType([*schema.PAPER.fields, T.StructField("bucket", T.IntegerType())])
+# An exact search looks at one file in this many first, where there are as many.
 SAMPLED_SHARE = 64
-NOTHING = {"papers": {}, "codes": {}, "tail": [], "tail_rows": 0, "index": None, "rows": 0}
-TAIL = T.StructType(
-    [
-        *schema.PAPER.fields,
-        schema.CODES["code"],
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("layer", T.LongType()),
-        T.StructField("updated", T.BooleanType()),
-    ]
-)
+NOTHING = {"folder": "", "index": None, "rows": 0}
 
 
 class PaperStore:
@@ -120,11 +103,7 @@ class PaperStore:
         out.close()
 
     def _next(self, state: Pointer, **changes) -> Pointer:
-        after = Pointer(**{**asdict(state), **changes, "version": state.version + 1})
-        sizes = Counter([*changes.get("papers", {}).values(), *changes.get("codes", {}).values()])
-        written = {**sizes, **state.written}
-        live = {*after.papers.values(), *after.codes.values()}
-        return replace(after, written={f: n for f, n in written.items() if f in live})
+        return replace(state, **changes, version=state.version + 1)
 
     def remove(self, path: str) -> None:
         """Deletes a work folder below the store."""
@@ -149,85 +128,75 @@ class PaperStore:
         elif force:
             self._commit(self._next(state, **NOTHING, dim=self.options.embedding_dim))
 
-    def _read(
-        self,
-        live: dict[str, str],
-        table: T.StructType,
-        only: Iterable[int] | None = None,
-        written: dict[str, int] | None = None,
-    ) -> DataFrame:
-        """Live folders as one frame. A column a folder lacks reads as null, so
-        corpora written before a column existed stay readable."""
-        bucketed = T.StructType([*table.fields, T.StructField("bucket", T.IntegerType())])
-        wanted = live if only is None else {b: live[b] for b in map(str, only) if b in live}
-        if not wanted:
-            return self.spark.createDataFrame([], bucketed)
-        # A folder of which every bucket is wanted is one path to look up, not thousands.
-        sizes = Counter(wanted.values())
-        whole = {f for f, n in sizes.items() if (written or {}).get(f) == n}
-        parts = [f"{f}/bucket={b}" for b, f in wanted.items() if f not in whole]
-        # One base for all versions: bucket is the only partition column readers see.
-        return (
-            self.spark.read.schema(bucketed)
-            .option("basePath", self.root)
-            .parquet(*[f"{self.root}/{f}" for f in [*sorted(whole), *parts]])
-            .select(*bucketed.fieldNames())
-        )
+    def _papers_path(self, state: Pointer) -> str:
+        return f"{self.root}/{state.folder}/papers"
+
+    def papers(self, state: Pointer | None = None) -> DataFrame:
+        """The live papers and the bucket of each; folders written before a column existed stay readable."""
+        state = state or self._require()
+        if not state.folder:
+            return self.spark.createDataFrame([], BUCKETED)
+        path = self._papers_path(state)
+        return conform(self.spark.read.parquet(path), BUCKETED, path)
+
+    def _bucketed(self, state: Pointer) -> DataFrame:
+        """The same rows as a bucketed table: joins on the id do not shuffle them."""
+        if not state.folder:
+            return self.papers(state)
+        path = self._papers_path(state)
+        name = f"lexivane_{hashlib.sha1(path.encode()).hexdigest()[:20]}"
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in BUCKETED.fields)
+            self.spark.sql(
+                f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (bucket) "
+                f"CLUSTERED BY (paper_id) INTO {state.buckets} BUCKETS LOCATION '{path}'"
+            )
+            self.spark.catalog.recoverPartitions(name)
+        return self.spark.table(name)
 
-    def _tail(self, state: Pointer, only: Iterable[int] | None = None) -> DataFrame:
-        """The newest row of every id in the tail. A layer has an id once."""
-        rows = self.spark.read.schema(TAIL).parquet(*[f"{self.root}/{f}" for f in state.tail])
-        if only is not None:
-            rows = rows.filter(F.col("bucket").isin(list(only)))
-        if len(state.tail) == 1:
-            return rows
-        newest = rows.groupBy("paper_id").agg(F.max("layer").alias("layer"))
-        return rows.join(broadcast_keys(newest, state.tail_rows), ["paper_id", "layer"])
-
-    def _live(self, state: Pointer, table: T.StructType, only: Iterable[int] | None) -> DataFrame:
-        """Rows of the buckets, those of the tail in their place."""
-        live = state.papers if table is schema.PAPER else state.codes
-        base = self._read(live, table, only, state.written)
-        if not state.tail:
-            return base
-        tail = self._tail(state, only)
-        keys = broadcast_keys(tail.select("paper_id"), state.tail_rows)
-        return base.join(keys, "paper_id", "left_anti").unionByName(tail.select(base.columns))
-
-    def papers(self, state: Pointer | None = None, only: Iterable[int] | None = None) -> DataFrame:
-        return self._live(state or self._require(), schema.PAPER, only)
-
-    def codes(self, state: Pointer | None = None, only: Iterable[int] | None = None) -> DataFrame:
-        return self._live(state or self._require(), schema.CODES, only)
-
-    def sample_buckets(self, state: Pointer) -> list[int]:
-        """A few buckets of a store with many: a fixed, even part of the corpus."""
-        return sorted(map(int, state.papers))[: state.buckets // SAMPLED_SHARE]
-
-    def sample(self) -> DataFrame:
-        """The papers of those buckets, or all papers of a store with few."""
-        state = self._require()
-        return self.papers(state, self.sample_buckets(state) or None)
+    def codes(self, state: Pointer | None = None) -> DataFrame:
+        """The banded codes of the index."""
+        state = state or self._require()
+        if not state.index:
+            raise ValueError(f"{self.root} has no index")
+        return self.spark.read.parquet(f"{self.root}/{state.index['folder']}")
+
+    def tier(self, state: Pointer) -> ann.Tier:
+        return ann.Tier(**{k: v for k, v in state.index.items() if k != "folder"})
+
+    def index(self) -> ann.Tier | None:
+        state = self.pointer()
+        return self.tier(state) if state and state.index else None
+
+    def sample(self, state: Pointer | None = None) -> DataFrame | None:
+        """The papers of a few files of a store with many: a fixed, even part of the corpus."""
+        papers = self.papers(state)
+        files = sorted(papers.inputFiles())
+        few = files[: len(files) // SAMPLED_SHARE]
+        if not few:
+            return None
+        path = self._papers_path(state or self._require())
+        return conform(self.spark.read.option("basePath", path).parquet(*few), BUCKETED, path)
 
     def count(self) -> int:
         """0 where no store exists."""
         state = self.pointer()
         return 0 if state is None else self.papers(state).count()
 
-    def _write(self, rows: DataFrame, state: Pointer, table: str) -> dict[str, str]:
-        """Writes rows into a new folder of the next version; which buckets it has."""
-        folder = f"{table}/version={state.version + 1}-{uuid.uuid4().hex[:8]}"
-        (
-            rows.sortWithinPartitions("bucket", "paper_id")
-            .write.partitionBy("bucket")
-            .parquet(f"{self.root}/{folder}")
-        )
-        written = self._files().listStatus(self._path(folder))
-        names = [f.getPath().getName() for f in written]
-        return {n.split("=")[1]: folder for n in names if n.startswith("bucket=")}
-
     # --- writes --------------------------------------------------------------
 
+    def _new_folder(self, state: Pointer) -> str:
+        return f"versions/{state.version + 1}-{uuid.uuid4().hex[:8]}"
+
+    def _write_papers(self, rows: DataFrame, folder: str, buckets: int) -> None:
+        name = f"lexivane_{uuid.uuid4().hex}"
+        path = f"{self.root}/{folder}/papers"
+        columns = BUCKETED.fieldNames()
+        written = rows.select(*columns).write.partitionBy("bucket").bucketBy(buckets, "paper_id")
+        # Named in the session only while it is written.
+        written.sortBy("paper_id").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")
+
     def upsert(
         self,
         batch: DataFrame,
@@ -242,9 +211,8 @@ class PaperStore:
         """Merges a batch of papers and reports what it did.
 
         Of several rows of one id the last in ``order`` counts; ``prepare`` then
-        makes the remaining rows ready to store (it embeds them). Only buckets
-        the batch touches are rewritten; the codes of an index follow in the
-        same version. ``replace_all`` drops all stored papers and the index.
+        makes the remaining rows ready to store (it embeds them). The codes of an index
+        follow in the same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
         is skipped. An empty batch is an error unless ``allow_empty``. ``model`` names
         the embedder, for the profile of the store.
@@ -254,115 +222,68 @@ class PaperStore:
         if stream and state.streams.get(stream[0], -1) >= stream[1]:
             return {"skipped": True, "version": state.version}
         if replace_all:
-            state = Pointer(**{**asdict(state), **NOTHING})
-
-        folder = f"staging/{uuid.uuid4().hex}"
+            state = replace(state, **NOTHING)
+        staging = f"staging/{uuid.uuid4().hex}"
         try:
-            staged = self._stage(batch, order, prepare, state, folder)
+            staged = self._stage(batch, order, prepare, state, f"{self.root}/{staging}")
             return self._merge(staged, written_at, state, stream, allow_empty, model)
         finally:
-            self._files().delete(self._path(folder), True)
+            self._files().delete(self._path(staging), True)
 
     def _stage(self, batch, order, prepare, state: Pointer, folder: str) -> DataFrame:
         """One row per id, written once, so that embedding runs once per paper.
 
         ``fault`` tells what is wrong with a vector of the store's dimension.
         """
-        unique = last_per_id(batch, order, copies="copies")
+        unique = last_per_id(addressed(batch, f"{folder}/rows"), order, copies="copies")
         fault = dimension_fault(F.col("embedding"), state.dim)
         (
             (prepare(unique) if prepare else unique)
             .withColumns({"fault": fault, "bucket": bucket_of(F.col("paper_id"), state.buckets)})
-            .write.parquet(f"{self.root}/{folder}")
+            .write.parquet(f"{folder}/unique")
         )
-        return self.spark.read.parquet(f"{self.root}/{folder}")
+        return self.spark.read.parquet(f"{folder}/unique")
 
     def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty, model) -> dict:
         # All counts come from written files, so that repeated tasks cannot distort them.
-        sizes = (
-            staged.groupBy("bucket")
-            .agg(
-                F.sum("copies").alias("rows_in"),
-                F.count(F.lit(1)).alias("distinct_ids"),
-                F.count_if(F.col("fault") == "missing").alias("without_vector"),
-                F.count_if(F.col("fault").isNotNull() & (F.col("fault") != "missing")).alias("unfit"),
-                F.sum(F.when(F.col("paper_id") == "unknown", F.col("copies")).otherwise(0)).alias("unknown_ids"),
-            )
-            .collect()
-        )
-        unfit = sum(row.unfit for row in sizes)
-        if unfit:
-            raise ValueError(f"{unfit} vectors do not have {state.dim} numbers, as the store's have")
-        names = ("rows_in", "distinct_ids", "without_vector", "unknown_ids")
-        report = {name: sum(row[name] for row in sizes) for name in names}
-        touched = [row.bucket for row in sizes]
-        if not touched:
-            if report["rows_in"] == 0 and not allow_empty:
+        counts = staged.agg(
+            F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
+            F.count(F.lit(1)).alias("distinct_ids"),
+            F.count_if(F.col("fault") == "missing").alias("without_vector"),
+            F.count_if(F.col("fault").isNotNull() & (F.col("fault") != "missing")).alias("unfit"),
+            F.coalesce(F.sum(F.when(F.col("paper_id") == "unknown", F.col("copies"))), F.lit(0)).alias("unknown_ids"),
+        ).first()
+        if counts.unfit:
+            raise ValueError(f"{counts.unfit} vectors do not have {state.dim} numbers, as the store's have")
+        report = {n: counts[n] for n in ("rows_in", "distinct_ids", "without_vector", "unknown_ids")}
+        rows = counts.distinct_ids
+        if not rows:
+            if not allow_empty:
                 raise ValueError("empty batch")
             return {**report, "inserted": 0, "updated": 0, "skipped": True, "version": state.version}
 
         # A paper without a vector is stored, so that it replaces what it updates; it is not searchable.
-        batch, rows = staged, report["distinct_ids"]
-        change = {
-            "streams": state.streams | ({stream[0]: stream[1]} if stream else {}),
-            "model": model or state.model,
-        }
-        most = self.options.tail_rows
-        short = most is None or state.tail_rows + rows <= most
-        write = self._append if state.papers and short else self._rewrite
-        inserted = write(batch, rows, touched, written_at, state, change)
-        counts = {"inserted": inserted, "updated": rows - inserted}
+        folder = self._new_folder(state)
+        kept, new = merge(self._bucketed(state), staged, written_at, rows)
+        columns = BUCKETED.fieldNames()
+        dealt = new.select(*columns).repartition(state.buckets, "paper_id")
+        after = kept.select(*columns).unionByName(dealt) if state.folder else dealt
+        self._write_papers(after, folder, state.buckets)
+        following = replace(state, folder=folder, model=model or state.model)
+        after = self.papers(following).count()
+        index = self._follow(staged, rows, state, folder) if state.index else None
+        streams = state.streams | ({stream[0]: stream[1]} if stream else {})
+        self._commit(self._next(following, rows=after, index=index, streams=streams))
+        counts = {"inserted": after - state.rows, "updated": rows - (after - state.rows)}
         return {**report, **counts, "skipped": False, "version": state.version + 1}
 
-    def _append(self, batch, rows: int, touched, written_at, state: Pointer, change) -> int:
-        """Adds the batch to the tail; returns how many of its papers are new.
-
-        Of the stored papers only ids and times are read.
-        """
-        _, new = merge(self.papers(state, touched), batch, written_at, rows)
-        if state.index:
-            code = ann.sign_code(F.col("embedding"), state.index["bits"], state.dim)
-        else:
-            code = F.lit(None).cast(schema.CODES["code"].dataType)
-        folder = f"tail/version={state.version + 1}-{uuid.uuid4().hex[:8]}"
-        layer = F.lit(state.version + 1).cast("long")
-        new.withColumns({"code": code, "layer": layer}).select(TAIL.fieldNames()).write.parquet(
-            f"{self.root}/{folder}"
-        )
-        written = self.spark.read.schema(TAIL).parquet(f"{self.root}/{folder}")
-        inserted = written.filter(~F.col("updated")).count()
-        tail = {"tail": [*state.tail, folder], "tail_rows": state.tail_rows + rows}
-        self._commit(self._next(state, **tail, **change, rows=state.rows + inserted))
-        return inserted
-
-    def _rewrite(self, batch, rows: int, touched, written_at, state: Pointer, change) -> int:
-        """Merges tail and batch into the buckets; returns how many papers are new."""
-        if state.tail:
-            tailed = self._tail(state).select("bucket").distinct().collect()
-            touched = sorted({*touched, *(row.bucket for row in tailed)})
-        current = self.papers(state, touched)
-        kept, new = merge(current, batch, written_at, rows)
-        columns = [*schema.PAPER.fieldNames(), "bucket"]
-        after = kept.select(*columns).unionByName(balanced(new.select(*columns)))
-        papers = self._write(after, state, "papers")
-        inserted = self._read(papers, schema.PAPER).count() - current.count()
-        codes = state.codes
-        if state.index:
-            old = self.codes(state, touched)
-            rest = old.join(broadcast_keys(batch.select("paper_id"), rows), "paper_id", "left_anti")
-            fresh = ann.code_table(batch, state.index["bits"], state.dim)
-            written = self._write(rest.unionByName(balanced(fresh)), state, "codes")
-            codes = {b: f for b, f in codes.items() if int(b) not in touched} | written
-        live = {"papers": state.papers | papers, "codes": codes, "tail": [], "tail_rows": 0}
-        self._commit(self._next(state, **live, **change, rows=state.rows + inserted))
-        return inserted
-
-    def compact(self) -> None:
-        """Folds the tail into the buckets."""
-        state = self._require()
-        if state.tail:
-            nothing = self._tail(state).limit(0)
-            self._rewrite(nothing, 0, [], None, state, {})
+    def _follow(self, batch: DataFrame, rows: int, state: Pointer, folder: str) -> dict:
+        """The index after a batch: codes are computed for the batch's papers only."""
+        tier, path = self.tier(state), f"{folder}/codes"
+        old = self.codes(state).join(keys_for_join(batch.select("paper_id"), rows), "paper_id", "left_anti")
+        fresh = ann.code_table(batch, tier.bits, state.dim, tier.bands)
+        ann.write_index(old.unionByName(fresh), f"{self.root}/{path}")
+        return {**state.index, "folder": path}
 
     def build_index(
         self,
@@ -370,15 +291,16 @@ class PaperStore:
         skip: bool = False,
         rebuild: bool = False,
         own: bool = False,
+        tier: ann.Tier | None = None,
     ) -> bool:
         """Writes the code table; True when the store has an index at the end.
 
         Nothing happens when there is one already, the store is empty, ``skip``
-        is set or no tier fits the budget. The number of candidates is
+        is set or no tier fits the budget. The share a search aims at is
         calibrated with sample ``queries``, by default papers of the corpus (``own``
-        says that given ones are, too); an index that misses its target at every
-        number is not kept, and searches stay exact. It is tried again when the corpus
-        has doubled, or with ``rebuild``.
+        says that given ones are, too); an index that misses its target however strict
+        is not kept, and searches stay exact. It is tried again when the corpus
+        has doubled, or with ``rebuild``. A ``tier`` given by the caller is taken as it is.
         """
         state = self.pointer()
         if state is None:
@@ -390,34 +312,25 @@ class PaperStore:
             return True
         if state.rows == 0 or skip or (state.rows < 2 * state.missed and not rebuild):
             return False
-        tier = ann.choose_tier(state.rows, self.options.index_budget_bytes)
-        if tier is None:
+        chosen = ann.choose_tier(state.rows, self.options.index_budget_bytes)
+        if tier is None and chosen is None:
             return False
-        self.compact()
-        state = self._require()
-        papers = self.papers(state)
-        written = self._write(ann.code_table(papers, tier.bits, state.dim), state, "codes")
+        fixed, papers = tier, self.papers(state)
+        tier = fixed or chosen.for_rows(state.rows)
+        folder = f"{self._new_folder(state)}/codes"
+        ann.write_index(ann.code_table(papers, tier.bits, state.dim, tier.bands), f"{self.root}/{folder}")
         if queries is None:
-            queries, own = ann.sample_papers(self.sample(), "embedding"), True
-        steps = ann.candidate_steps(state.rows)
-        codes = self._read(written, schema.CODES)
-        recall = ann.recall_by_candidates(papers, codes, queries, tier.bits, self.options, steps, own)
-        # Without a single neighbour to find there is nothing an index could miss.
-        tier = ann.calibrate(tier, recall) or (None if recall.limit(1).count() else tier)
+            queries, own = ann.sample_papers(self.sample(state) or papers, "embedding"), True
+        codes = self.spark.read.parquet(f"{self.root}/{folder}")
+        tier = fixed or ann.calibrated(codes, queries, tier, self.options, own)
         if tier is None:
             self._commit(self._next(state, missed=state.rows))
-            for folder in set(written.values()):
-                self._files().delete(self._path(folder), True)
+            self._files().delete(self._path(folder), True)
             return False
-        tier = replace(tier, rows=state.rows)
-        self._commit(self._next(state, codes=written, index=asdict(tier), missed=0))
+        self._commit(self._next(state, index={**asdict(tier), "folder": folder}, missed=0))
         return True
 
     def drop_index(self) -> None:
         state = self._require()
         if state.index:
-            self._commit(self._next(state, codes={}, index=None))
-
-    def index(self) -> ann.Tier | None:
-        state = self.pointer()
-        return ann.Tier(**state.index) if state and state.index else None
+            self._commit(self._next(state, index=None))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from lexivane.plans.ingest import ingest, write_rejects
-from lexivane.sources.snapshot import papers_from, records, rejects, with_split
+from lexivane.sources.snapshot import with_split, write_sorted_out
 from lexivane.sources.store import PaperStore
 
 
@@ -39,28 +40,32 @@ def start_ingest(
     that publishes its rows, so a replayed batch changes nothing. Invalid papers and
     lines that are no records go to ``rejects_to/papers`` and ``rejects_to/lines``, by
     default below the store; ``on_report`` gets the report of every batch, with
-    ``rejected`` and ``bad_lines``.
+    ``rejected``, ``bad_lines`` and what became of all lines. A batch is parsed once.
+    Where the store has an index, codes are computed for the batch's papers and merged.
     """
     rejected_to = (rejects_to or f"{store.root}/rejects").rstrip("/")
 
     def write(batch: DataFrame, number: int) -> None:
         lines = batch.withColumn("line", F.monotonically_increasing_id())
-        papers = papers_from(records(lines), store.options.categories)
-        bad = rejects(lines).select("file", "block", "value", "fault")
-        bad_lines = write_rejects(bad, f"{rejected_to}/lines", (name, number))
-        report = ingest(
-            store,
-            papers,
-            written_at or datetime.now(timezone.utc),
-            embedder=embedder,
-            mode="quarantine",
-            rebuild_index=False,
-            rejects_to=f"{rejected_to}/papers",
-            stream=(name, number),
-            allow_empty=True,
-        )
+        folder = f"{store.root}/staging/{uuid.uuid4().hex}"
+        try:
+            papers, bad, outcomes = write_sorted_out(lines, folder, store.options.categories)
+            bad_lines = write_rejects(bad.drop("line"), f"{rejected_to}/lines", (name, number))
+            report = ingest(
+                store,
+                papers,
+                written_at or datetime.now(timezone.utc),
+                embedder=embedder,
+                mode="quarantine",
+                rebuild_index=False,
+                rejects_to=f"{rejected_to}/papers",
+                stream=(name, number),
+                allow_empty=True,
+            )
+        finally:
+            store.remove(folder)
         if on_report:
-            on_report({**report, "bad_lines": bad_lines})
+            on_report({**outcomes, **report, "bad_lines": bad_lines})
 
     return (
         lines.writeStream.foreachBatch(write)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from lexivane.functions import text as X
+from lexivane.operators import ann as A
 from lexivane.options import DEFAULT_CATEGORIES
 from lexivane.plans.search import ENGINE
+from lexivane.sources.snapshot import OUTCOMES
 from lexivane.workloads.fixtures import DIM, VECTOR_DIM
-from lexivane.workloads.spark_queries import CAP, CODE_BITS, RECALL_STEPS, TIER
+from lexivane.workloads.spark_queries import CAP, CODE_BITS, RECALL_SHARES, TIER
 
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]"
 WS_CODES = [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -129,8 +131,11 @@ def stripped_or_null(x, n):
 RECORD_YEAR = f"coalesce({year4('update_date')}, {year4('created')}, {year4('first_version')})"
 
 
+def listed(codes):
+    return "(" + " OR ".join(f"contains(categories, '{c}')" for c in codes) + ")"
+
+
 def record_papers(codes):
-    listed = " OR ".join(f"contains(categories, '{c}')" for c in codes)
     return f"""{LINES},
 record_papers AS (
   SELECT doc_id, {paper_id('id')} AS paper_id, {clean_title('title')} AS title,
@@ -138,7 +143,7 @@ record_papers AS (
     {RECORD_YEAR} AS year, {stripped_or_null('journal_ref', 500)} AS venue,
     {stripped_or_null('doi', 256)} AS doi, nullif(substring(categories, 1, 500), '') AS category
   FROM record_fields
-  WHERE ({listed}) AND {clean_title('title')} <> '' AND {clean_abstract('abstract')} <> '')"""
+  WHERE {listed(codes)} AND {clean_title('title')} <> '' AND {clean_abstract('abstract')} <> '')"""
 
 
 VECTORS = """vectors AS (
@@ -235,25 +240,97 @@ CODE_DISTANCE = """hamming AS (
   FROM q_code q JOIN {d}_code d USING (word) GROUP BY ALL)"""
 
 
+def in_bands(dim):
+    """Of ``pairs(query_id, paper_id, k, distance)``, which a query's filters let pass, the
+    ``opened`` ones and what follows from the last wanted of them: ``bounds(query_id, m, d)``.
+    Reads ``d_code``, ``q_code``, ``q_vec`` and ``planes``.
+    """
+    bands, every = TIER.bands, 1 << TIER.bands
+    numbers = ", ".join(f"({min(A.FIRST_BANDS << i, every)})" for i in range(bands) if A.FIRST_BANDS << i < 2 * every)
+    return f"""{CODE_DISTANCE.format(d='d').replace("AS distance", "AS h")},
+bands AS (SELECT id AS paper_id, (bits & {every - 1})::INTEGER AS band FROM d_code WHERE word = 0),
+placed AS (SELECT * FROM pairs JOIN hamming USING (query_id, paper_id) JOIN bands USING (paper_id)),
+sides AS (
+  SELECT id AS query_id, j, abs(m) / sqrt(greatest({dim} - m * m, 1e-12) / {max(dim - 1, 1)}) AS far, m > 0 AS above
+  FROM (SELECT id, j, sum(x::DOUBLE * r) / sqrt(sum(x::DOUBLE * x)) AS m
+        FROM q_vec JOIN planes ON i = cell WHERE j < {bands} GROUP BY id, j)),
+turns AS (
+  SELECT query_id, v::INTEGER AS band, far, ((v >> j) & 1 = 1) <> above AS turned FROM sides, range({every}) b(v)),
+places AS (
+  SELECT query_id, band, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), band) AS place
+  FROM (SELECT query_id, band, sum(CASE WHEN turned THEN far * far ELSE 0 END) AS score FROM turns GROUP BY ALL)),
+steps(m) AS (SELECT DISTINCT * FROM (VALUES {numbers})),
+open_steps AS (
+  SELECT query_id, coalesce(min(m), {every}) AS m FROM (
+    SELECT query_id, m FROM placed JOIN places USING (query_id, band) JOIN steps ON place <= m
+    GROUP BY query_id, m HAVING count(*) >= max(k)) RIGHT JOIN (SELECT DISTINCT query_id FROM places) USING (query_id)
+  GROUP BY query_id),
+opened AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), paper_id) AS nth
+  FROM placed JOIN places USING (query_id, band) JOIN open_steps USING (query_id) WHERE place <= m),
+bounds AS (SELECT query_id, m, distance AS d, greatest(least(1 - distance, 1), -1) AS c FROM opened WHERE nth = k)"""
+
+
+def within_bounds(share, suffix=""):
+    """``found<suffix>``: the pairs that are measured by a search that aims at this share."""
+    inner = A.math.sqrt(share)
+    reach = ", ".join(f"({r!r})" for r in A.reaches(CODE_BITS, inner))
+    crossed = f"1 / (1 + exp(greatest(least({A.LOGISTIC} * far * c / greatest(sqrt(1 - c * c), 1e-9), {A.STEEPEST}), -{A.STEEPEST})))"
+    return f"""reach{suffix}(r) AS (VALUES {reach}),
+limits{suffix} AS (SELECT *, (SELECT count(*) FROM reach{suffix} WHERE r < round(d, 9)) AS most FROM bounds),
+chances{suffix} AS (
+  SELECT query_id, band, round(exp(sum(ln(CASE WHEN turned THEN p ELSE 1 - p END))), 12) AS chance
+  FROM (SELECT *, {crossed} AS p FROM turns JOIN bounds USING (query_id)) GROUP BY ALL),
+near{suffix} AS (
+  SELECT query_id, band FROM (
+    SELECT *, sum(chance) OVER (PARTITION BY query_id ORDER BY chance DESC, band ROWS UNBOUNDED PRECEDING) - chance AS before
+    FROM chances{suffix}) WHERE before < {inner!r}),
+found{suffix} AS (
+  SELECT query_id, paper_id, k, distance FROM opened
+  UNION
+  SELECT query_id, paper_id, k, distance FROM placed JOIN near{suffix} USING (query_id, band)
+    JOIN limits{suffix} USING (query_id) WHERE h <= most)"""
+
+
 def ann(filtered):
     allowed, k = (ALLOWED, "own_k") if filtered else ("true", "top_k")
+    cells = VECTOR_CELLS.replace("v_vec", "d_vec")
     return f"""WITH {VECTORS},
 {LABEL_QUERIES},
 {PLANES.format(bits=CODE_BITS, dim=VECTOR_DIM)},
-{VECTOR_CELLS},
+{cells},
 {LABEL_CELLS},
-{coded('v', CODE_BITS)},
+{coded('d', CODE_BITS)},
 {coded('q', CODE_BITS)},
-{CODE_DISTANCE.format(d='v')},
-candidates AS ({ranked(f'''(SELECT h.* FROM hamming h JOIN queries USING (query_id)
-  JOIN vectors USING (paper_id) WHERE {allowed})''', TIER.candidates)}),
-exact AS (
-  SELECT query_id, paper_id, {k} AS k, list_cosine_distance(v, q) AS distance
-  FROM candidates JOIN queries USING (query_id) JOIN vectors USING (paper_id)),
-best AS ({ranked('exact', 'k')})
+pairs AS (
+  SELECT query_id, paper_id, {k} AS k, list_cosine_distance(v, q) AS distance FROM queries, vectors WHERE {allowed}),
+{in_bands(VECTOR_DIM)},
+{within_bounds(TIER.share)},
+best AS ({ranked('found', 'k')})
 SELECT query_id, rank, paper_id, {r6('distance', 'distance')} FROM best"""
 
 
+def ann_recall():
+    shares = ", ".join(f"({s}, {i})" for i, s in enumerate(RECALL_SHARES))
+    each = " UNION ALL ".join(f"SELECT query_id, paper_id, {i} AS place FROM found{i}" for i in range(len(RECALL_SHARES)))
+    bounds = ",\n".join(within_bounds(share, str(i)) for i, share in enumerate(RECALL_SHARES))
+    return f"""WITH {text_distances(QUERY_BODY)},
+{PLANES.format(bits=CODE_BITS, dim=DIM)},
+{coded('d', CODE_BITS)},
+{coded('q', CODE_BITS)},
+pairs AS (SELECT *, 8 AS k FROM measured),
+{in_bands(DIM)},
+{bounds},
+met AS ({each}),
+true_hits AS ({ranked('measured', 8)}),
+shares(expected, place) AS (VALUES {shares})
+SELECT CAST(expected AS DOUBLE) AS expected, count(*) AS neighbours, count(m.query_id) AS found,
+  {r6('count(m.query_id) / count(*)', 'recall')}
+FROM shares CROSS JOIN true_hits t
+LEFT JOIN met m ON m.query_id = t.query_id AND m.paper_id = t.paper_id AND m.place = shares.place
+GROUP BY expected"""
+
+
 RESULT = "paper_id, title, abstract, authors, year, category"
 SCORES = f"{r6('distance', 'distance')}, {r6('1 / (1 + greatest(distance, 0))', 'similarity')}"
 
@@ -321,8 +398,6 @@ def reasons(rules):
 TEXT_BEST = f"""WITH {text_distances(QUERY_BODY)},
 best AS ({ranked('measured', 8)})"""
 
-STEPS = ", ".join(f"({s})" for s in RECALL_STEPS)
-
 REQUESTS = f"""requests AS (
   SELECT item_id AS query_id, trim(text) AS query, CAST(3 + item_id % 6 AS INTEGER) AS top_k,
     CAST(CASE WHEN item_id % 3 = 0 THEN 1998 END AS INTEGER) AS min_year,
@@ -338,6 +413,20 @@ FROM record_fields""",
     "snapshot_rejects": f"""WITH {LINES}
 SELECT doc_id, CASE WHEN json_valid(value) THEN 'not an object' ELSE 'bad json' END AS fault
 FROM lines WHERE {strip('value')} <> '' AND doc_id NOT IN (SELECT doc_id FROM records)""",
+    "ingest_rejects": f"""WITH {record_papers(DEFAULT_CATEGORIES)},
+faults AS (
+  SELECT count_if({strip('value')} = '') AS blank,
+    count_if({strip('value')} <> '' AND NOT json_valid(value)) AS bad_json,
+    count_if(json_valid(value) AND doc_id NOT IN (SELECT doc_id FROM records)) AS not_object FROM lines),
+kept AS (
+  SELECT count_if(NOT listed) AS unlisted, count_if(listed AND NOT worded) AS no_text FROM (
+    SELECT coalesce({listed(DEFAULT_CATEGORIES)}, false) AS listed,
+      coalesce({clean_title('title')} <> '' AND {clean_abstract('abstract')} <> '', false) AS worded FROM record_fields)),
+counted AS (
+  SELECT count(*) AS papers, count_if(paper_id = 'unknown') AS unknown_ids,
+    count_if({reasons(PAPER_RULES)} <> '') AS rejected FROM record_papers)
+SELECT {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in (*OUTCOMES, 'rejected'))}, CAST(bad_json + not_object AS BIGINT) AS bad_lines
+FROM faults, kept, counted""",
     "clean_title": f"SELECT doc_id, {clean_title(noisy('text'))} AS title FROM documents",
     "clean_abstract": f"SELECT doc_id, {clean_abstract(noisy('text'))} AS abstract FROM documents",
     "paper_id_normalize": f"""SELECT doc_id, {paper_id('raw')} AS paper_id FROM (
@@ -392,8 +481,10 @@ SELECT vec_id, CAST(cell AS INTEGER) AS cell, {r6('CAST(x::DOUBLE / size AS FLOA
 FROM sized WHERE size > 0
 UNION ALL
 SELECT DISTINCT vec_id, CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE) FROM sized WHERE size = 0""",
-    "embed_dim_check": """SELECT vec_id, CASE label WHEN 0 THEN 'missing' WHEN 1 THEN 'dimension'
-  WHEN 2 THEN 'null element' END AS fault FROM embeddings""",
+    "embed_dim_check": f"""SELECT vec_id, CASE WHEN v IS NULL THEN 'missing' WHEN len(v) <> {VECTOR_DIM} THEN 'dimension'
+  WHEN list_count(v) < len(v) THEN 'null element' END AS fault
+FROM (SELECT vec_id, CASE label WHEN 0 THEN NULL WHEN 1 THEN embedding[1:32]
+    WHEN 2 THEN list_append(embedding[1:{VECTOR_DIM - 1}], NULL) ELSE embedding END AS v FROM embeddings)""",
     "cosine_distance": f"""WITH {MEAN}
 SELECT vec_id, {r6('list_cosine_distance(embedding::DOUBLE[], q)', 'distance')}
 FROM embeddings, mean""",
@@ -425,35 +516,29 @@ measured AS (
 best AS ({ranked('measured', 'own_k')})
 SELECT query_id, rank, paper_id, {r6('distance', 'distance')} FROM best""",
     "search_response": f"""WITH {text_distances(QUERY_BODY)}, {REQUESTS},
-best AS ({ranked(f'''(SELECT m.*, top_k, title FROM measured m JOIN requests USING (query_id)
-  JOIN papers USING (paper_id) WHERE {ALLOWED})''', 'top_k')}),
+{PLANES.format(bits=CODE_BITS, dim=DIM)},
+{coded('d', CODE_BITS)},
+{coded('q', CODE_BITS)},
+pairs AS (
+  SELECT m.*, top_k AS k FROM measured m JOIN requests USING (query_id) JOIN papers USING (paper_id) WHERE {ALLOWED}),
+{in_bands(DIM)},
+{within_bounds(TIER.share)},
+best AS (SELECT query_id, rank, paper_id, distance, false AS approximate FROM ({ranked('pairs', 'k')})
+  UNION ALL SELECT query_id, rank, paper_id, distance, true FROM ({ranked('found', 'k')})),
 lists AS (
-  SELECT query_id, count(*) AS hits, string_agg(paper_id, ',' ORDER BY rank) AS paper_ids,
+  SELECT query_id, approximate, count(*) AS hits, string_agg(paper_id, ',' ORDER BY rank) AS paper_ids,
     min(distance) AS best_distance, arg_min(title, rank) AS best_title
-  FROM best GROUP BY query_id)
+  FROM best JOIN papers USING (paper_id) GROUP BY query_id, approximate)
 SELECT query_id, query, top_k, min_year, max_year, pattern AS category_contains,
-  '{ENGINE}' AS engine, false AS approximate, CAST(coalesce(hits, 0) AS INTEGER) AS hits,
+  '{ENGINE}' AS engine, approximate, CAST(coalesce(hits, 0) AS INTEGER) AS hits,
   coalesce(paper_ids, '') AS paper_ids, {r6('best_distance', 'best_distance')}, best_title
-FROM requests LEFT JOIN lists USING (query_id)""",
+FROM requests CROSS JOIN (VALUES (false), (true)) a(approximate) LEFT JOIN lists USING (query_id, approximate)""",
     "ann_codes": f"""WITH {VECTORS}, {PLANES.format(bits=CODE_BITS, dim=VECTOR_DIM)}, {VECTOR_CELLS},
 {coded('v', CODE_BITS)}
 SELECT id AS paper_id, CAST(word AS INTEGER) AS word, bits FROM v_code""",
     "ann_search": ann(filtered=False),
     "ann_hybrid": ann(filtered=True),
-    "ann_recall": f"""WITH {text_distances(QUERY_BODY)},
-{PLANES.format(bits=CODE_BITS, dim=DIM)},
-{coded('d', CODE_BITS)},
-{coded('q', CODE_BITS)},
-{CODE_DISTANCE.format(d='d')},
-true_hits AS ({ranked('measured', 8)}),
-code_hits AS ({ranked('hamming', max(RECALL_STEPS))}),
-steps(candidates) AS (VALUES {STEPS})
-SELECT CAST(candidates AS INTEGER) AS candidates, count(*) AS neighbours,
-  count(*) FILTER (c.rank <= candidates) AS found,
-  {r6('count(*) FILTER (c.rank <= candidates) / count(*)', 'recall')}
-FROM steps CROSS JOIN true_hits t
-LEFT JOIN code_hits c ON c.query_id = t.query_id AND c.paper_id = t.paper_id
-GROUP BY candidates""",
+    "ann_recall": ann_recall(),
     "ann_tier_choice": """SELECT label, rows, budget, CAST(CASE WHEN rows * 32 <= budget THEN 256
   WHEN rows * 16 <= budget THEN 128 WHEN rows * 8 <= budget THEN 64
   WHEN rows * 4 <= budget THEN 32 END AS INTEGER) AS bits
@@ -471,19 +556,22 @@ SELECT (SELECT count(*) FROM turns) + (SELECT count(*) FROM changed) AS rows_in,
   CAST(0 AS BIGINT) AS without_vector""",
     "replace_load": f"WITH {PAPERS} {stored('papers', '2024-02-01')}",
     "corpus_roundtrip": f"WITH {PAPERS} SELECT * FROM papers",
-    "store_lifecycle": """SELECT step, present, if(filled, n, 0) AS rows, indexed
-FROM (VALUES ('search without store', false, false, false), ('search while empty', true, false, false),
-  ('ingest', true, true, false), ('index skipped', true, true, false), ('index built', true, true, true),
-  ('index dropped', true, true, false), ('emptied', true, false, false)) AS v(step, present, filled, indexed),
-  (SELECT count(*) AS n FROM documents)""",
-    "schema_evolve": f"""WITH {PAPERS}, {TURNS}
+    "schema_evolve": f"""WITH {MERGED}
 SELECT * EXCLUDE (category), CAST(NULL AS VARCHAR) AS category FROM papers
-UNION ALL SELECT * EXCLUDE (turn, category), category FROM turns""",
+UNION ALL SELECT * EXCLUDE (turn, category), category FROM turns
+UNION ALL SELECT * EXCLUDE (category), category FROM changed""",
     "stream_ingest": f"""WITH {record_papers(DEFAULT_CATEGORIES)},
 latest AS (
-  SELECT * FROM record_papers WHERE doc_id IN
-    (SELECT max(doc_id) FROM record_papers GROUP BY paper_id))
-{stored('latest', '2024-01-01')}""",
+  SELECT * EXCLUDE (doc_id), '2024-02-01' AS created_at FROM record_papers WHERE doc_id IN
+    (SELECT max(doc_id) FROM record_papers GROUP BY paper_id)),
+{MERGED},
+whole AS (SELECT * FROM latest UNION ALL SELECT *, '2024-01-01' FROM last_turns),
+{embedded('d', f"SELECT paper_id AS id, {combined('title', 'abstract')} AS body FROM whole")},
+{PLANES.format(bits=CODE_BITS, dim=DIM)},
+{coded('d', CODE_BITS)},
+codes AS (SELECT id AS paper_id, string_agg(bits::VARCHAR, ',' ORDER BY word) AS code FROM d_code GROUP BY id)
+SELECT s.* EXCLUDE (created_at), whole.created_at, code FROM ({stored('whole', '')}) s JOIN whole USING (paper_id)
+LEFT JOIN codes USING (paper_id)""",
     "corpus_count": "SELECT count(*) AS papers_count FROM documents",
     "corpus_profile": f"""WITH {PAPERS}, {embedded('d', DOC_BODY)}
 SELECT 'ok' AS status, (SELECT count(*) FROM papers) AS papers_count,

@@ -14,14 +14,15 @@ from lexivane.operators.embed import WordEmbedder, dimension_fault, embed
 from lexivane.operators.predicates import apply_filters
 from lexivane.operators.profile import count_papers, display_rows
 from lexivane.operators.search import batch_nearest, nearest, result_rows, with_papers
-from lexivane.operators.upsert import last_per_id, merge
+from lexivane.operators.upsert import addressed, last_per_id, merge
 from lexivane.operators.validate import validate_papers, validate_requests
 from lexivane.options import Options
-from lexivane.plans.ingest import build_index, ingest, load_corpus, with_combined_text
+from lexivane.plans.ingest import ingest, load_corpus, with_combined_text
 from lexivane.plans.search import accepted, profile, responses, search
 from lexivane.session import work_dir
 from lexivane.sources import snapshot as S
 from lexivane.sources.corpus_files import read_papers, write_papers
+from lexivane.sources.generations import read_generations
 from lexivane.sources.store import PaperStore
 from lexivane.streaming.ingest_stream import read_snapshot_stream, start_ingest
 from lexivane.workloads import fixtures as fx
@@ -29,8 +30,8 @@ from lexivane.workloads import fixtures as fx
 BASE_TIME, BATCH_TIME = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 CAP = 150
 CODE_BITS = 256
-TIER = ann.Tier("standard", CODE_BITS, 0.95, candidates=100)
-RECALL_STEPS = (50, 100, 200, 400)
+TIER = ann.Tier("standard", CODE_BITS, 0.95)
+RECALL_SHARES = (0.9, 0.95, 0.99)
 
 
 def rounded(column: str, decimals: int = 6):
@@ -69,8 +70,24 @@ def year_extract(spark, folder):
 
 
 def first_n_cap(spark, folder):
-    papers = S.papers_from(S.records(fx.lines_in_file_order(spark, folder)))
-    return S.first_rows(papers, CAP).select("doc_id", "paper_id", "title")
+    """The first papers of the table's files, read in order until there are enough."""
+    documents = fx.scan(spark, folder, "documents")
+
+    def read(files):
+        rows = S.positioned(spark.read.schema(documents.schema).parquet(*files))
+        return S.papers_from(S.records(fx.snapshot_lines(rows, "doc_id", *S.POSITION)))
+
+    papers = S.first_of_files(S.files_in_order(documents), read, CAP)
+    return papers.select("doc_id", "paper_id", "title")
+
+
+def ingest_rejects(spark, folder):
+    """What becomes of all lines of a snapshot, counted by the job that parses them."""
+    lines = fx.lines_in_file_order(spark, folder).drop("doc_id")
+    papers, bad, counts = S.write_sorted_out(lines, work_dir(spark, "sorted-out"))
+    invalid = validate_papers(papers).filter(F.size("reasons") > 0)
+    row = {**counts, "bad_lines": bad.count(), "rejected": invalid.count()}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{n} bigint" for n in row))
 
 
 # --- text functions ------------------------------------------------------------
@@ -299,10 +316,8 @@ def filled_store(spark, folder, name, index=False):
     return store
 
 
-def search_response(spark, folder):
-    store, requests = filled_store(spark, folder, "response"), fx.requests(spark, folder)
-    results = search(store, requests)
-    answers = responses(accepted(requests), results)
+def answered(store, requests):
+    answers = responses(accepted(requests), search(store, requests))
     best = F.get("results", F.lit(0))
     return answers.select(
         "query_id",
@@ -320,6 +335,16 @@ def search_response(spark, folder):
     ).withColumn("best_distance", rounded("best_distance"))
 
 
+def search_response(spark, folder):
+    """Every request answered exactly, and again through the index."""
+    store, requests = filled_store(spark, folder, "response"), fx.requests(spark, folder)
+    exact = answered(store, requests)
+    # The tier is given, as its SQL needs to know the share; else a store calibrates it.
+    through = PaperStore(spark, store.root, Options(embedding_dim=fx.DIM, use_approximate=True))
+    through.build_index(tier=TIER)
+    return exact.unionByName(answered(through, requests))
+
+
 # --- approximate search -----------------------------------------------------------
 
 
@@ -328,11 +353,17 @@ def ann_codes(spark, folder):
     return codes.select("paper_id", F.posexplode("code").alias("word", "bits"))
 
 
+def written_index(papers, dim):
+    """The banded code table of the papers, as files."""
+    path = work_dir(papers.sparkSession, "index")
+    ann.write_index(ann.code_table(papers, CODE_BITS, dim, TIER.bands), path)
+    return papers.sparkSession.read.parquet(path)
+
+
 def approximate(spark, folder, filtered):
-    papers = fx.vector_papers(spark, folder)
-    codes = ann.code_table(papers, CODE_BITS, fx.VECTOR_DIM)
+    index = written_index(fx.vector_papers(spark, folder), fx.VECTOR_DIM)
     queries = fx.label_queries(spark, folder, filtered)
-    hits = ann.approximate_nearest(papers, codes, queries, TIER, Options())
+    hits = ann.approximate_nearest(index, queries, TIER, Options())
     return hits.select("query_id", "rank", "paper_id", rounded("distance"))
 
 
@@ -345,10 +376,10 @@ def ann_hybrid(spark, folder):
 
 
 def ann_recall(spark, folder):
-    papers = embedded_papers(spark, folder)
-    codes = ann.code_table(papers, CODE_BITS, fx.DIM)
+    """What text searches that aim at several shares of the true neighbours find of them."""
+    index = written_index(embedded_papers(spark, folder), fx.DIM)
     queries = fx.text_queries(spark, folder)
-    recall = ann.recall_by_candidates(papers, codes, queries, CODE_BITS, Options(), RECALL_STEPS)
+    recall = ann.recall_by_share(index, queries, TIER, Options(), RECALL_SHARES)
     return recall.withColumn("recall", rounded("recall"))
 
 
@@ -373,7 +404,7 @@ def upsert_merge(spark, folder):
     stored = F.lit(BASE_TIME).cast("timestamp")
     current = fx.papers(spark, folder).withColumn("created_at", stored)
     staged = work_dir(spark, "merge")
-    last_per_id(update_batch(spark, folder), ["order"]).write.parquet(staged)
+    last_per_id(addressed(update_batch(spark, folder)), ["order"]).write.parquet(staged)
     batch = spark.read.parquet(staged)
     kept, new = merge(current, batch, BATCH_TIME, batch.count())
     after = kept.unionByName(new.drop("updated"))
@@ -417,57 +448,34 @@ def corpus_roundtrip(spark, folder):
     return read_papers(spark, files).select(*schema.PAPER_COLUMNS)
 
 
-def store_lifecycle(spark, folder):
-    """What a store is after each step of its life."""
-    store, steps = PaperStore(spark, work_dir(spark, "life"), Options(embedding_dim=fx.DIM)), []
-
-    def note(step: str) -> None:
-        steps.append((step, store.exists(), store.count(), store.index() is not None))
-
-    def refused(step: str) -> None:
-        try:
-            search(store, fx.requests(spark, folder))
-        except ValueError:
-            note(step)
-
-    refused("search without store")
-    store.create()
-    store.create()
-    refused("search while empty")
-    papers = fx.papers(spark, folder).withColumn("order", F.lit(0))
-    ingest(store, papers, BASE_TIME, order=["order"], rebuild_index=False)
-    note("ingest")
-    build_index(store, skip=True)
-    note("index skipped")
-    build_index(store)
-    build_index(store)
-    note("index built")
-    store.drop_index()
-    note("index dropped")
-    store.create(force=True)
-    note("emptied")
-    return spark.createDataFrame(steps, "step string, present boolean, rows bigint, indexed boolean")
-
-
 def schema_evolve(spark, folder):
-    """Files from before the category column, read next to newer ones."""
-    old, new = work_dir(spark, "old"), work_dir(spark, "new")
-    fx.papers(spark, folder).drop("category").write.parquet(old)
-    fx.conversation_papers(spark, folder).drop("order").write.parquet(new)
-    return spark.read.schema(schema.PAPER_IN).parquet(old, new)
+    """Corpus files of three generations, read by the loader as one: without the category
+    and with a narrow year, as they are now, and with a column not yet known."""
+    old, present, later = (work_dir(spark, name) for name in ("old", "present", "later"))
+    first = fx.papers(spark, folder).drop("category")
+    first.withColumn("year", F.col("year").cast("smallint")).write.parquet(old)
+    fx.conversation_papers(spark, folder).drop("order").write.parquet(present)
+    fx.labelled_papers(spark, folder).withColumn("note", F.lit("x")).write.parquet(later)
+    return read_generations(spark, [old, present, later], schema.PAPER_IN)
 
 
 def stream_ingest(spark, folder):
+    """Papers and codes after a stream into an indexed store: what was there, and what came."""
     store = PaperStore(spark, work_dir(spark, "stream"), Options(embedding_dim=fx.DIM))
+    before = fx.conversation_papers(spark, folder)
+    ingest(store, before, BASE_TIME, order=["order"], rebuild_index=False)
+    if not store.build_index():
+        raise ValueError("the index misses its target")
     arriving = work_dir(spark, "arriving")
     fx.lines_in_file_order(spark, folder).select("value").write.text(arriving)
     start_ingest(
         store,
         read_snapshot_stream(spark, arriving),
         work_dir(spark, "progress"),
-        written_at=BASE_TIME,
+        written_at=BATCH_TIME,
     ).awaitTermination()
-    return stored(store)
+    codes = store.codes().select("paper_id", F.concat_ws(",", F.transform("code", lambda w: w.cast("string"))).alias("code"))
+    return stored(store).join(codes, "paper_id", "left")
 
 
 # --- profile ------------------------------------------------------------------------
@@ -484,6 +492,7 @@ def corpus_profile_query(spark, folder):
 QUERIES = {
     "snapshot_parse": snapshot_parse,
     "snapshot_rejects": snapshot_rejects,
+    "ingest_rejects": ingest_rejects,
     "clean_title": clean_title,
     "clean_abstract": clean_abstract,
     "paper_id_normalize": paper_id_normalize,
@@ -520,7 +529,6 @@ QUERIES = {
     "upsert_report": upsert_report,
     "replace_load": replace_load,
     "corpus_roundtrip": corpus_roundtrip,
-    "store_lifecycle": store_lifecycle,
     "schema_evolve": schema_evolve,
     "stream_ingest": stream_ingest,
     "corpus_count": corpus_count,

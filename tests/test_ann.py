@@ -1,4 +1,6 @@
 import hashlib
+import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -9,6 +11,8 @@ from lexivane.operators.search import batch_nearest, query_blocks
 from lexivane.options import Options
 
 DIM, BITS = 16, 64
+TIER = ann.Tier("t", BITS, 0.9)
+COLUMNS = ["query_id", "rank", "paper_id"]
 
 
 @pytest.fixture(scope="module")
@@ -24,15 +28,26 @@ def corpus(spark):
     return rows, spark.createDataFrame(rows, kinds).repartition(4).cache()
 
 
+@pytest.fixture(scope="module")
+def index(spark, corpus, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index") / "codes")
+    ann.write_index(ann.code_table(corpus[1], BITS, DIM), path)
+    return spark.read.parquet(path)
+
+
 def queries_of(spark, rows, **filters):
     picked = [(i, rows[i * 7 + 20][1], 8) for i in range(20)]
     df = spark.createDataFrame(picked, "query_id long, embedding array<float>, top_k int")
     return df.withColumns({k: F.lit(v) for k, v in filters.items()})
 
 
+def ranked(frame):
+    return sorted(frame.select(COLUMNS).collect())
+
+
 def test_codes_are_the_sides_of_md5_planes(spark, corpus):
     rows, df = corpus
-    codes = {r.paper_id: r.code for r in ann.code_table(df, BITS, DIM).collect()}
+    codes = {r.paper_id: r for r in ann.code_table(df, BITS, DIM).collect()}
     assert set(codes) == {r[0] for r in rows} - {"p5", "p6"}
     for pid, vector, *_ in rows[:5]:
         words = [0] * (BITS // 32)
@@ -42,81 +57,121 @@ def test_codes_are_the_sides_of_md5_planes(spark, corpus):
             ]
             if sum(s * x for s, x in zip(signs, vector, strict=True)) > 0:
                 words[j // 32] |= 1 << (j % 32)
-        assert codes[pid] == words
+        assert codes[pid].code == words and codes[pid].band == words[0] % 64
+
+
+def test_reach_of_codes_is_that_of_a_binomial():
+    def within(t, chance):
+        return sum(math.comb(BITS, n) * chance**n * (1 - chance) ** (BITS - n) for n in range(t + 1))
+
+    reach = ann.reaches(BITS, 0.95)
+    assert list(reach) == sorted(reach) and len(reach) == BITS
+    for t in (0, 3, 20, 60):
+        chance = math.acos(1 - reach[t]) / math.pi
+        assert within(t, chance) == pytest.approx(0.95, abs=1e-5)
+    limits = ann.bits_within(np.array([0.0, reach[7], reach[7] + 1e-6, 2.0]), BITS, 0.95)
+    assert limits.tolist() == [0, 7, 8, BITS]
+
+
+def test_near_bands_hold_their_share_of_near_rows():
+    """Random rows at a known angle lie in the bands as often as asked for, and a nearer
+    bound needs fewer bands."""
+    rng = np.random.default_rng(0)
+    dim, bands = 64, 6
+    query = rng.normal(size=(1, dim))
+    unit = query[0] / np.linalg.norm(query)
+    numbers = []
+    for distance in (0.02, 0.2, 0.6):
+        near = ann.near_bands(query, np.array([distance]), bands, 0.95)[0]
+        side = rng.normal(size=(4000, dim))
+        side -= (side @ unit)[:, None] * unit
+        side /= np.linalg.norm(side, axis=1)[:, None]
+        rows = (1 - distance) * unit + math.sqrt(1 - (1 - distance) ** 2) * side
+        above = rows @ ann.kernels.planes(32, dim)[:bands].T.astype(float) > 0
+        band = (above << np.arange(bands)).sum(axis=1)
+        assert near[band].mean() > 0.93
+        numbers.append(near.sum())
+    assert numbers == sorted(numbers) and numbers[0] < 16 < numbers[2] <= 64
+
+
+def test_bands_open_by_distance_to_their_planes():
+    rng = np.random.default_rng(1)
+    matrix = rng.normal(size=(3, DIM))
+    places = ann.band_places(matrix, 6)
+    far, above = ann.margins(matrix, 6)
+    for q in range(3):
+        own = sum(1 << j for j in range(6) if above[q, j])
+        nearest = min(range(6), key=lambda j: far[q, j])
+        assert places[q, own] == 0 and places[q, own ^ 1 << nearest] == 1
+        assert sorted(places[q]) == list(range(64))
+
+
+def test_a_search_finds_its_share(spark, corpus, index):
+    rows, df = corpus
+    queries = queries_of(spark, rows)
+    exact = set(ranked(batch_nearest(df, queries, Options())))
+    found = set(ranked(ann.approximate_nearest(index, queries, replace(TIER, expected=0.99), Options())))
+    assert len({(r.query_id, r.paper_id) for r in exact & found}) >= 0.95 * len(exact)
 
 
-def test_candidates_are_the_nearest_codes(spark, corpus):
-    rows, df = corpus
-    codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
-    (block,) = query_blocks(queries, Options())
-    found = ann.candidate_rows(codes, block, "bigint", BITS, 30).frame.collect()
-    table = {r.paper_id: r.code for r in codes.collect()}
-    for i in range(20):
-        own = table[f"p{i * 7 + 20}"]
-        order = sorted(
-            (sum((a ^ b).bit_count() for a, b in zip(own, code, strict=True)), pid)
-            for pid, code in table.items()
-        )
-        mine = sorted((h.rank, h.distance, h.paper_id) for h in found if h.query_id == i)
-        assert mine == [(n, float(d), p) for n, (d, p) in enumerate(order[:30], 1)]
-
-
-def test_with_all_rows_as_candidates_the_result_is_exact(spark, corpus):
+def test_a_share_of_all_is_an_exact_search(spark, corpus, index):
     rows, df = corpus
     queries = queries_of(spark, rows, min_year=1995, category_contains="c_")
-    tier = ann.Tier("t", BITS, None, candidates=len(rows))
-    codes = ann.code_table(df, BITS, DIM)
-    approx = ann.approximate_nearest(df, codes, queries, tier, Options())
-    exact = batch_nearest(df, queries, Options())
-    columns = ["query_id", "rank", "paper_id"]
-    assert sorted(approx.select(columns).collect()) == sorted(exact.select(columns).collect())
+    sure = replace(TIER, expected=1.0 - 1e-12)
+    assert ranked(ann.approximate_nearest(index, queries, sure, Options())) == ranked(batch_nearest(df, queries, Options()))
 
 
-def test_a_seed_changes_nothing(spark, corpus):
-    """Neither a few rows of the corpus nor ones that hold the answer."""
-    rows, df = corpus
-    queries = queries_of(spark, rows, min_year=1993)
-    codes = ann.code_table(df, BITS, DIM)
-    tier = ann.Tier("t", BITS, None, candidates=30)
-    columns = ["query_id", "rank", "paper_id"]
-
-    def ranked(frame):
-        return sorted(frame.select(columns).collect())
-
-    exact = ranked(batch_nearest(df, queries, Options()))
-    approx = ranked(ann.approximate_nearest(df, codes, queries, tier, Options()))
-    for part in ("paper_id LIKE 'p1%'", "paper_id = 'p20'", "true"):
-        assert ranked(batch_nearest(df, queries, Options(), df.filter(part))) == exact
-        seeded = ann.approximate_nearest(
-            df, codes, queries, tier, Options(), seed=codes.filter(part)
-        )
-        assert ranked(seeded) == approx
-
-
-def test_filters_come_before_the_candidates(spark, corpus):
-    """Few rows pass the filter; all of them are found with few candidates."""
+def test_queries_with_few_rows_open_all_bands(spark, corpus, index):
+    """Few rows pass the filter; all of them are found, by whatever share."""
     rows, df = corpus
     queries = queries_of(spark, rows, min_year=2019, max_year=2019, category_contains="C1")
     allowed = {r[0] for r in rows if r[2] == 2019 and r[3] == "c1"}
-    tier = ann.Tier("t", BITS, None, candidates=20)
-    hits = ann.approximate_nearest(df, ann.code_table(df, BITS, DIM), queries, tier, Options())
-    found = hits.collect()
-    assert {h.paper_id for h in found} <= allowed
-    assert len(found) == 20 * min(8, len(allowed))
+    hits = ann.approximate_nearest(index, queries, replace(TIER, expected=0.01), Options()).collect()
+    assert {h.paper_id for h in hits} <= allowed
+    assert len(hits) == 20 * min(8, len(allowed))
 
 
-def test_recall_grows_with_candidates_and_calibration_takes_the_first_that_reaches(spark, corpus):
-    rows, df = corpus
-    codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
-    steps = (10, 40, 160, 640)
-    recall = ann.recall_by_candidates(df, codes, queries, BITS, Options(), steps)
-    by_step = {r.candidates: r.recall for r in recall.collect()}
-    values = [by_step[s] for s in steps]
-    assert values == sorted(values) and values[-1] == 1.0
-    tier = ann.calibrate(ann.Tier("t", BITS, 0.9), recall)
-    assert tier.candidates == min(s for s in steps if by_step[s] >= 0.9)
-    assert ann.calibrate(ann.Tier("t", BITS, None), recall).candidates == ann.DEFAULT_CANDIDATES
-    assert ann.calibrate(ann.Tier("t", BITS, 0.9), recall.filter("candidates < 0")) is None
+def test_only_opened_bands_are_read(spark, corpus, index):
+    rows, _ = corpus
+    queries = queries_of(spark, rows[:21]).limit(1)
+    (block,) = query_blocks(queries, Options())
+    opened = ann.band_places(block["matrix"], TIER.bands) < 3
+    hits = ann.screened(index, block, opened, "bigint", bits=BITS).frame
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [band" in plan
+    bands = set(np.flatnonzero(opened[0]).tolist())
+    table = {r.paper_id: r.band for r in index.collect()}
+    assert len(bands) == 3 and {table[h.paper_id] for h in hits.collect()} <= bands
+    files = index.filter(F.col("band").isin(sorted(bands))).select(F.input_file_name()).distinct().count()
+    assert files <= 3 < len(index.inputFiles())
+
+
+def test_a_near_query_reads_few_bands_and_measures_few_rows(spark, corpus, index, monkeypatch):
+    rows, _ = corpus
+    seen = []
+    real = ann.screened
+    monkeypatch.setattr(ann, "screened", lambda *args, **more: seen.append(args[2:]) or real(*args, **more))
+    query = spark.createDataFrame([(1, rows[20][1], 1)], "query_id long, embedding array<float>, top_k int")
+    assert ann.approximate_nearest(index, query, TIER, Options()).first().paper_id == "p20"
+    opened, kind, near, bound, _ = seen[-1]
+    assert (opened | near).sum() < 16 and bound[0] <= 2
+
+
+def test_recall_and_calibration(spark, corpus, index):
+    rows, _ = corpus
+    queries = queries_of(spark, rows)
+    measured = {r.expected: r for r in ann.recall_by_share(index, queries, TIER, Options(), (0.5, 0.999)).collect()}
+    assert measured[0.5].recall <= measured[0.999].recall <= 1.0 and measured[0.5].neighbours == 160
+    assert measured[0.999].recall > 0.95
+    assert ann.calibrated(index, queries, TIER, Options()).expected >= 0.9
+    assert ann.calibrated(index, queries, replace(TIER, target=None), Options()).expected is None
+    assert ann.calibrated(index, queries.limit(0), TIER, Options()).expected == 0.9
+
+
+def test_a_missed_target_means_no_index(spark, corpus, index, monkeypatch):
+    recall = spark.createDataFrame([(0.5,)], "recall double")
+    monkeypatch.setattr(ann, "recall_by_share", lambda *args: recall)
+    assert ann.calibrated(index, queries_of(spark, corpus[0]), TIER, Options()) is None
 
 
 def test_tier_choice_by_budget(spark):
@@ -132,47 +187,28 @@ def test_tier_choice_by_budget(spark):
     assert bits == [256, 128, 64, 32, None]
 
 
-def test_candidates_keep_their_share_of_a_growing_corpus():
-    tier = ann.Tier("t", 256, 0.95, candidates=100, rows=1000)
-    assert tier.for_rows(900).candidates == 100
-    assert tier.for_rows(2500).candidates == 250
-    assert tier.for_rows(16000).candidates == 1600
-    assert tier.for_rows(17000).candidates == 1700
-    assert ann.candidate_steps(1000) == ann.CANDIDATE_STEPS
-    assert ann.candidate_steps(1_000_000)[len(ann.CANDIDATE_STEPS) :] == (3906, 15625, 62500)
+def test_bands_grow_with_the_corpus():
+    assert [ann.TIERS[0].for_rows(n).bands for n in (10, 1 << 22, (1 << 22) + 1, 1 << 24, 1 << 40)] == [6, 6, 6, 8, 12]
 
 
-def test_blocks_shrink_with_many_candidates(spark, corpus, monkeypatch):
-    rows, df = corpus
-    codes, queries = ann.code_table(df, BITS, DIM), queries_of(spark, rows)
-    tier = ann.Tier("t", BITS, None, candidates=30)
-    whole = ann.approximate_nearest(df, codes, queries, tier, Options()).collect()
-    monkeypatch.setattr(ann, "BLOCK_CANDIDATES", 200)
-    parts = ann.approximate_nearest(df, codes, queries, tier, Options()).collect()
+def test_blocks_give_the_same(spark, corpus, index):
+    rows, _ = corpus
+    queries = queries_of(spark, rows)
+    whole = ann.approximate_nearest(index, queries, TIER, Options()).collect()
+    parts = ann.approximate_nearest(index, queries, TIER, Options(query_block_rows=7)).collect()
     assert sorted(map(str, whole)) == sorted(map(str, parts))
 
 
-def test_vectors_are_not_shuffled(spark, corpus, tmp_path):
-    """The candidates are broadcast to the corpus, whatever its size."""
-    rows, df = corpus
-    df.write.parquet(str(tmp_path / "corpus"))
-    stored = spark.read.parquet(str(tmp_path / "corpus"))
-    codes, queries = ann.code_table(stored, BITS, DIM), queries_of(spark, rows)
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        hits = ann.approximate_nearest(stored, codes, queries, ann.Tier("t", BITS, None, candidates=20), Options())
-        plan = hits._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") >= 2
-
-
-def test_a_paper_is_no_neighbour_of_itself(spark, corpus):
-    rows, df = corpus
-    queries = ann.sample_papers(df, "embedding")
-    codes = ann.code_table(df, BITS, DIM)
+def test_vectors_are_not_shuffled(spark, corpus, index):
+    hits = ann.approximate_nearest(index, queries_of(spark, corpus[0]), TIER, Options())
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "embedding" in line]
+
+
+def test_a_paper_is_no_neighbour_of_itself(spark, corpus, index):
+    queries = ann.sample_papers(corpus[1], "embedding")
     with_self, without = (
-        ann.recall_by_candidates(df, codes, queries, BITS, Options(), (10,), own).first() for own in (False, True)
+        ann.recall_by_share(index, queries, TIER, Options(), (0.5,), own).first() for own in (False, True)
     )
     assert without.neighbours < with_self.neighbours and without.recall <= with_self.recall

@@ -1,15 +1,16 @@
 import json
-from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexivane import schema
+from lexivane.operators import ann, planning
 from lexivane.operators.embed import ModelEmbedder, WordEmbedder, embed
-from lexivane.operators.upsert import last_per_id, merge
+from lexivane.operators.upsert import addressed, last_per_id, merge, winners
 from lexivane.options import Options
 from lexivane.plans.ingest import build_index, ingest, load_corpus
 from lexivane.plans.search import accepted, responses, search
+from lexivane.sources.generations import read_generations
 from lexivane.sources.store import PaperStore
 from lexivane.streaming.ingest_stream import read_snapshot_stream, start_ingest
 
@@ -24,11 +25,9 @@ def papers(spark, *rows):
     return spark.createDataFrame(full, ", ".join([*fields, "seq int"]))
 
 
-@pytest.fixture(params=["tail", "buckets"])
-def store(spark, tmp_path, request):
-    """Upserts are appended to the tail, or go to the buckets at once."""
-    rows = {"tail": 1000, "buckets": 0}[request.param]
-    return PaperStore(spark, str(tmp_path / "store"), replace(OPTIONS, tail_rows=rows))
+@pytest.fixture
+def store(spark, tmp_path):
+    return PaperStore(spark, str(tmp_path / "store"), OPTIONS)
 
 
 def put(store, df, at=FIRST, **options):
@@ -70,70 +69,66 @@ def test_upsert_is_idempotent(spark, store):
     assert content(store) == before
 
 
-def test_untouched_buckets_are_not_rewritten(spark, tmp_path):
-    store = PaperStore(spark, str(tmp_path / "store"), replace(OPTIONS, tail_rows=0))
-    put(store, papers(spark, *[(f"p{i}", f"t{i}", None, 2000, i) for i in range(40)]))
-    before = store.pointer().papers
-    assert [len(store.papers().inputFiles()), *store.pointer().written.values()] == [4, 4]
-    put(store, papers(spark, ("p1", "other", None, 2000, 1)), SECOND)
-    after = store.pointer().papers
-    assert sorted(store.pointer().written.values()) == [1, 4] and store.count() == 40
-    assert len(before) == 4 and sum(before[b] != after[b] for b in before) == 1
-
-
-def test_tail_layers_and_compaction_show_the_same(spark, tmp_path):
+def test_a_version_is_one_folder_and_an_older_one_stays_readable(spark, store):
+    put(store, papers(spark, *[(f"p{i}", f"t{i}", "A", 2000, i) for i in range(30)]))
+    first = store.pointer()
     batches = [
         [("p1", "b", None, 2000, 1), ("n1", "new", None, 2000, 2)],
         [("p1", "c", None, 2001, 1), ("p2", "d", None, 2000, 2)],
         [("n1", "newer", "X", 2002, 1), ("p1", "e", None, None, 2)],
     ]
-    start = papers(spark, *[(f"p{i}", f"t{i}", "A", 2000, i) for i in range(30)])
-    stores = {}
-    for rows in (0, 4, 1000):
-        store = PaperStore(spark, str(tmp_path / f"store{rows}"), replace(OPTIONS, tail_rows=rows))
-        put(store, start)
-        assert build_index(store)
-        for day, batch in enumerate(batches, 1):
-            report = put(store, papers(spark, *batch), f"2024-02-0{day} 00:00:00")
-            assert report["inserted"] == (1 if day == 1 else 0)
-        assert store.pointer().rows == store.count() == 31
-        stores[rows] = store
-    assert [len(s.pointer().tail) for s in stores.values()] == [0, 0, 3]
-    plain = content(stores[0])
-    assert (plain["p1"].title, plain["p1"].authors, plain["p1"].year) == ("e", None, None)
-    assert str(plain["n1"].created_at)[:10] == "2024-02-01"
-    codes = {r.paper_id: r for r in stores[0].codes().collect()}
-    for store in (stores[4], stores[1000]):
-        assert content(store) == plain
-        assert {r.paper_id: r for r in store.codes().collect()} == codes
-    stores[1000].compact()
-    assert stores[1000].pointer().tail == [] and content(stores[1000]) == plain
-    assert {r.paper_id: r for r in stores[1000].codes().collect()} == codes
-
-
-def test_an_append_writes_only_the_batch_and_reads_only_ids(spark, tmp_path):
-    store = PaperStore(spark, str(tmp_path / "store"), OPTIONS)
-    put(store, papers(spark, *[(f"p{i}", f"t{i}", "A", 2000, i) for i in range(30)]))
-    live = store.pointer().papers
-    put(store, papers(spark, ("p1", "b", None, 2000, 1)), SECOND)
-    state = store.pointer()
-    assert state.papers == live and len(state.tail) == 1 and state.tail_rows == 1
-    plan = store.papers().select("title")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange hashpartitioning" not in plan
-
-
-def test_a_hot_id_is_reduced_before_the_shuffle(spark):
-    hot = spark.range(0, 3000, 1, 6).select(
+    for day, batch in enumerate(batches, 1):
+        report = put(store, papers(spark, *batch), f"2024-02-0{day} 00:00:00")
+        assert (report["inserted"], report["updated"]) == ((1, 1) if day == 1 else (0, 2))
+    state, rows = store.pointer(), content(store)
+    assert state.rows == len(rows) == 31 and state.folder != first.folder
+    assert {f.split("/bucket=")[0] for f in store.papers().inputFiles()} == {f"file://{store.root}/{state.folder}/papers"}
+    assert (rows["p1"].title, rows["p1"].authors, rows["p1"].year) == ("e", None, None)
+    assert str(rows["n1"].created_at)[:10] == "2024-02-01"
+    assert {r.title for r in store.papers(first).collect()} == {f"t{i}" for i in range(30)}
+    # No file is left over from staging, and no table stays registered by a write.
+    assert not store._files().listStatus(store._path("staging"))
+
+
+def test_files_of_a_bucket_do_not_grow_with_versions(spark, store):
+    for number in range(4):
+        put(store, papers(spark, *[(f"p{i}", f"t{number}", "A", 2000, i) for i in range(number, 30 + number)]))
+    files = store.papers().inputFiles()
+    assert len(files) <= 2 * OPTIONS.buckets and store.count() == 33
+
+
+def rows_of_ids(spark):
+    return spark.range(0, 3000, 1, 6).select(
         F.when(F.col("id") % 3 == 0, F.lit("unknown")).otherwise(F.concat(F.lit("p"), "id")).alias("paper_id"),
         F.col("id").alias("seq"),
+        (F.col("id") % 2).cast("double").alias("half"),
         F.col("id").cast("string").alias("title"),
     )
-    last = last_per_id(hot, ["seq"], copies="copies")
-    plan = last._jdf.queryExecution().executedPlan().toString()
-    assert "partial_max_by" in plan and plan.count("Exchange") == 1
-    rows = {r.paper_id: r for r in last.collect()}
-    assert len(rows) == 2001
-    assert (rows["unknown"].title, rows["unknown"].copies) == ("2997", 1000)
+
+
+def test_a_hot_id_is_reduced_before_the_shuffle(spark):
+    rows = addressed(rows_of_ids(spark))
+    chosen = winners(rows, ["seq"])
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and plan.count("Exchange") == 1 and "SortAggregate" not in plan
+    assert "title" not in plan
+
+
+def test_the_last_row_of_an_id_is_fetched_by_its_address(spark):
+    rows = addressed(rows_of_ids(spark))
+    last = last_per_id(rows, ["seq"], copies="copies")
+    assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+    found = {r.paper_id: r for r in last.collect()}
+    assert len(found) == 2001 and set(last.columns) == {"paper_id", "half", "title", "copies"}
+    assert (found["unknown"].title, found["unknown"].copies) == ("2997", 1000)
+
+
+def test_an_order_of_several_columns(spark):
+    rows = addressed(rows_of_ids(spark))
+    last = last_per_id(rows, ["half", "title"])
+    assert "SortAggregate" not in last._jdf.queryExecution().executedPlan().toString()
+    want = max((float(i % 2), str(i)) for i in range(0, 3000, 3))[1]
+    assert {r.seq for r in last.filter("paper_id = 'unknown'").collect()} == {int(want)} and last.count() == 2001
 
 
 def test_merge_does_not_shuffle_the_corpus(spark, tmp_path):
@@ -150,6 +145,40 @@ def test_merge_does_not_shuffle_the_corpus(spark, tmp_path):
     assert kept.count() == 999 and new.count() == 2
 
 
+def above_scan(plan, folder):
+    """The operators above the scan of a folder, from a plan in lines."""
+    lines, path, depth = plan.splitlines(), [], None
+    at = next(i for i, line in enumerate(lines) if "FileScan" in line and folder in line)
+    for line in reversed(lines[: at + 1]):
+        own = len(line) - len(line.lstrip(" :+-"))
+        if depth is None or own < depth:
+            path.append(line.strip(" :+-"))
+            depth = own
+    return path[1:]
+
+
+def test_a_batch_beyond_the_broadcast_bound_does_not_shuffle_the_corpus(spark, store, monkeypatch):
+    start = papers(spark, *[(f"p{i}", f"title {i}", "A", 2000, i) for i in range(40)])
+    put(store, start)
+    monkeypatch.setattr(planning, "BROADCAST_BYTES", planning.KEY_ROW_BYTES)  # one row
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        batch = papers(spark, *[(f"p{i}", f"new {i}", "B", 2001, i) for i in range(30, 50)])
+        staged = batch.drop("seq").withColumns({c: F.lit(None).cast(t) for c, t in (("combined_text", "string"), ("embedding", "array<float>"))})
+        kept, new = merge(store._bucketed(store.pointer()), staged, SECOND, 20)
+        for frame in (kept, new):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
+            assert not [line for line in above_scan(plan, store.root) if line.startswith("Exchange")]
+        report = put(store, batch, SECOND)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    rows = content(store)
+    assert (report["inserted"], report["updated"], len(rows)) == (10, 10, 50)
+    assert rows["p35"].title == "new 35" and str(rows["p35"].created_at)[:10] == "2024-01-01"
+
+
 def test_empty_batch_is_an_error(spark, store):
     with pytest.raises(ValueError, match="empty batch"):
         put(store, papers(spark, ("p", "t", None, 2000, 1)).limit(0))
@@ -182,10 +211,8 @@ def test_another_dimension_is_an_error(spark, store):
 
 
 def test_a_missed_target_is_not_tried_with_every_batch(spark, store, corpus_file, monkeypatch):
-    from lexivane.operators import ann
-
     load_corpus(store, corpus_file, FIRST, skip_index=True)
-    monkeypatch.setattr(ann, "calibrate", lambda tier, recall: None)
+    monkeypatch.setattr(ann, "calibrated", lambda *args: None)
     assert not build_index(store) and store.pointer().missed == 300
     version = store.pointer().version
     assert not build_index(store) and store.pointer().version == version
@@ -232,15 +259,32 @@ def test_second_writer_of_a_version_fails(spark, store):
         store._commit(store._next(state))
 
 
-def test_files_without_a_column_read_as_null(spark, store):
+def test_a_store_from_before_a_column_and_with_narrow_numbers(spark, store):
     put(store, papers(spark, ("a", "t", None, 2000, 1)))
     state = store.pointer()
-    old = store.papers().drop("category").withColumn("paper_id", F.lit("old"))
-    folder = f"{store.root}/papers/version=99/bucket=99"
-    old.drop("bucket").write.parquet(folder)
-    store.compact()
-    grown = store._next(state, papers=state.papers | {"99": "papers/version=99"})
-    assert {(r.paper_id, r.category) for r in store.papers(grown).collect()} == {("a", "cs.AI"), ("old", None)}
+    old = store.papers().drop("category").withColumn("year", F.col("year").cast("smallint"))
+    folder = f"{store.root}/versions/old/papers"
+    old.write.partitionBy("bucket").bucketBy(4, "paper_id").option("path", folder).saveAsTable("old_version")
+    spark.sql("DROP TABLE old_version")
+    store._commit(store._next(state, folder="versions/old"))
+    (row,) = store.papers().collect()
+    assert (row.paper_id, row.year, row.category) == ("a", 2000, None)
+    put(store, papers(spark, ("b", "t", None, 2001, 1)), SECOND)
+    assert {(r.paper_id, r.year, r.category) for r in store.papers().collect()} == {("a", 2000, None), ("b", 2001, "cs.AI")}
+
+
+def test_generations_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 1.5)], "paper_id string, year tinyint, score float")
+    rows.write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([("b", 3_000_000_000)], "paper_id string, year bigint").write.parquet(str(tmp_path / "two"))
+    wide = spark.createDataFrame([], "paper_id string, year bigint, score double, note string").schema
+    found = read_generations(spark, [str(tmp_path / "one"), str(tmp_path / "two")], wide)
+    assert found.schema == wide
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 1.5, None), ("b", 3_000_000_000, None, None)]
+    narrow = spark.createDataFrame([], "paper_id string, year int").schema
+    assert read_generations(spark, [str(tmp_path / "one")], narrow).columns == ["paper_id", "year"]
+    with pytest.raises(TypeError, match="two: column year is bigint, not int"):
+        read_generations(spark, [str(tmp_path / "two")], narrow)
 
 
 # --- load, index, search ----------------------------------------------------------------
@@ -300,7 +344,7 @@ def test_index_lifecycle(spark, store, corpus_file):
     assert not small.build_index()
     assert build_index(store)
     tier, version = store.index(), store.pointer().version
-    assert tier.name == "256 planes" and tier.rows == 300
+    assert tier.name == "256 planes" and tier.expected >= tier.target
     assert build_index(store) and store.pointer().version == version
     assert store.codes().count() == 300
     assert build_index(store, rebuild=True) and store.pointer().version > version
@@ -313,10 +357,8 @@ def test_index_follows_upserts(spark, store, corpus_file):
     put(store, papers(spark, ("p7", "entirely other", None, 2001, 1), ("q", "new one", None, 2002, 2)), SECOND)
     codes = {r.paper_id: r for r in store.codes().collect()}
     assert len(codes) == 301 and codes["p7"].year == 2001 and "q" in codes
-    from lexivane.operators import ann
-
-    fresh = ann.code_table(store.papers(), 256, 256).collect()
-    assert {r.paper_id: r.code for r in fresh} == {p: r.code for p, r in codes.items()}
+    fresh = ann.code_table(store.papers(), 256, 256, store.index().bands).collect()
+    assert {r.paper_id: r for r in fresh} == codes
 
 
 def test_search_takes_the_index_only_when_asked_and_there(spark, store, corpus_file):
@@ -377,13 +419,12 @@ def test_texts_are_read_from_the_buckets_of_the_hits_only(spark, store, corpus_f
     assert "dynamicpruning" in plan and "SortMergeJoin" not in plan
 
 
-def test_many_buckets_search_through_a_seed(spark, tmp_path, corpus_file):
-    options = Options(embedding_dim=256, buckets=128, tail_rows=0)
-    store = PaperStore(spark, str(tmp_path / "many"), options)
+def test_many_files_search_through_a_seed(spark, tmp_path, corpus_file):
+    store = PaperStore(spark, str(tmp_path / "many"), Options(embedding_dim=256, buckets=128))
     load_corpus(store, corpus_file, FIRST, skip_index=True)
-    few = PaperStore(spark, str(tmp_path / "few"), replace(options, buckets=4))
+    few = PaperStore(spark, str(tmp_path / "few"), Options(embedding_dim=256, buckets=4))
     load_corpus(few, corpus_file, FIRST, skip_index=True)
-    assert len(store.sample_buckets(store.pointer())) == 2 and 0 < store.sample().count() < 30
+    assert few.sample() is None and 0 < store.sample().count() < 30
     rows = [(i, f"topic{i} word{i * 3} shared", 4, None, None, None) for i in range(6)]
     columns = ["query_id", "rank", "paper_id"]
 
@@ -431,7 +472,8 @@ def test_stream_ends_where_the_batches_end(spark, store, tmp_path):
     assert {p: r.title for p, r in rows.items()} == {"cs-1": "one", "cs-2": "second two", "cs-3": "three"}
     assert str(rows["cs-2"].created_at)[:10] == "2024-01-01"
     assert str(rows["cs-3"].created_at)[:10] == "2024-02-01"
-    assert {r.paper_id for r in store.codes().collect()} == set(rows)
+    rebuilt = ann.code_table(store.papers(), store.index().bits, 256, store.index().bands)
+    assert sorted(store.codes().select(rebuilt.columns).collect()) == sorted(rebuilt.collect())
 
 
 def test_a_replayed_batch_changes_nothing(spark, store):
@@ -469,5 +511,6 @@ def test_streams_keep_and_count_what_they_reject(spark, tmp_path):
     arriving = read_snapshot_stream(spark, str(tmp_path / "in"))
     start_ingest(store, arriving, str(tmp_path / "progress"), on_report=reports.append).awaitTermination()
     assert [(r["rejected"], r["bad_lines"], r["inserted"]) for r in reports] == [(1, 1, 1)]
+    assert (reports[0]["papers"], reports[0]["bad_json"], reports[0]["unlisted"]) == (2, 1, 0)
     assert spark.read.parquet(f"{store.root}/rejects/papers").first().paper_id == "a-2"
     assert spark.read.parquet(f"{store.root}/rejects/lines").first().value == "{bad"
