@@ -12,9 +12,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from lexivane.llm.common import hold_cache
 
@@ -25,6 +28,8 @@ WHOLE_PIECE = re.compile(f"{VISIBLE}(?:.*{VISIBLE})?", re.DOTALL)
 # What one worker may keep, and what one kept segment takes besides its text.
 CACHE_BYTES = 128 << 20
 ENTRY_BYTES = 220
+# New pieces that are encoded as one text.
+PIECES_AT_ONCE = 2000
 
 
 class PieceEncoder:
@@ -42,35 +47,84 @@ class PieceEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.code = "H" if self.vocabulary <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        # Byte-level vocabularies spell a space as U+0120.
+        self.spaced = np.zeros(self.vocabulary, bool)
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.inner = Kept(cache_bytes)
         self.first = Kept(cache_bytes // 8)
 
-    def _learn(self, kept: Kept, pieces: set[str], before: str) -> None:
+    def _learn(self, kept: Kept, pieces: Iterable[str], before: str) -> None:
         """Encodes the pieces not met yet; those that are no safe segment get None."""
-        new = [p for p in pieces if not kept.has(p)]
+        new = kept.missing(pieces)
         whole = [p for p in new if WHOLE_PIECE.fullmatch(p)]
-        found = self.tokenizer.encode_batch_fast([before + p for p in whole], add_special_tokens=False)
-        kept.add(dict.fromkeys(new) | {p: array(self.code, e.ids).tobytes() for p, e in zip(whole, found, strict=True)})
+        found = self._joined(whole) if before else self._each(whole)
+        kept.add(dict.fromkeys(new) | dict(zip(whole, found, strict=True)))
+
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [array(self.code, e.ids).tobytes() for e in encoded]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces with a space before each, many pieces encoded as one text.
+
+        A piece holds no space itself, so its ids run from one that begins with a space to
+        the next.
+        """
+        found: list[bytes] = []
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            part = pieces[at : at + PIECES_AT_ONCE]
+            (whole,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(whole.ids, self.kind)
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(part) and cuts[0] == 0:
+                raw, width = ids.tobytes(), self.kind.itemsize
+                ends = [*(cuts[1:] * width).tolist(), len(raw)]
+                found += [raw[a:b] for a, b in zip((cuts * width).tolist(), ends, strict=True)]
+            else:
+                found += self._each([" " + p for p in part])
+        return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``kind``."""
         self.inner.make_room()
         self.first.make_room()
-        split = [text.split(" ") for text in texts]
-        self._learn(self.first, {pieces[0] for pieces in split}, "")
-        seen: set[str] = set()
-        for pieces in split:
-            seen.update(pieces[1:])
-        self._learn(self.inner, seen, " ")
-        first, inner = self.first.recent, self.inner.recent.__getitem__
-        found = []
-        for text, pieces in zip(texts, split, strict=True):
-            try:
-                ids = first[pieces[0]] + b"".join(map(inner, pieces[1:]))
-            except TypeError:  # a piece that starts or ends with something else than a visible character
-                ids = self._encode_segments(text)
-            found.append(np.frombuffer(ids, self.kind))
-        return found
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begins, ends = split.offsets.to_numpy()[:-1], split.offsets.to_numpy()[1:]
+        coded = split.values.dictionary_encode()
+        slot, spelled = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+        # Pieces after a space, each different one once; then those a text starts with.
+        after = np.ones(len(slot), bool)
+        after[begins] = False
+        used = np.zeros(len(spelled), bool)
+        used[slot[after]] = True
+        starting, slot[begins] = np.unique(slot[begins], return_inverse=True)
+        slot[begins] += len(spelled)
+        inner = [spelled[i] for i in np.flatnonzero(used).tolist()]
+        first = [spelled[i] for i in starting.tolist()]
+        self._learn(self.inner, inner, " ")
+        self._learn(self.first, first, "")
+
+        known = list(map(self.inner.recent.__getitem__, inner)) + list(map(self.first.recent.__getitem__, first))
+        at = np.concatenate([np.flatnonzero(used), len(spelled) + np.arange(len(first))])
+        place, unsafe = np.zeros(len(spelled) + len(first), np.int64), np.zeros(len(spelled) + len(first), bool)
+        place[at] = np.arange(len(at))
+        unsafe[at] = [k is None for k in known]
+        known = [k or b"" for k in known]
+        edges = np.zeros(len(known) + 1, np.int64)
+        np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize, out=edges[1:])
+        kept = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(known), self.kind)))
+        taken = kept.take(pa.array(place[slot]))
+        ids, upto = taken.values.to_numpy(), taken.offsets.to_numpy()
+        # A text with a piece that starts or ends with something else than a visible character.
+        odd = np.logical_or.reduceat(unsafe[slot], begins)
+        last = upto[ends].tolist()
+        return [
+            np.frombuffer(self._encode_segments(text), self.kind) if is_odd else ids[a:b]
+            for text, is_odd, a, b in zip(texts, odd.tolist(), [0, *last[:-1]], last, strict=True)
+        ]
 
     def _encode_segments(self, text: str) -> bytes:
         segments = SAFE_SPACE.split(text)
@@ -92,13 +146,13 @@ class Kept:
         if self.used > self.most:
             self.older, self.recent, self.used = self.recent, {}, 0
 
-    def has(self, piece: str) -> bool:
-        if piece in self.recent:
-            return True
-        if piece in self.older:
-            self.add({piece: self.older[piece]})
-            return True
-        return False
+    def missing(self, pieces: Iterable[str]) -> list[str]:
+        """The pieces not kept; those of the older half are recent from now on."""
+        recent, older = self.recent, self.older
+        absent = [p for p in pieces if p not in recent]
+        met = {p: older[p] for p in absent if p in older}
+        self.add(met)
+        return [p for p in absent if p not in met]
 
     def add(self, found: dict[str, bytes | None]) -> None:
         self.used += sum(map(len, found)) * 4 + ENTRY_BYTES * len(found)
