@@ -220,8 +220,8 @@ def last_distances(hits: DataFrame, block: dict) -> np.ndarray:
     return np.array([found[i].d if i in found and found[i].n == k else np.nan for i, k in asked])
 
 
-def approximate_nearest(index: DataFrame, queries: DataFrame, tier: Tier, options: Options) -> DataFrame:
-    """Ranked hits of every query, as ``batch_nearest`` but through the index."""
+def approximate_hits(index: DataFrame, queries: DataFrame, tier: Tier, options: Options) -> Hits:
+    """Ranked hits of every query, as ``nearest_hits`` but through the index."""
     kind, every = query_type(queries), 1 << tier.bands
     share = math.sqrt(tier.share)  # of the bands and of the codes, so that both hold
 
@@ -244,7 +244,11 @@ def approximate_nearest(index: DataFrame, queries: DataFrame, tier: Tier, option
         block = {**block, "limit": limit.tolist()}
         return screened(index, block, opened, kind, near, bits_within(known, tier.bits, share), tier.bits)
 
-    return broadcast_keys(*by_block(queries, options, search, lambda: no_hits(index, kind)))
+    return by_block(queries, options, search, lambda: no_hits(index, kind))
+
+
+def approximate_nearest(index: DataFrame, queries: DataFrame, tier: Tier, options: Options) -> DataFrame:
+    return broadcast_keys(*approximate_hits(index, queries, tier, options))
 
 
 # --- calibration ---------------------------------------------------------------------

@@ -8,6 +8,7 @@ slices whose score matrix holds at most ``CELLS`` entries.
 from __future__ import annotations
 
 import hashlib
+import io
 import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -305,73 +306,138 @@ def without_spare_copies(
     return np.flatnonzero(keep)
 
 
-def nearest_rows(block: dict, width: int) -> Callable[[Iterator], Iterator]:
-    """Best rows of one task's input for every query of a block.
+class BlockSearch:
+    """Best rows of what one task reads for every query of a block.
 
     ``block`` holds ``ids`` (an Arrow array), ``matrix`` (one row per query), ``k`` (rows wanted
     per query), ``filters`` (how many there are; 0 when no query has one), ``filter_of``
     (per query: which one is its own) and ``limit`` (no row farther than this can be
-    among the k; infinite where nothing is known). Input columns: id, one flag per
+    among the k; infinite where nothing is known). Columns of a batch: id, one flag per
     filter that tells whether the row passes, vector; with a ``screen``, which says which
     rows are to be measured for which query (see ``screening``), also band and code.
-    Output: query_id, wanted, id, distance; at most ``k`` rows per query, ranked
+    Hits: query_id, wanted, id, distance; at most ``k`` rows per query, ranked
     by (distance rounded to 9 decimals, id). Filters are applied before ranking,
     so the k rows come from the filtered corpus.
     """
-    wanted = np.asarray(block["k"], dtype=np.int64)
-    filters, filter_of = block["filters"], np.asarray(block["filter_of"], dtype=np.int64)
-    matrix, limit = block["matrix"], np.asarray(block["limit"], dtype=np.float64)
-    screen = block.get("screen")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slack, score = cosine_scorer(np.asarray(matrix))
-        measured = screening(screen) if screen else None
-        best = Best(wanted, limit)
-        step = max(1, CELLS // max(len(wanted), width))
-        for record_batch in batches:
-            batch = pa.Table.from_batches([record_batch])
-            vectors, at = as_matrix(batch.column(2), width, None)
-            mask = masks(batch.column(1), at, filters)
-            ids = batch.column(0).combine_chunks().take(pa.array(at))
+    def __init__(self, block: dict, width: int):
+        self.wanted = np.asarray(block["k"], dtype=np.int64)
+        self.ids, self.width, self.filters = block["ids"], width, block["filters"]
+        self.filter_of = np.asarray(block["filter_of"], dtype=np.int64)
+        self.slack, self.score = cosine_scorer(np.asarray(block["matrix"]))
+        self.screen = block.get("screen")
+        self.measured = screening(self.screen) if self.screen else None
+        self.best = Best(self.wanted, np.asarray(block["limit"], dtype=np.float64))
+        self.step = max(1, CELLS // max(len(self.wanted), width))
+
+    def add(self, record_batch: pa.RecordBatch) -> None:
+        best, measured = self.best, self.measured
+        batch = pa.Table.from_batches([record_batch])
+        vectors, at = as_matrix(batch.column(2), self.width, None)
+        mask = masks(batch.column(1), at, self.filters)
+        ids = batch.column(0).combine_chunks().take(pa.array(at))
+        if measured:
+            bands = batch.column(3).to_numpy()[at]
+            codes = as_matrix(batch.column(4), self.screen["codes"].shape[1], None)[0][at]
+        kept = without_spare_copies(vectors, mask, ids, best.deepest)
+        if kept is not None:
+            vectors, ids = vectors[kept], ids.take(pa.array(kept))
+            mask = None if mask is None else mask[kept]
+            if measured:
+                bands, codes = bands[kept], codes[kept]
+        for start in range(0, len(vectors), self.step):
+            own = np.arange(start, min(start + self.step, len(vectors)))
             if measured:
-                bands = batch.column(3).to_numpy()[at]
-                codes = as_matrix(batch.column(4), screen["codes"].shape[1], None)[0][at]
-            kept = without_spare_copies(vectors, mask, ids, best.deepest)
-            if kept is not None:
-                vectors, ids = vectors[kept], ids.take(pa.array(kept))
-                mask = None if mask is None else mask[kept]
-                if measured:
-                    bands, codes = bands[kept], codes[kept]
-            for start in range(0, len(vectors), step):
-                own = np.arange(start, min(start + step, len(vectors)))
-                if measured:
-                    wanted_for = measured(bands[own], codes[own])
-                    some = wanted_for.any(axis=1)
-                    own, wanted_for = own[some], wanted_for[some]
-                if not len(own):
-                    continue
-                rough, exact = score(vectors[own])
-                passing = rough <= best.limit + slack
-                if measured:
-                    passing &= wanted_for
-                if mask is not None:
-                    passing &= mask[own][:, filter_of]
-                if len(rough) > best.deepest and np.count_nonzero(passing) > best.room:
-                    # The k-th best of any part bounds the k-th best of the whole.
-                    inside = np.where(passing, rough, np.inf)
-                    kth = np.partition(inside, best.deepest - 1, axis=0)[best.deepest - 1]
-                    best.lower(kth + slack)
-                    passing &= rough <= best.limit + slack
-                row, q = np.divmod(np.flatnonzero(passing), len(wanted))
-                if len(row):
-                    best.add(ids.take(pa.array(own)), row, q, exact(row, q))
-        if best.kept:
-            q, distance, ids = best.shrink()
-            query_ids = block["ids"].take(pa.array(q))
-            columns = [query_ids, pa.array(wanted[q]), ids, pa.array(distance)]
+                wanted_for = measured(bands[own], codes[own])
+                some = wanted_for.any(axis=1)
+                own, wanted_for = own[some], wanted_for[some]
+            if not len(own):
+                continue
+            rough, exact = self.score(vectors[own])
+            passing = rough <= best.limit + self.slack
+            if measured:
+                passing &= wanted_for
+            if mask is not None:
+                passing &= mask[own][:, self.filter_of]
+            if len(rough) > best.deepest and np.count_nonzero(passing) > best.room:
+                # The k-th best of any part bounds the k-th best of the whole.
+                inside = np.where(passing, rough, np.inf)
+                kth = np.partition(inside, best.deepest - 1, axis=0)[best.deepest - 1]
+                best.lower(kth + self.slack)
+                passing &= rough <= best.limit + self.slack
+            row, q = np.divmod(np.flatnonzero(passing), len(self.wanted))
+            if len(row):
+                best.add(ids.take(pa.array(own)), row, q, exact(row, q))
+
+    def hits(self) -> Iterator[pa.RecordBatch]:
+        if self.best.kept:
+            q, distance, ids = self.best.shrink()
+            columns = [self.ids.take(pa.array(q)), pa.array(self.wanted[q]), ids, pa.array(distance)]
             names = ["query_id", "wanted", "paper_id", "distance"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
+
+def nearest_rows(block: dict, width: int) -> Callable[[Iterator], Iterator]:
+    """A ``BlockSearch`` over one task's input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = BlockSearch(block, width)
+        for batch in batches:
+            search.add(batch)
+        yield from search.hits()
+
+    return run
+
+
+# --- many blocks in one scan ---------------------------------------------------------
+
+
+def packed_block(table: pa.Table) -> pa.Table:
+    """One row with all queries of a block: their columns as an Arrow stream."""
+    ids = table["query_id"].combine_chunks()
+    if len(ids.unique()) < len(ids):
+        raise ValueError("query ids are not unique")
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, table.schema) as writer:
+        writer.write_table(table)
+    return pa.table({"block": table["block"][:1], "payload": pa.array([out.getvalue()], pa.binary())})
+
+
+def unpacked_block(payload: bytes, width: int) -> dict | None:
+    """What ``packed_block`` packed, as a ``BlockSearch`` wants it; None when no query of it has a direction."""
+    table = pa.ipc.open_stream(payload).read_all()
+    matrix, _ = as_matrix(table["embedding"], width, np.float64)
+    usable = np.flatnonzero(matrix.any(axis=1) & ~np.isnan(matrix).any(axis=1))
+    if not len(usable):
+        return None
+    column = {n: table[n].to_numpy()[usable] for n in ("k", "filter_of", "limit")}
+    return {"ids": table["query_id"].combine_chunks().take(pa.array(usable)), "matrix": matrix[usable], **column}
+
+
+def grid_rows(filters: int, width: int) -> Callable[[Iterator], Iterator]:
+    """A ``BlockSearch`` for every block that the first row of a task's input carries.
+
+    The fourth column holds a block or nothing; a row that was joined to several blocks
+    comes once for each, and counts once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        searches, begun = [], False
+        for batch in batches:
+            carries = batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            if carries.any():
+                for payload in batch.column(3).filter(pa.array(carries)).to_pylist():
+                    block = unpacked_block(payload, width)
+                    if block:
+                        searches.append(BlockSearch({**block, "filters": filters}, width))
+                once = np.zeros(len(carries), dtype=bool)
+                once[np.flatnonzero(carries)[:1]] = not begun
+                batch, begun = batch.filter(pa.array(~carries | once)), True
+            for search in searches:
+                search.add(batch)
+        for search in searches:
+            yield from search.hits()
+
     return run
 
 

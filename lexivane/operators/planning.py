@@ -10,13 +10,18 @@ BROADCAST_BYTES = 256 << 20
 KEY_ROW_BYTES = 160
 
 
+def fits_broadcast(rows: int) -> bool:
+    """Whether so many ids with a few numbers may be broadcast."""
+    return rows * KEY_ROW_BYTES <= BROADCAST_BYTES
+
+
 def broadcast_keys(keys: DataFrame, at_most: int) -> DataFrame:
     """Marks a narrow table of at most ``at_most`` rows for broadcast if that fits.
 
     The mark keeps the other side, the corpus, from being shuffled. Beyond the
     bound Spark is left to join by shuffle.
     """
-    return F.broadcast(keys) if at_most * KEY_ROW_BYTES <= BROADCAST_BYTES else keys
+    return F.broadcast(keys) if fits_broadcast(at_most) else keys
 
 
 def keys_for_join(keys: DataFrame, at_most: int) -> DataFrame:

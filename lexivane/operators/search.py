@@ -21,14 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexivane.functions import vectors as V
-from lexivane.operators import kernels
-from lexivane.operators.planning import broadcast_keys
+from lexivane.operators import grid, kernels
+from lexivane.operators.planning import broadcast_keys, fits_broadcast
 from lexivane.operators.predicates import search_predicate
 from lexivane.options import Options, check_top_k
 from lexivane.session import work_dir
 
 RESULT_TEXT = ["title", "abstract", "authors", "year", "venue", "doi", "category"]
-QUERY_COLUMNS = ["query_id", "embedding", "top_k", "min_year", "max_year", "category_contains"]
+QUERY_TYPES = {"embedding": "array<float>", "top_k": "int", "min_year": "int", "max_year": "int", "category_contains": "string"}
+QUERY_COLUMNS = ["query_id", *QUERY_TYPES]
 HITS = "query_id {query_id}, wanted bigint, paper_id {paper_id}, distance double"
 MERGE_SALTS = 32
 # Different filters one block of queries may have.
@@ -267,22 +268,59 @@ def query_type(queries: DataFrame) -> str:
     return queries.schema["query_id"].dataType.simpleString()
 
 
+def nearest_hits(
+    corpus: DataFrame, queries: DataFrame, options: Options, seed: DataFrame | None = None
+) -> Hits:
+    """The top_k nearest papers of every query under that query's own filters."""
+    kind = query_type(queries)
+    columns = [F.col(c) if c in queries.columns else F.lit(None).cast(t).alias(c) for c, t in QUERY_TYPES.items()]
+    usable = queries.select("query_id", *columns).filter("embedding IS NOT NULL")
+    head = usable.limit(options.query_block_rows + 1).toArrow()
+    if head.num_rows > options.query_block_rows:
+        return _grid_nearest(corpus, usable, options, seed)
+    blocks = list(query_block(head, options))
+    if not blocks:
+        return Hits(no_hits(corpus, kind), 0)
+    each = [best_rows(corpus, block, kind, seed=seed) for block in blocks]
+    return Hits(reduce(DataFrame.unionByName, [h.frame for h in each]), sum(h.at_most for h in each))
+
+
+def _grid_nearest(corpus: DataFrame, usable: DataFrame, options: Options, seed: DataFrame | None) -> Hits:
+    """The same for a table of many blocks, see ``grid``."""
+    path = work_dir(usable.sparkSession, "queries")
+    usable.write.parquet(path)
+    queries = usable.sparkSession.read.schema(usable.schema).parquet(path)
+    wanted = F.coalesce("top_k", F.lit(options.top_k))
+    sums = queries.agg(F.max(wanted).alias("deepest"), F.sum(wanted).alias("hits")).first()
+    id_type = corpus.schema["paper_id"].dataType.simpleString()
+    kinds = HITS.format(query_id=query_type(queries), paper_id=id_type)
+    distinct = grid.distinct_filters(queries)
+    found = []
+    for start in range(0, len(distinct), BLOCK_FILTERS):
+        filters = distinct[start : start + BLOCK_FILTERS]
+        own = queries
+        if len(distinct) > BLOCK_FILTERS:
+            chosen = queries.sparkSession.createDataFrame(filters, queries.select(*grid.FILTER).schema)
+            own = queries.join(F.broadcast(chosen), [queries[c].eqNullSafe(chosen[c]) for c in grid.FILTER], "left_semi")
+
+        def best(rows: DataFrame, filters: list, own: DataFrame, limits: DataFrame | None) -> DataFrame:
+            blocks, scans, width = grid.write_blocks(own, filters, options, limits)
+            rows, passes, number = filtered(rows, filters)
+            each = [grid.grid_hits(rows, passes, number, blocks, scan, width, kinds) for scan in range(scans)]
+            return best_per_query(reduce(DataFrame.unionByName, each), sums.deepest)
+
+        limits = None
+        if seed is not None:
+            limits = grid.limits_from(best(seed, filters, own, None), own, options, 2 * 10.0**-V.RANK_DECIMALS)
+        found.append(best(corpus, filters, own, limits))
+    return Hits(reduce(DataFrame.unionByName, found), sums.hits)
+
+
 def batch_nearest(
     corpus: DataFrame, queries: DataFrame, options: Options, seed: DataFrame | None = None
 ) -> DataFrame:
-    """The top_k nearest papers of every query under that query's own filters.
-
-    The hits are marked for broadcast when their number, the sum of all top_k,
-    is small.
-    """
-    kind = query_type(queries)
-    hits = by_block(
-        queries,
-        options,
-        lambda block: best_rows(corpus, block, kind, seed=seed),
-        lambda: no_hits(corpus, kind),
-    )
-    return broadcast_keys(*hits)
+    """``nearest_hits``, marked for broadcast when their number, the sum of all top_k, is small."""
+    return broadcast_keys(*nearest_hits(corpus, queries, options, seed))
 
 
 def bucket_of(paper_id: Column, buckets: int) -> Column:
@@ -307,3 +345,11 @@ def with_papers(
     keyed = hits.withColumn("bucket", bucket_of(F.col("paper_id"), buckets))
     papers = corpus.select("bucket", "paper_id", *columns)
     return keyed.join(papers, ["bucket", "paper_id"]).drop("bucket")
+
+
+def with_stored_papers(hits: Hits, corpus: DataFrame, bucketed: DataFrame, buckets: int) -> DataFrame:
+    """``with_papers`` from a store: few hits are broadcast; many are dealt by id to the
+    buckets of the corpus, whose texts are not shuffled either."""
+    if fits_broadcast(hits.at_most):
+        return with_papers(F.broadcast(hits.frame), corpus, buckets=buckets)
+    return hits.frame.hint("shuffle_hash").join(bucketed.select("paper_id", *RESULT_TEXT), "paper_id")

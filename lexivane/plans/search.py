@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexivane.operators import ann
 from lexivane.operators.embed import WordEmbedder, embed
 from lexivane.operators.profile import corpus_profile
-from lexivane.operators.search import batch_nearest, result_rows, with_papers
+from lexivane.operators.search import nearest_hits, result_rows, with_stored_papers
 from lexivane.operators.validate import validate_requests
 from lexivane.sources.store import PaperStore
 
@@ -40,10 +40,10 @@ def search(store: PaperStore, requests: DataFrame, embedder=None) -> DataFrame:
     queries, papers, options = embedded_requests(requests, embedder), store.papers(state), store.options
     approximate = options.use_approximate and state.index is not None
     if approximate:
-        hits = ann.approximate_nearest(store.codes(state), queries, store.tier(state), options)
+        hits = ann.approximate_hits(store.codes(state), queries, store.tier(state), options)
     else:
-        hits = batch_nearest(papers, queries, options, store.sample(state))
-    found = result_rows(with_papers(hits, papers, buckets=state.buckets))
+        hits = nearest_hits(papers, queries, options, store.sample(state))
+    found = result_rows(with_stored_papers(hits, papers, store.bucketed(state), state.buckets))
     path = F.lit(approximate).alias("approximate", metadata={PATH_TAKEN: approximate})
     return found.select("*", path)
 

@@ -139,7 +139,7 @@ class PaperStore:
         path = self._papers_path(state)
         return conform(self.spark.read.parquet(path), BUCKETED, path)
 
-    def _bucketed(self, state: Pointer) -> DataFrame:
+    def bucketed(self, state: Pointer) -> DataFrame:
         """The same rows as a bucketed table: joins on the id do not shuffle them."""
         if not state.folder:
             return self.papers(state)
@@ -264,7 +264,7 @@ class PaperStore:
 
         # A paper without a vector is stored, so that it replaces what it updates; it is not searchable.
         folder = self._new_folder(state)
-        kept, new = merge(self._bucketed(state), staged, written_at, rows)
+        kept, new = merge(self.bucketed(state), staged, written_at, rows)
         columns = BUCKETED.fieldNames()
         dealt = new.select(*columns).repartition(state.buckets, "paper_id")
         after = kept.select(*columns).unionByName(dealt) if state.folder else dealt

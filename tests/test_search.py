@@ -7,11 +7,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexivane.functions import vectors as V
-from lexivane.operators import kernels
+from lexivane.operators import grid, kernels
+from lexivane.operators import search as search_module
 from lexivane.operators.embed import ModelEmbedder, WordEmbedder, dimension_fault, embed
 from lexivane.operators.predicates import search_predicate
 from lexivane.operators.validate import category_filter
-from lexivane.operators.search import batch_nearest, nearest, result_rows, with_papers
+from lexivane.operators.search import batch_nearest, nearest, nearest_hits, result_rows, with_papers
 from lexivane.options import Options
 
 DIM = 8
@@ -112,6 +113,31 @@ def test_batch_equals_brute_force_in_any_block_size(spark, block):
         assert mine == list(enumerate(expected, 1)), qid
 
 
+def test_many_blocks_are_one_scan(spark, tmp_path):
+    data, corpus = random_corpus(spark)
+    corpus.write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    _, queries = query_frame(spark, data)
+    hits = nearest_hits(stored, queries, Options(query_block_rows=7))
+    plan = hits.frame._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and "/corpus" in line for line in plan.splitlines()) == 1
+    assert plan.count("payload") and hits.at_most == sum(1 + i % 13 for i in range(40))
+    above = plan[: plan.index("MapInArrow")].count("Exchange hashpartitioning"), plan[plan.index("MapInArrow") :]
+    assert "Exchange hashpartitioning" not in above[1]
+
+
+def test_blocks_beyond_one_scan_and_filters_beyond_one_block(spark, monkeypatch):
+    data, corpus = random_corpus(spark)
+    _, queries = query_frame(spark, data)
+    columns = ["query_id", "rank", "paper_id"]
+    whole = sorted(batch_nearest(corpus, queries, Options()).select(columns).collect())
+    monkeypatch.setattr(grid, "SCAN_BYTES", 3 * 7 * DIM * 8)
+    monkeypatch.setattr(search_module, "BLOCK_FILTERS", 4)
+    for seed in (None, corpus.filter("paper_id LIKE 'p1%'")):
+        parts = batch_nearest(corpus, queries, Options(query_block_rows=7), seed)
+        assert sorted(parts.select(columns).collect()) == whole
+
+
 def test_small_slices_give_the_same(spark, monkeypatch):
     data, corpus = random_corpus(spark)
     _, queries = query_frame(spark, data)
@@ -335,7 +361,7 @@ def test_kernel_is_the_same_for_any_split_into_batches(data):
             "embedding": pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32())),
         }
     )
-    run = kernels.nearest_rows(block, 3, "cosine")
+    run = kernels.nearest_rows(block, 3)
 
     def found(batches):
         out = [b.to_pydict() for b in run(iter(batches))]

@@ -166,7 +166,7 @@ def test_a_batch_beyond_the_broadcast_bound_does_not_shuffle_the_corpus(spark, s
     try:
         batch = papers(spark, *[(f"p{i}", f"new {i}", "B", 2001, i) for i in range(30, 50)])
         staged = batch.drop("seq").withColumns({c: F.lit(None).cast(t) for c, t in (("combined_text", "string"), ("embedding", "array<float>"))})
-        kept, new = merge(store._bucketed(store.pointer()), staged, SECOND, 20)
+        kept, new = merge(store.bucketed(store.pointer()), staged, SECOND, 20)
         for frame in (kept, new):
             plan = frame._jdf.queryExecution().executedPlan().toString()
             assert "Bucketed: true" in plan and "SortMergeJoin" not in plan
@@ -419,6 +419,18 @@ def test_texts_are_read_from_the_buckets_of_the_hits_only(spark, store, corpus_f
     assert "dynamicpruning" in plan and "SortMergeJoin" not in plan
 
 
+def test_many_hits_do_not_shuffle_the_texts(spark, store, corpus_file, monkeypatch):
+    load_corpus(store, corpus_file, FIRST, skip_index=True)
+    request = request_frame(spark, *[(i, f"topic{i} study", 5, None, None, None) for i in range(4)])
+    few = sorted(search(store, request).collect())
+    monkeypatch.setattr(planning, "BROADCAST_BYTES", planning.KEY_ROW_BYTES)
+    results = search(store, request)
+    plan = results._jdf.queryExecution().executedPlan().toString()
+    texts = [i for i, line in enumerate(plan.splitlines()) if "Bucketed: true" in line]
+    assert len(texts) == 1 and "Exchange" not in plan.splitlines()[texts[0] - 1]
+    assert sorted(results.collect()) == few
+
+
 def test_many_files_search_through_a_seed(spark, tmp_path, corpus_file):
     store = PaperStore(spark, str(tmp_path / "many"), Options(embedding_dim=256, buckets=128))
     load_corpus(store, corpus_file, FIRST, skip_index=True)
