@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import staged
+from lexivane.llm.common import discard, staged
 from lexivane.llm.exact import attach_groups
 
 
@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     total = edges.count()
     degrees = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("least"))
     labels = staged(degrees.select(F.col("a").alias("node"), "n", F.least("a", "least").alias("component")), "labels")
+    held = labels
     while total:
         far = labels.select(F.col("node").alias("b"), "n", F.col("component").alias("near"))
         least = attach_groups(edges, far, "b", total).groupBy("a").agg(F.min("near").alias("near"))
@@ -41,7 +42,9 @@ def components(links: DataFrame) -> DataFrame:
             F.col("component").alias("before"),
         )
         written = staged(jumped, "labels")
-        labels = written.drop("before")
+        discard(held)
+        held, labels = written, written.drop("before")
         if written.filter("component <> before").limit(1).count() == 0:
             break
+    discard(edges)
     return labels.select("node", "component")

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivane.llm.common import free_name, hold_cache, maybe_broadcast, staged
+from lexivane.llm.common import discard, free_name, maybe_broadcast, staged
 from lexivane.llm.components import components
 from lexivane.llm.exact import attach_groups
-from lexivane.llm.shingles import Shingler
+from lexivane.llm.shingles import shingle_sets
 
 PERCENT = 80
 # Counters of the frequency table; one byte each is broadcast.
@@ -112,12 +111,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-_shingler = lru_cache(maxsize=1)(Shingler)
-
-
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
-    hold_cache("shingles", _shingler.cache_clear)
-    return _shingler().sets(batch.column(1).cast(pa.binary()).to_pylist())
+    return shingle_sets(batch.column(1))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -211,6 +206,7 @@ def frequency_table(docs: DataFrame, counted: DataFrame) -> np.ndarray:
     again = staged(_texts(docs).mapInArrow(count_rare, "block int, counts binary"), "jaccard-counts")
     fine, _ = frequency_classes(again)
     shared.unpersist()
+    discard(again)
     return above | np.clip((fine.astype(np.int16) - 24) // 4, 0, 15).astype(np.uint8)
 
 
@@ -290,20 +286,24 @@ MEETINGS = "meeting long, doc_id long, n int"
 
 
 def _meetings(table: pa.Table) -> pa.Table:
-    """Texts of a bucket that share a shingle, named by a hash of who meets with which sizes.
+    """Texts of a bucket that share a shingle and may link by their sizes, named by a hash
+    of who meets with which sizes.
 
+    The texts that share a shingle fall apart where, in the order of sizes, one is too
+    large for the one before: none of the smaller ones can link with it or a larger one.
     Near copies share many shingles; the same texts meeting again make the same rows,
     which are dropped here and, between buckets, by the caller.
     """
     keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
     ids = np.frombuffer(b"".join(table["docs"].to_pylist()), "<i8")
     sizes = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
-    order = np.lexsort((sizes, ids, keys))
+    order = np.lexsort((ids, sizes, keys))
     keys, ids, sizes = keys[order], ids[order], sizes[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])
     keys, ids, sizes = keys[new], ids[new], sizes[new]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    apart = (keys[1:] != keys[:-1]) | (100 * sizes[:-1].astype(np.int64) < PERCENT * sizes[1:].astype(np.int64))
+    starts = np.flatnonzero(np.r_[True, apart]) if len(keys) else np.empty(0, np.int64)
     ends = np.r_[starts[1:], len(keys)]
     who = np.stack([ids, sizes.astype("<i8")], axis=1)
     met: dict[int, np.ndarray] = {}
@@ -318,12 +318,12 @@ def _meetings(table: pa.Table) -> pa.Table:
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of written pairs ``a, b, na, nb`` those that link, as ``a, b``."""
+    """Of written pairs ``a, b, na, nb`` those that link, written as ``a, b``."""
     total = pairs.count()
     weight = pairs.withColumn("band", size_band(F.greatest("na", "nb")))
     sums = weight.groupBy("band").agg(F.sum(F.col("na") + F.col("nb")).alias("s")).collect()
     if not sums:
-        return pairs.select("a", "b")
+        return staged(pairs.select("a", "b"), "jaccard-links")
     tiles = {r.band: max(1, -(-r.s // TILE_SHINGLES)) for r in sums}
     in_band = F.create_map(*[F.lit(x) for item in tiles.items() for x in item])
     degrees = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
@@ -355,7 +355,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 found[1].append(b)
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return tiled.groupBy("tile").cogroup(texts.groupBy("tile")).applyInArrow(compare, "a long, b long")
+    found = tiled.groupBy("tile").cogroup(texts.groupBy("tile")).applyInArrow(compare, "a long, b long")
+    links = staged(found, "jaccard-links")
+    discard(tiled, need)
+    return links
 
 
 def _close(sets: list[np.ndarray], sizes: np.ndarray, maps: list[bytes], i: int, j: int) -> bool:
@@ -392,8 +395,11 @@ def first_pairs(meetings: DataFrame) -> DataFrame:
 TILED = "a long, b long, na int, nb int"
 
 
-def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs that meet, may link, and are in different components so far.
+def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame, best: bool) -> DataFrame:
+    """Pairs that meet, may link, and are in different components so far, as ``a, b, na, nb, more``.
+
+    With ``best`` only the likeliest pair of each text in a tile; ``more`` tells whether there
+    are others.
 
     The texts that meet by a shingle are cut into size bands and blocks. A tile is two
     blocks of one band or of neighbouring ones; one holds texts outside the meeting's
@@ -453,11 +459,28 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame) -> Da
     tile_id = F.xxhash64("meeting", "low", "high", "i", "j", "whole")
     called = spread.withColumn("tile", tile_id).withColumn("call", F.pmod("tile", F.lit(number)))
     wanted = called.select("call", "tile", "mixed", "side", "doc_id", "size", "component", "bits")
-    return wanted.groupBy("call").applyInArrow(_cross_pairs, TILED).dropDuplicates(["a", "b"])
+    pairs = _likeliest_cross_pairs if best else _cross_pairs
+    found = wanted.groupBy("call").applyInArrow(pairs, f"{TILED}, more boolean")
+    once = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("more").alias("more"))
+    once = staged(once, "jaccard-pairs")
+    discard(open_rows, blocks, spread)
+    return once
 
 
 def _cross_pairs(table: pa.Table) -> pa.Table:
-    """The pairs of all tiles of a call that pass size and bitmap bound."""
+    return _tile_pairs(table, best=False)
+
+
+def _likeliest_cross_pairs(table: pa.Table) -> pa.Table:
+    return _tile_pairs(table, best=True)
+
+
+def _tile_pairs(table: pa.Table, best: bool) -> pa.Table:
+    """The pairs of all tiles of a call that pass size and bitmap bound.
+
+    With ``best`` of each text of a tile the likeliest pair only; ``more`` tells that the
+    call has others.
+    """
     table = table.sort_by("tile")
     tile, side, ids, size, component = (
         table[c].to_numpy() for c in ("tile", "side", "doc_id", "size", "component")
@@ -465,6 +488,7 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
     size, mixed, raw = size.astype(np.int64), table["mixed"].to_numpy(), table["bits"].to_pylist()
     edges = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1], True])
     out: list[list[np.ndarray]] = [[], []]
+    hidden = False
     for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         maps = folded(raw[start:end], min(map(len, raw[start:end])))
         everyone = np.arange(start, end)
@@ -477,7 +501,10 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
             other = other[100 * smaller >= PERCENT * larger]
             if len(other):
                 differing = np.bitwise_count(maps[other - start] ^ maps[i - start]).sum(axis=1).astype(np.int64)
-                other = other[may_link(size[other], size[i], differing)]
+                may = may_link(size[other], size[i], differing)
+                other, differing = other[may], differing[may]
+                if best and len(other) > 1:
+                    other, hidden = other[[differing.argmin()]], True
                 out[0].append(np.full(len(other), i))
                 out[1].append(other)
     one, other = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
@@ -486,7 +513,8 @@ def _cross_pairs(table: pa.Table) -> pa.Table:
     _, once = np.unique(np.stack([ids[low], ids[high]]), axis=1, return_index=True)
     low, high = low[once], high[once]
     sizes = size.astype(np.int32)
-    return pa.table({"a": ids[low], "b": ids[high], "na": sizes[low], "nb": sizes[high]})
+    more = np.full(len(low), hidden)
+    return pa.table({"a": ids[low], "b": ids[high], "na": sizes[low], "nb": sizes[high], "more": more})
 
 
 def meetings_with_several(placed: DataFrame) -> DataFrame:
@@ -503,25 +531,37 @@ def meetings_with_several(placed: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id``, one row per row of ``docs``."""
     counted = staged(_texts(docs).mapInArrow(_sizes_and_counts, "doc_id long, n_shingles long, block int, counts binary"), "jaccard-counts")
-    sizes = counted.filter("block is null").select("doc_id", "n_shingles")
+    sizes = staged(counted.filter("block is null").select("doc_id", "n_shingles"), "jaccard-sizes")
     sums = sizes.agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("texts")).first()
     entries = (sums.shingles or 0) * (100 - PERCENT) // 100 + sums.texts
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
+    table = frequency_table(docs, counted)
+    discard(counted)
 
-    rows = staged(prefix_entries(docs, frequency_table(docs, counted), buckets), "jaccard-entries")
+    rows = staged(prefix_entries(docs, table, buckets), "jaccard-entries")
     packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes")
     met = packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS)
     meetings = staged(met.dropDuplicates(["meeting", "doc_id", "n"]), "jaccard-meetings")
-    copies = rows.filter("copy_of is not null").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b"))
-    bits = rows.filter("bits is not null").select("doc_id", "bits")
+    copies = staged(rows.filter("copy_of is not null").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b")), "jaccard-copies")
+    bits = staged(rows.filter("bits is not null").select("doc_id", "bits"), "jaccard-bits")
+    discard(rows)
 
     tried = staged(first_pairs(meetings), "jaccard-pairs")
-    links = staged(verified(tried, docs).unionByName(copies), "jaccard-links")
-    labels = components(links)
-    more = further_pairs(meetings, labels, bits)
-    more = staged(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = staged(verified(more, docs).unionByName(links), "jaccard-links")
-    labels = components(links).withColumnRenamed("node", "doc_id")
+    links = verified(tried, docs).unionByName(copies)
+    tried, labels, best, hidden = tried.select("a", "b"), components(links), True, True
+    # A likely pair of each text joins most of what belongs together, in as many rounds as
+    # join anything; all pairs are compared of what is still apart then.
+    while hidden:
+        pairs = further_pairs(meetings, labels, bits, best)
+        hidden = best and not pairs.filter("more").isEmpty()
+        untried = staged(pairs.join(tried, ["a", "b"], "left_anti").drop("more"), "jaccard-untried")
+        found = verified(untried, docs)
+        best = best and not found.isEmpty()
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        tried = tried.unionByName(untried.select("a", "b"))
+    labels = labels.withColumnRenamed("node", "doc_id")
     return sizes.join(labels, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

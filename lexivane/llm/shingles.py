@@ -7,16 +7,14 @@ without words has none.
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
-import xxhash
+import pyarrow as pa
+
+from lexivane.llm.shinglehash import shingle_spans, words_of, xxh64_spans
 
 WORDS = 5
-# Most words a worker keeps the hashes of.
-KEPT_WORDS = 250_000
+SEED = 5
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,41 +24,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _folded(columns: list[np.ndarray], number: int) -> np.ndarray:
-    value = np.full(len(columns[0]), number, np.uint64)
-    for column in columns:
-        value = mixed(value * FACTOR + column)
-    return value
-
-
-class Shingler:
-    """Shingle sets of batches of texts; keeps the hashes of words it has met."""
-
-    def __init__(self) -> None:
-        self.known: dict[bytes, bytes] = {}
-
-    def sets(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """The sorted distinct shingle hashes of each text, given as UTF-8."""
-        split = [text.lower().split() if text else [] for text in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {}
-        known = self.known
-        for words in split:
-            for word in words:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_digest(word)
-        hashes = np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(split))), "<u8")
-        inner = len(hashes) - (WORDS - 1)
-        if inner > 0:
-            rolled = _folded([hashes[i : i + inner] for i in range(WORDS)], WORDS)
-        found, at = [], 0
-        for words in split:
-            number = len(words)
-            if number >= WORDS:
-                found.append(np.unique(rolled[at : at + number - WORDS + 1]))
-            elif number:
-                found.append(_folded([hashes[at + i : at + i + 1] for i in range(number)], number))
-            else:
-                found.append(np.empty(0, np.uint64))
-            at += number
-        return found
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    words = words_of(texts)
+    start, length, counts = shingle_spans(words, WORDS)
+    hashes = xxh64_spans(words.buffer, start, length, SEED)
+    ends = np.cumsum(counts)
+    # Sorted by text, then by hash; repeats within a text are dropped.
+    text = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((hashes, text))
+    hashes = hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    upto = np.concatenate([[0], np.cumsum(new)])
+    hashes, edges = hashes[new], [0, *upto[ends].tolist()]
+    return [hashes[a:b] for a, b in zip(edges, edges[1:], strict=False)]

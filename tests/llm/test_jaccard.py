@@ -7,7 +7,7 @@ import pytest
 
 from lexivane.llm import jaccard
 from lexivane.llm.components import components
-from lexivane.llm.shingles import Shingler
+from lexivane.llm.shingles import shingle_sets
 
 from .conftest import frame, odd_texts, words
 
@@ -83,7 +83,7 @@ def test_largest_component_is_not_laid_against_itself(spark, outside, monkeypatc
     meetings = spark.createDataFrame([(1, i, n) for i, n in sizes.items()], jaccard.MEETINGS)
     labels = spark.createDataFrame([(i, 0) for i in range(64)], "node long, component long")
     bits = spark.createDataFrame([(i, bytes(32)) for i in sizes], "doc_id long, bits binary")
-    got = [(r.a, r.b) for r in jaccard.further_pairs(meetings, labels, bits).collect()]
+    got = [(r.a, r.b) for r in jaccard.further_pairs(meetings, labels, bits, best=False).collect()]
     near = [(a, b) for a in sizes for b in outside if a < b and 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])]
     assert sorted(got) == sorted(near)
     assert rows["jaccard-spread"] <= 64 * len(outside) + len(outside) * (64 // 4 + 3 + len(outside))
@@ -96,7 +96,59 @@ def test_an_id_of_two_texts_meets_with_both_sizes():
     met = {}
     for row in got:
         met.setdefault(row["meeting"], set()).add((row["doc_id"], row["n"]))
-    assert sorted(map(sorted, met.values())) == [[(5, 10), (7, 100)], [(5, 100), (7, 100)]]
+    assert sorted(map(sorted, met.values())) == [[(5, 100), (7, 100)]]
+
+
+def test_texts_that_are_too_different_in_size_do_not_meet():
+    sizes = np.array([10, 12, 16, 20, 24, 100, 124], "<i4")
+    keys, ids = np.ones(len(sizes), "<u8"), np.arange(len(sizes), dtype="<i8")
+    table = pa.table({"keys": [keys.tobytes()], "docs": [ids.tobytes()], "sizes": [sizes.tobytes()]})
+    met = {}
+    for row in jaccard._meetings(table).to_pylist():
+        met.setdefault(row["meeting"], set()).add(row["doc_id"])
+    assert sorted(map(sorted, met.values())) == [[0, 1], [2, 3, 4], [5, 6]]
+
+
+def laid_out(spark, groups):
+    """Meetings, labels and bitmaps of groups of texts of one size, all in one meeting."""
+    ids = [(i, g) for g, number in enumerate(groups) for i in range(1000 * g, 1000 * g + number)]
+    meetings = spark.createDataFrame([(1, i, 20) for i, _ in ids], jaccard.MEETINGS)
+    labels = spark.createDataFrame([(i, 1000 * g) for i, g in ids], "node long, component long")
+    return meetings, labels, spark.createDataFrame([(i, bytes(32)) for i, _ in ids], "doc_id long, bits binary")
+
+
+def test_two_giant_components_hand_on_a_pair_per_text(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 1024)
+    made = laid_out(spark, [400, 300])
+    likeliest = jaccard.further_pairs(*made, best=True)
+    assert likeliest.count() <= 700 and likeliest.filter("more").count()
+    assert jaccard.further_pairs(*made, best=False).count() == 400 * 300
+
+
+def test_outsiders_hand_on_a_pair_each(spark):
+    made = laid_out(spark, [500, *[1] * 60])
+    assert jaccard.further_pairs(*made, best=True).count() <= 2 * 60
+    assert jaccard.further_pairs(*made, best=False).count() == 500 * 60 + 60 * 59 // 2
+
+
+def test_a_text_whose_likeliest_partner_is_none(spark, monkeypatch):
+    """The pair that the bound likes best does not link, another one does: it is found in a later round."""
+    real = jaccard.may_link
+    monkeypatch.setattr(jaccard, "ANCHORS", 1)
+    monkeypatch.setattr(jaccard, "bitmap", lambda hashes: bytes(32))  # says nothing
+    assert real is jaccard.may_link
+    rows = near_copies(7, 6, 10)
+    assert found(frame(spark, rows)) == brute(rows)
+
+
+def test_staged_folders_are_removed(spark, odd, monkeypatch):
+    import os
+
+    made, written = [], jaccard.staged
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: made.append(written(df, name)) or made[-1])
+    jaccard.similar_documents(odd).collect()
+    left = {f.staged_at.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in made if os.path.isdir(f.staged_at.removeprefix("file:"))}
+    assert not left & {"jaccard-counts", "jaccard-entries", "jaccard-spread", "jaccard-open", "jaccard-tiles", "jaccard-need"}
 
 
 def test_one_of_each(spark, odd):
@@ -127,7 +179,8 @@ def test_bound_never_loses_a_link():
 
 def test_shingles_of_bytes():
     texts = [t for _, t in odd_texts()]
-    sets = Shingler().sets([None if t is None else t.encode() for t in texts])
+    sets = shingle_sets(pa.array(texts))
+    assert all((np.diff(s) > 0).all() for s in sets)
     assert [len(s) for s in sets] == [len(shingle_set(t)) for t in texts]
 
 
