@@ -134,7 +134,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         end = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
-            encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            encoded = encoder.encode(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 ids = np.concatenate([ids.astype("<u4"), end])
                 for number, (start, length) in enumerate(cut(len(ids), capacity)):

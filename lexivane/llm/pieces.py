@@ -28,6 +28,14 @@ WHOLE_PIECE = re.compile(f"{VISIBLE}(?:.*{VISIBLE})?", re.DOTALL)
 # What one worker may keep, and what one kept segment takes besides its text.
 CACHE_BYTES = 128 << 20
 ENTRY_BYTES = 220
+# A word of Latin letters is one part, marks behind it another.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+# Byte-level vocabularies spell a byte of these ranges as the character of its
+# number, all others as the characters from 256 on, in order.
+OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+OTHER_BYTES = sorted(set(range(256)) - set(OWN_BYTES))
+SPELLED = {byte: 256 + place for place, byte in enumerate(OTHER_BYTES)}
+SPACE = chr(SPELLED[32])
 # New pieces that are encoded as one text.
 PIECES_AT_ONCE = 2000
 
@@ -47,18 +55,25 @@ class PieceEncoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.code = "H" if self.vocabulary <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
-        # Byte-level vocabularies spell a space as U+0120.
         self.spaced = np.zeros(self.vocabulary, bool)
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.inner = Kept(cache_bytes)
         self.first = Kept(cache_bytes // 8)
 
     def _learn(self, kept: Kept, pieces: Iterable[str], before: str) -> None:
         """Encodes the pieces not met yet; those that are no safe segment get None."""
         new = kept.missing(pieces)
-        whole = [p for p in new if WHOLE_PIECE.fullmatch(p)]
-        found = self._joined(whole) if before else self._each(whole)
-        kept.add(dict.fromkeys(new) | dict(zip(whole, found, strict=True)))
+        found: dict[str, bytes | None] = dict.fromkeys(new)
+        plain = [(p, m) for p in new if (m := WORD.fullmatch(p))]
+        marks = dict.fromkeys(m[2] for _, m in plain)
+        marks = dict(zip(marks, self._each(list(marks)), strict=True))
+        first, merge, code = SPACE if before else "", self.tokenizer.model.tokenize, self.code
+        for piece, m in plain:
+            word = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(SPELLED)
+            found[piece] = array(code, [t.id for t in merge(first + word)]).tobytes() + marks[m[2]]
+        whole = [p for p in new if found[p] is None and WHOLE_PIECE.fullmatch(p)]
+        found.update(zip(whole, self._joined(whole) if before else self._each(whole), strict=True))
+        kept.add(found)
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -84,13 +99,15 @@ class PieceEncoder:
                 found += self._each([" " + p for p in part])
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as arrays of ``kind``."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text, as arrays of ``kind``; a null text has none."""
         self.inner.make_room()
         self.first.make_room()
-        if not texts:
+        if not len(texts):
             return []
-        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        texts = texts.fill_null("")
+        split = pc.split_pattern(texts, " ")
         begins, ends = split.offsets.to_numpy()[:-1], split.offsets.to_numpy()[1:]
         coded = split.values.dictionary_encode()
         slot, spelled = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
@@ -122,8 +139,8 @@ class PieceEncoder:
         odd = np.logical_or.reduceat(unsafe[slot], begins)
         last = upto[ends].tolist()
         return [
-            np.frombuffer(self._encode_segments(text), self.kind) if is_odd else ids[a:b]
-            for text, is_odd, a, b in zip(texts, odd.tolist(), [0, *last[:-1]], last, strict=True)
+            np.frombuffer(self._encode_segments(texts[place].as_py()), self.kind) if is_odd else ids[a:b]
+            for place, (is_odd, a, b) in enumerate(zip(odd.tolist(), [0, *last[:-1]], last, strict=True))
         ]
 
     def _encode_segments(self, text: str) -> bytes:

@@ -16,9 +16,9 @@ their id; a third of them is kept for the temperature. Everything else covers al
 rows: each whole text is scored, in one pass without a shuffle.
 
 Defined results: a null text counts as empty and is scored as a text of no words; ids
-with contradicting or null labels are not learned from; without any usable label, or
-with labels of one class alone, fitting raises ``ValueError``; repeated rows give
-repeated results; an empty table gives an empty result. Only the id and the text
+with contradicting or null labels are not learned from; where the usable labels are of
+one class every text gets that class as score, and without any ``UNKNOWN``, so that no
+text is rejected unseen; repeated rows give repeated results; an empty table gives an empty result. Only the id and the text
 column are read by scoring; ``keep_good`` keeps all columns as they are.
 """
 
@@ -62,6 +62,10 @@ class Settings:
     seed: int = 7
 
 
+# The score where no labelled row says anything: no text is rejected unseen.
+UNKNOWN = 1.0
+
+
 def pieces(text: str | None) -> list[str]:
     """The words of a text, long ones in pieces."""
     words = text.split() if text else []
@@ -223,8 +227,10 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 class Model:
     frequent: list[str]
     vectors: np.ndarray
-    network: Network
+    network: Network | None
     settings: Settings
+    # The score of every text where nothing could be learned.
+    constant: float | None = None
 
 
 def held_out(doc_id: Column) -> Column:
@@ -247,7 +253,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> D
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns word vectors, network and temperature from the labelled sample."""
+    """Learns word vectors, network and temperature from the labelled sample.
+
+    Without two classes to tell apart every text is scored with the share of label 1 among
+    the labelled rows, and with ``UNKNOWN`` where there are none.
+    """
     spark = docs.sparkSession
     sample = staged(labelled_sample(docs, labels, settings), "quality-sample").repartition(8)
     learned = sample.filter("not calibrates")
@@ -283,12 +293,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     rows = rows.mapInArrow(featured, "features binary, quality int, calibrates boolean").collect()
     rows.sort(key=lambda r: (r.features, r.quality))
     if not rows:
-        raise ValueError("no labelled rows to learn from")
+        return Model(frequent, vectors, None, settings, UNKNOWN)
     features = np.stack([np.frombuffer(r.features, np.float32) for r in rows])
     targets = np.array([r.quality for r in rows], np.float64)
     later = np.array([r.calibrates for r in rows], bool)
     if len(set(targets[~later])) < 2:
-        raise ValueError("labels of both classes are needed")
+        return Model(frequent, vectors, None, settings, float(targets.mean()))
     network = train(features[~later], targets[~later], settings)
     if later.any():
         fitted = fit_temperature(network.logits(features[later]), targets[later])
@@ -301,8 +311,8 @@ def _scorer(spark, model: Model):
 
     def scores(lexicon: Lexicon, texts: list[str | None]) -> np.ndarray:
         own = shared.value
-        if not texts:
-            return np.empty(0)
+        if not texts or own.network is None:
+            return np.full(len(texts), own.constant)
         return own.network.probabilities(np.stack([pooled(lexicon.words(t), own.vectors) for t in texts]))
 
     def lexicon() -> Lexicon:

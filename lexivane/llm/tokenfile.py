@@ -185,7 +185,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> D
         for batch in batches:
             if writer is None:
                 writer = TokenWriter(system.open_output_stream(f"{base}/_{name}"), bits_for(encoder.vocabulary))
-            encoded = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
+            encoded = encoder.encode(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):
                 writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:

@@ -156,14 +156,6 @@ def test_all_of_a_text_without_spaces_counts():
     assert quality.pieces("the end") == ["the", "end"] and quality.pieces(None) == quality.pieces(" ") == []
 
 
-def test_quality_needs_both_classes(spark, nothing):
-    rows, labels = labelled(spark, 40)
-    with pytest.raises(ValueError, match="labels"):
-        quality.fit(frame(spark, rows), labels.filter("quality = 1"))
-    with pytest.raises(ValueError, match="labelled"):
-        quality.fit(nothing, labels)
-
-
 def test_temperature_undoes_a_factor():
     draw = np.random.default_rng(8)
     logits = draw.normal(0, 2, 20_000)
