@@ -57,24 +57,30 @@ def op3_token_files(spark, folder):
 
 
 def list_entries(pages):
-    """Dated entries from the hosts of the pages themselves: each host is listed, some are
-    taken off again, some return; some registered domains are listed with all below them."""
-    hosts = pages.select(urllists.host(F.col("url")).alias("host")).filter("host is not null").distinct()
-    number = F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long")
-    start = F.date_add(F.lit("2024-01-01").cast("date"), (number % 300).cast("int"))
-    numbered = hosts.withColumn("number", number).withColumn("start", start)
-
-    def entry(name, value, days, action, wanted):
-        rows = numbered.filter(wanted)
-        return rows.select(F.lit(name).alias("list"), F.expr(value).alias("value"), F.date_add("start", days).alias("dated"), F.lit(action).alias("action"))
-
-    domain = r"regexp_extract(host, '([^.]+\\.[^.]+\\.[^.]+)$', 1)"
+    """Dated entries from the pages themselves: hosts are listed, some taken off again, some
+    return; some domains are listed with all below them (the last three labels of a host, or
+    all it has), and some addresses."""
+    def numbered(value):
+        rows = pages.select(value.alias("value")).filter("value is not null").distinct()
+        number = F.conv(F.substring(F.md5("value"), 1, 7), 16, 10).cast("long")
+        start = F.date_add(F.lit("2024-01-01").cast("date"), (number % 300).cast("int"))
+        return rows.withColumn("number", number).withColumn("start", start)
+
+    hosts, addresses = numbered(urllists.host(F.col("url"))), numbered(urllists.address(F.col("url")))
+
+    def entry(name, value, days, action, wanted, rows=hosts):
+        listed = F.lit(name).alias("list"), F.expr(value).alias("value"), F.date_add("start", days).alias("dated")
+        return rows.filter(wanted).select(*listed, F.lit(action).alias("action"))
+
+    domain = r"coalesce(nullif(regexp_extract(value, '([^.]+\\.[^.]+\\.[^.]+)$', 1), ''), value)"
     parts = [
-        entry("spam", "host", 0, "add", "number % 2 = 0"),
-        entry("spam", "host", 40, "remove", "number % 4 = 0"),
-        entry("spam", "host", 90, "add", "number % 8 = 0"),
+        entry("spam", "value", 0, "add", "number % 2 = 0"),
+        entry("spam", "value", 40, "remove", "number % 4 = 0"),
+        entry("spam", "value", 90, "add", "number % 8 = 0"),
         entry("malware", domain, 10, "add", "number % 5 = 0"),
         entry("malware", domain, 70, "remove", "number % 10 = 0"),
+        entry("pages", "value", 5, "add", "number % 3 = 0", addresses),
+        entry("pages", "value", 65, "remove", "number % 6 = 0", addresses),
     ]
     whole = parts[0]
     for part in parts[1:]:

@@ -7,21 +7,31 @@ HOST = (
     " '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '[.]+$', ''), '')"
 )
 
+ADDRESS = (
+    f"'//' || {HOST} || regexp_replace(regexp_extract(regexp_extract(url, '^([^?#]*)', 1),"
+    " '^[A-Za-z][A-Za-z0-9+.-]*://[^/]*(.*)$', 1), '/+$', '')"
+)
+
 SQL = {
     "op4_url_lists": f"""
         WITH c AS (
-            SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched, {HOST} AS host FROM pages
+            SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INTEGER AS fetched, {HOST} AS host, {ADDRESS} AS address FROM pages
+        ), a AS (
+            SELECT address, number, DATE '2024-01-01' + (number % 300)::INTEGER AS start
+            FROM (SELECT address, ('0x' || substr(md5(address), 1, 7))::BIGINT AS number FROM (SELECT DISTINCT address FROM c) WHERE address IS NOT NULL)
         ), n AS (
             SELECT host, ('0x' || substr(md5(host), 1, 7))::BIGINT AS number FROM (SELECT DISTINCT host FROM c) WHERE host IS NOT NULL
         ), s AS (
             SELECT host, number, DATE '2024-01-01' + (number % 300)::INTEGER AS start,
-                   regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1) AS domain FROM n
+                   coalesce(nullif(regexp_extract(host, '([^.]+[.][^.]+[.][^.]+)$', 1), ''), host) AS domain FROM n
         ), e AS (
             SELECT 'spam' AS list, host AS value, start AS dated, true AS added FROM s WHERE number % 2 = 0
             UNION ALL SELECT 'spam', host, start + 40, false FROM s WHERE number % 4 = 0
             UNION ALL SELECT 'spam', host, start + 90, true FROM s WHERE number % 8 = 0
             UNION ALL SELECT 'malware', domain, start + 10, true FROM s WHERE number % 5 = 0
             UNION ALL SELECT 'malware', domain, start + 70, false FROM s WHERE number % 10 = 0
+            UNION ALL SELECT 'pages', address, start + 5, true FROM a WHERE number % 3 = 0
+            UNION ALL SELECT 'pages', address, start + 65, false FROM a WHERE number % 6 = 0
         ), m AS (
             SELECT list, value, dated, bool_and(added) AS added FROM e GROUP BY ALL
         ), i AS (
@@ -29,7 +39,7 @@ SQL = {
                    lead(dated) OVER (PARTITION BY list, value ORDER BY dated) AS valid_to FROM m
         ), hits AS (
             SELECT c.page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists
-            FROM c JOIN i ON (c.host = i.value OR ends_with(c.host, '.' || i.value))
+            FROM c JOIN i ON (c.host = i.value OR ends_with(c.host, '.' || i.value) OR c.address = i.value)
                 AND fetched >= valid_from AND (valid_to IS NULL OR fetched < valid_to)
             WHERE added GROUP BY c.page_id
         )

@@ -6,9 +6,11 @@ the intervals that hold its fetch time (from inclusive, to exclusive). A value i
 domain, which covers its subdomains, or an address without query and fragment.
 
 Captures of one host and time are judged once: the as-of join runs over distinct keys
-and times, and its verdicts are attached to the captures with frequent keys broadcast
-(see ``exact.attach_groups``), so a host with a third of all captures costs no more
-than others. Everything is a DataFrame expression.
+and times, of listed values only. It lays the moments of a list's value in one order with
+the starts of its intervals and takes for each the last start before it, so its rows are
+those of both sides and not their product. The verdicts are attached to the captures with
+frequent keys broadcast (see ``exact.attach_groups``), so a host with a third of all
+captures costs no more than others. Everything is a DataFrame expression.
 
 Defined results: a null or empty address and a null fetch time match nothing; entries
 with a null list, value or date or another action than add and remove are left out; of
@@ -67,6 +69,20 @@ def intervals(entries: DataFrame) -> DataFrame:
     )
 
 
+def active_at(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows of ``asked`` (``value, fetched`` and others) with every ``list`` whose interval
+    of the value holds the moment: an as-of join.
+    """
+    listed = spans.select("list", "value").distinct()
+    moments = asked.join(listed, "value").withColumns({"at": F.col("fetched"), "asks": F.lit(1)})
+    starts = spans.select("list", "value", F.col("valid_from").alias("at"), F.struct("valid_to").alias("span"), F.lit(0).alias("asks"))
+    order = Window.partitionBy("list", "value").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = moments.unionByName(starts, allowMissingColumns=True)
+    latest = both.withColumn("latest", F.last("span", ignorenulls=True).over(order)).filter("asks = 1")
+    holds = F.col("latest").isNotNull() & (F.col("latest.valid_to").isNull() | (F.col("fetched") < F.col("latest.valid_to")))
+    return latest.filter(holds).select(*asked.columns, "list")
+
+
 def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``page_id, url, fetched, lists, blocked``, one row per capture ``page_id, url, fetched``."""
     numbered = staged(
@@ -74,10 +90,7 @@ def verdicts(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
     wide = numbered.select("capture", "fetched", F.explode(keys(F.col("url"))).alias("value")).filter("fetched is not null")
     asked = wide.groupBy("value", "fetched").agg(F.count(F.lit(1)).alias("n"))
-    spans = intervals(entries)
-    holds = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
-    active = asked.join(spans, "value").filter(holds)
-    found = active.groupBy("value", "fetched").agg(F.first("n").alias("n"), F.collect_set("list").alias("found"))
+    found = active_at(asked, intervals(entries)).groupBy("value", "fetched").agg(F.first("n").alias("n"), F.collect_set("list").alias("found"))
     found = staged(found.select(F.struct("value", "fetched").alias("key"), "n", "found"), "url-found")
     rows = wide.select("capture", F.struct("value", "fetched").alias("key"))
     hits = attach_groups(rows, found, "key", numbered.count()).filter("found is not null")

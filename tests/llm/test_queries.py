@@ -78,6 +78,16 @@ def test_pipeline_stages(spark, con):
     assert corpus_pipeline.run(spark, FOLDER).count() == len(packed)
 
 
+def test_many_moments_of_one_value_are_no_product(spark):
+    """10,000 moments and 2,000 intervals of one value: rows are those of both sides."""
+    starts = spark.range(2000).selectExpr("'spam' AS list", "'com' AS value", "id * 10 AS valid_from", "id * 10 + 4 AS valid_to")
+    asked = spark.range(10_000).selectExpr("'com' AS value", "id * 2 AS fetched", "id AS n")
+    active = urllists.active_at(asked, starts)
+    plan = active._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" in plan
+    assert {r.n for r in active.collect()} == {n for n in range(10_000) if n * 2 % 10 < 4}
+
+
 def test_url_lists_edges(spark):
     entries = spark.createDataFrame(
         [
