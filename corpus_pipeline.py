@@ -3,6 +3,11 @@
 Low quality goes, exact and near copies are reduced to one, secrets are masked, and
 what is left is packed into sequences. Each stage takes all rows its predecessor kept;
 all but the last return the columns of ``documents``.
+
+Defined results, for every stage: a null text counts as empty; rows with a null id stay
+unless their text goes, near copies apart, which compare rows with an id only; rows that
+repeat id and text are one after exact dedup; very long texts are read whole; without
+labels no document is rejected; empty tables give empty results.
 """
 
 from __future__ import annotations
