@@ -309,10 +309,10 @@ def display_rows_query(spark, folder):
     return shown.withColumns({"similarity": rounded("similarity"), "distance": rounded("distance")})
 
 
-def filled_store(spark, folder, name, index=False):
+def filled_store(spark, folder, name):
     store = PaperStore(spark, work_dir(spark, name), Options(embedding_dim=fx.DIM))
     papers = fx.papers(spark, folder).withColumn("order", F.lit(0))
-    ingest(store, papers, BASE_TIME, order=["order"], rebuild_index=index)
+    ingest(store, papers, BASE_TIME, order=["order"], rebuild_index=False)
     return store
 
 
@@ -486,7 +486,9 @@ def corpus_count(spark, folder):
 
 
 def corpus_profile_query(spark, folder):
-    return profile(filled_store(spark, folder, "profile", index=True))
+    store = filled_store(spark, folder, "profile")
+    store.build_index(tier=TIER)  # a given tier is not calibrated
+    return profile(store)
 
 
 QUERIES = {

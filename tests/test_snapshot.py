@@ -107,6 +107,46 @@ def test_first_rows_are_those_of_the_file_order(spark, snapshot, cap):
     assert ordered == expected[:cap]
 
 
+@pytest.mark.parametrize("cap, opened", [(1, 1), (27, 1), (28, 3), (90, 3), (1000, 3)])
+def test_first_of_files_opens_no_later_file(spark, snapshot, cap, opened):
+    """Files are read in steps of one, two, four, ... until there are enough rows."""
+    path, expected = snapshot
+    seen = []
+
+    def read(files):
+        seen.extend(files)
+        return S.papers_from(S.records(S.positioned(spark.read.text(files))))
+
+    files = S.files_in_order(S.read_snapshot(spark, path))
+    first = S.first_of_files(files, read, cap)
+    assert [r.paper_id for r in first.orderBy(*S.POSITION).collect()] == expected[:cap]
+    assert first.columns == [*S.POSITION, *S.PAPER_COLUMNS]
+    assert seen == files[:opened] and len(files) == 3
+
+
+def test_a_later_file_may_be_unreadable(spark, tmp_path):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    (folder / "a.json").write_text("\n".join(json.dumps(GOOD | {"id": f"p{i}"}) for i in range(5)))
+    files = [f"file://{folder}/a.json", f"file://{folder}/missing.json"]
+    first = S.first_of_files(files, lambda some: S.papers_from(S.records(S.positioned(spark.read.text(some)))), 5)
+    assert first.count() == 5
+
+
+def test_every_outcome_is_counted_by_one_parse(spark, tmp_path):
+    good = [json.dumps(GOOD | {"id": i}) for i in ("a", "b", " ")]
+    lines = [*good, " ", "{bad", "[1]", "3", json.dumps(GOOD | {"categories": "x"}), json.dumps(GOOD | {"title": " "})]
+    rows, seen = S.sorted_out(frame(spark, *lines))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.lower().count("parsejson(") == 1 and plan.count("Scan") == 1 and "Exchange" not in plan
+    papers, bad, counts = S.write_sorted_out(frame(spark, *lines), str(tmp_path / "out"))
+    assert counts == {"papers": 3, "bad_json": 1, "not_object": 2, "blank": 1, "unlisted": 1, "no_text": 1, "unknown_ids": 1}
+    assert sorted(r.paper_id for r in papers.collect()) == ["a", "b", "unknown"]
+    assert sorted((r.value, r.fault) for r in bad.collect()) == [("3", "not an object"), ("[1]", "not an object"), ("{bad", "bad json")]
+    want = S.papers_from(S.records(frame(spark, *lines)))
+    assert papers.columns == want.columns and sorted(papers.collect(), key=str) == sorted(want.collect(), key=str)
+
+
 def test_cap_below_one_is_refused(spark, snapshot):
     lines = S.read_snapshot(spark, snapshot[0])
     for cap in (0, -1):
@@ -123,6 +163,19 @@ def test_build_corpus(spark, snapshot, tmp_path, form):
     assert {r.paper_id for r in back.collect()} == set(expected[:20])
 
 
+def test_build_of_a_whole_snapshot_reports_and_keeps_rejects(spark, snapshot, tmp_path):
+    path, expected = snapshot
+    with open(f"{path}/f1.json", "a") as file:
+        file.write("{bad\n\n")
+    out, reports = str(tmp_path / "corpus"), []
+    assert build_corpus(spark, path, out, on_report=reports.append) == len(expected)
+    assert {r.paper_id for r in read_papers(spark, out).collect()} == set(expected)
+    (report,) = reports
+    assert (report["written"], report["papers"], report["bad_json"], report["blank"]) == (len(expected), len(expected), 1, 1)
+    (reject,) = spark.read.parquet(f"{out}-rejects").collect()
+    assert (reject.value, reject.fault) == ("{bad", "bad json") and reject.file.endswith("f1.json")
+
+
 def test_existing_output_is_refused_before_reading(spark, tmp_path):
     out = str(tmp_path / "corpus")
     (tmp_path / "corpus").mkdir()
