@@ -290,6 +290,8 @@ def _grid_nearest(corpus: DataFrame, usable: DataFrame, options: Options, seed:
     path = work_dir(usable.sparkSession, "queries")
     usable.write.parquet(path)
     queries = usable.sparkSession.read.schema(usable.schema).parquet(path)
+    if not queries.groupBy("query_id").count().filter("count > 1").isEmpty():
+        raise ValueError("query ids are not unique")
     wanted = F.coalesce("top_k", F.lit(options.top_k))
     sums = queries.agg(F.max(wanted).alias("deepest"), F.sum(wanted).alias("hits")).first()
     id_type = corpus.schema["paper_id"].dataType.simpleString()

@@ -133,7 +133,7 @@ def test_queries_with_few_rows_open_all_bands(spark, corpus, index):
 
 def test_only_opened_bands_are_read(spark, corpus, index):
     rows, _ = corpus
-    queries = queries_of(spark, rows[:21]).limit(1)
+    queries = queries_of(spark, rows).limit(1)
     (block,) = query_blocks(queries, Options())
     opened = ann.band_places(block["matrix"], TIER.bands) < 3
     hits = ann.screened(index, block, opened, "bigint", bits=BITS).frame
