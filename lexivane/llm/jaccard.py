@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,10 @@ PERCENT = 80
 # Counters of the frequency table; one byte each is broadcast.
 CELLS = 1 << 25
 BLOCKS = 64
-# Share of all shingles that is counted a second time, with less chance between them.
-RARE_SHARE = 0.35
+# Share of all shingles that is looked at a second time, and the bits of that look: one for
+# each shingle there is, within these bounds (the upper ones take 128 MB).
+RARE_SHARE = 0.6
+FEWEST_RARE_BITS, MOST_RARE_BITS = 1 << 22, 1 << 30
 # Texts of a meeting that all others are compared with first.
 ANCHORS = 3
 # Prefix entries of one bucket, and entries a task holds before it hands them on.
@@ -75,9 +78,24 @@ def cell_of(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
-def second_cell_of(hashes: np.ndarray) -> np.ndarray:
-    """Its counter in the second count, independent of the first."""
-    return (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+class Seen:
+    """Which bits were met, and which more than once: two bitmaps of ``bits`` bits."""
+
+    def __init__(self, bits: int) -> None:
+        self.mask = np.uint64(bits - 1)
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte and bit of each shingle, independent of its counter."""
+        bit = hashes & self.mask
+        return (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        at, times = np.unique(hashes & self.mask, return_counts=True)
+        byte, bit = self.place(at)
+        again = (times > 1) | ((self.once[byte] & bit) > 0)
+        np.bitwise_or.at(self.twice, byte[again], bit[again])
+        np.bitwise_or.at(self.once, byte, bit)
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -181,39 +199,72 @@ def frequency_classes(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return classes.reshape(-1), held
 
 
-def frequency_table(docs: DataFrame, counted: DataFrame) -> np.ndarray:
-    """The order of shingles, a byte a cell: above, at a shingle's first cell, how frequent
-    it is (0: rare); below, at its second cell, the same among rare ones, see ``rank_of``.
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block which bits are set twice in one part, or in two."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for block, *raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            once, twice = (np.frombuffer(zlib.decompress(r), np.uint8) for r in raw)
+            if block in sums:
+                known = sums[block]
+                known[1] |= twice | (known[0] & once)
+                known[0] |= once
+            else:
+                sums[block] = [once.copy(), twice.copy()]
+    for block, (_, twice) in sums.items():
+        arrays = [pa.array([block], pa.int32()), pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["block", "twice"])
+
+
+class Order(NamedTuple):
+    """How shingles are ordered: ``classes`` tells for each counter how frequent its shingles
+    are (0: rare), ``twice`` which rare ones may occur in several texts."""
+
+    classes: np.ndarray
+    twice: np.ndarray
+
+
+def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> Order:
+    """The order of shingles from two looks at all texts.
 
-    A counter adds up all shingles that fall on it. The second count covers all texts
-    again but rare shingles only, so fewer share a counter and the rest is told apart.
+    A counter adds up all shingles that fall on it. The second look covers rare shingles
+    only and asks no more than whether a shingle is alone on its bit, so it has many more
+    bits than there are counters and tells most shingles of a single text.
     """
     rough, held = frequency_classes(counted)
     limit = int(np.searchsorted(np.cumsum(held), RARE_SHARE * held.sum()))
-    above = np.minimum(15, np.where(rough <= limit, 0, 1 + (rough.astype(np.int16) - limit) // 8)).astype(np.uint8) << 4
-    shared = docs.sparkSession.sparkContext.broadcast(above)
+    classes = np.minimum(16, np.where(rough <= limit, 0, 2 + (rough.astype(np.int16) - limit) // 8)).astype(np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    bits = min(MOST_RARE_BITS, max(FEWEST_RARE_BITS, 1 << shingles.bit_length()))
 
-    def count_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, cells = shared.value, np.zeros(CELLS, np.uint8)
+    def look_at_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen = shared.value, Seen(bits)
         for batch in batches:
-            for hashes in _sets(batch):
-                rare = hashes[first[cell_of(hashes)] < 16]
-                at = second_cell_of(rare)
-                cells[at] = np.minimum(cells[at], 254) + 1
-        for block, raw in _packed_blocks(cells):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([raw], pa.binary())], names=["block", "counts"])
-
-    again = staged(_texts(docs).mapInArrow(count_rare, "block int, counts binary"), "jaccard-counts")
-    fine, _ = frequency_classes(again)
+            sets = _sets(batch)
+            if sets:
+                hashes = np.concatenate(sets)
+                seen.add(hashes[first[cell_of(hashes)] == 0])
+        maps = zip(seen.once.reshape(BLOCKS, -1), seen.twice.reshape(BLOCKS, -1), strict=True)
+        for block, (once, twice) in enumerate(maps):
+            if once.any():
+                raw = [pa.array([zlib.compress(m.tobytes(), 1)], pa.binary()) for m in (once, twice)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *raw], names=["block", "once", "twice"])
+
+    again = staged(_texts(docs).mapInArrow(look_at_rare, "block int, once binary, twice binary"), "jaccard-counts")
+    twice = np.zeros((BLOCKS, bits // 8 // BLOCKS), np.uint8)
+    for row in again.repartition(BLOCKS, "block").mapInArrow(_repeated, "block int, twice binary").collect():
+        twice[row.block] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
     shared.unpersist()
     discard(again)
-    return above | np.clip((fine.astype(np.int16) - 24) // 4, 0, 15).astype(np.uint8)
+    return Order(classes, twice.reshape(-1))
 
 
-def rank_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+def rank_of(hashes: np.ndarray, order: Order) -> np.ndarray:
     """Place of each shingle in the common order; equal places are ordered by hash."""
-    above = table[cell_of(hashes)] & 0xF0
-    return np.where(above == 0, table[second_cell_of(hashes)] & 0x0F, above)
+    classes = order.classes[cell_of(hashes)]
+    bit = hashes & np.uint64(8 * len(order.twice) - 1)
+    twice = order.twice[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+    return np.where(classes == 0, twice, classes)
 
 
 # --- meeting by prefix shingles --------------------------------------------------
@@ -221,12 +272,12 @@ def rank_of(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
 ENTRIES = "bucket int, keys binary, docs binary, sizes binary, doc_id long, copy_of long, n long, bits binary"
 
 
-def prefix_entries(docs: DataFrame, order_table: np.ndarray, buckets: int) -> DataFrame:
+def prefix_entries(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
     """Written rows of three kinds: packed entries of a bucket, copies, and one bitmap per text.
 
     Entries are packed by bucket of their shingle, so the shuffle moves few large rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order_table)
+    shared = docs.sparkSession.sparkContext.broadcast(order)
     names = [f.split()[0] for f in ENTRIES.split(", ")]
     kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -252,7 +303,7 @@ def prefix_entries(docs: DataFrame, order_table: np.ndarray, buckets: int) -> Da
         return batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first = shared.value, {}
+        known, first = shared.value, {}
         held, number = [], 0
         for batch in batches:
             copies: dict[str, list] = {"doc_id": [], "copy_of": []}
@@ -265,7 +316,7 @@ def prefix_entries(docs: DataFrame, order_table: np.ndarray, buckets: int) -> Da
                     copies["doc_id"].append(doc_id)
                     copies["copy_of"].append(same)
                     continue
-                order = np.argsort(rank_of(hashes, table), kind="stable")
+                order = np.argsort(rank_of(hashes, known), kind="stable")
                 held.append((hashes[order[: prefix_length(len(hashes))]], doc_id, len(hashes)))
                 number += len(held[-1][0])
                 for name, value in (("doc_id", doc_id), ("n", len(hashes)), ("bits", bitmap(hashes))):
@@ -535,10 +586,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     sums = sizes.agg(F.sum("n_shingles").alias("shingles"), F.count(F.lit(1)).alias("texts")).first()
     entries = (sums.shingles or 0) * (100 - PERCENT) // 100 + sums.texts
     buckets = max(1, -(-entries // BUCKET_ENTRIES))
-    table = frequency_table(docs, counted)
+    order = frequency_order(docs, counted, sums.shingles or 0)
     discard(counted)
 
-    rows = staged(prefix_entries(docs, table, buckets), "jaccard-entries")
+    rows = staged(prefix_entries(docs, order, buckets), "jaccard-entries")
     packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes")
     met = packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS)
     meetings = staged(met.dropDuplicates(["meeting", "doc_id", "n"]), "jaccard-meetings")
