@@ -233,7 +233,9 @@ def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> Order
     """
     rough, held = frequency_classes(counted)
     limit = int(np.searchsorted(np.cumsum(held), RARE_SHARE * held.sum()))
-    classes = np.minimum(16, np.where(rough <= limit, 0, 2 + (rough.astype(np.int16) - limit) // 8)).astype(np.uint8)
+    # By a table of 256, as the driver should hold no wider copies of all counters.
+    steps = np.arange(256)
+    classes = np.minimum(16, np.where(steps <= limit, 0, 2 + (steps - limit) // 8)).astype(np.uint8)[rough]
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     bits = min(MOST_RARE_BITS, max(FEWEST_RARE_BITS, 1 << shingles.bit_length()))
 
