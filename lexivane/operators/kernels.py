@@ -2,7 +2,8 @@
 
 Each one is a closure over plain values, pickled by value, so executors need
 only numpy and pyarrow. Memory per task is bounded: rows are worked on in
-slices whose score matrix holds at most ``CELLS`` entries.
+slices whose score matrix holds at most ``CELLS`` entries, and texts in slices of
+``TEXT_BYTES``, whatever the size of the batches that Spark hands over.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 
 CELLS = 1 << 22
+# Text that is split into words at a time; the words take some twenty times as much.
+TEXT_BYTES = 1 << 21
+# Words an embedder remembers from slice to slice, and the longest of them.
+CACHED_WORDS, CACHED_WORD_BYTES = 1 << 17, 64
 CACHED_CELLS = 1 << 16
 WORD_BITS = 32
 
@@ -34,31 +39,89 @@ def word_embedder(dim: int) -> Callable[[pa.Array], pa.Array]:
     result has unit length; a text without words has no vector.
     """
 
-    def embed(texts: pa.Array) -> pa.Array:
-        rows = max(1, CELLS // dim)
-        parts = [embed_slice(texts.slice(at, rows)) for at in range(0, len(texts), rows)]
-        return pa.concat_arrays(parts or [pa.array([], pa.list_(pa.float32()))])
+    places = word_places(dim)
 
-    def embed_slice(texts: pa.Array) -> pa.Array:
-        n = len(texts)
+    def embed(texts: pa.Array) -> pa.Array:
+        unit = np.empty((len(texts), dim), dtype=np.float32)
+        empty = np.empty(len(texts), dtype=bool)
+        for at, upto in text_slices(texts, max(1, CELLS // dim)):
+            weights = np.zeros((upto - at, dim))
+            for part in text_parts(texts.slice(at, upto - at)):
+                add_words(weights, part)
+            unit[at:upto], empty[at:upto] = unit_rows(weights)
+        return list_array(unit, empty)
+
+    def add_words(weights: np.ndarray, texts: pa.Array) -> None:
         words = pc.split_pattern_regex(pc.utf8_lower(texts), r"[^\p{L}\p{N}]+")
         row = pc.list_parent_indices(words).to_numpy()
         coded = pc.list_flatten(words).dictionary_encode()
-        spelled = coded.dictionary.cast(pa.binary()).to_pylist()
-        digests = b"".join([hashlib.md5(word).digest() for word in spelled])
-        digests = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
-        cell = digests[:, :4].copy().view(">u4")[:, 0].astype(np.int64) % dim
-        sign = 1.0 - 2.0 * (digests[:, 4] >> 4 & 1)
+        place = places(coded.dictionary)
+        cell, sign = place >> 1, 1.0 - 2.0 * (place & 1)
         # Splitting leaves empty strings at the ends of a text.
         sign[pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)] = 0.0
         code = coded.indices.to_numpy()
         cells = row.astype(np.int64) * dim + cell[code]
-        weights = np.bincount(cells, weights=sign[code], minlength=n * dim).reshape(n, dim)
-        return list_array(*unit_rows(weights))
+        weights += np.bincount(cells, weights=sign[code], minlength=weights.size).reshape(weights.shape)
 
     return embed
 
 
+def word_places(dim: int) -> Callable[[pa.Array], np.ndarray]:
+    """By word twice its cell, and one more where it subtracts.
+
+    The first words met are remembered, as slices share most of theirs.
+    """
+    known: tuple[pa.Array, np.ndarray] | None = None
+
+    def hashed(words: pa.Array) -> np.ndarray:
+        digests = b"".join([hashlib.md5(word).digest() for word in words.cast(pa.binary()).to_pylist()])
+        digests = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 16)
+        cell = digests[:, :4].copy().view(">u4")[:, 0].astype(np.int64) % dim
+        return cell * 2 + (digests[:, 4] >> 4 & 1)
+
+    def places(words: pa.Array) -> np.ndarray:
+        nonlocal known
+        kept, place_of = known or (words[:0], np.zeros(0, dtype=np.int64))
+        at = pc.index_in(words, value_set=kept)
+        met = at.is_valid().to_numpy(zero_copy_only=False)
+        place = np.empty(len(words), dtype=np.int64)
+        place[met] = place_of[at.drop_null().to_numpy()]
+        new = words.filter(pa.array(~met))
+        place[~met] = hashed(new)
+        room = CACHED_WORDS - len(kept)
+        if room > 0:
+            short = pc.less_equal(pc.binary_length(new), CACHED_WORD_BYTES).to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(short)[:room]
+            known = pa.concat_arrays([kept, new.take(pa.array(some))]), np.concatenate([place_of, place[~met][some]])
+        return place
+
+    return places
+
+
+def text_slices(texts: pa.Array, rows: int) -> Iterator[tuple[int, int]]:
+    """Slices of at most ``rows`` texts that hold ``TEXT_BYTES`` together, or one longer text."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        room = TEXT_BYTES + (int(upto[at - 1]) if at else 0)
+        end = min(max(int(np.searchsorted(upto, room, side="right")), at + 1), at + rows)
+        yield at, end
+        at = end
+
+
+def text_parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts as they are; one that is longer than ``TEXT_BYTES`` in parts, cut at spaces."""
+    if len(texts) > 1 or not texts[0].is_valid or len(texts[0].as_buffer()) <= TEXT_BYTES:
+        yield texts
+        return
+    whole, at = texts[0].as_buffer().to_pybytes(), 0
+    while at < len(whole):
+        cut = whole.find(b" ", at + TEXT_BYTES)
+        end = cut if cut >= 0 else len(whole)
+        yield pa.array([whole[at:end]], pa.binary()).cast(texts.type)
+        at = end
+
+
 def unit_rows(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = np.sqrt((weights * weights).sum(axis=1))
     empty = size == 0

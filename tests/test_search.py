@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -391,3 +392,32 @@ def test_large_query_tables_are_searched_in_parts(spark):
     mixed = queries.unionByName(spark.createDataFrame([(99, [1.0], 3, None)], queries.schema))
     with pytest.raises(ValueError, match="length"):
         batch_nearest(corpus, mixed, Options(query_block_rows=7))
+
+
+def test_embedding_holds_slices_not_batches(monkeypatch):
+    """What a batch takes besides itself does not grow with it; slices and parts change nothing."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{i}" for i in range(500)])
+    texts = [" ".join(words[rng.integers(0, 500, 300)]) for _ in range(2000)]
+    texts += [None, "", " .,- ", " ".join(words[rng.integers(0, 500, 30_000)])]
+    batch = pa.array(texts, pa.string())
+    whole = kernels.word_embedder(16)(batch)
+    monkeypatch.setattr(kernels, "TEXT_BYTES", 1 << 16, raising=False)
+    before, pool = pa.default_memory_pool(), pa.system_memory_pool()  # used by nothing else
+    pa.set_memory_pool(pool)
+    try:
+        sliced = kernels.word_embedder(16)(batch)
+        peak = pool.max_memory()
+    finally:
+        pa.set_memory_pool(before)
+    assert sliced.equals(whole)
+    assert whole.is_null().to_pylist() == [not (t or "").strip(" .,-") for t in texts]
+    assert peak < batch.nbytes / 2
+
+
+def test_words_beyond_what_an_embedder_remembers(monkeypatch):
+    texts = pa.array([f"a{i} b{i % 9} {'long' * 30}{i % 3}" for i in range(400)])
+    whole = kernels.word_embedder(32)(texts)
+    monkeypatch.setattr(kernels, "TEXT_BYTES", 500, raising=False)
+    monkeypatch.setattr(kernels, "CACHED_WORDS", 20, raising=False)
+    assert kernels.word_embedder(32)(texts).equals(whole)
