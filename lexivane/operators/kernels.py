@@ -392,8 +392,14 @@ class BlockSearch:
         self.measured = screening(self.screen) if self.screen else None
         self.best = Best(self.wanted, np.asarray(block["limit"], dtype=np.float64))
         self.step = max(1, CELLS // max(len(self.wanted), width))
+        # A row of a batch is held some ten times over: as it is, hashed, in double precision.
+        self.rows = max(1, CELLS // (4 * width))
 
-    def add(self, record_batch: pa.RecordBatch) -> None:
+    def add(self, batch: pa.RecordBatch) -> None:
+        for at in range(0, len(batch), self.rows):
+            self._add(batch.slice(at, self.rows))
+
+    def _add(self, record_batch: pa.RecordBatch) -> None:
         best, measured = self.best, self.measured
         batch = pa.Table.from_batches([record_batch])
         vectors, at = as_matrix(batch.column(2), self.width, None)

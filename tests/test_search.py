@@ -421,3 +421,34 @@ def test_words_beyond_what_an_embedder_remembers(monkeypatch):
     monkeypatch.setattr(kernels, "TEXT_BYTES", 500, raising=False)
     monkeypatch.setattr(kernels, "CACHED_WORDS", 20, raising=False)
     assert kernels.word_embedder(32)(texts).equals(whole)
+
+
+def test_scoring_holds_slices_not_batches(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(20_000, 32)).astype(np.float32)
+    vectors[::3] = vectors[0]
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "paper_id": [f"p{i:05d}" for i in range(len(vectors))],
+            "passes": pa.nulls(len(vectors), pa.list_(pa.bool_())),
+            "embedding": kernels.list_array(vectors),
+        }
+    )
+    block = {"ids": pa.array([0, 1]), "matrix": vectors[:2].astype(float), "k": [5, 3], "filters": 0}
+    block |= {"filter_of": [0, 0], "limit": [math.inf] * 2}
+
+    def found():
+        (hits,) = kernels.nearest_rows(block, 32)(iter([batch]))
+        rows = zip(*(hits.column(n).to_pylist() for n in ("query_id", "paper_id", "distance")), strict=True)
+        return sorted((q, p, round(d, 9)) for q, p, d in rows)
+
+    whole = found()
+    assert [p for q, p, _ in whole if q == 0] == [f"p{3 * i:05d}" for i in range(5)]
+    monkeypatch.setattr(kernels, "CELLS", 1 << 14)
+    tracemalloc.start()
+    sliced = found()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sliced == whole and peak < vectors.nbytes
