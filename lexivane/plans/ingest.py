@@ -39,8 +39,10 @@ def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, *
     if embedder.dim != dim:
         raise ValueError(f"the embedder gives {embedder.dim} dimensions, the store has {dim}")
     rows = papers.select(*schema.PAPER_COLUMNS, *order)
-    prepare = lambda df: embedded(df, embedder)
-    return store.upsert(rows, written_at, order, prepare, model=embedder.name, **options)
+    prepare = lambda df: embedded(df, embedder).drop("combined_text")
+    return store.upsert(
+        rows, written_at, order, prepare, model=embedder.name, finish=with_combined_text, **options
+    )
 
 
 def title_queries(store: PaperStore, embedder) -> DataFrame:

@@ -28,7 +28,7 @@ from lexivane.operators import ann
 from lexivane.operators.embed import dimension_fault
 from lexivane.operators.planning import keys_for_join
 from lexivane.operators.search import bucket_of
-from lexivane.operators.upsert import addressed, last_per_id, merge
+from lexivane.operators.upsert import CODEC, addressed, last_per_id, merge
 from lexivane.options import Options
 from lexivane.session import configure
 from lexivane.sources.generations import conform
@@ -194,7 +194,7 @@ class PaperStore:
         columns = BUCKETED.fieldNames()
         written = rows.select(*columns).write.partitionBy("bucket").bucketBy(buckets, "paper_id")
         # Named in the session only while it is written.
-        written.sortBy("paper_id").option("path", path).saveAsTable(name)
+        written.sortBy("paper_id").option("path", path).option("compression", CODEC).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")
 
     def upsert(
@@ -207,6 +207,7 @@ class PaperStore:
         stream: tuple[str, int] | None = None,
         allow_empty: bool = False,
         model: str | None = None,
+        finish: Callable[[DataFrame], DataFrame] | None = None,
     ) -> dict:
         """Merges a batch of papers and reports what it did.
 
@@ -215,7 +216,8 @@ class PaperStore:
         follow in the same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
         is skipped. An empty batch is an error unless ``allow_empty``. ``model`` names
-        the embedder, for the profile of the store.
+        the embedder, for the profile of the store. ``finish`` adds the columns that are made
+        from others without effort: they are neither staged nor dealt, but made as the rows are written.
         """
         self.create()
         state = self._require()
@@ -226,7 +228,7 @@ class PaperStore:
         staging = f"staging/{uuid.uuid4().hex}"
         try:
             staged = self._stage(batch, order, prepare, state, f"{self.root}/{staging}")
-            return self._merge(staged, written_at, state, stream, allow_empty, model)
+            return self._merge(staged, written_at, state, stream, allow_empty, model, finish)
         finally:
             self._files().delete(self._path(staging), True)
 
@@ -240,11 +242,11 @@ class PaperStore:
         (
             (prepare(unique) if prepare else unique)
             .withColumns({"fault": fault, "bucket": bucket_of(F.col("paper_id"), state.buckets)})
-            .write.parquet(f"{folder}/unique")
+            .write.option("compression", CODEC).parquet(f"{folder}/unique")
         )
         return self.spark.read.parquet(f"{folder}/unique")
 
-    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty, model) -> dict:
+    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty, model, finish=None) -> dict:
         # All counts come from written files, so that repeated tasks cannot distort them.
         counts = staged.agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
@@ -266,7 +268,8 @@ class PaperStore:
         folder = self._new_folder(state)
         kept, new = merge(self.bucketed(state), staged, written_at, rows)
         columns = BUCKETED.fieldNames()
-        dealt = new.select(*columns).repartition(state.buckets, "paper_id")
+        dealt = new.select(*[c for c in columns if c in new.columns]).repartition(state.buckets, "paper_id")
+        dealt = (finish(dealt) if finish else dealt).select(*columns)
         after = kept.select(*columns).unionByName(dealt) if state.folder else dealt
         self._write_papers(after, folder, state.buckets)
         following = replace(state, folder=folder, model=model or state.model)

@@ -10,6 +10,7 @@ from lexivane.operators.upsert import addressed, last_per_id, merge, winners
 from lexivane.options import Options
 from lexivane.plans.ingest import build_index, ingest, load_corpus
 from lexivane.plans.search import accepted, responses, search
+from lexivane.sources import store as store_module
 from lexivane.sources.generations import read_generations
 from lexivane.sources.store import PaperStore
 from lexivane.streaming.ingest_stream import read_snapshot_stream, start_ingest
@@ -526,3 +527,14 @@ def test_streams_keep_and_count_what_they_reject(spark, tmp_path):
     assert (reports[0]["papers"], reports[0]["bad_json"], reports[0]["unlisted"]) == (2, 1, 0)
     assert spark.read.parquet(f"{store.root}/rejects/papers").first().paper_id == "a-2"
     assert spark.read.parquet(f"{store.root}/rejects/lines").first().value == "{bad"
+
+
+def test_derived_text_is_neither_staged_nor_dealt(spark, store, monkeypatch):
+    seen = []
+    monkeypatch.setattr(store_module, "merge", lambda *args: seen.append(args[1].columns) or merge(*args))
+    put(store, papers(spark, ("a", " one ", "A", 2000, 0), ("b", "two", "B", 2001, 1), ("a", "three", "A", 2002, 2)))
+    put(store, papers(spark, ("b", "four", "C", 2003, 0), ("c", "five", "C", 2003, 1)), SECOND)
+    assert [c for c in seen if "combined_text" in c] == [] and len(seen) == 2
+    texts = {i: r.combined_text for i, r in content(store).items()}
+    assert texts == {"a": "three\n\nabout three", "b": "four\n\nabout four", "c": "five\n\nabout five"}
+    assert all(".zstd." in f for f in store.papers().inputFiles())
