@@ -9,10 +9,12 @@ segments it has met, up to a bound, and the library sees a segment once.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -28,8 +30,8 @@ WHOLE_PIECE = re.compile(f"{VISIBLE}(?:.*{VISIBLE})?", re.DOTALL)
 # What one worker may keep, and what one kept segment takes besides its text.
 CACHE_BYTES = 128 << 20
 ENTRY_BYTES = 220
-# A word of Latin letters is one part, marks behind it another.
-WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+# A word of Latin letters is one part, marks behind it others.
+WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
 # Byte-level vocabularies spell a byte of these ranges as the character of its
 # number, all others as the characters from 256 on, in order.
 OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -40,6 +42,18 @@ SPACE = chr(SPELLED[32])
 PIECES_AT_ONCE = 2000
 
 
+@contextmanager
+def without_cycle_search() -> Iterator[None]:
+    """For code that makes many small objects and no cycles: Python does not look for any."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 class PieceEncoder:
     """Ids of texts, equal to what the library gives for each whole text.
 
@@ -64,13 +78,18 @@ class PieceEncoder:
         """Encodes the pieces not met yet; those that are no safe segment get None."""
         new = kept.missing(pieces)
         found: dict[str, bytes | None] = dict.fromkeys(new)
-        plain = [(p, m) for p in new if (m := WORD.fullmatch(p))]
-        marks = dict.fromkeys(m[2] for _, m in plain)
+        plain = [(p, *m.groups()) for p in new if (m := WORD.fullmatch(p))]
+        marks = dict.fromkeys(mark for _, _, mark in plain)
         marks = dict(zip(marks, self._each(list(marks)), strict=True))
         first, merge, code = SPACE if before else "", self.tokenizer.model.tokenize, self.code
-        for piece, m in plain:
-            word = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(SPELLED)
-            found[piece] = array(code, [t.id for t in merge(first + word)]).tobytes() + marks[m[2]]
+        # A word comes alone and with several marks; its ids are made once.
+        stems: dict[str, bytes] = {}
+        for piece, stem, mark in plain:
+            ids = stems.get(stem) or kept.recent.get(stem)
+            if ids is None:
+                word = stem if stem.isascii() else stem.encode().decode("latin-1").translate(SPELLED)
+                ids = stems[stem] = array(code, [t.id for t in merge(first + word)]).tobytes()
+            found[piece] = ids + marks[mark] if mark else ids
         whole = [p for p in new if found[p] is None and WHOLE_PIECE.fullmatch(p)]
         found.update(zip(whole, self._joined(whole) if before else self._each(whole), strict=True))
         kept.add(found)
@@ -99,6 +118,7 @@ class PieceEncoder:
                 found += self._each([" " + p for p in part])
         return found
 
+    @without_cycle_search()
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``kind``; a null text has none."""
         self.inner.make_room()

@@ -162,3 +162,18 @@ def test_rollup(spark, odd, nothing, whole):
     with pytest.raises(Exception, match="unknown kind"):
         totals.commit("wrong", rollup.changes(counts, "other"))
     assert "wrong" not in totals.committed()
+
+
+def test_words_are_merged_once_whatever_marks_follow(whole, monkeypatch):
+    """A Latin word with ASCII marks behind it needs no splitting rules, and its ids are made once."""
+    encoder = PieceEncoder(PATH)
+    joined = []
+    monkeypatch.setattr(encoder, "_joined", lambda pieces, own=encoder._joined: joined.extend(pieces) or own(pieces))
+    marks = ["", ".", "%%%", "'", "''", "*&*", '."', "_", "`~", "<|>", "{}", "^^", "\\", "@/"]
+    words = ["été", "Word", "a", "naïve", "l"]
+    texts = [" ".join(w + m for m in marks for w in words), *(f"{w}{m} {w}{m}" for m in marks for w in words)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == whole(text), text
+    assert joined == []
+    later = ["x Word%% Word&", "Word Word%% été''s été'"]  # the second word was met alone
+    assert [i.tolist() for i in encoder.encode(later)] == [whole(t) for t in later]
