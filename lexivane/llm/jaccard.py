@@ -5,7 +5,10 @@ of both, whatever the common order of shingles (prefix filter). Texts meet only
 such a shingle. The order puts frequent shingles last: a table of counters over all
 texts, of fixed size, tells which are frequent, so that a line or passage that many
 documents share brings hardly any of them together. The order decides how much work
-is done, never which links are found.
+is done, never which links are found. Two texts need to meet only by the first shingle
+of that order they share, so a shingle of a single text is not handed on, the places of
+a shingle in both texts bound what they can share from there on, and texts that share
+the shingle before it too have met already.
 
 Texts that meet are compared in tiles of one size band: sizes must agree within the
 threshold; hashed bitmaps of the sets bound the overlap from above by counting bits;
@@ -31,11 +34,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivane.llm.common import discard, free_name, maybe_broadcast, staged
-from lexivane.llm.components import components
+from lexivane.llm.components import components, merged
 from lexivane.llm.exact import attach_groups
 from lexivane.llm.shingles import shingle_sets
 
@@ -68,6 +72,11 @@ def prefix_length(size: int) -> int:
     return size - -(-PERCENT * size // 100) + 1
 
 
+def reach(size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The size up to which a text may link with one whose first common shingle is at ``place`` of its order."""
+    return (100 + PERCENT) * (size - place) // PERCENT - size
+
+
 def size_band(size: Column) -> Column:
     """Sizes that may link are in one band or in neighbouring ones."""
     return F.floor(F.log(size.cast("double")) / F.log(F.lit(100.0 / PERCENT))).cast("int")
@@ -189,14 +198,12 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(arrays, names=["block", "classes", "held"])
 
 
-def frequency_classes(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """One byte a cell, the higher the more frequent its shingles; shingles of each class."""
+def frequency_classes(counted: DataFrame) -> tuple[dict[int, bytes], np.ndarray]:
+    """Per block one byte a cell, compressed, the higher the more frequent its shingles; shingles of each class."""
     blocks = counted.filter("block is not null").select("block", "counts").repartition(BLOCKS, "block")
-    classes, held = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8), np.zeros(256)
-    for row in blocks.mapInArrow(_classes, "block int, classes binary, held binary").collect():
-        classes[row.block] = np.frombuffer(zlib.decompress(row.classes), np.uint8)
-        held += np.frombuffer(row.held, "<f8")
-    return classes.reshape(-1), held
+    rows = blocks.mapInArrow(_classes, "block int, classes binary, held binary").collect()
+    held = sum((np.frombuffer(row.held, "<f8") for row in rows), np.zeros(256))
+    return {row.block: bytes(row.classes) for row in rows}, held
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +231,21 @@ class Order(NamedTuple):
     twice: np.ndarray
 
 
-def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> Order:
+class SharedOrder(NamedTuple):
+    """An ``Order`` as broadcasts; the driver holds no table itself."""
+
+    classes: Broadcast
+    twice: Broadcast
+
+    def value(self) -> Order:
+        return Order(self.classes.value, self.twice.value)
+
+    def destroy(self) -> None:
+        self.classes.destroy()
+        self.twice.destroy()
+
+
+def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> SharedOrder:
     """The order of shingles from two looks at all texts.
 
     A counter adds up all shingles that fall on it. The second look covers rare shingles
@@ -233,10 +254,15 @@ def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> Order
     """
     rough, held = frequency_classes(counted)
     limit = int(np.searchsorted(np.cumsum(held), RARE_SHARE * held.sum()))
-    # By a table of 256, as the driver should hold no wider copies of all counters.
+    # By a table of 256 and a block at a time, as the driver should hold one copy of all counters, and not for long.
     steps = np.arange(256)
-    classes = np.minimum(16, np.where(steps <= limit, 0, 2 + (steps - limit) // 8)).astype(np.uint8)[rough]
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    table = np.minimum(16, np.where(steps <= limit, 0, 2 + (steps - limit) // 8)).astype(np.uint8)
+    classes = np.zeros((BLOCKS, CELLS // BLOCKS), np.uint8)
+    for block, raw in rough.items():
+        classes[block] = table[np.frombuffer(zlib.decompress(raw), np.uint8)]
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(classes.reshape(-1))
+    del rough, classes
     bits = min(MOST_RARE_BITS, max(FEWEST_RARE_BITS, 1 << shingles.bit_length()))
 
     def look_at_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,9 +282,8 @@ def frequency_order(docs: DataFrame, counted: DataFrame, shingles: int) -> Order
     twice = np.zeros((BLOCKS, bits // 8 // BLOCKS), np.uint8)
     for row in again.repartition(BLOCKS, "block").mapInArrow(_repeated, "block int, twice binary").collect():
         twice[row.block] = np.frombuffer(zlib.decompress(row.twice), np.uint8)
-    shared.unpersist()
     discard(again)
-    return Order(classes, twice.reshape(-1))
+    return SharedOrder(shared, context.broadcast(twice.reshape(-1)))
 
 
 def rank_of(hashes: np.ndarray, order: Order) -> np.ndarray:
@@ -271,41 +296,49 @@ def rank_of(hashes: np.ndarray, order: Order) -> np.ndarray:
 
 # --- meeting by prefix shingles --------------------------------------------------
 
-ENTRIES = "bucket int, keys binary, docs binary, sizes binary, doc_id long, copy_of long, n long, bits binary"
+ENTRIES = "bucket int, keys binary, docs binary, sizes binary, reaches binary, befores binary, doc_id long, copy_of long, n long, bits binary"
+
 
+def prefix_of(hashes: np.ndarray, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the prefix of a set the shingles other texts may have, the sizes they reach, and which one of them is before each (0: none)."""
+    ranks = rank_of(hashes, order)
+    places = np.argsort(ranks, kind="stable")[: prefix_length(len(hashes))]
+    at = np.flatnonzero(ranks[places])
+    keys = hashes[places[at]]
+    return keys, np.minimum(reach(len(hashes), at), (1 << 31) - 1).astype("<i4"), np.r_[np.zeros(1, "<u8"), keys][: len(keys)]
 
-def prefix_entries(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
-    """Written rows of three kinds: packed entries of a bucket, copies, and one bitmap per text.
+
+def prefix_entries(docs: DataFrame, shared: SharedOrder, buckets: int) -> DataFrame:
+    """Rows of three kinds: packed entries of a bucket, copies, and one bitmap per text.
 
     Entries are packed by bucket of their shingle, so the shuffle moves few large rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(order)
     names = [f.split()[0] for f in ENTRIES.split(", ")]
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def batch_of(columns: dict[str, list]) -> pa.RecordBatch:
         rows = len(next(iter(columns.values())))
         arrays = [pa.array(columns[n], k) if n in columns else pa.nulls(rows, k) for n, k in zip(names, kinds, strict=True)]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def packed(held: list[tuple[np.ndarray, int, int]]) -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _, _ in held])
-        lengths = [len(k) for k, _, _ in held]
+    def packed(held: list[tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int, int]]) -> pa.RecordBatch:
+        keys, reaches, befores = (np.concatenate(part) for part in zip(*(e for e, _, _ in held), strict=True))
+        lengths = [len(e[0]) for e, _, _ in held]
         ids = np.repeat(np.array([d for _, d, _ in held], "<i8"), lengths)
         sizes = np.repeat(np.array([n for _, _, n in held], "<i4"), lengths)
         bucket = (keys % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows: dict[str, list] = {"bucket": [], "keys": [], "docs": [], "sizes": []}
+        rows: dict[str, list] = {"bucket": [], "keys": [], "docs": [], "sizes": [], "reaches": [], "befores": []}
         for b in np.flatnonzero(np.diff(edges)).tolist():
             own = order[edges[b] : edges[b + 1]]
             rows["bucket"].append(b)
-            for name, values in (("keys", keys), ("docs", ids), ("sizes", sizes)):
+            for name, values in (("keys", keys), ("docs", ids), ("sizes", sizes), ("reaches", reaches), ("befores", befores)):
                 rows[name].append(values[own].tobytes())
         return batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first = shared.value, {}
+        known, first = shared.value(), {}
         held, number = [], 0
         for batch in batches:
             copies: dict[str, list] = {"doc_id": [], "copy_of": []}
@@ -318,9 +351,10 @@ def prefix_entries(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
                     copies["doc_id"].append(doc_id)
                     copies["copy_of"].append(same)
                     continue
-                order = np.argsort(rank_of(hashes, known), kind="stable")
-                held.append((hashes[order[: prefix_length(len(hashes))]], doc_id, len(hashes)))
-                number += len(held[-1][0])
+                entries = prefix_of(hashes, known)
+                if len(entries[0]):
+                    held.append((entries, doc_id, len(hashes)))
+                    number += len(entries[0])
                 for name, value in (("doc_id", doc_id), ("n", len(hashes)), ("bits", bitmap(hashes))):
                     single[name].append(value)
                 if number >= HELD_ENTRIES:
@@ -338,33 +372,65 @@ def prefix_entries(docs: DataFrame, order: Order, buckets: int) -> DataFrame:
 MEETINGS = "meeting long, doc_id long, n int"
 
 
+def _largest(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest of ``values[start:end]`` for many ranges; -1 for empty ones."""
+    out = np.full(len(start), -1, np.int64)
+    length = end - start
+    doubled, step = values, 1
+    while (at := np.flatnonzero((length >= step) & (length < 2 * step))).size or (length >= 2 * step).any():
+        # ``doubled`` holds the largest of ``step`` values in a row.
+        out[at] = np.maximum(doubled[start[at]], doubled[end[at] - step])
+        doubled, step = np.maximum(doubled[:-step], doubled[step:]), 2 * step
+    return out
+
+
+def _with_partner(group: np.ndarray, sizes: np.ndarray, reaches: np.ndarray) -> np.ndarray:
+    """Which texts another of their group may link with, as both reach the other's size; by group, then by size."""
+    own, base = np.arange(len(group)), group << 32
+    far = np.searchsorted(base + sizes, base + reaches, side="right")
+    first = np.searchsorted(group, group)
+    return (_largest(reaches, first, np.minimum(own, far)) >= sizes) | (_largest(reaches, own + 1, np.maximum(own + 1, far)) >= sizes)
+
+
 def _meetings(table: pa.Table) -> pa.Table:
     """Texts of a bucket that share a shingle and may link by their sizes, named by a hash
     of who meets with which sizes.
 
-    The texts that share a shingle fall apart where, in the order of sizes, one is too
-    large for the one before: none of the smaller ones can link with it or a larger one.
-    Near copies share many shingles; the same texts meeting again make the same rows,
-    which are dropped here and, between buckets, by the caller.
+    A text that no other one of the shingle may link with is left out. The others fall
+    apart where, in the order of sizes, one is larger than any before it reaches: none of
+    the smaller ones can link with it or a larger one. Where all share the shingle before
+    as well, each two have met by their first common one. Near copies share many shingles;
+    the same texts meeting again make the same rows, which are dropped here and, between
+    buckets, by the caller.
     """
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), "<u8")
-    ids = np.frombuffer(b"".join(table["docs"].to_pylist()), "<i8")
-    sizes = np.frombuffer(b"".join(table["sizes"].to_pylist()), "<i4")
+
+    def column(name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+    keys, ids, sizes = column("keys", "<u8"), column("docs", "<i8"), column("sizes", "<i4").astype(np.int64)
+    known = set(table.column_names)
+    reaches = column("reaches", "<i4").astype(np.int64) if "reaches" in known else reach(sizes, np.zeros_like(sizes))
+    befores = column("befores", "<u8") if "befores" in known else np.zeros_like(keys)
     order = np.lexsort((ids, sizes, keys))
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])
-    keys, ids, sizes = keys[new], ids[new], sizes[new]
-    apart = (keys[1:] != keys[:-1]) | (100 * sizes[:-1].astype(np.int64) < PERCENT * sizes[1:].astype(np.int64))
-    starts = np.flatnonzero(np.r_[True, apart]) if len(keys) else np.empty(0, np.int64)
-    ends = np.r_[starts[1:], len(keys)]
-    who = np.stack([ids, sizes.astype("<i8")], axis=1)
+    keys, ids, sizes, reaches, befores = (c[order] for c in (keys, ids, sizes, reaches, befores))
+    group = np.cumsum(np.r_[False, keys[1:] != keys[:-1]][: len(keys)])
+    kept = np.flatnonzero(_with_partner(group, sizes, reaches))
+    group, ids, sizes, reaches, befores = (c[kept] for c in (group, ids, sizes, reaches, befores))
+    reached = np.maximum.accumulate((group << 32) + reaches)
+    starts = np.flatnonzero(np.r_[True, reached[:-1] < (group[1:] << 32) + sizes[1:]]) if len(group) else np.empty(0, np.int64)
+    lengths = np.diff(np.r_[starts, len(group)])
+    apart = (befores == 0) | (befores != np.repeat(befores[starts], lengths))
+    new = np.logical_or.reduceat(apart, starts) if len(starts) else np.empty(0, bool)
+    who = np.stack([ids, sizes], axis=1).astype("<i8")
+    once = np.r_[True, (who[1:] != who[:-1]).any(axis=1) | (group[1:] != group[:-1])][: len(who)]
     met: dict[int, np.ndarray] = {}
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-        met.setdefault(xxhash.xxh3_64_intdigest(who[a:b]), np.arange(a, b))
+    for a, b in zip(starts[new].tolist(), (starts + lengths)[new].tolist(), strict=True):
+        own = np.flatnonzero(once[a:b]) + a
+        if len(own) > 1:
+            met.setdefault(xxhash.xxh3_64_intdigest(who[own]), own)
     at = np.concatenate(list(met.values())) if met else np.empty(0, np.int64)
     names = np.repeat(np.array(list(met), np.uint64), [len(g) for g in met.values()])
-    return pa.table({"meeting": names.view("<i8"), "doc_id": ids[at], "n": sizes[at]})
+    return pa.table({"meeting": names.view("<i8"), "doc_id": ids[at], "n": sizes[at].astype(np.int32)})
 
 
 # --- comparing -------------------------------------------------------------------
@@ -430,7 +496,7 @@ def first_pairs(meetings: DataFrame) -> DataFrame:
     """
     orders = [F.col("doc_id"), *[F.xxhash64("doc_id", F.lit(i)) for i in range(1, ANCHORS)]]
     anchors = [F.struct(F.min_by("doc_id", o).alias("other"), F.min_by("n", o).alias("size")) for o in orders]
-    chosen = meetings.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"), F.array(*anchors).alias("anchors"))
+    chosen = staged(meetings.groupBy("meeting").agg(F.count(F.lit(1)).alias("n"), F.array(*anchors).alias("anchors")), "jaccard-chosen")
     rows = attach_groups(meetings.withColumnRenamed("n", "own"), chosen, "meeting", meetings.count())
     pairs = rows.select("doc_id", "own", F.explode(F.array_distinct("anchors")).alias("anchor"))
     pairs = pairs.select("doc_id", "own", "anchor.*").filter(
@@ -464,7 +530,7 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame, best:
         .withColumn("component", F.coalesce("component", "doc_id"))
         .withColumn("band", size_band(F.col("n")))
     )
-    spans = meetings_with_several(placed)
+    spans = staged(meetings_with_several(placed), "jaccard-spans")
     several = attach_groups(placed.withColumnRenamed("n", "size"), spans, "meeting", meetings.count())
     main = (F.col("component") == F.col("largest")).alias("main")
     open_rows = staged(several.filter("n is not null").select(*[c for c in placed.columns if c != "n"], "size", main), "jaccard-open")
@@ -479,7 +545,7 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame, best:
         for step, name in ((1, "above"), (-1, "below"))
     )
     sides = blocks.join(above, ["meeting", "band"], "left").join(below, ["meeting", "band"], "left").fillna(0)
-    sides = sides.withColumn("where", F.struct("meeting", "band")).drop("meeting", "band")
+    sides = staged(sides.withColumn("where", F.struct("meeting", "band")).drop("meeting", "band"), "jaccard-sides")
     known = attach_groups(open_rows.withColumn("where", F.struct("meeting", "band")), sides, "where", open_rows.count())
     known = known.filter("not main or others + others_above + others_below > 0").join(bits, "doc_id")
     held = F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))
@@ -516,7 +582,7 @@ def further_pairs(meetings: DataFrame, labels: DataFrame, bits: DataFrame, best:
     found = wanted.groupBy("call").applyInArrow(pairs, f"{TILED}, more boolean")
     once = found.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("more").alias("more"))
     once = staged(once, "jaccard-pairs")
-    discard(open_rows, blocks, spread)
+    discard(spans, open_rows, blocks, sides, spread)
     return once
 
 
@@ -592,7 +658,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     discard(counted)
 
     rows = staged(prefix_entries(docs, order, buckets), "jaccard-entries")
-    packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes")
+    order.destroy()
+    packed = rows.filter("bucket is not null").select("bucket", "keys", "docs", "sizes", "reaches", "befores")
     met = packed.groupBy("bucket").applyInArrow(_meetings, MEETINGS)
     meetings = staged(met.dropDuplicates(["meeting", "doc_id", "n"]), "jaccard-meetings")
     copies = staged(rows.filter("copy_of is not null").select(F.col("doc_id").alias("a"), F.col("copy_of").alias("b")), "jaccard-copies")
@@ -606,13 +673,14 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # join anything; all pairs are compared of what is still apart then.
     while hidden:
         pairs = further_pairs(meetings, labels, bits, best)
+        if pairs.isEmpty():
+            break
         hidden = best and not pairs.filter("more").isEmpty()
         untried = staged(pairs.join(tried, ["a", "b"], "left_anti").drop("more"), "jaccard-untried")
         found = verified(untried, docs)
         best = best and not found.isEmpty()
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
+            labels = merged(labels, found)
         tried = tried.unionByName(untried.select("a", "b"))
     labels = labels.withColumnRenamed("node", "doc_id")
     return sizes.join(labels, "doc_id", "left").select(

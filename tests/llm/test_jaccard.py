@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from lexivane.llm import jaccard
-from lexivane.llm.components import components
+from lexivane.llm.components import components, merged
 from lexivane.llm.shingles import shingle_sets
 
 from .conftest import frame, odd_texts, words
@@ -188,3 +188,89 @@ def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100)] + [(200, i) for i in range(201, 260)] + [(3, 2), (3, 2)]
     rows = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r.node: r.component for r in rows} == {i: 0 for i in range(41)} | {i: 200 for i in range(200, 260)}
+
+
+def test_components_of_few_and_of_many_nodes_are_equal(spark, monkeypatch):
+    draw = random.Random(4)
+    links = spark.createDataFrame([(draw.randrange(300), draw.randrange(300)) for _ in range(150)], "a long, b long")
+    few = sorted(components(links).collect())
+    monkeypatch.setattr("lexivane.llm.components.LABEL_BYTES", 1 << 40)
+    assert sorted(components(links).collect()) == few
+
+
+@pytest.mark.parametrize("group_bytes", [160, 1 << 40])
+def test_merged_components_are_those_of_all_links(spark, monkeypatch, group_bytes):
+    """Further links join components, add nodes to them, and make new ones; a node may have many of them."""
+    monkeypatch.setattr("lexivane.llm.components.GROUP_BYTES", group_bytes)
+    monkeypatch.setattr("lexivane.llm.exact.HOT_LEAST", 2)
+    draw = random.Random(3)
+    first = [(draw.randrange(60), draw.randrange(60)) for _ in range(40)]
+    more = [(5, i) for i in range(50, 90, 3)] + [(200, 201), (201, 202), (7, 300)]
+    make = lambda links: spark.createDataFrame([(a, b) for a, b in links if a != b], "a long, b long")
+    got = merged(components(make(first)), make(more)).collect()
+    assert sorted(got) == sorted(components(make(first + more)).collect())
+
+
+def tables(entries):
+    """One row of packed entries: key, id, size, place of the key and the key before it."""
+    keys, ids, sizes, places, befores = (np.array(c) for c in zip(*entries, strict=True))
+    columns = {"keys": keys.astype("<u8"), "docs": ids.astype("<i8"), "sizes": sizes.astype("<i4")}
+    columns |= {"reaches": jaccard.reach(sizes, places).astype("<i4"), "befores": befores.astype("<u8")}
+    return pa.table({name: [values.tobytes()] for name, values in columns.items()})
+
+
+def meeting_ids(table):
+    met = {}
+    for row in jaccard._meetings(table).to_pylist():
+        met.setdefault(row["meeting"], set()).add(row["doc_id"])
+    return sorted(map(sorted, met.values()))
+
+
+def test_texts_whose_common_shingle_comes_too_late_do_not_meet():
+    # Of 90 shingles each, 80 must be common: from place 11 on there are not enough.
+    assert meeting_ids(tables([(1, 5, 90, 10, 0), (1, 6, 90, 10, 0)])) == [[5, 6]]
+    assert meeting_ids(tables([(1, 5, 90, 10, 0), (1, 6, 90, 11, 0)])) == []
+    # The smaller of two texts shares more of itself.
+    assert meeting_ids(tables([(1, 5, 72, 0, 0), (1, 6, 90, 18, 0), (1, 7, 90, 19, 0)])) == [[5, 6]]
+
+
+def test_texts_that_share_the_shingle_before_meet_once():
+    copies = [(key, i, 100, key - 1, key - 1) for key in range(1, 10) for i in range(50)]
+    assert jaccard._meetings(tables(copies)).num_rows == 50
+    # An edit of one text: after it, its shingle before is another one.
+    edited = [(k, i, n, p, 99 if (k, i) == (5, 0) else b) for k, i, n, p, b in copies]
+    assert meeting_ids(tables(edited)) == [list(range(50))]
+
+
+def test_meetings_miss_no_link_by_brute_force():
+    draw = np.random.default_rng(8)
+    for _ in range(40):
+        base = draw.permutation(400)[: draw.integers(5, 60)]
+        sets = [np.unique(np.r_[draw.choice(base, draw.integers(max(1, len(base) - 6), len(base) + 1), replace=False), draw.integers(0, 400, draw.integers(0, 6))]) for _ in range(12)]
+        entries = []
+        for i, own in enumerate(sets):
+            # Shingles of a single text are not handed on.
+            held = [(p, k) for p, k in enumerate(own[: jaccard.prefix_length(len(own))]) if sum(k in s for s in sets) > 1]
+            entries += [(k + 1, i, len(own), p, held[e - 1][1] + 1 if e else 0) for e, (p, k) in enumerate(held)]
+        groups = meeting_ids(tables(entries)) if entries else []
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                both = len(np.intersect1d(a, b))
+                if 100 * both >= 80 * (len(a) + len(b) - both):
+                    assert any(i in g and j in g for g in groups)
+
+
+def test_a_shingle_of_one_text_is_not_handed_on(spark, monkeypatch):
+    rows, written = {}, jaccard.staged
+
+    def keeping(df, name):
+        rows[name] = written(df, name)
+        return rows[name]
+
+    monkeypatch.setattr(jaccard, "staged", keeping)
+    monkeypatch.setattr(jaccard, "discard", lambda *frames: None)
+    shared = words(50, 20)
+    docs = frame(spark, [(i, " ".join(words(60 + i, 100) + shared * (i < 2))) for i in range(4)])
+    jaccard.similar_documents(docs).collect()
+    packed = rows["jaccard-entries"].filter("bucket is not null").collect()
+    assert sum(len(r["keys"]) // 8 for r in packed) < 2 * (24 + 1)
