@@ -47,13 +47,18 @@ def hold_cache(owner: str, clear: Callable[[], None]) -> None:
     """
     if _holder and _holder[0][0] != owner:
         _holder[0][1]()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
     _holder[:] = [(owner, clear)]
 
 
+def give_back() -> None:
+    """What Python, Arrow and the C library keep for later goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 

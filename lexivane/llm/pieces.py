@@ -21,14 +21,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lexivane.llm.common import hold_cache
+from lexivane.llm.common import give_back, hold_cache
 
 # A space is a safe cut between two of these: letters, digits, visible ASCII.
 VISIBLE = r"[\w!-~]"
 SAFE_SPACE = re.compile(f"(?<={VISIBLE}) (?={VISIBLE})")
 WHOLE_PIECE = re.compile(f"{VISIBLE}(?:.*{VISIBLE})?", re.DOTALL)
 # What one worker may keep, and what one kept segment takes besides its text.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 32 << 20
 ENTRY_BYTES = 220
 # A word of Latin letters is one part, marks behind it others.
 WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-/:-@\\[-`{-~]*)")
@@ -38,7 +38,10 @@ OWN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 OTHER_BYTES = sorted(set(range(256)) - set(OWN_BYTES))
 SPELLED = {byte: 256 + place for place, byte in enumerate(OTHER_BYTES)}
 SPACE = chr(SPELLED[32])
-# New pieces that are encoded as one text.
+# Text split at once: every different word of it is a Python string for a while.
+TEXT_BYTES = 8 << 20
+# New pieces that are learned at once, and those that are encoded as one text.
+LEARNED_AT_ONCE = 20_000
 PIECES_AT_ONCE = 2000
 
 
@@ -73,17 +76,22 @@ class PieceEncoder:
         self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
         self.inner = Kept(cache_bytes)
         self.first = Kept(cache_bytes // 8)
+        give_back()  # reading a vocabulary takes as much again as the vocabulary
 
     def _learn(self, kept: Kept, pieces: Iterable[str], before: str) -> None:
         """Encodes the pieces not met yet; those that are no safe segment get None."""
         new = kept.missing(pieces)
+        # A word comes alone and with several marks; its ids are made once.
+        stems: dict[str, bytes] = {}
+        for at in range(0, len(new), LEARNED_AT_ONCE):
+            kept.add(self._ids(kept, new[at : at + LEARNED_AT_ONCE], stems, before))
+
+    def _ids(self, kept: Kept, new: list[str], stems: dict[str, bytes], before: str) -> dict[str, bytes | None]:
         found: dict[str, bytes | None] = dict.fromkeys(new)
         plain = [(p, *m.groups()) for p in new if (m := WORD.fullmatch(p))]
         marks = dict.fromkeys(mark for _, _, mark in plain)
         marks = dict(zip(marks, self._each(list(marks)), strict=True))
         first, merge, code = SPACE if before else "", self.tokenizer.model.tokenize, self.code
-        # A word comes alone and with several marks; its ids are made once.
-        stems: dict[str, bytes] = {}
         for piece, stem, mark in plain:
             ids = stems.get(stem) or kept.recent.get(stem)
             if ids is None:
@@ -92,7 +100,7 @@ class PieceEncoder:
             found[piece] = ids + marks[mark] if mark else ids
         whole = [p for p in new if found[p] is None and WHOLE_PIECE.fullmatch(p)]
         found.update(zip(whole, self._joined(whole) if before else self._each(whole), strict=True))
-        kept.add(found)
+        return found
 
     def _each(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -121,16 +129,20 @@ class PieceEncoder:
     @without_cycle_search()
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text, as arrays of ``kind``; a null text has none."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        texts = texts.fill_null("")
+        return [ids for few in slices(texts, TEXT_BYTES) for ids in self._encode(few)]
+
+    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
         self.inner.make_room()
         self.first.make_room()
-        if not len(texts):
-            return []
-        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-        texts = texts.fill_null("")
         split = pc.split_pattern(texts, " ")
-        begins, ends = split.offsets.to_numpy()[:-1], split.offsets.to_numpy()[1:]
+        edges = split.offsets.to_numpy().astype(np.int64)
+        begins, ends = edges[:-1], edges[1:]
         coded = split.values.dictionary_encode()
         slot, spelled = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        del split, coded
 
         # Pieces after a space, each different one once; then those a text starts with.
         after = np.ones(len(slot), bool)
@@ -146,17 +158,18 @@ class PieceEncoder:
 
         known = list(map(self.inner.recent.__getitem__, inner)) + list(map(self.first.recent.__getitem__, first))
         at = np.concatenate([np.flatnonzero(used), len(spelled) + np.arange(len(first))])
-        place, unsafe = np.zeros(len(spelled) + len(first), np.int64), np.zeros(len(spelled) + len(first), bool)
+        place, unsafe = np.zeros(len(spelled) + len(first), np.int32), np.zeros(len(spelled) + len(first), bool)
         place[at] = np.arange(len(at))
         unsafe[at] = [k is None for k in known]
         known = [k or b"" for k in known]
         edges = np.zeros(len(known) + 1, np.int64)
         np.cumsum(np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize, out=edges[1:])
         kept = pa.LargeListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(known), self.kind)))
-        taken = kept.take(pa.array(place[slot]))
-        ids, upto = taken.values.to_numpy(), taken.offsets.to_numpy()
         # A text with a piece that starts or ends with something else than a visible character.
         odd = np.logical_or.reduceat(unsafe[slot], begins)
+        slot = place[slot]
+        taken = kept.take(pa.array(slot))
+        ids, upto = taken.values.to_numpy(), taken.offsets.to_numpy()
         last = upto[ends].tolist()
         return [
             np.frombuffer(self._encode_segments(texts[place].as_py()), self.kind) if is_odd else ids[a:b]
@@ -170,6 +183,17 @@ class PieceEncoder:
         return b"".join(array(self.code, e.ids).tobytes() for e in encoded)
 
 
+def slices(texts: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
+    """``texts`` in runs of at most ``most_bytes``; a longer text is one alone."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+        yield texts[start:stop]
+        start = stop
+
+
 class Kept:
     """Ids by segment: a recent and an older half; the older one makes room."""
 
@@ -189,6 +213,8 @@ class Kept:
         absent = [p for p in pieces if p not in recent]
         met = {p: older[p] for p in absent if p in older}
         self.add(met)
+        if self.used > self.most:
+            self.older = {}
         return [p for p in absent if p not in met]
 
     def add(self, found: dict[str, bytes | None]) -> None:

@@ -1,15 +1,17 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import ceil
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from lexivane.llm import bpe, packing, rollup, tokenfile
+from lexivane.llm import bpe, packing, pieces, rollup, tokenfile
 from lexivane.llm.pieces import PieceEncoder
 from lexivane.session import work_dir
 
@@ -177,3 +179,32 @@ def test_words_are_merged_once_whatever_marks_follow(whole, monkeypatch):
     assert joined == []
     later = ["x Word%% Word&", "Word Word%% été''s été'"]  # the second word was met alone
     assert [i.tolist() for i in encoder.encode(later)] == [whole(t) for t in later]
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_a_batch_is_encoded_a_slice_at_a_time(whole, monkeypatch, kind):
+    monkeypatch.setattr(pieces, "TEXT_BYTES", 300, raising=False)
+    encoder = PieceEncoder(PATH)
+    met = []
+    monkeypatch.setattr(encoder, "_learn", lambda kept, new, before, own=encoder._learn: met.append(sum(map(len, new))) or own(kept, new, before))
+    texts = [None, "", *drawn(5, 60), "long " + "w" * 1000, None, *drawn(6, 60), "é" * 149 + " ß", ""]
+    for text, ids in zip(texts, encoder.encode(pa.array(texts, kind)), strict=True):
+        assert ids.tolist() == whole(text), text
+    assert sorted(met)[-2] <= 300 and max(met) == 1000  # the long text alone
+    assert encoder.encode(pa.array([], kind)) == [] and encoder.encode(pa.array([None], kind))[0].tolist() == []
+
+
+def test_memory_of_an_encoder_that_meets_ever_new_words():
+    """Eight batches of 50,000 words, none met before."""
+    encoder = PieceEncoder(PATH)
+    draw = random.Random(7)
+    fresh = iter("".join(draw.choice("etaoinsh") for _ in range(12)) for _ in range(400_000))
+    batches = [pa.array([" ".join(next(fresh) for _ in range(100)) for _ in range(500)]) for _ in range(8)]
+    tracemalloc.start()
+    try:
+        for batch in batches:
+            encoder.encode(batch)
+        held, most = (n / 1e6 for n in tracemalloc.get_traced_memory())
+    finally:
+        tracemalloc.stop()
+    assert held < 40 and most < 45, (held, most)
