@@ -5,10 +5,12 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +61,17 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(texts: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
+    """``texts`` in runs of at most ``most_bytes``; a longer text is one alone."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
+        yield texts[start:stop]
+        start = stop
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 

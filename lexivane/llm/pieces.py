@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from lexivane.llm.common import give_back, hold_cache
+from lexivane.llm.common import give_back, hold_cache, slices
 
 # A space is a safe cut between two of these: letters, digits, visible ASCII.
 VISIBLE = r"[\w!-~]"
@@ -183,17 +183,6 @@ class PieceEncoder:
         return b"".join(array(self.code, e.ids).tobytes() for e in encoded)
 
 
-def slices(texts: pa.Array, most_bytes: int) -> Iterator[pa.Array]:
-    """``texts`` in runs of at most ``most_bytes``; a longer text is one alone."""
-    upto = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
-    start = 0
-    while start < len(texts):
-        before = upto[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(upto, before + most_bytes, "right")))
-        yield texts[start:stop]
-        start = stop
-
-
 class Kept:
     """Ids by segment: a recent and an older half; the older one makes room."""
 

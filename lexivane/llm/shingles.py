@@ -10,10 +10,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from lexivane.llm.common import hold_cache, slices
 from lexivane.llm.shinglehash import shingle_spans, words_of, xxh64_spans
 
 WORDS = 5
 SEED = 5
+# Text hashed at once; each of its many arrays is larger than the text.
+TEXT_BYTES = 1 << 20
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
@@ -26,6 +29,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    hold_cache("shingles", lambda: None)
+    return [hashes for few in slices(texts, TEXT_BYTES) for hashes in _shingle_sets(few)]
+
+
+def _shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     words = words_of(texts)
     start, length, counts = shingle_spans(words, WORDS)
     hashes = xxh64_spans(words.buffer, start, length, SEED)

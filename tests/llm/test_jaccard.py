@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lexivane.llm import jaccard
+from lexivane.llm import jaccard, shingles
 from lexivane.llm.components import components, merged
 from lexivane.llm.shingles import shingle_sets
 
@@ -274,3 +274,14 @@ def test_a_shingle_of_one_text_is_not_handed_on(spark, monkeypatch):
     jaccard.similar_documents(docs).collect()
     packed = rows["jaccard-entries"].filter("bucket is not null").collect()
     assert sum(len(r["keys"]) // 8 for r in packed) < 2 * (24 + 1)
+
+
+def test_shingles_of_a_batch_are_made_a_slice_at_a_time(monkeypatch):
+    texts = [text for _, text in odd_texts()] * 3
+    wanted = [s.tolist() for t in texts for s in shingle_sets(pa.array([t], pa.string()))]
+    monkeypatch.setattr(shingles, "TEXT_BYTES", 500, raising=False)
+    held = []
+    monkeypatch.setattr(shingles, "words_of", lambda few, own=shingles.words_of: held.append((len(few), few.nbytes)) or own(few))
+    assert [s.tolist() for s in shingle_sets(pa.array(texts, pa.string()))] == wanted
+    assert len(held) > 6 and all(rows == 1 or size < 1000 for rows, size in held)
+    assert shingle_sets(pa.array([], pa.string())) == []
