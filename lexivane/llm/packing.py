@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivane.llm.common import staged
-from lexivane.llm.pieces import piece_encoder
+from lexivane.llm.pieces import joined_batches, piece_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -132,7 +132,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
         part, met = TaskContext.get().partitionId(), {}
         encoder = piece_encoder(path)
         end = np.array([end_id], "<u4")
-        for batch in batches:
+        for batch in joined_batches(batches, 1):
             rows = []
             encoded = encoder.encode(batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoded, strict=True):

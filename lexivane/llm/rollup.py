@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivane.llm.pieces import piece_encoder
+from lexivane.llm.pieces import joined_batches, piece_encoder
 
 KEYS = ("source", "lang", "tokenizer")
 SUMS = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -36,7 +36,7 @@ def bpe_counts(docs: DataFrame, path: str, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = piece_encoder(path)
-        for batch in batches:
+        for batch in joined_batches(batches, 3):
             numbers = [len(ids) for ids in encoder.encode([t or "" for t in batch.column(3).to_pylist()])]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(numbers, pa.int64())], names=["doc_id", "source", "lang", "tokens"]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivane.llm.common import staged
-from lexivane.llm.pieces import piece_encoder
+from lexivane.llm.pieces import joined_batches, piece_encoder
 
 BLOCK = 1 << 14
 LANES = 64
@@ -182,7 +182,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str) -> D
         system.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex[:12]}.tok"
         writer = None
-        for batch in batches:
+        for batch in joined_batches(batches, 1):
             if writer is None:
                 writer = TokenWriter(system.open_output_stream(f"{base}/_{name}"), bits_for(encoder.vocabulary))
             encoded = encoder.encode(batch.column(1))

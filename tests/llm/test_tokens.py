@@ -208,3 +208,56 @@ def test_memory_of_an_encoder_that_meets_ever_new_words():
     finally:
         tracemalloc.stop()
     assert held < 40 and most < 45, (held, most)
+
+
+class Counted:
+    """A tokenizer that counts the words it merges."""
+
+    def __init__(self, own):
+        self.own, self.model, self.merged = own, self, 0
+
+    def tokenize(self, word):
+        self.merged += 1
+        return self.own.model.tokenize(word)
+
+    def encode_batch_fast(self, *args, **options):
+        return self.own.encode_batch_fast(*args, **options)
+
+
+def test_many_words_are_kept(whole):
+    """200,000 words fit into what a worker keeps; met again, none is merged again."""
+    draw = random.Random(8)
+    words = list({"".join(draw.choice("etaoinsh") for _ in range(10)): None for _ in range(200_000)})
+    texts = ["x " + " ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)]
+    encoder = PieceEncoder(PATH)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    for at in range(0, len(texts), 20):
+        encoder.encode(texts[at : at + 20])
+    assert counted.merged == len(words) + 1
+    again = [t.replace(" ", "! ") for t in texts]
+    got = [ids for at in range(0, len(again), 20) for ids in encoder.encode(again[at : at + 20])]
+    assert counted.merged == len(words) + 1
+    assert got[7].tolist() == whole(again[7])
+
+
+def test_words_met_often_stay_when_others_go(whole):
+    encoder = PieceEncoder(PATH, cache_bytes=60_000)
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    draw = random.Random(9)
+    usual = [f"usual{a}{b}" for a in "abcdefgh" for b in "éßabcdef"]
+    for turn in range(40):
+        fresh = ["".join(draw.choice("etaoinsh") for _ in range(12)) for _ in range(300)]
+        before, text = counted.merged, " ".join(["x", *fresh, *usual])
+        assert encoder.encode([text])[0].tolist() == whole(text)
+        if turn > 1:
+            assert counted.merged - before <= len(fresh), turn
+
+
+def test_small_batches_are_joined(monkeypatch):
+    monkeypatch.setattr(pieces, "TEXT_BYTES", 10)
+    monkeypatch.setattr(pieces, "ROWS_AT_ONCE", 4)
+    texts = [["abc"], ["défg", None], ["hij"], [], ["x" * 30], ["k", "l"], ["m", "n", "o"], [None], [""]]
+    batches = [pa.record_batch([pa.array([at] * len(t), pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"]) for at, t in enumerate(texts)]
+    joined = [batch.column(1).to_pylist() for batch in pieces.joined_batches(iter(batches), 1)]
+    assert joined == [["abc", "défg", None], ["hij"], ["x" * 30], ["k", "l"], ["m", "n", "o", None], [""]]
+    assert list(pieces.joined_batches(iter([]), 1)) == []
