@@ -35,14 +35,24 @@ def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     return ordered.select("paper_id", ADDRESS, F.monotonically_increasing_id().alias("seq"))
 
 
-def winners(rows: DataFrame, order: list[str], copies: str = "copies") -> DataFrame:
+def last_addresses(rows: DataFrame, order: list[str], copies: str = "copies") -> DataFrame:
     """Per id the address of its last row, and how many rows it had.
 
     A hash aggregation over three numbers: rows of one id are reduced within each task
     before the shuffle, so an id that holds a large part of the batch sends one row a task.
     """
     last = F.max_by(ADDRESS, "seq").alias(ADDRESS)
-    return _numbered(rows, order).groupBy("paper_id").agg(last, F.count(F.lit(1)).alias(copies)).drop("paper_id")
+    return _numbered(rows, order).groupBy("paper_id").agg(last, F.count(F.lit(1)).alias(copies))
+
+
+def winners(rows: DataFrame, order: list[str], copies: str = "copies") -> DataFrame:
+    """``last_addresses`` without the ids."""
+    return last_addresses(rows, order, copies).drop("paper_id")
+
+
+def fetched(rows: DataFrame, order: list[str], chosen: DataFrame, at_most: int) -> DataFrame:
+    """The rows of the chosen addresses, of which there are ``at_most``."""
+    return rows.drop(*order).join(broadcast_keys(chosen, at_most), ADDRESS).drop(ADDRESS)
 
 
 def last_per_id(rows: DataFrame, order: list[str], copies: str | None = None) -> DataFrame:
@@ -53,21 +63,22 @@ def last_per_id(rows: DataFrame, order: list[str], copies: str | None = None) ->
     ``copies`` names a column for the number of rows an id had.
     """
     chosen = winners(rows, order, copies or "copies")
-    kept = rows.drop(*order).join(broadcast_keys(chosen, rows.count()), ADDRESS).drop(ADDRESS)
+    kept = fetched(rows, order, chosen, rows.count())
     return kept if copies else kept.drop("copies")
 
 
 def merge(
-    current: DataFrame, batch: DataFrame, written_at, batch_rows: int
+    current: DataFrame, batch: DataFrame, written_at, batch_rows: int, ids: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, new): current rows the batch does not touch, and the batch's rows.
 
-    ``batch`` holds ``batch_rows`` rows, one per id. A new row replaces every
+    ``batch`` holds ``batch_rows`` rows, one per id; ``ids`` are those, where they are
+    at hand. A new row replaces every
     column of a stored one, with null too, but keeps its ``created_at``. Only
     the batch's ids meet the current rows: broadcast while they are few, else dealt by id
     and hashed. Current rows are not shuffled where they are bucketed by id.
     """
-    keys = keys_for_join(batch.select("paper_id"), batch_rows)
+    keys = keys_for_join((batch if ids is None else ids).select("paper_id"), batch_rows)
     kept = current.join(keys, "paper_id", "left_anti")
     known = current.select("paper_id", "created_at").join(keys, "paper_id", "left_semi")
     new = (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lexivane import schema
@@ -39,10 +39,15 @@ def _upsert(store: PaperStore, papers: DataFrame, written_at, embedder, order, *
     if embedder.dim != dim:
         raise ValueError(f"the embedder gives {embedder.dim} dimensions, the store has {dim}")
     rows = papers.select(*schema.PAPER_COLUMNS, *order)
-    prepare = lambda df: embedded(df, embedder).drop("combined_text")
-    return store.upsert(
-        rows, written_at, order, prepare, model=embedder.name, finish=with_combined_text, **options
-    )
+    prepare = lambda df: embedded(df, embedder)
+    return store.upsert(rows, written_at, order, prepare, model=embedder.name, **options)
+
+
+def _counted(papers: DataFrame) -> tuple[DataFrame, Observation]:
+    """All papers, and how many of them break a rule, known when they have been written."""
+    broken = Observation()
+    seen = validate_papers(papers).observe(broken, F.count_if(F.size("reasons") > 0).alias("rows"))
+    return seen.drop("reasons"), broken
 
 
 def title_queries(store: PaperStore, embedder) -> DataFrame:
@@ -73,11 +78,12 @@ def ingest(
     """Validates, embeds and upserts a batch, then makes sure there is an index.
 
     ``order`` names the columns that tell which of several rows of one id is the
-    last. In ``quarantine`` mode invalid papers go to the folder ``rejects_to``, by
+    last. In ``keep`` mode invalid papers are stored like others and counted as ``invalid``.
+    In ``quarantine`` mode they go to the folder ``rejects_to``, by
     default below the store, with their reasons, and are counted; a batch of a stream
     has a folder of its own, so that its replay writes them once.
     """
-    rejected, folder = 0, None
+    rejected, folder, broken = 0, None, None
     if mode == "quarantine":
         folder = f"{store.root}/staging/{uuid.uuid4().hex}"
         validate_papers(papers).write.parquet(folder)
@@ -86,6 +92,8 @@ def ingest(
         rejected = write_rejects(
             checked.filter(F.size("reasons") > 0), rejects_to or f"{store.root}/rejects/papers", upsert.get("stream")
         )
+    elif mode == "keep":
+        valid, broken = _counted(papers)
     else:
         valid = valid_papers(papers, mode)
     try:
@@ -93,6 +101,8 @@ def ingest(
     finally:
         if folder:
             store.remove(folder)
+    if broken is not None and "rows_in" in report:  # else the batch was not read
+        report["invalid"] = broken.get["rows"]
     indexed = build_index(store, embedder) if rebuild_index else store.index() is not None
     return {**report, "rejected": rejected, "vector_index": "ok" if indexed else "skipped"}
 
@@ -114,16 +124,22 @@ def load_corpus(
     replace: bool = False,
     skip_index: bool = False,
     embedder=None,
+    mode: str = "fail",
 ) -> dict:
     """Loads corpus files: all papers are validated, then taken, or the first ``max_papers``
-    where that is set here or in the options.
+    where that is set here or in the options. ``mode`` is ``fail`` or ``keep``, see ``ingest``.
 
     With ``replace`` the stored papers and the index go; should the load fail,
     they stay.
     """
     cap = store.options.max_papers if max_papers is None else max_papers
-    papers = valid_papers(read_papers(store.spark, path, form))
+    if mode not in ("fail", "keep"):
+        raise ValueError(f"unknown mode {mode}")
+    papers = read_papers(store.spark, path, form)
+    papers, broken = _counted(papers) if mode == "keep" else (valid_papers(papers), None)
     papers = papers if cap is None else first_rows(papers, cap)
     report = _upsert(store, papers, written_at, embedder, POSITION, replace_all=replace)
+    if broken is not None:
+        report["invalid"] = broken.get["rows"]
     indexed = build_index(store, embedder, skip=skip_index)
     return {**report, "vector_index": "ok" if indexed else "skipped"}

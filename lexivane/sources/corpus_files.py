@@ -32,8 +32,11 @@ def read_papers(spark: SparkSession, path: str, form: str = "json") -> DataFrame
     return positioned(reader.json(path))
 
 
-def write_papers(papers: DataFrame, path: str, form: str = "json", overwrite: bool = False) -> int:
-    """Writes the papers and returns how many there were."""
+def write_papers(
+    papers: DataFrame, path: str, form: str = "json", overwrite: bool = False, compression: str | None = None
+) -> int:
+    """Writes the papers and returns how many there were. ``compression`` is the codec of the
+    files, by default that of their form; JSON then takes a third, but a file is read by one task."""
     check_output(papers.sparkSession, path, overwrite)
     written = Observation()
     (
@@ -41,6 +44,7 @@ def write_papers(papers: DataFrame, path: str, form: str = "json", overwrite: bo
         .observe(written, F.count(F.lit(1)).alias("rows"))
         .write.mode("overwrite" if overwrite else "errorifexists")
         .format(form)
+        .options(**({"compression": compression} if compression else {}))
         .save(path)
     )
     return written.get["rows"]

@@ -28,7 +28,7 @@ from lexivane.operators import ann
 from lexivane.operators.embed import dimension_fault
 from lexivane.operators.planning import keys_for_join
 from lexivane.operators.search import bucket_of
-from lexivane.operators.upsert import CODEC, addressed, last_per_id, merge
+from lexivane.operators.upsert import ADDRESS, CODEC, addressed, fetched, last_addresses, merge
 from lexivane.options import Options
 from lexivane.session import configure
 from lexivane.sources.generations import conform
@@ -207,17 +207,16 @@ class PaperStore:
         stream: tuple[str, int] | None = None,
         allow_empty: bool = False,
         model: str | None = None,
-        finish: Callable[[DataFrame], DataFrame] | None = None,
     ) -> dict:
         """Merges a batch of papers and reports what it did.
 
         Of several rows of one id the last in ``order`` counts; ``prepare`` then
-        makes the remaining rows ready to store (it embeds them). The codes of an index
+        makes the remaining rows ready to store (it embeds them), as they are written: what
+        it adds is neither staged nor dealt. The codes of an index
         follow in the same version. ``replace_all`` drops all stored papers and the index.
         ``stream`` names a source and its batch number: a batch already written
         is skipped. An empty batch is an error unless ``allow_empty``. ``model`` names
-        the embedder, for the profile of the store. ``finish`` adds the columns that are made
-        from others without effort: they are neither staged nor dealt, but made as the rows are written.
+        the embedder, for the profile of the store.
         """
         self.create()
         state = self._require()
@@ -227,63 +226,61 @@ class PaperStore:
             state = replace(state, **NOTHING)
         staging = f"staging/{uuid.uuid4().hex}"
         try:
-            staged = self._stage(batch, order, prepare, state, f"{self.root}/{staging}")
-            return self._merge(staged, written_at, state, stream, allow_empty, model, finish)
+            rows, ids = self._stage(batch, order, f"{self.root}/{staging}")
+            return self._merge(rows, ids, written_at, state, stream, allow_empty, model, prepare)
         finally:
             self._files().delete(self._path(staging), True)
 
-    def _stage(self, batch, order, prepare, state: Pointer, folder: str) -> DataFrame:
-        """One row per id, written once, so that embedding runs once per paper.
+    def _stage(self, batch: DataFrame, order: list[str], folder: str) -> tuple[DataFrame, DataFrame]:
+        """The batch without its order, written once, and per id the address of its last row."""
+        rows = addressed(batch, f"{folder}/rows")
+        last_addresses(rows, order).write.option("compression", CODEC).parquet(f"{folder}/ids")
+        return rows.drop(*order), self.spark.read.parquet(f"{folder}/ids")
 
-        ``fault`` tells what is wrong with a vector of the store's dimension.
-        """
-        unique = last_per_id(addressed(batch, f"{folder}/rows"), order, copies="copies")
-        fault = dimension_fault(F.col("embedding"), state.dim)
-        (
-            (prepare(unique) if prepare else unique)
-            .withColumns({"fault": fault, "bucket": bucket_of(F.col("paper_id"), state.buckets)})
-            .write.option("compression", CODEC).parquet(f"{folder}/unique")
-        )
-        return self.spark.read.parquet(f"{folder}/unique")
-
-    def _merge(self, staged: DataFrame, written_at, state: Pointer, stream, allow_empty, model, finish=None) -> dict:
+    def _merge(self, rows: DataFrame, ids: DataFrame, written_at, state: Pointer, stream, allow_empty, model, prepare) -> dict:
         # All counts come from written files, so that repeated tasks cannot distort them.
-        counts = staged.agg(
+        counts = ids.agg(
             F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_in"),
             F.count(F.lit(1)).alias("distinct_ids"),
-            F.count_if(F.col("fault") == "missing").alias("without_vector"),
-            F.count_if(F.col("fault").isNotNull() & (F.col("fault") != "missing")).alias("unfit"),
             F.coalesce(F.sum(F.when(F.col("paper_id") == "unknown", F.col("copies"))), F.lit(0)).alias("unknown_ids"),
         ).first()
-        if counts.unfit:
-            raise ValueError(f"{counts.unfit} vectors do not have {state.dim} numbers, as the store's have")
-        report = {n: counts[n] for n in ("rows_in", "distinct_ids", "without_vector", "unknown_ids")}
-        rows = counts.distinct_ids
-        if not rows:
+        report = {"rows_in": counts.rows_in, "distinct_ids": counts.distinct_ids, "without_vector": 0, "unknown_ids": counts.unknown_ids}
+        number = counts.distinct_ids
+        if not number:
             if not allow_empty:
                 raise ValueError("empty batch")
             return {**report, "inserted": 0, "updated": 0, "skipped": True, "version": state.version}
 
         # A paper without a vector is stored, so that it replaces what it updates; it is not searchable.
         folder = self._new_folder(state)
-        kept, new = merge(self.bucketed(state), staged, written_at, rows)
+        unique = fetched(rows, [], ids.select(ADDRESS), number).withColumn("bucket", bucket_of(F.col("paper_id"), state.buckets))
+        kept, new = merge(self.bucketed(state), unique, written_at, number, ids)
         columns = BUCKETED.fieldNames()
         dealt = new.select(*[c for c in columns if c in new.columns]).repartition(state.buckets, "paper_id")
-        dealt = (finish(dealt) if finish else dealt).select(*columns)
+        dealt = (prepare(dealt) if prepare else dealt).select(*columns)
         after = kept.select(*columns).unionByName(dealt) if state.folder else dealt
         self._write_papers(after, folder, state.buckets)
         following = replace(state, folder=folder, model=model or state.model)
-        after = self.papers(following).count()
-        index = self._follow(staged, rows, state, folder) if state.index else None
+        written = self.papers(following)
+        batch = written.join(keys_for_join(ids.select("paper_id"), number), "paper_id", "left_semi") if state.folder else written
+        fault = dimension_fault(F.col("embedding"), state.dim)
+        faults = batch.select(fault.alias("fault")).agg(
+            F.count_if(F.col("fault") == "missing").alias("missing"), F.count_if(F.col("fault") != "missing").alias("unfit")
+        ).first()
+        if faults.unfit:
+            self._files().delete(self._path(folder), True)
+            raise ValueError(f"{faults.unfit} vectors do not have {state.dim} numbers, as the store's have")
+        after = written.count()
+        index = self._follow(batch, ids, number, state, folder) if state.index else None
         streams = state.streams | ({stream[0]: stream[1]} if stream else {})
         self._commit(self._next(following, rows=after, index=index, streams=streams))
-        counts = {"inserted": after - state.rows, "updated": rows - (after - state.rows)}
-        return {**report, **counts, "skipped": False, "version": state.version + 1}
+        counts = {"inserted": after - state.rows, "updated": number - (after - state.rows)}
+        return {**report, "without_vector": faults.missing, **counts, "skipped": False, "version": state.version + 1}
 
-    def _follow(self, batch: DataFrame, rows: int, state: Pointer, folder: str) -> dict:
+    def _follow(self, batch: DataFrame, ids: DataFrame, rows: int, state: Pointer, folder: str) -> dict:
         """The index after a batch: codes are computed for the batch's papers only."""
         tier, path = self.tier(state), f"{folder}/codes"
-        old = self.codes(state).join(keys_for_join(batch.select("paper_id"), rows), "paper_id", "left_anti")
+        old = self.codes(state).join(keys_for_join(ids.select("paper_id"), rows), "paper_id", "left_anti")
         fresh = ann.code_table(batch, tier.bits, state.dim, tier.bands)
         ann.write_index(old.unionByName(fresh), f"{self.root}/{path}")
         return {**state.index, "folder": path}

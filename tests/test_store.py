@@ -11,9 +11,11 @@ from lexivane.options import Options
 from lexivane.plans.ingest import build_index, ingest, load_corpus
 from lexivane.plans.search import accepted, responses, search
 from lexivane.sources import store as store_module
+from lexivane.sources.corpus_files import write_papers
 from lexivane.sources.generations import read_generations
 from lexivane.sources.store import PaperStore
 from lexivane.streaming.ingest_stream import read_snapshot_stream, start_ingest
+from lexivane.workloads import spark_queries
 
 FIRST, SECOND = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 OPTIONS = Options(embedding_dim=256, buckets=4)
@@ -538,3 +540,63 @@ def test_derived_text_is_neither_staged_nor_dealt(spark, store, monkeypatch):
     texts = {i: r.combined_text for i, r in content(store).items()}
     assert texts == {"a": "three\n\nabout three", "b": "four\n\nabout four", "c": "five\n\nabout five"}
     assert all(".zstd." in f for f in store.papers().inputFiles())
+
+
+def test_kept_papers_that_break_a_rule_are_stored_and_counted(spark, store, tmp_path):
+    bad = papers(spark, ("b", "t", None, 2000, 1), ("c", "t", None, 2398, 2), ("d", "", None, 2000, 3))
+    report = put(store, bad, mode="keep")
+    assert (report["rows_in"], report["inserted"], report["invalid"], report["rejected"]) == (3, 3, 2, 0)
+    assert {i: r.year for i, r in content(store).items()} == {"b": 2000, "c": 2398, "d": 2000}
+    path = str(tmp_path / "files")
+    assert write_papers(bad.withColumn("paper_id", F.concat(F.lit("x"), "paper_id")), path, compression="gzip") == 3
+    report = load_corpus(store, path, SECOND, replace=True, skip_index=True, mode="keep")
+    assert (report["rows_in"], report["invalid"]) == (3, 2) and set(content(store)) == {"xb", "xc", "xd"}
+    with pytest.raises(ValueError, match="mode"):
+        load_corpus(store, path, SECOND, mode="quarantine")
+
+
+def test_vectors_are_made_as_rows_are_written(spark, store, monkeypatch):
+    seen = []
+    monkeypatch.setattr(store_module, "merge", lambda *args: seen.append(args[1].columns) or merge(*args))
+    put(store, papers(spark, ("a", "one", "A", 2000, 0), ("b", "??", "B", 2001, 1)))
+    put(store, papers(spark, ("b", "four", "C", 2003, 0), ("c", "five", "C", 2003, 1)), SECOND)
+    assert [c for c in seen if "embedding" in c] == [] and len(seen) == 2
+    assert all(r.embedding is not None for r in content(store).values())
+
+
+def test_an_unfit_vector_leaves_no_version_behind(spark, store):
+    put(store, papers(spark, ("a", "t", None, 2000, 1)))
+    wrong = papers(spark, ("a", "t", None, 2000, 1)).withColumn("embedding", F.array(F.lit(1.0).cast("float")))
+    with pytest.raises(ValueError, match="numbers"):
+        store.upsert(wrong.withColumn("combined_text", F.lit("t")), SECOND, ["seq"])
+    assert len(store._files().listStatus(store._path("versions"))) == 1 and store.pointer().rows == 1
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, tmp_path_factory):
+    """Papers that break a rule: texts null or blank, and a conversation of 160 turns."""
+    folder = tmp_path_factory.mktemp("odd")
+    texts = [None, " \n ", "\nno title"] + [f"word{i} and some\nmore words" for i in range(57)]
+    documents = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    turns = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c}") for c, n in ((0, 160), (1, 3)) for t in range(n)]
+    rows = {
+        "documents": (documents, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        "labels": ([(i, 1, 0) for i in range(0, 60, 3)], "doc_id bigint, quality int, toxic int"),
+        "conversations": (turns, "conv_id bigint, turn bigint, role string, text string"),
+        "benchmark": ([(i, f"word{i} and more") for i in range(5)], "item_id bigint, text string"),
+    }
+    for name, (values, kinds) in rows.items():
+        spark.createDataFrame(values, kinds).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_queries_take_whole_tables_whatever_rules_they_break(spark, odd_tables):
+    run = lambda name: spark_queries.QUERIES[name](spark, odd_tables).collect()
+    (profile,) = run("corpus_profile")
+    assert (profile.papers_count, profile.without_vector, profile.vector_index) == (60, 2, "yes")
+    (report,) = run("upsert_report")
+    assert (report.rows_in, report.distinct_ids, report.inserted, report.updated) == (183, 22, 2, 20)
+    loaded = {r.paper_id: r for r in run("replace_load")}
+    assert len(loaded) == 60 and (loaded["doc-2"].title, loaded["doc-2"].abstract) == ("", "no title")
+    answers = run("search_response")
+    assert len(answers) == 10 and all(a.hits for a in answers if a.query_id % 4 in (0, 1, 3))
